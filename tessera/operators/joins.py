@@ -61,11 +61,12 @@ def per_agent(rows: DataFrame, blocks: DataFrame, salts: int = 16) -> DataFrame:
     agent number: against a broadcast when the blocks are counted as few, else against
     copies of the blocks that spread one agent's rows over ``salts`` tasks.
     """
-    agents = blocks.agg(F.max("agent").alias("last")).first()["last"]
-    if agents is None:
-        agents = -1
-    listed = F.sequence(F.lit(0), F.lit(agents)) if agents >= 0 else F.array().cast("array<int>")
-    fanned = rows.withColumn("agent", F.explode(listed).cast("bigint"))
+    last = blocks.agg(F.max("agent").alias("last")).first()["last"]
+    if last is None:
+        listed = F.array().cast("array<bigint>")
+    else:
+        listed = F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))
+    fanned = rows.withColumn("agent", F.explode(listed))
     if is_small(blocks, 1000):
         return fanned.join(F.broadcast(blocks), "agent")
     salted = fanned.withColumn("_salt", F.pmod(F.xxhash64("idx"), F.lit(salts)).cast("int"))

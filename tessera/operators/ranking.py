@@ -1,8 +1,8 @@
 """Exact ranks and cut points without a window over the whole table.
 
 Rows fall into ordered buckets; bucket counts give each bucket its starting rank and a
-window ranks inside a bucket only. Buckets come from a uniform hash or from sampled split
-points, so a hot class spreads over all of them.
+window ranks inside a bucket only. Buckets come from a uniform hash or from range
+partitions, so a hot class spreads over all of them.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import seeded_md5
+from tessera.session import cut_lineage
 
 ROWS_PER_BUCKET = 250_000
 MAX_DIGITS = 5
-SPLIT_POINTS = 1023
 
 
 def bucket_digits(rows: int) -> int:
@@ -58,15 +58,12 @@ def hash_rank(df: DataFrame, key: str, seed: int, by: list[str] | None = None,
 def value_rank(df: DataFrame, by: str, value: str, out: str = "rank") -> DataFrame:
     """Rank distinct (``by``, ``value``) rows by value within ``by``.
 
-    Split points are the pairs of smallest hash: a uniform sample of fixed size that any run
-    draws again. They only balance the buckets, ranks are exact with any of them.
+    Range partitioning samples the split points. The partition numbers are written down with
+    the rows, so counting and ranking see the same ones.
     """
-    pair = F.struct(F.col(by).alias("b"), F.col(value).alias("v"))
-    sample = (df.select(pair.alias("p")).orderBy(F.xxhash64("p"), "p").limit(SPLIT_POINTS)
-              .agg(F.array_sort(F.collect_list("p")).alias("points")))
-    points = sample.scalar()
-    bucket = F.coalesce(F.size(F.filter(points, lambda p: p <= pair)), F.lit(0))
-    return bucketed_rank(df, [by], bucket, [F.col(value)], out)
+    ranged = df.repartitionByRange(F.col(by), F.col(value))
+    placed = cut_lineage(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    return bucketed_rank(placed, [by], F.col("_range"), [F.col(value)], out).drop("_range")
 
 
 def _boundary(hashed: DataFrame, digits: int, nth: int) -> Row:

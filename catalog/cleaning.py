@@ -42,12 +42,17 @@ def p5_fixed(spark, sf):
 
 
 def p6_learned(spark, sf):
-    """Two short dictionaries, and one with a value for nearly every row."""
     rows = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_name")
     holes = rows.withColumn("p_type", F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")))
     return clean.encode_learned(holes, ["p_brand", "p_type", "p_name"])
 
 
+def p6_learned_wide(spark, sf):
+    """A dictionary with an entry per row goes through a join."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return clean.encode_learned(rows, ["c_name", "c_mktsegment"])
+
+
 def o1_sorted_distinct(spark, sf):
     return clean.learn_codes(table(spark, sf, "part"), ["p_brand", "p_type", "p_name"])
 
@@ -169,7 +174,7 @@ def d1_contract(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_drop, p2_dropna, p2_counts, p3_sentinel, p4_replace, p5_fixed, p6_learned, o1_sorted_distinct, p7_onehot,
+    p1_drop, p2_dropna, p2_counts, p3_sentinel, p4_replace, p5_fixed, p6_learned, p6_learned_wide, o1_sorted_distinct, p7_onehot,
     p8_coerce, p9_cast, p10_features, p11_mask, p13_first_seen, p14_text, p15_dict, p16_titanic, p17_diabetes,
     p18_loan, p19_mushroom, p20_mushroom_fixed, p21_zscore, o5_preview, d1_contract)}
 
@@ -204,6 +209,8 @@ SQL = {
     "p6_learned": """WITH t AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_type) - 1 AS c FROM part WHERE p_partkey % 3 > 0)
         SELECT p.p_partkey, dense_rank() OVER (ORDER BY p_brand) - 1 AS p_brand, t.c AS p_type,
         dense_rank() OVER (ORDER BY p_name) - 1 AS p_name FROM part p LEFT JOIN t USING (p_partkey)""",
+    "p6_learned_wide": """SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) - 1 AS c_name,
+        dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS c_mktsegment FROM customer""",
     "o1_sorted_distinct": """WITH v AS (SELECT DISTINCT 'p_brand' AS "column", p_brand AS value FROM part
           UNION SELECT 'p_type', p_type FROM part UNION SELECT 'p_name', p_name FROM part)
         SELECT "column", value, row_number() OVER (PARTITION BY "column" ORDER BY value) - 1 AS code FROM v""",

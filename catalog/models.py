@@ -1,2 +1,183 @@
-QUERIES = {}
-SQL = {}
+"""Model, attribution and selection queries, and whole jobs."""
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from catalog.inputs import FEATURES, candidate_line, choice_line, order_features, result_line, table
+from catalog.scoring import f1_sql, rounded
+from tessera.config import ModelSpec
+from tessera.operators import attribution, clean, models, representatives
+from tessera.operators.split import exact_split
+from tessera.plans import run as runs
+from tessera.plans.explain import explain
+from tessera.session import cut_lineage
+
+PARAMS = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3}
+SMALL_SPACE = {
+    "learning_rate": {"distribution": "log_uniform_values", "min": 0.05, "max": 0.5},
+    "max_depth": {"distribution": "int_uniform", "min": 2, "max": 3},
+    "n_estimators": {"value": 3},
+}
+
+
+def _split(spark, sf):
+    return cut_lineage(exact_split(cut_lineage(order_features(spark, sf), "features")), "split")
+
+
+def _fitted(spark, sf, kind="GBTClassifier"):
+    rows = _split(spark, sf)
+    train = rows.filter("split = 'train'")
+    return rows, train, models.fit(models.make_estimator(kind, PARAMS), train, FEATURES, "y")
+
+
+def m1_fit(spark, sf):
+    rows, _, model = _fitted(spark, sf)
+    return models.predict(model, rows, FEATURES, ["idx", "split"])
+
+
+def m2_importance(spark, sf):
+    _, train, model = _fitted(spark, sf, "RandomForestClassifier")
+    return models.importances(model, train, FEATURES)
+
+
+def m3_shap(spark, sf):
+    _, train, model = _fitted(spark, sf)
+    return attribution.attributions(model, train, FEATURES)
+
+
+def m3_additivity(spark, sf):
+    """Attributions and base value add up to the model's margin on every training row."""
+    _, train, model = _fitted(spark, sf)
+    leaves = attribution.leaves_of(model, spark)
+    parts = attribution.attributions(model, train, FEATURES, leaves=leaves)
+    total = sum((F.col(c) for c in FEATURES), F.lit(attribution.base_value(leaves)))
+    gaps = parts.join(attribution.margins(model, train, FEATURES), "idx").select(F.abs(total - F.col("margin")).alias("gap"))
+    return gaps.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") > 1e-9).alias("off"))
+
+
+def m4_tune(spark, sf):
+    train = _split(spark, sf).filter("split = 'train'")
+    trials = spark.createDataFrame([(0, 2, 0.1, 3), (1, 3, 0.3, 3)], "trial long, max_depth int, learning_rate double, n_estimators int")
+    return models.tune(train, FEATURES, "y", trials, folds=2, parallelism=2)
+
+
+def _line_points(spark, sf):
+    """Scaled line values as points; a key per line."""
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), "l_quantity", "l_discount", "l_tax")
+    return cut_lineage(representatives.as_points(rows, ["l_quantity", "l_discount", "l_tax"]), "points")
+
+
+def m5_k(spark, sf):
+    return representatives.choose_k(_line_points(spark, sf), 4)
+
+
+def _labelled(spark, sf):
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("idx"), F.col("label").alias("cluster"),
+        F.col("embedding").cast("array<double>").alias("point"))
+
+
+def m6_medoid(spark, sf):
+    """Medoids of the label groups around each group's mean; as many means as labels."""
+    points = _labelled(spark, sf)
+    means = points.groupBy("cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("point"))).alias("centre"))
+    joined = points.join(means, "cluster")
+    found = representatives.medoids(joined, F.col("centre"))
+    return found.select("cluster", "idx", F.round("distance", 6).alias("distance"))
+
+
+def a11_silhouette(spark, sf):
+    """Silhouette of the label groups under squared distance."""
+    value = representatives.silhouette(_labelled(spark, sf))
+    return (table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+            .select("n", F.round(F.lit(value), 6).alias("silhouette")))
+
+
+def m7_diverse(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), "l_quantity", "l_discount")
+    return representatives.diverse_examples(rows, 3)
+
+
+def _explained(spark, sf):
+    return explain(order_features(spark, sf), "y", SMALL_SPACE, n_trials=2, folds=2)
+
+
+def m8_explain(spark, sf):
+    """Training rows with split, prediction and attributions."""
+    found = _explained(spark, sf)
+    return found.predictions.join(found.attributions, "idx")
+
+
+def _idx(key):
+    return F.regexp_extract(key, r"batch-(\d+)", 1).cast("bigint")
+
+
+def offline_answers(lines):
+    """Stands in for the services: the kind of request and the row id decide the answer."""
+    key = F.col("key")
+    label = F.concat(F.lit("So FINAL PREDICTION: "), (_idx(key) % 2).cast("string"))
+    line = (F.when(key.startswith("reasoning"), choice_line(
+                key, F.concat(F.lit("</think><REASONING>reason "), _idx(key).cast("string"), F.lit("</REASONING>"))))
+            .when(key.startswith("judge"), result_line(key, F.lit("succeeded"), F.lit(
+                'EVALUATION: {"metrics": {"faithfulness": 4.5, "consistency": 4.0, "coherence": 4.75}}')))
+            .when(key.contains("zero-shot_"), candidate_line(key, F.lit("STOP"), (_idx(key) % 2).cast("string")))
+            .otherwise(candidate_line(key, F.lit("STOP"), label)))
+    return lines.select("key", line.alias("line"))
+
+
+CLASSIFIER = ModelSpec("model-b", 0.0, 4096)
+
+
+def v7_baseline(spark, sf):
+    """Both strategies without examples, on the customers' test rows."""
+    rows = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("idx"), "c_nationkey", F.floor("c_acctbal").alias("balance"),
+        (F.col("c_acctbal") > 0).cast("int").alias("y"))
+    split = cut_lineage(exact_split(rows), "split")
+    e = runs.Explanation(split, None, None, None)
+    task = runs.Task("customers", "y", {0: "No", 1: "Yes"})
+    parts = [runs.baseline(e, task, CLASSIFIER, offline_answers, stepwise) for stepwise in (False, True)]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+def v8_run(spark, sf):
+    """The end-to-end run with every option, under neutral names."""
+    e, task = runs.mask(_explained(spark, sf), "y")
+    specs = runs.Models(ModelSpec("model-a", 0.6, 4096), ModelSpec("model-c", 0.6, 4096), CLASSIFIER)
+    found = runs.run(e, task, specs, offline_answers, with_baseline=True, with_judge=True, with_stepwise=True)
+    return found.scores
+
+
+QUERIES = {f.__name__: f for f in (
+    m1_fit, m2_importance, m3_shap, m3_additivity, m4_tune, m5_k, m6_medoid, a11_silhouette, m7_diverse, m8_explain,
+    v7_baseline, v8_run)}
+
+POINTS = "pts AS (SELECT vec_id AS idx, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+SCORED = """rs AS (SELECT c_custkey AS idx, CAST(c_acctbal > 0 AS BIGINT) AS y FROM customer),
+  scored AS (SELECT unnest(['zero-shot-prompting', 'zero-shot-cot']) AS strategy, idx % 2 AS prediction, y FROM (
+    SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('42:' || idx), idx) AS r FROM rs)
+    WHERE r <= ceil(CAST(0.2 AS DOUBLE) * n))"""
+
+SQL = {
+    "m3_additivity": """WITH o AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem)
+        SELECT n - CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS n, 0 AS off FROM o""",
+    "m6_medoid": f"""WITH {POINTS}, dims AS (SELECT cluster, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM pts),
+        means AS (SELECT cluster, list(m ORDER BY d) AS c FROM (SELECT cluster, d, avg(x) AS m FROM dims GROUP BY ALL) GROUP BY cluster),
+        dist AS (SELECT p.cluster, idx, list_distance(v, c) AS distance FROM pts p JOIN means m ON p.cluster = m.cluster)
+        SELECT cluster, idx, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY cluster
+          ORDER BY distance, idx) AS r FROM dist) WHERE r = 1""",
+    "a11_silhouette": f"""WITH {POINTS}, pairs AS (SELECT a.idx, a.cluster AS own, b.cluster AS other,
+          sum(power(list_distance(a.v, b.v), 2)) AS s, count(*) AS n FROM pts a, pts b GROUP BY ALL),
+        inner_d AS (SELECT idx, n, s / (n - 1) AS a FROM pairs WHERE own = other),
+        outer_d AS (SELECT idx, min(s / n) AS b FROM pairs WHERE own <> other GROUP BY idx)
+        SELECT count(*) AS n, round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+        FROM inner_d JOIN outer_d USING (idx)""",
+    "v7_baseline": f"""WITH {SCORED}, {f1_sql('scored', 'strategy')}
+        SELECT strategy, round(avg(CAST(y = prediction AS INT)), 6) AS accuracy,
+          round((SELECT avg(f1) FROM f1 WHERE f1.strategy = s.strategy), 6) AS macro_f1, count(*) AS n
+        FROM scored s GROUP BY strategy""",
+}

@@ -87,7 +87,7 @@ SQL = {
     "v5_mask": f"""WITH {SCORES} SELECT u.dataset, u.approach, u.value AS unmasked, m.value AS masked,
         round(m.value - u.value, 6) AS delta FROM runs u JOIN runs m ON u.dataset = m.dataset AND u.approach = m.approach
         WHERE NOT u.masked AND m.masked""",
-    "v6_matrix": f"""WITH {SQL_JUDGE}, kept AS (SELECT *, event_id % 2 AS side FROM judged WHERE event_type IN ('click', 'view')),
+    "v6_matrix": f"""WITH {SQL_JUDGE}, kept AS (SELECT *, idx % 2 AS side FROM judged WHERE event_type IN ('click', 'view')),
         m AS (SELECT 'faithfulness' AS metric, side, CAST(q AS DOUBLE) AS s FROM kept
           UNION ALL SELECT 'consistency', side, CAST(q2 AS DOUBLE) FROM kept
           UNION ALL SELECT 'coherence', side, 4.0 FROM kept WHERE event_type = 'click')

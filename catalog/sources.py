@@ -1,2 +1,136 @@
-QUERIES = {}
-SQL = {}
+"""Round trips through files, the stream, and files as sources."""
+
+from pyspark.sql import functions as F
+
+from catalog.inputs import judge_lines, sql_votes, table, truth, vote_lines
+from catalog.scoring import SCORED, f1_sql, rounded
+from tessera.config import ModelSpec
+from tessera.operators import parse, requests
+from tessera.session import shared_path
+from tessera.sources import explain_log, jsonl, tables
+from tessera.sources import responses as source
+from tessera.streaming import votes as stream
+
+
+def _orders_csv(spark, sf):
+    """Orders in key order as CSV, with null tokens and quotes in the text."""
+    path = shared_path(spark, "orders") + ".csv"
+    note = (F.when(F.col("o_orderstatus") == "P", F.lit("N/A"))
+            .otherwise(F.concat(F.lit('say "'), "o_orderpriority", F.lit('", twice'))))
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), note.alias("note"), F.col("o_custkey").cast("string").alias("who"))
+    (rows.orderBy(F.col("id").cast("bigint")).write.option("header", True).option("escape", '"').csv(path))
+    return path
+
+
+def s1_csv(spark, sf):
+    return tables.read_csv(spark, _orders_csv(spark, sf)).select("id", "note", "who")
+
+
+def s2_row_key(spark, sf):
+    """The record position survives filters and projections."""
+    rows = tables.read_csv(spark, _orders_csv(spark, sf), columns=["id", "note", "who"], multiline=False)
+    return rows.filter(F.col("note").isNotNull()).select("idx", F.col("id").cast("bigint").alias("id"))
+
+
+def s3_attributions(spark, sf):
+    path = shared_path(spark, "attributions") + ".csv"
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("idx"), F.col("p_retailprice").alias("price"),
+                                           F.col("p_size").cast("double").alias("size"))
+    tables.write_attributions(rows, path)
+    return tables.read_attributions(spark, path)
+
+
+def s6_explain_log(spark, sf):
+    """A log per event with two training rows and one test row."""
+    pair = F.array(F.col("event_id") * 3, F.col("event_id") * 3 + 1)
+    doc = F.to_json(F.struct(
+        pair.alias("train_data_idx"), F.array(F.col("event_id") * 3 + 2).alias("test_data_idx"),
+        F.array(F.col("user_id") % 2, F.lit(1).cast("bigint")).alias("train_predictions"),
+        F.array(F.lit(0)).alias("test_predictions")))
+    path = shared_path(spark, "logs")
+    table(spark, sf, "events").select(doc.alias("value")).write.text(path)
+    logs = spark.read.text(path).select(F.from_json("value", explain_log.LOG_SCHEMA).alias("d")).select("d.*")
+    return explain_log.log_predictions(logs)
+
+
+def s5_log_tables(spark, sf):
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("idx"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
+        (F.col("o_custkey") % 2).alias("prediction"))
+    sizes = table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_size").alias("importance"))
+    path = shared_path(spark, "log")
+    explain_log.write_log(rows, sizes, path)
+    predictions, _ = explain_log.read_log(spark, path)
+    return predictions.filter("split = 'test'").select("idx", "split", "prediction")
+
+
+def s7_requests(spark, sf):
+    path = shared_path(spark, "requests")
+    key = requests.judge_id(F.col("doc_id"))
+    envelope = requests.params_envelope(key, F.col("text"), ModelSpec("model-a", 0.6, 4096))
+    jsonl.write_requests(table(spark, sf, "documents").select(envelope.alias("request")), path)
+    schema = "custom_id string, params struct<messages: array<struct<content: string>>>"
+    return spark.read.schema(schema).json(path).select(
+        F.col("custom_id").alias("key"), F.col("params.messages")[0]["content"].alias("text"))
+
+
+def s11_evaluations(spark, sf):
+    path = shared_path(spark, "evaluations")
+    got = source.evaluations(judge_lines(spark, sf))
+    jsonl.write_evaluations(got.select(F.col("key").alias("request_id"), F.col("text").alias("evaluation")), path)
+    return parse.interrupted(source.evaluations(source.read_lines(spark, path)).withColumn("finish", F.lit("STOP")))
+
+
+def s14_sweep(spark, sf):
+    """A sweep document per part, exploded to parameters."""
+    size = F.col("p_size")
+    doc = F.concat(F.lit('{"method": "bayes", "parameters": {"max_depth": {"distribution": "int_uniform", "min": 1, "max": '),
+                   size, F.lit('}, "weight": {"values": [1, '), size, F.lit("]}}}"))
+    return jsonl.sweep_rows(table(spark, sf, "part").select(doc.alias("value"))).select(
+        "parameter", "distribution", "min", "max", F.get("values", F.lit(1)).alias("last"))
+
+
+def _written_votes(spark, sf):
+    path = shared_path(spark, "responses")
+    vote_lines(spark, sf).select(F.col("line").alias("value")).repartition(6).write.text(path)
+    return path
+
+
+def t1_stream(spark, sf):
+    store = shared_path(spark, "stream")
+    stream.ingest(spark, _written_votes(spark, sf), store, files_per_batch=2).awaitTermination()
+    return stream.running_labels(spark, store)
+
+
+def t1_stream_scores(spark, sf):
+    store = shared_path(spark, "stream")
+    stream.ingest(spark, _written_votes(spark, sf), store, dedupe_agents=True).awaitTermination()
+    found = stream.running_scores(spark, store, truth(spark, sf), "y", "x", dedupe_agents=True)
+    return rounded(found)
+
+
+QUERIES = {f.__name__: f for f in (
+    s1_csv, s2_row_key, s3_attributions, s5_log_tables, s6_explain_log, s7_requests, s11_evaluations, s14_sweep,
+    t1_stream, t1_stream_scores)}
+
+SQL = {
+    "s1_csv": """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus <> 'P' THEN
+        'say "' || o_orderpriority || '", twice' END AS note, CAST(o_custkey AS VARCHAR) AS who FROM orders""",
+    "s2_row_key": """SELECT idx, id FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_orderkey AS id,
+        o_orderstatus FROM orders) WHERE o_orderstatus <> 'P'""",
+    "s3_attributions": "SELECT p_partkey AS idx, p_retailprice AS price, CAST(p_size AS DOUBLE) AS size FROM part",
+    "s5_log_tables": """SELECT o_orderkey AS idx, 'test' AS split, o_custkey % 2 AS prediction FROM orders
+        WHERE o_orderkey % 5 = 0""",
+    "s6_explain_log": """SELECT event_id * 3 AS idx, 'train' AS split, user_id % 2 AS prediction FROM events
+        UNION ALL SELECT event_id * 3 + 1, 'train', 1 FROM events UNION ALL SELECT event_id * 3 + 2, 'test', 0 FROM events""",
+    "s7_requests": "SELECT 'judge_batch-' || doc_id AS key, text FROM documents",
+    "s11_evaluations": "SELECT 0 AS interrupted, count(*) AS responses FROM events",
+    "s14_sweep": """SELECT 'max_depth' AS parameter, 'int_uniform' AS distribution, 1.0 AS min, CAST(p_size AS DOUBLE) AS max,
+        NULL::DOUBLE AS "last" FROM part UNION ALL SELECT 'weight', NULL, NULL, NULL, CAST(p_size AS DOUBLE) FROM part""",
+    "t1_stream": f"WITH {sql_votes()} SELECT idx, prediction FROM voted_user_id",
+    "t1_stream_scores": f"""WITH {SCORED}, {f1_sql('scored', 'strategy')} SELECT strategy,
+        round(avg(CAST(y = prediction AS INT)), 6) AS accuracy, round((SELECT avg(f1) FROM f1), 6) AS macro_f1,
+        count(*) AS n FROM scored GROUP BY strategy""",
+}

@@ -18,9 +18,10 @@ from tessera.functions.vectors import literal_array, norm_distance
 from tessera.operators.clean import col, zscore
 from tessera.session import cut_lineage
 
-# Exact Euclidean silhouettes compare every row with every other row. They are used while the
-# whole matrix has at most this many values; the squared form is linear and has no bound.
-EXACT_VALUES = 1_000_000
+# Euclidean silhouettes measure every row against every other row. They serve tables of at most
+# this many rows; the squared form takes linear time and serves the rest whole.
+EXACT_ROWS = 10_000
+ROWS_AT_ONCE = 256
 MAX_CENTRES = 1000
 
 
@@ -36,32 +37,36 @@ def silhouette(clustered: DataFrame) -> float:
     return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(vectors)
 
 
-def silhouette_exact(clustered: DataFrame, values: int = EXACT_VALUES) -> float:
-    """Mean silhouette under Euclidean distance; raises above ``values`` matrix cells."""
-    dim = clustered.select(F.size("point").alias("d")).first()["d"]
-    rows = clustered.select("point", "cluster").limit(values // dim + 1).toPandas()
-    if len(rows) * dim > values:
+def _widths(x: np.ndarray, own: np.ndarray, points: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Silhouette widths of some rows ``x`` of cluster position ``own``; ``member`` is the 0/1
+    matrix of points x clusters."""
+    gaps = np.maximum((x ** 2).sum(1)[:, None] + (points ** 2).sum(1) - 2 * x @ points.T, 0)
+    sums, sizes, at = np.sqrt(gaps) @ member, member.sum(0), np.arange(len(x))
+    inner = sums[at, own] / np.maximum(sizes[own] - 1, 1)
+    means = sums / sizes
+    means[at, own] = np.inf
+    outer = means.min(1)
+    width = (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300)
+    return np.where(sizes[own] > 1, width, 0.0)
+
+
+def silhouette_exact(clustered: DataFrame, max_rows: int = EXACT_ROWS) -> float:
+    """Mean silhouette under Euclidean distance; raises above ``max_rows`` rows."""
+    rows = clustered.select("point", "cluster").limit(max_rows + 1).toPandas()
+    if len(rows) > max_rows:
         raise ValueError("too many rows for the exact silhouette; use silhouette()")
-    matrix = np.stack(rows["point"].to_numpy()).astype(float)
-    own = rows["cluster"].to_numpy()
-    shared = clustered.sparkSession.sparkContext.broadcast((matrix, own))
+    names, place = np.unique(rows["cluster"].to_numpy(), return_inverse=True)
+    member = np.eye(len(names))[place]
+    shared = clustered.sparkSession.sparkContext.broadcast((np.stack(rows["point"].to_numpy()), names, member))
 
     def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, labels = shared.value
-        names, sizes = np.unique(labels, return_counts=True)
-        squares = (points ** 2).sum(axis=1)
+        points, found, members = shared.value
         for batch in batches:
-            x = np.stack(batch["point"].to_numpy()).astype(float)
-            gaps = np.sqrt(np.maximum((x ** 2).sum(axis=1)[:, None] + squares - 2 * x @ points.T, 0))
-            sums = np.stack([gaps[:, labels == c].sum(axis=1) for c in names], axis=1)
-            mine = np.searchsorted(names, batch["cluster"].to_numpy())
-            at = np.arange(len(x))
-            inner = sums[at, mine] / np.maximum(sizes[mine] - 1, 1)
-            means = sums / sizes
-            means[at, mine] = np.inf
-            outer = means.min(axis=1)
-            width = (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300)
-            yield pd.DataFrame({"s": np.where(sizes[mine] > 1, width, 0.0)})
+            x = np.stack(batch["point"].to_numpy())
+            own = np.searchsorted(found, batch["cluster"].to_numpy())
+            for i in range(0, len(x), ROWS_AT_ONCE):
+                part = slice(i, i + ROWS_AT_ONCE)
+                yield pd.DataFrame({"s": _widths(x[part], own[part], points, members)})
     return clustered.select("point", "cluster").mapInPandas(widths, "s double").agg(F.avg("s")).first()[0]
 
 
@@ -75,8 +80,7 @@ def fit_clusters(points: DataFrame, k: int, seed: int = SEED) -> tuple[DataFrame
 def choose_k(points: DataFrame, max_clusters: int = MAX_CLUSTERS, seed: int = SEED) -> DataFrame:
     """``k, silhouette`` for k = 2 .. min(max_clusters, floor(sqrt(rows)))."""
     rows = points.count()
-    dim = points.select(F.size("point").alias("d")).first()["d"] if rows else 0
-    score = silhouette_exact if rows * dim <= EXACT_VALUES else silhouette
+    score = silhouette_exact if rows <= EXACT_ROWS else silhouette
     found = []
     for k in range(2, min(max_clusters, math.isqrt(rows)) + 1):
         clustered, _ = fit_clusters(points, k, seed)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import SEED, FewShot, ModelSpec
+from tessera.functions.hashing import seeded_md5
 from tessera.functions.rows import dict_text, importance_text, key_value_text
 from tessera.operators import prompts, requests
 from tessera.operators.clean import first_seen
 from tessera.operators.joins import per_agent
 from tessera.operators.split import example_sets
-from tessera.functions.hashing import seeded_md5
+from tessera.session import cut_lineage
 
 
 def label_values(train: DataFrame, target: str, seed: int = SEED) -> list:
@@ -92,7 +93,8 @@ def few_shot(examples: DataFrame, test: DataFrame, features: list[str], importan
 
     The example block is built once per agent, not once per request.
     """
-    blocks = prompts.example_blocks(example_sets(examples, settings.examples_per_agent, seed=seed))
+    sets = example_sets(cut_lineage(examples, "examples"), settings.examples_per_agent, seed=seed)
+    blocks = cut_lineage(prompts.example_blocks(sets), "blocks")
     rows = test.select("idx", key_value_text(test, features).alias("example"))
     pairs = per_agent(rows, blocks).withColumn("importances", importance_text(importances).scalar())
     prompt = make(_slots(dataset, target, ("importances", "examples", "example"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from tessera.session import cut_lineage
 # this many rows; the squared form takes linear time and serves the rest whole.
 EXACT_ROWS = 10_000
 ROWS_AT_ONCE = 256
+PARALLEL_FITS = 4
 MAX_CENTRES = 1000
 
 
@@ -81,17 +83,20 @@ def choose_k(points: DataFrame, max_clusters: int = MAX_CLUSTERS, seed: int = SE
     """``k, silhouette`` for k = 2 .. min(max_clusters, floor(sqrt(rows)))."""
     rows = points.count()
     score = silhouette_exact if rows <= EXACT_ROWS else silhouette
-    found = []
-    for k in range(2, min(max_clusters, math.isqrt(rows)) + 1):
+
+    def run(k: int) -> tuple[int, float | None]:
         clustered, _ = fit_clusters(points, k, seed)
-        if clustered.select("cluster").distinct().count() > 1:
-            found.append((k, float(score(clustered))))
+        apart = clustered.agg(F.max("cluster") > F.min("cluster")).first()[0]
+        return k, float(score(clustered)) if apart else None
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        found = list(pool.map(run, range(2, min(max_clusters, math.isqrt(rows)) + 1)))
     return points.sparkSession.createDataFrame(found, "k int, silhouette double")
 
 
 def best_k(scores: DataFrame) -> int:
     """The k of highest silhouette, the smallest of equals; 2 when none was tried."""
-    best = scores.agg(F.max_by("k", F.struct("silhouette", (-F.col("k")).alias("t"))).alias("k")).first()["k"]
+    scored = scores.filter(F.col("silhouette") > -1)
+    best = scored.agg(F.max_by("k", F.struct("silhouette", (-F.col("k")).alias("t"))).alias("k")).first()["k"]
     return 2 if best is None else best
 
 

@@ -203,13 +203,14 @@ def first_seen(df: DataFrame, value: str, position: str) -> DataFrame:
 
 
 def zscore(df: DataFrame, names: list[str]) -> DataFrame:
-    """Centre and scale columns by their population deviation; constant columns are only centred."""
-    moments = [F.struct(F.avg(col(c)).alias("m"), F.stddev_pop(col(c)).alias("s")).alias(f"c{i}")
-               for i, c in enumerate(names)]
-    stats = df.agg(F.struct(*moments).alias("stats")).scalar()
+    """Centre and scale columns by their population deviation; constant columns are only centred.
+
+    Two numbers per column come back from one pass and become constants of the next.
+    """
+    stats = df.agg(*[f(col(c)).alias(f"{k}{i}") for i, c in enumerate(names)
+                     for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
 
     def scaled(i: int, name: str) -> Column:
-        stat = stats[f"c{i}"]
-        return ((col(name) - stat["m"]) / F.coalesce(F.nullif(stat["s"], F.lit(0.0)), F.lit(1.0))).alias(name)
+        return ((col(name) - F.lit(stats[f"m{i}"])) / F.lit(stats[f"s{i}"] or 1.0)).alias(name)
     place = {c: i for i, c in enumerate(names)}
     return df.select(*[scaled(place[c], c) if c in place else col(c) for c in df.columns])

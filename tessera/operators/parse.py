@@ -44,8 +44,9 @@ def interrupted(responses: DataFrame) -> DataFrame:
 
 
 def last_per_key(df: DataFrame, key: str, value: str, order: str = "seq") -> DataFrame:
-    """The value of highest ``order`` per key."""
-    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+    """The non-null value of highest ``order`` per key; keys without one drop out."""
+    place = F.when(F.col(value).isNotNull(), F.col(order))
+    return df.groupBy(key).agg(F.max_by(value, place).alias(value)).filter(F.col(value).isNotNull())
 
 
 def label_of(text: Column) -> Column:
@@ -112,7 +113,7 @@ def reasoning(responses: DataFrame) -> DataFrame:
     """``idx, reasoning`` of the answers that follow the format."""
     rows = responses.select(second_id(F.col("key")).alias("idx"),
                             reasoning_of(F.col("text")).alias("reasoning"), "seq")
-    return last_per_key(rows.filter(F.col("reasoning").isNotNull()), "idx", "reasoning")
+    return last_per_key(rows, "idx", "reasoning")
 
 
 def metrics_of(text: Column) -> Column:
@@ -125,7 +126,7 @@ def judge_scores(responses: DataFrame) -> DataFrame:
     """``idx, metrics`` of the evaluations that follow the format."""
     rows = responses.select(second_id(F.col("key")).alias("idx"),
                             metrics_of(F.col("text")).alias("metrics"), "seq")
-    return last_per_key(rows.filter(F.col("metrics").isNotNull()), "idx", "metrics")
+    return last_per_key(rows, "idx", "metrics")
 
 
 def require_reasoning(parsed: DataFrame) -> DataFrame:

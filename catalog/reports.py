@@ -37,6 +37,30 @@ def e2_union(spark, sf):
     return reports.flat_scores(spark.read.schema(schema).json(path))
 
 
+def v2_consolidate(spark, sf):
+    """A result document per customer, flattened to scores and, where unmasked, judge means."""
+    key = F.col("c_custkey")
+
+    def scores(*parts):
+        cells = [x for name, k in parts for x in (F.lit(name), F.struct(
+            (key % k / 100).alias("accuracy"), (key % (k + 1) / 100).alias("macro_f1_score")))]
+        return F.create_map(*cells)
+    judged = F.create_map(
+        F.lit("3"), F.create_map(F.lit("faithfulness"), F.lit(4.5), F.lit("consistency"), key % 5 + F.lit(0.0)),
+        F.lit("8"), F.create_map(F.lit("faithfulness"), F.lit(4.0), F.lit("coherence"), F.lit(1.0)))
+    docs = table(spark, sf, "customer").select(
+        F.col("c_name").alias("dataset"), (F.col("c_nationkey") % 2 == 1).alias("masked"),
+        scores(("xgboost", 71), ("zero-shot-prompting", 61)).alias("zero_shot_baseline"),
+        scores(("xgboost", 71), ("zero-shot-cot", 51)).alias("zero_shot_cot_ablation"),
+        scores(("xgboost", 71), ("xai-guided-cot", 41)).alias("cot"), judged.alias("llm_as_judge"))
+    path = shared_path(spark, "documents")
+    jsonl.write_scores(docs, path)
+    runs = spark.read.schema(f"dataset string, masked boolean, {jsonl.RUN_SCHEMA}").json(path)
+    means = scoring.judge_means(jsonl.run_judgements(runs), ["dataset"])
+    flat = reports.flat_scores(jsonl.run_scores(runs))
+    return flat.unionByName(means.select("dataset", F.col("metric").alias("approach"), F.col("score").alias("value")))
+
+
 def v3_pivot(spark, sf):
     return reports.approach_table(_flat(spark, sf), DATASETS)
 
@@ -63,7 +87,7 @@ def v6_matrix(spark, sf):
     return matrix.withColumns({c: F.round(c, 6) for c in ("even", "odd")})
 
 
-QUERIES = {f.__name__: f for f in (e2_union, v3_pivot, v4_long, v5_mask, v6_matrix)}
+QUERIES = {f.__name__: f for f in (e2_union, v2_consolidate, v3_pivot, v4_long, v5_mask, v6_matrix)}
 
 SCORES = """picked AS (SELECT event_type AS dataset, floor(user_id / 4) % 2 = 0 AS masked,
     ['xgboost', 'xai-guided-cot', 'zero-shot-cot', 'baseline'][CAST(user_id % 4 AS INT) + 1] AS approach,
@@ -74,6 +98,15 @@ SCORES = """picked AS (SELECT event_type AS dataset, floor(user_id / 4) % 2 = 0
 
 SQL = {
     "e2_union": f"WITH {SCORES} SELECT dataset, approach, value FROM flat",
+    "v2_consolidate": """WITH d AS (SELECT *, CASE WHEN c_nationkey % 2 = 1 THEN 'masked_' || c_name ELSE c_name END AS dataset
+          FROM customer)
+        SELECT dataset, 'xgboost' AS approach, CAST(c_custkey % 72 AS DOUBLE) / 100 AS value FROM d
+        UNION ALL SELECT dataset, 'baseline', CAST(c_custkey % 62 AS DOUBLE) / 100 FROM d
+        UNION ALL SELECT dataset, 'zero-shot-cot', CAST(c_custkey % 52 AS DOUBLE) / 100 FROM d
+        UNION ALL SELECT dataset, 'xai-guided-cot', CAST(c_custkey % 42 AS DOUBLE) / 100 FROM d
+        UNION ALL SELECT c_name, 'faithfulness', 4.25 FROM customer WHERE c_nationkey % 2 = 0
+        UNION ALL SELECT c_name, 'consistency', CAST(c_custkey % 5 AS DOUBLE) FROM customer WHERE c_nationkey % 2 = 0
+        UNION ALL SELECT c_name, 'coherence', 1.0 FROM customer WHERE c_nationkey % 2 = 0""",
     "v3_pivot": f"""WITH {SCORES} SELECT dataset, max(value) FILTER (WHERE approach = 'xgboost') AS xgboost,
         max(value) FILTER (WHERE approach = 'xai-guided-cot') AS "xai-guided-cot",
         max(value) FILTER (WHERE approach = 'zero-shot-cot') AS "zero-shot-cot",

@@ -60,22 +60,16 @@ def to_number(value: Column) -> Column:
 
 
 def plain_number(value: Column) -> Column:
-    """A double as decimal text: no exponent, no trailing zeros, no negative zero."""
-    written = value.cast("string")
-    sign = F.when(written.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_replace(F.substring_index(written, "E", 1), r"^-|\.0$", "")
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    power = F.substring_index(written, "E", -1).try_cast("int")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    whole = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
-    point = F.substring(whole, F.lit(1), power + 1)
-    rest = F.substring(whole, power + 2, F.length(whole))
-    large = F.when(rest == "", point).otherwise(F.concat(point, F.lit("."), rest))
-    scaled = F.when(power < 0, small).otherwise(large)
-    return (F.when(value.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), F.lit("null"))
-            .when(value == 0, F.lit("0"))
-            .when(written.contains("E"), F.concat(sign, scaled))
-            .otherwise(F.concat(sign, mantissa)))
+    """A double as decimal text: no exponent, no trailing zeros, no negative zero.
+
+    Values whose own text has an exponent are written with 30 decimals and cut.
+    """
+    size = F.abs(value)
+    spread = F.regexp_replace(F.format_string("%.30f", value), r"\.?0+$", "")
+    return (F.when((value == F.rint(value)) & (size < 1e15), value.cast("bigint").cast("string"))
+            .when((size >= 1e-3) & (size < 1e7), value.cast("string"))
+            .when(size < float("inf"), spread)
+            .otherwise(F.lit("null")))
 
 
 def plain_string(value: Column) -> Column:

@@ -79,25 +79,34 @@ def fit_clusters(points: DataFrame, k: int, seed: int = SEED) -> tuple[DataFrame
     return model.transform(vectors).drop("features"), model.clusterCenters()
 
 
-def choose_k(points: DataFrame, max_clusters: int = MAX_CLUSTERS, seed: int = SEED) -> DataFrame:
-    """``k, silhouette`` for k = 2 .. min(max_clusters, floor(sqrt(rows)))."""
+def fit_range(points: DataFrame, max_clusters: int = MAX_CLUSTERS,
+              seed: int = SEED) -> dict[int, tuple[DataFrame, list[np.ndarray], float | None]]:
+    """Clustered rows, centres and silhouette for each k = 2 .. min(max_clusters, floor(sqrt(rows)))."""
     rows = points.count()
     score = silhouette_exact if rows <= EXACT_ROWS else silhouette
 
-    def run(k: int) -> tuple[int, float | None]:
-        clustered, _ = fit_clusters(points, k, seed)
+    def run(k: int) -> tuple[DataFrame, list[np.ndarray], float | None]:
+        clustered, centres = fit_clusters(points, k, seed)
         apart = clustered.agg(F.max("cluster") > F.min("cluster")).first()[0]
-        return k, float(score(clustered)) if apart else None
+        return clustered, centres, float(score(clustered)) if apart else None
+    tried = range(2, min(max_clusters, math.isqrt(rows)) + 1)
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        found = list(pool.map(run, range(2, min(max_clusters, math.isqrt(rows)) + 1)))
-    return points.sparkSession.createDataFrame(found, "k int, silhouette double")
+        return dict(zip(tried, pool.map(run, tried)))
+
+
+def choose_k(points: DataFrame, max_clusters: int = MAX_CLUSTERS, seed: int = SEED) -> DataFrame:
+    """``k, silhouette`` of every k tried."""
+    fits = fit_range(points, max_clusters, seed)
+    return points.sparkSession.createDataFrame([(k, f[2]) for k, f in fits.items()], "k int, silhouette double")
 
 
-def best_k(scores: DataFrame) -> int:
-    """The k of highest silhouette, the smallest of equals; 2 when none was tried."""
-    scored = scores.filter(F.col("silhouette") > -1)
-    best = scored.agg(F.max_by("k", F.struct("silhouette", (-F.col("k")).alias("t"))).alias("k")).first()["k"]
-    return 2 if best is None else best
+def best_k(scores: dict[int, float | None]) -> int:
+    """The k of highest silhouette, the smallest of equals; 2 when no fit scored above -1."""
+    best, top = 2, -1.0
+    for k, value in sorted(scores.items()):
+        if value is not None and value > top:
+            best, top = k, value
+    return best
 
 
 def medoids(points: DataFrame, centre: Column) -> DataFrame:
@@ -123,5 +132,7 @@ def diverse_examples(attributions: DataFrame, max_clusters: int = MAX_CLUSTERS,
         raise KeyError("an attribution table must have an 'idx' column")
     names = [c for c in attributions.columns if c != "idx"]
     points = cut_lineage(as_points(attributions, names), "points")
-    k = best_k(choose_k(points, max_clusters, seed))
-    return medoids_of(*fit_clusters(points, k, seed))
+    fits = fit_range(points, max_clusters, seed)
+    k = best_k({n: f[2] for n, f in fits.items()})
+    clustered, centres = fits[k][:2] if k in fits else fit_clusters(points, k, seed)
+    return medoids_of(clustered, centres)

@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Estimator
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import (MASKED_LABELS, MASKED_NAME, SEED, STRATEGIES, FewShot, ModelSpec,
-                            check_strategy)
+from tessera.config import (MASKED_LABELS, MASKED_NAME, SEED, STRATEGIES, TRIALS, Dataset, FewShot,
+                            ModelSpec)
 from tessera.operators import clean, joins, parse, representatives, scoring
 from tessera.plans import requests as jobs
-from tessera.plans.explain import Explanation
+from tessera.plans.evaluation import score, score_responses
+from tessera.plans.explain import Explanation, explain
 from tessera.session import cut_lineage
 from tessera.sources import responses
+from tessera.sources.tables import load
 
 # Takes ``key, line`` requests and returns ``key, line`` answers.
 Infer = Callable[[DataFrame], DataFrame]
@@ -57,12 +60,6 @@ def answers(requests: DataFrame, infer: Infer, label: str) -> DataFrame:
     return cut_lineage(replies, label)
 
 
-def score(labels: DataFrame, table: DataFrame, target: str, strategy: str) -> DataFrame:
-    """``strategy, accuracy, macro_f1, n`` of ``idx, prediction`` against the table."""
-    joined = joins.attach_truth(labels, table, target).withColumn("strategy", F.lit(strategy))
-    return scoring.evaluate(joined, ["strategy"])
-
-
 def score_model(e: Explanation, target: str, name: str = MODEL) -> DataFrame:
     """The tree model's scores on the test rows."""
     tested = e.predictions.filter(F.col("split") == "test").select("idx", "prediction")
@@ -76,9 +73,9 @@ def baseline(e: Explanation, task: Task, model: ModelSpec, infer: Infer, stepwis
     labels = jobs.label_values(e.rows("train"), task.target)
     asked = jobs.zero_shot(e.rows("test"), features, labels, task.dataset, task.target, model,
                            stepwise, thinking_budget)
-    got = responses.candidates(answers(asked, infer, "baseline"))
-    found = parse.stepwise_labels(got) if stepwise else parse.plain_labels(got)
-    return score(found, e.table, task.target, check_strategy(STEPWISE if stepwise else ZERO_SHOT))
+    parser = parse.stepwise_labels if stepwise else parse.plain_labels
+    return score_responses(answers(asked, infer, "baseline"), parser, e.table, task.target,
+                           STEPWISE if stepwise else ZERO_SHOT)
 
 
 def mask(e: Explanation, target: str) -> tuple[Explanation, Task]:
@@ -114,8 +111,8 @@ def run(e: Explanation, task: Task, models: Models, infer: Infer, settings: FewS
     examples = jobs.example_texts(chosen, e.predictions, e.attributions, reasons, task.target)
     asked = jobs.few_shot(examples, test, clean.features_of(test, task.target), e.importances,
                           task.dataset, task.target, task.labels, models.classifier, settings, seed)
-    found = parse.agent_labels(responses.candidates(answers(asked, infer, "few-shot")))
-    parts.append(score(found, e.table, task.target, GUIDED))
+    parts.append(score_responses(answers(asked, infer, "few-shot"), parse.agent_labels, e.table, task.target,
+                                 GUIDED))
     scores = parts[0]
     for part in parts[1:]:
         scores = scores.unionByName(part)
@@ -126,3 +123,15 @@ def as_evaluations(rows: DataFrame) -> DataFrame:
     """Succeeded results in the shape the judge parser reads."""
     return rows.select(F.col("request_id").alias("key"), F.col("evaluation").alias("text"),
                        F.col("request_id").alias("seq"))
+
+
+def run_dataset(spark: SparkSession, dataset: Dataset, space: dict[str, dict], models: Models, infer: Infer,
+                estimator: Estimator | str = "GBTClassifier", masked: bool = False, n_trials: int = TRIALS,
+                settings: FewShot = FewShot(), with_baseline: bool = True, with_judge: bool = True,
+                with_stepwise: bool = True, seed: int = SEED) -> RunResult:
+    """From the CSV of a dataset to its scores; ``masked`` hides all names from the prompts."""
+    e = explain(load(spark, dataset), dataset.target, space, estimator, n_trials, seed=seed)
+    task = Task(dataset.name, dataset.target, dataset.labels)
+    if masked:
+        e, task = mask(e, dataset.target)
+    return run(e, task, models, infer, settings, with_baseline, with_judge, with_stepwise, seed)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.config import Dataset
 from tessera.session import cut_lineage, lookup
 
 # Cell texts that mean "no value" in a CSV.
@@ -37,6 +38,13 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
     return number_records(raw.select("*", "_metadata"), columns)
 
 
+def load(spark: SparkSession, dataset: Dataset) -> DataFrame:
+    """Read a dataset's CSV and apply its recipe; ``idx`` stays the position in the file."""
+    if dataset.path is None:
+        raise ValueError(f"dataset {dataset.name!r} has no path")
+    return read_csv(spark, dataset.path).transform(dataset.prepare)
+
+
 def number_records(raw: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``idx`` from file path, block and place within the block.
 

@@ -138,3 +138,27 @@ def test_stream_equals_batch(spark, tmp_path, dedupe):
     assert _labels(stream.running_labels(spark, store, dedupe)) == _labels(batch)
     table = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "idx long, y long")
     assert stream.running_scores(spark, store, table, "y", "xai-guided-cot", dedupe).first()["n"] == 3
+
+
+def test_dataset_run_from_csv(spark, tmp_path):
+    from tessera.operators import presets
+    rows = ["PassengerId,Survived,Pclass,Name,Sex,Age,Embarked"]
+    rows += [f'{i},{int(i % 3 == 0)},{i % 3 + 1},"Doe, J. ""{i}""",{"male" if i % 2 else "female"},{i % 60 if i % 9 else ""},{"SCQ"[i % 3]}'
+             for i in range(120)]
+    (tmp_path / "titanic.csv").write_text("\n".join(rows) + "\n")
+    dataset = Dataset("titanic", "Survived", {0: "No", 1: "Yes"}, presets.titanic, str(tmp_path / "titanic.csv"))
+    got = runs.run_dataset(spark, dataset, {"max_depth": {"value": 3}}, SPECS, offline_answers, "DecisionTreeClassifier",
+                           masked=True, n_trials=1, with_baseline=False, with_judge=False)
+    scores = {r["strategy"]: r for r in got.scores.collect()}
+    # 14 of the 120 ages are missing: 106 rows, of which 22 are test rows
+    assert set(scores) == {"xgboost", "xai-guided-cot"} and {r["n"] for r in scores.values()} == {22}
+    assert scores["xgboost"]["accuracy"] == 1.0
+
+
+def test_compare(spark):
+    from tessera.plans.evaluation import compare
+    table = spark.range(30).select(F.col("id").alias("idx"), F.lit(1).alias("y"))
+    good = table.select("idx", F.lit(1).cast("long").alias("prediction"))
+    bad = table.filter("idx < 20").select("idx", F.lit(0).cast("long").alias("prediction"))
+    got = compare(good, bad, table, "y").first()
+    assert (got["a"], got["b"], got["c"], got["d"]) == (0, 20, 0, 0) and got["significant"]

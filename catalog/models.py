@@ -1,8 +1,7 @@
 """Model, attribution and selection queries, and whole jobs."""
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from catalog.inputs import FEATURES, candidate_line, choice_line, order_features, result_line, table
@@ -12,7 +11,7 @@ from tessera.operators import attribution, clean, models, representatives
 from tessera.operators.split import exact_split
 from tessera.plans import run as runs
 from tessera.plans.explain import explain
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, lookup
 
 PARAMS = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3}
 SMALL_SPACE = {
@@ -84,8 +83,7 @@ def m6_medoid(spark, sf):
     """Medoids of the label groups around each group's mean; as many means as labels."""
     points = _labelled(spark, sf)
     means = points.groupBy("cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("point"))).alias("centre"))
-    joined = points.join(means, "cluster")
-    found = representatives.medoids(joined, F.col("centre"))
+    found = representatives.medoids(lookup(points, means, ["cluster"]), F.col("centre"))
     return found.select("cluster", "idx", F.round("distance", 6).alias("distance"))
 
 

@@ -87,7 +87,7 @@ def j2_predictions(spark, sf):
     return lookup(rows, predictions, ["idx"])
 
 
-def j2_salted(spark, sf):
+def j2_hot_keys(spark, sf):
     """The way taken for predictions too many to broadcast."""
     rows, predictions = _by_customer(spark, sf)
     return lookup(rows, predictions, ["idx"], small_rows=BROADCAST_ROWS + 1)
@@ -115,7 +115,7 @@ def j5_cross(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     x1_split, x1_approx, x2_folds, x3_sets, x4_trials, x5_params, j1_select, j1_ordered, j1_missing,
-    j2_predictions, j2_salted, j5_cross, j6_reason, j7_attach)}
+    j2_predictions, j2_hot_keys, j5_cross, j6_reason, j7_attach)}
 
 
 def uniform_sql(name: str) -> str:
@@ -149,7 +149,7 @@ SQL = {
     "j1_missing": "SELECT event_id AS idx FROM events WHERE event_id NOT IN (SELECT c_custkey FROM customer)",
     "j2_predictions": """SELECT o_orderkey, o_custkey AS idx, CAST(c_acctbal > 0 AS BIGINT) AS prediction
         FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "j2_salted": """SELECT o_orderkey, o_custkey AS idx, CAST(c_acctbal > 0 AS BIGINT) AS prediction
+    "j2_hot_keys": """SELECT o_orderkey, o_custkey AS idx, CAST(c_acctbal > 0 AS BIGINT) AS prediction
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "j5_cross": """SELECT c_custkey AS idx, CAST(r_regionkey AS BIGINT) AS agent, r_name AS block FROM customer, region""",
     "j6_reason": """SELECT c_custkey AS idx, 1 AS prediction, 'because ' || c_custkey AS reasoning FROM customer

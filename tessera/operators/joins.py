@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.session import is_small
 
+FEW_BLOCKS = 1000
+
 
 def select_rows(df: DataFrame, keys: DataFrame, key: str = "idx") -> DataFrame:
-    """Rows whose key occurs in ``keys``."""
-    return df.join(keys.select(key), key, "left_semi")
+    """Rows whose key occurs in ``keys``, however often."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def select_rows_ordered(df: DataFrame, keys: DataFrame, key: str = "idx",
@@ -20,8 +22,8 @@ def select_rows_ordered(df: DataFrame, keys: DataFrame, key: str = "idx",
 
 
 def missing_keys(df: DataFrame, keys: DataFrame, key: str = "idx") -> DataFrame:
-    """Keys that have no row in ``df``."""
-    return keys.select(key).join(df.select(key), key, "left_anti")
+    """Keys that have no row in ``df``, once each."""
+    return keys.select(key).distinct().join(df.select(key).distinct(), key, "left_anti")
 
 
 def require_keys(df: DataFrame, keys: DataFrame, key: str = "idx") -> None:
@@ -54,12 +56,12 @@ def common_keys(first: DataFrame, second: DataFrame, key: str = "idx") -> DataFr
     return first.select(key).intersect(second.select(key))
 
 
-def per_agent(rows: DataFrame, blocks: DataFrame, salts: int = 16) -> DataFrame:
+def per_agent(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every row once per agent, with the columns of that agent's block.
 
-    ``blocks`` has one row per ``agent`` 0..n-1. Each row lists the agents and joins on the
-    agent number: against a broadcast when the blocks are counted as few, else against
-    copies of the blocks that spread one agent's rows over ``salts`` tasks.
+    ``blocks`` has one row per ``agent`` 0..n-1. Each row lists the agents and joins on the agent
+    number: against a broadcast when the blocks are counted as at most ``FEW_BLOCKS``, else by a
+    shuffle, in which every agent then has less than 1 / ``FEW_BLOCKS`` of the rows.
     """
     last = blocks.agg(F.max("agent").alias("last")).first()["last"]
     if last is None:
@@ -67,8 +69,4 @@ def per_agent(rows: DataFrame, blocks: DataFrame, salts: int = 16) -> DataFrame:
     else:
         listed = F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))
     fanned = rows.withColumn("agent", F.explode(listed))
-    if is_small(blocks, 1000):
-        return fanned.join(F.broadcast(blocks), "agent")
-    salted = fanned.withColumn("_salt", F.pmod(F.xxhash64("idx"), F.lit(salts)).cast("int"))
-    copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["agent", "_salt"]).drop("_salt")
+    return fanned.join(F.broadcast(blocks) if is_small(blocks, FEW_BLOCKS) else blocks, "agent")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import seeded_md5
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, is_small
 
 ROWS_PER_BUCKET = 250_000
 MAX_DIGITS = 5
@@ -36,11 +36,13 @@ def bucketed_rank(df: DataFrame, by: list[str], bucket: Column, order: list[Colu
     before = (Window.partitionBy(*[f"_by{i}" for i in range(len(by))]).orderBy("_b")
               .rowsBetween(Window.unboundedPreceding, -1))
     starts = starts.select("*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")).drop("_n")
+    starts = cut_lineage(starts, "starts")
     match = F.col("_bucket") == F.col("_b")
     for i, c in enumerate(by):
         match = match & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    ranked = placed.withColumn("_pos", F.row_number().over(inside)).join(starts, match)
+    ranked = (placed.withColumn("_pos", F.row_number().over(inside))
+              .join(F.broadcast(starts) if is_small(starts) else starts, match))
     return ranked.select(*[F.col(f"`{c}`") for c in df.columns],
                          (F.col("_start") + F.col("_pos") - 1).cast("bigint").alias(out))
 
@@ -67,27 +69,28 @@ def value_rank(df: DataFrame, by: str, value: str, out: str = "rank") -> DataFra
 
 
 def _boundary(hashed: DataFrame, digits: int, nth: int) -> Row:
-    """The md5 prefix that holds the ``nth`` row (1-based), and the rows before that prefix."""
+    """The md5 prefix that holds the ``nth`` row (1-based), its rows and those before it."""
     running = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = (hashed.groupBy(F.substring("_md5", 1, digits).alias("prefix"))
               .agg(F.count(F.lit(1)).alias("n"))
               .withColumn("upto", F.sum("n").over(running)))
     return (counts.filter(F.col("upto") >= nth).orderBy("prefix")
-            .select("prefix", (F.col("upto") - F.col("n")).alias("before")).first())
+            .select("prefix", "n", (F.col("upto") - F.col("n")).alias("before")).first())
 
 
 def hash_cut(df: DataFrame, key: str, seed: int, nth: int) -> tuple[str, object]:
     """The (md5, key) of the ``nth`` smallest row; rows up to it are exactly ``nth`` many.
 
-    Two passes of prefix counts narrow the search from the table to 1 in 16**8 of it, so no
-    row is shuffled or sorted beyond that last sliver.
+    A pass of prefix counts narrows the search to 1 in 16**4 of the table, a second one to 1 in
+    16**8 where that is still large, so no row is shuffled or sorted beyond that last sliver.
     """
     hashed = df.select(F.col(key).alias("_key"), seeded_md5(seed, F.col(key)).alias("_md5"))
-    done = 0
+    done, left = 0, ROWS_PER_BUCKET + 1
     for digits in (4, 8):
-        edge = _boundary(hashed, digits, nth - done)
-        done += edge["before"]
-        hashed = hashed.filter(F.substring("_md5", 1, digits) == edge["prefix"])
+        if left > ROWS_PER_BUCKET:
+            edge = _boundary(hashed, digits, nth - done)
+            done, left = done + edge["before"], edge["n"]
+            hashed = hashed.filter(F.substring("_md5", 1, digits) == edge["prefix"])
     sliver = Window.orderBy("_md5", "_key")
     hit = (hashed.withColumn("_pos", F.row_number().over(sliver))
            .filter(F.col("_pos") == nth - done).first())

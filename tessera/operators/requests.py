@@ -69,9 +69,10 @@ def as_lines(requests: DataFrame) -> DataFrame:
     return requests.select(F.to_json("request").alias("value"))
 
 
-def replay(requests: DataFrame, recorded: DataFrame, key: str = "key") -> DataFrame:
-    """Requests with recorded answers: ``key, response, status`` ('done' or 'missing')."""
-    answers = recorded.select(key, F.col("line").alias("response"))
+def replay(requests: DataFrame, recorded: DataFrame, key: str = "key", order: str = "line") -> DataFrame:
+    """Requests with their recorded answer of highest ``order``: ``key, response, status``
+    ('done' or 'missing')."""
+    answers = recorded.groupBy(key).agg(F.max_by("line", order).alias("response"))
     status = F.when(F.col("response").isNull(), F.lit("missing")).otherwise(F.lit("done"))
     return requests.select(key).join(answers, key, "left").select(key, "response", status.alias("status"))
 

@@ -7,10 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # A side is broadcast only when it is counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,17 +50,29 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-           salts: int = 16, small_rows: int | None = None) -> DataFrame:
-    """Join a large table, whose keys may be hot, to a table of unique keys.
+           small_rows: int | None = None) -> DataFrame:
+    """Join (inner or left) a large table, whose keys may be hot, to a table of unique keys.
 
-    A counted small side (``small_rows``, or counted here) is broadcast. Otherwise the big side gets a salt from its
-    whole rows and the unique side one copy per salt, so that no key's rows meet in a
-    single task. The salt depends on the row alone, so a task that runs again repeats it.
+    A counted small side (``small_rows``, or counted here) is broadcast. Otherwise the hot keys,
+    those with more than 1 / ``HOT_KEYS`` of the rows and so fewer than ``HOT_KEYS`` in number,
+    are joined by broadcasting just their entries; the other keys are joined by a shuffle in
+    which no key is large. Rows without a key match nothing and stay out of the shuffle.
     """
     fits = is_small(small) if small_rows is None else small_rows <= BROADCAST_ROWS
     if fits:
         return big.join(F.broadcast(small), keys, how)
-    spread = [f.name for f in big.schema.fields if not isinstance(f.dataType, T.MapType)]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    share = F.lit(big.count() / HOT_KEYS)
+    hot_rows = (big.filter(~no_key).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") > share).drop("_n"))
+    found = hot_rows.collect()
+    if not found:
+        return big.join(small, keys, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame(found, hot_rows.schema))
+    marked = big.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
+    apart = F.coalesce("_hot", no_key)
+    entries = F.broadcast(small.join(hot, keys, "left_semi"))
+    first = marked.filter(apart).drop("_hot").join(entries, keys, how)
+    return first.unionByName(marked.filter(~apart).drop("_hot").join(small, keys, how))

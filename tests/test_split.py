@@ -43,6 +43,15 @@ def test_folds_are_even_per_class(spark):
         assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
 
 
+def test_cut_of_a_large_bucket(spark):
+    kept, ranking.ROWS_PER_BUCKET = ranking.ROWS_PER_BUCKET, 0
+    try:
+        cut = ranking.hash_cut(spark.range(3000), "id", 42, 700)
+    finally:
+        ranking.ROWS_PER_BUCKET = kept
+    assert cut[1] == sorted(range(3000), key=md5)[699]
+
+
 def test_hash_rank_with_many_buckets(spark):
     df = spark.range(4000).withColumnRenamed("id", "idx")
     got = {r["idx"]: r["rank"] for r in ranking.hash_rank(df, "idx", 42, rows=10**9).collect()}
@@ -62,13 +71,13 @@ def test_example_sets(spark):
 
 
 def test_lookup_ways_agree(spark):
-    # one key holds a third of all rows
-    big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
-    small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    # one key holds a third of all rows, another third has no key
+    big = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id")).alias("k"))
+    small = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left"):
         a = lookup(big, small, ["k"], how)
         b = lookup(big, small, ["k"], how, small_rows=10**9)
-        assert a.exceptAll(b.select(a.columns)).isEmpty() and a.count() == b.count()
+        assert a.exceptAll(b.select(a.columns)).isEmpty() and a.count() == b.count() > 3000
 
 
 def test_trials(spark):

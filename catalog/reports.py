@@ -9,7 +9,7 @@ from tessera.sources import jsonl
 from tessera.sources import responses as source
 
 DATASETS = ["click", "purchase", "view"]
-STRATEGY = ["xgboost", "xai-guided-cot", "zero-shot-cot", "zero-shot-prompting"]
+STRATEGY = ["tree-model", "guided-few-shot", "zero-shot-cot", "zero-shot-prompting"]
 
 
 def _scores(spark, sf):
@@ -50,9 +50,9 @@ def v2_consolidate(spark, sf):
         F.lit("8"), F.create_map(F.lit("faithfulness"), F.lit(4.0), F.lit("coherence"), F.lit(1.0)))
     docs = table(spark, sf, "customer").select(
         F.col("c_name").alias("dataset"), (F.col("c_nationkey") % 2 == 1).alias("masked"),
-        scores(("xgboost", 71), ("zero-shot-prompting", 61)).alias("zero_shot_baseline"),
-        scores(("xgboost", 71), ("zero-shot-cot", 51)).alias("zero_shot_cot_ablation"),
-        scores(("xgboost", 71), ("xai-guided-cot", 41)).alias("cot"), judged.alias("llm_as_judge"))
+        scores(("tree-model", 71), ("zero-shot-prompting", 61)).alias("zero_shot_baseline"),
+        scores(("tree-model", 71), ("zero-shot-cot", 51)).alias("zero_shot_cot_ablation"),
+        scores(("tree-model", 71), ("guided-few-shot", 41)).alias("cot"), judged.alias("llm_as_judge"))
     path = shared_path(spark, "documents")
     jsonl.write_scores(docs, path)
     runs = spark.read.schema(f"dataset string, masked boolean, {jsonl.RUN_SCHEMA}").json(path)
@@ -90,7 +90,7 @@ def v6_matrix(spark, sf):
 QUERIES = {f.__name__: f for f in (e2_union, v2_consolidate, v3_pivot, v4_long, v5_mask, v6_matrix)}
 
 SCORES = """picked AS (SELECT event_type AS dataset, floor(user_id / 4) % 2 = 0 AS masked,
-    ['xgboost', 'xai-guided-cot', 'zero-shot-cot', 'baseline'][CAST(user_id % 4 AS INT) + 1] AS approach,
+    ['tree-model', 'guided-few-shot', 'zero-shot-cot', 'baseline'][CAST(user_id % 4 AS INT) + 1] AS approach,
     CAST(event_id % 1000 AS DOUBLE) / 1000 AS v FROM events),
   runs AS (SELECT dataset, masked, approach, max(v) AS value FROM picked
     WHERE NOT (masked AND dataset = 'view') AND NOT (dataset = 'click' AND approach = 'zero-shot-cot') GROUP BY ALL),
@@ -100,21 +100,21 @@ SQL = {
     "e2_union": f"WITH {SCORES} SELECT dataset, approach, value FROM flat",
     "v2_consolidate": """WITH d AS (SELECT *, CASE WHEN c_nationkey % 2 = 1 THEN 'masked_' || c_name ELSE c_name END AS dataset
           FROM customer)
-        SELECT dataset, 'xgboost' AS approach, CAST(c_custkey % 72 AS DOUBLE) / 100 AS value FROM d
+        SELECT dataset, 'tree-model' AS approach, CAST(c_custkey % 72 AS DOUBLE) / 100 AS value FROM d
         UNION ALL SELECT dataset, 'baseline', CAST(c_custkey % 62 AS DOUBLE) / 100 FROM d
         UNION ALL SELECT dataset, 'zero-shot-cot', CAST(c_custkey % 52 AS DOUBLE) / 100 FROM d
-        UNION ALL SELECT dataset, 'xai-guided-cot', CAST(c_custkey % 42 AS DOUBLE) / 100 FROM d
+        UNION ALL SELECT dataset, 'guided-few-shot', CAST(c_custkey % 42 AS DOUBLE) / 100 FROM d
         UNION ALL SELECT c_name, 'faithfulness', 4.25 FROM customer WHERE c_nationkey % 2 = 0
         UNION ALL SELECT c_name, 'consistency', CAST(c_custkey % 5 AS DOUBLE) FROM customer WHERE c_nationkey % 2 = 0
         UNION ALL SELECT c_name, 'coherence', 1.0 FROM customer WHERE c_nationkey % 2 = 0""",
-    "v3_pivot": f"""WITH {SCORES} SELECT dataset, max(value) FILTER (WHERE approach = 'xgboost') AS xgboost,
-        max(value) FILTER (WHERE approach = 'xai-guided-cot') AS "xai-guided-cot",
+    "v3_pivot": f"""WITH {SCORES} SELECT dataset, max(value) FILTER (WHERE approach = 'tree-model') AS "tree-model",
+        max(value) FILTER (WHERE approach = 'guided-few-shot') AS "guided-few-shot",
         max(value) FILTER (WHERE approach = 'zero-shot-cot') AS "zero-shot-cot",
         max(value) FILTER (WHERE approach = 'baseline') AS baseline
         FROM flat WHERE dataset IN ('click', 'purchase', 'view') GROUP BY dataset""",
     "v4_long": f"""WITH {SCORES} SELECT CASE dataset WHEN 'click' THEN 'Click' WHEN 'purchase' THEN 'Purchase'
         WHEN 'view' THEN 'View' WHEN 'masked_click' THEN 'Masked_Click' WHEN 'masked_purchase' THEN 'Masked_Purchase' END AS dataset,
-        CASE approach WHEN 'xgboost' THEN 'Xgboost' WHEN 'xai-guided-cot' THEN 'Xai Guided Cot'
+        CASE approach WHEN 'tree-model' THEN 'Tree Model' WHEN 'guided-few-shot' THEN 'Guided Few Shot'
         WHEN 'zero-shot-cot' THEN 'Zero Shot Cot' ELSE 'Baseline' END AS approach, value AS performance FROM flat
         WHERE dataset IN ('click', 'purchase', 'view', 'masked_click', 'masked_purchase')""",
     "v5_mask": f"""WITH {SCORES} SELECT u.dataset, u.approach, u.value AS unmasked, m.value AS masked,

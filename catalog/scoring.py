@@ -21,7 +21,7 @@ def _pairs(spark, sf):
 
 def v1_evaluate(spark, sf):
     """Two strategies and the order status scored in one job."""
-    first = _voted(spark, sf).withColumn("strategy", F.lit("xai-guided-cot"))
+    first = _voted(spark, sf).withColumn("strategy", F.lit("guided-few-shot"))
     second = _voted(spark, sf, "event_id").withColumn("strategy", F.lit("zero-shot-cot"))
     scored = joins.attach_truth(first.unionByName(second), truth(spark, sf), "y")
     return rounded(scoring.evaluate(scored, ["strategy"]))
@@ -117,7 +117,7 @@ FOLDS = f"""{FOLD_ROWS}, {f1_sql('folded', 'cell')},
 
 SQL = {
     "v1_evaluate": f"""WITH {USER}, {EVENT}, {SQL_TRUTH},
-        stacked AS (SELECT 'xai-guided-cot' AS strategy, * FROM voted_user_id
+        stacked AS (SELECT 'guided-few-shot' AS strategy, * FROM voted_user_id
           UNION ALL SELECT 'zero-shot-cot', * FROM voted_event_id),
         scored AS (SELECT strategy, prediction, y FROM stacked JOIN truth USING (idx)),
         {f1_sql('scored', 'strategy')}

@@ -14,7 +14,7 @@ FOLDS = 5
 TRIALS = 10
 MAX_CLUSTERS = 10
 ALPHA = 0.05
-STRATEGIES = ("xai-guided-cot", "zero-shot-prompting", "zero-shot-cot")
+STRATEGIES = ("guided-few-shot", "zero-shot-prompting", "zero-shot-cot")
 JUDGE_METRICS = ("faithfulness", "consistency", "coherence")
 MASKED_NAME = "unknown"
 MASKED_LABELS = {0: "Class0", 1: "Class1"}

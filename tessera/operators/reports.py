@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Column order of the reports, and where each score sits in a metrics document.
-APPROACHES = ["xgboost", "xai-guided-cot", "zero-shot-cot", "baseline"]
+APPROACHES = ["tree-model", "guided-few-shot", "zero-shot-cot", "baseline"]
 MASK_PREFIX = "masked_"
 
 

@@ -22,7 +22,7 @@ from tessera.sources.tables import load
 # Takes ``key, line`` requests and returns ``key, line`` answers.
 Infer = Callable[[DataFrame], DataFrame]
 GUIDED, ZERO_SHOT, STEPWISE = STRATEGIES
-MODEL = "xgboost"  # the name under which the tree model's scores are reported
+MODEL = "tree-model"
 
 
 @dataclass(frozen=True)

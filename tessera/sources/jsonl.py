@@ -49,9 +49,12 @@ def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
                        *[c for c in docs.columns if c != "file_name"])
 
 
-def run_scores(runs: DataFrame) -> DataFrame:
-    """``dataset, masked, strategy, accuracy, macro_f1``: one row per strategy of a run."""
-    parts = [("cot", None), ("zero_shot_cot_ablation", "xgboost"), ("zero_shot_baseline", "xgboost")]
+def run_scores(runs: DataFrame, model: str = "tree-model") -> DataFrame:
+    """``dataset, masked, strategy, accuracy, macro_f1``: one row per strategy of a run.
+
+    The tree model, named ``model``, is in every part of a document and counts once.
+    """
+    parts = [("cot", None), ("zero_shot_cot_ablation", model), ("zero_shot_baseline", model)]
     rows = None
     for name, repeated in parts:
         part = runs.select("dataset", "masked", F.explode(name).alias("strategy", "m"))

@@ -84,9 +84,9 @@ def test_run(explained):
     got = runs.run(explained, task, SPECS, offline_answers, FewShot(2, 10), with_baseline=True, with_judge=True,
                    with_stepwise=True)
     scores = {r["strategy"]: r for r in got.scores.collect()}
-    assert set(scores) == {"xgboost", "xai-guided-cot", "zero-shot-prompting", "zero-shot-cot"}
+    assert set(scores) == {"tree-model", "guided-few-shot", "zero-shot-prompting", "zero-shot-cot"}
     assert all(r["n"] == 60 and 0 <= r["macro_f1"] <= 1 for r in scores.values())
-    assert scores["xgboost"]["accuracy"] > 0.8
+    assert scores["tree-model"]["accuracy"] > 0.8
     assert {r["metric"]: r["score"] for r in got.judgement.collect()} == {
         "faithfulness": 4.5, "consistency": 4.0, "coherence": 4.75}
     assert got.reasons.count() >= 2
@@ -137,7 +137,7 @@ def test_stream_equals_batch(spark, tmp_path, dedupe):
     batch = parse.agent_labels(source.candidates(source.read_lines(spark, str(folder))), dedupe)
     assert _labels(stream.running_labels(spark, store, dedupe)) == _labels(batch)
     table = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "idx long, y long")
-    assert stream.running_scores(spark, store, table, "y", "xai-guided-cot", dedupe).first()["n"] == 3
+    assert stream.running_scores(spark, store, table, "y", "guided-few-shot", dedupe).first()["n"] == 3
 
 
 def test_dataset_run_from_csv(spark, tmp_path):
@@ -151,8 +151,8 @@ def test_dataset_run_from_csv(spark, tmp_path):
                            masked=True, n_trials=1, with_baseline=False, with_judge=False)
     scores = {r["strategy"]: r for r in got.scores.collect()}
     # 14 of the 120 ages are missing: 106 rows, of which 22 are test rows
-    assert set(scores) == {"xgboost", "xai-guided-cot"} and {r["n"] for r in scores.values()} == {22}
-    assert scores["xgboost"]["accuracy"] == 1.0
+    assert set(scores) == {"tree-model", "guided-few-shot"} and {r["n"] for r in scores.values()} == {22}
+    assert scores["tree-model"]["accuracy"] == 1.0
 
 
 def test_compare(spark):

@@ -78,14 +78,14 @@ def test_key_joins(spark):
 
 def test_reports(spark):
     docs = spark.createDataFrame(
-        [("titanic", False, "xgboost", 0.748), ("titanic", False, "zero-shot-prompting", 0.755),
-         ("titanic", True, "zero-shot-prompting", 0.577), ("loan", False, "xgboost", 0.973)],
+        [("titanic", False, "tree-model", 0.748), ("titanic", False, "zero-shot-prompting", 0.755),
+         ("titanic", True, "zero-shot-prompting", 0.577), ("loan", False, "tree-model", 0.973)],
         "dataset string, masked boolean, strategy string, macro_f1 double")
     flat = reports.flat_scores(docs)
-    wide = reports.approach_table(flat, ["titanic", "masked_titanic"], ["xgboost", "baseline"])
+    wide = reports.approach_table(flat, ["titanic", "masked_titanic"], ["tree-model", "baseline"])
     assert {tuple(r) for r in wide.collect()} == {("titanic", 0.748, 0.755), ("masked_titanic", None, 0.577)}
-    long = {tuple(r) for r in reports.long_table(wide, ["xgboost", "baseline"]).collect()}
-    assert long == {("Titanic", "Xgboost", 0.748), ("Titanic", "Baseline", 0.755), ("Masked_Titanic", "Baseline", 0.577)}
+    long = {tuple(r) for r in reports.long_table(wide, ["tree-model", "baseline"]).collect()}
+    assert long == {("Titanic", "Tree Model", 0.748), ("Titanic", "Baseline", 0.755), ("Masked_Titanic", "Baseline", 0.577)}
     effect = reports.mask_effect(flat).first()
     assert (effect["dataset"], effect["approach"]) == ("titanic", "baseline")
     assert effect["delta"] == pytest.approx(-0.178)

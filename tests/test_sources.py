@@ -97,13 +97,13 @@ def test_run_documents(spark, tmp_path):
         return {"accuracy": x, "macro_f1_score": x}
     doc = {"zero_shot_baseline": {"xgboost": score(0.7), "zero-shot-prompting": score(0.6)},
            "zero_shot_cot_ablation": {"xgboost": score(0.7), "zero-shot-cot": score(0.5)},
-           "reasoning": {"3": "because"}, "cot": {"xgboost": score(0.7), "xai-guided-cot": score(0.8)},
+           "reasoning": {"3": "because"}, "cot": {"xgboost": score(0.7), "guided-few-shot": score(0.8)},
            "llm_as_judge": {"3": {"faithfulness": 4.5, "consistency": 4.0, "coherence": 4.75}}}
     (tmp_path / "loan_unmasked.json").write_text(json.dumps(doc, indent=2))
     (tmp_path / "loan_masked.json").write_text(json.dumps(doc))
     runs = jsonl.read_runs(spark, str(tmp_path))
-    got = {(r["masked"], r["strategy"]): r["macro_f1"] for r in jsonl.run_scores(runs).collect()}
-    assert len(got) == 8 and got[(True, "xai-guided-cot")] == 0.8 and got[(False, "zero-shot-prompting")] == 0.6
+    got = {(r["masked"], r["strategy"]): r["macro_f1"] for r in jsonl.run_scores(runs, model="xgboost").collect()}
+    assert len(got) == 8 and got[(True, "guided-few-shot")] == 0.8 and got[(False, "zero-shot-prompting")] == 0.6
     judged = jsonl.run_judgements(runs).collect()
     assert len(judged) == 1 and judged[0]["metrics"]["coherence"] == 4.75
 

@@ -247,7 +247,7 @@ SQL = {
         WHERE class IS NOT NULL AND "cap-shape" IS NOT NULL""",
     "p20_mushroom_fixed": f"""WITH {MUSHROOMS} SELECT idx, class, bruises, strpos('bcxfks', cap) - 1 AS "cap-shape",
         strpos('glmpuwd', habitat) - 1 AS habitat FROM m WHERE class IS NOT NULL AND cap IS NOT NULL""",
-    "p21_zscore": f"""SELECT l_orderkey, l_linenumber, {', '.join(zscore_sql(c) for c in SCALED)}, 0.0 AS flat
+    "p21_zscore": f"""SELECT l_orderkey, l_linenumber, {', '.join(zscore_sql(c) for c in SCALED)}, CAST(0.0 AS DOUBLE) AS flat
         FROM lineitem""",
     "o5_preview": """SELECT * FROM (SELECT o_orderkey, o_custkey, 'first' AS part FROM orders ORDER BY o_orderkey LIMIT 5)
         UNION ALL SELECT * FROM (SELECT o_orderkey, o_custkey, 'last' FROM orders ORDER BY o_orderkey DESC LIMIT 5)""",

@@ -22,7 +22,7 @@ SMALL_SPACE = {
 
 
 def _split(spark, sf):
-    return cut_lineage(exact_split(cut_lineage(order_features(spark, sf), "features")), "split")
+    return exact_split(cut_lineage(order_features(spark, sf), "features"))
 
 
 def _fitted(spark, sf, kind="GBTClassifier"):

@@ -127,7 +127,7 @@ SQL = {
         UNION ALL SELECT event_id * 3 + 1, 'train', 1 FROM events UNION ALL SELECT event_id * 3 + 2, 'test', 0 FROM events""",
     "s7_requests": "SELECT 'judge_batch-' || doc_id AS key, text FROM documents",
     "s11_evaluations": "SELECT 0 AS interrupted, count(*) AS responses FROM events",
-    "s14_sweep": """SELECT 'max_depth' AS parameter, 'int_uniform' AS distribution, 1.0 AS min, CAST(p_size AS DOUBLE) AS max,
+    "s14_sweep": """SELECT 'max_depth' AS parameter, 'int_uniform' AS distribution, CAST(1.0 AS DOUBLE) AS min, CAST(p_size AS DOUBLE) AS max,
         NULL::DOUBLE AS "last" FROM part UNION ALL SELECT 'weight', NULL, NULL, NULL, CAST(p_size AS DOUBLE) FROM part""",
     "t1_stream": f"WITH {sql_votes()} SELECT idx, prediction FROM voted_user_id",
     "t1_stream_scores": f"""WITH {SCORED}, {f1_sql('scored', 'strategy')} SELECT strategy,

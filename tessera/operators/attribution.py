@@ -24,7 +24,7 @@ from tessera.operators.clean import col
 from tessera.operators.models import with_vector
 from tessera.session import shared_path
 
-MAX_NODES = 2_000_000
+MAX_NODES = 300_000
 TABLE_FEATURES = 6
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import FOLDS, SEED, TEST_FRACTION, TRIALS
-from tessera.operators import attribution, models, scoring, split, trials
+from tessera.operators import attribution, checks, models, scoring, split, trials
 from tessera.operators.clean import features_of
 from tessera.session import cut_lineage
 
@@ -30,13 +30,16 @@ class Explanation:
 
 def explain(prepared: DataFrame, target: str, space: dict[str, dict],
             estimator: Estimator | str = "GBTClassifier", n_trials: int = TRIALS,
-            folds: int = FOLDS, seed: int = SEED, fraction: float = TEST_FRACTION) -> Explanation:
+            folds: int = FOLDS, seed: int = SEED, fraction: float = TEST_FRACTION,
+            labels: list[int] | None = None) -> Explanation:
     """Tune on the training rows, fit the best trial, predict all rows and attribute the
-    training rows."""
+    training rows. Given ``labels``, the table must meet the dataset contract."""
     spark = prepared.sparkSession
     features = features_of(prepared, target)
-    table = cut_lineage(split.exact_split(cut_lineage(prepared, "prepared"), fraction=fraction, seed=seed),
-                        "split")
+    written = cut_lineage(prepared, "prepared")
+    if labels is not None:
+        checks.require_dataset(written, target, labels)
+    table = split.exact_split(written, fraction=fraction, seed=seed)
     train = table.filter(F.col("split") == "train")
     drawn = trials.sample_trials(spark.range(n_trials).withColumnRenamed("id", "trial"), space, seed=seed)
     scores = models.tune(train, features, target, drawn, estimator, folds, seed)

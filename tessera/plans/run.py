@@ -97,8 +97,11 @@ def run(e: Explanation, task: Task, models: Models, infer: Infer, settings: FewS
         if with_stepwise:
             parts.append(baseline(e, task, models.classifier, infer, True, settings.thinking_budget))
     train, test = e.rows("train"), e.rows("test")
-    chosen = joins.select_rows(train, cut_lineage(representatives.diverse_examples(e.attributions, seed=seed)))
-    told = jobs.explained_rows(chosen, e.predictions, e.attributions, e.importances, task.target)
+    # The chosen rows are few: written apart, they make every later join a broadcast of them.
+    keys = cut_lineage(representatives.diverse_examples(e.attributions, seed=seed), "chosen")
+    chosen, predictions, attributions = (cut_lineage(joins.select_rows(df, keys), "chosen")
+                                         for df in (train, e.predictions, e.attributions))
+    told = jobs.explained_rows(chosen, predictions, attributions, e.importances, task.target)
     asked = jobs.reasoning(told, task.dataset, task.target, models.reasoning)
     reasons = cut_lineage(parse.reasoning(responses.choices(answers(asked, infer, "reasoning"))), "reasons")
     parse.require_reasoning(reasons)
@@ -108,7 +111,7 @@ def run(e: Explanation, task: Task, models: Models, infer: Infer, settings: FewS
         got = responses.results(answers(asked, infer, "judge"))
         kept = as_evaluations(parse.succeeded(got))
         judgement = scoring.judge_means(parse.judge_scores(kept))
-    examples = jobs.example_texts(chosen, e.predictions, e.attributions, reasons, task.target)
+    examples = jobs.example_texts(chosen, predictions, attributions, reasons, task.target)
     asked = jobs.few_shot(examples, test, clean.features_of(test, task.target), e.importances,
                           task.dataset, task.target, task.labels, models.classifier, settings, seed)
     parts.append(score_responses(answers(asked, infer, "few-shot"), parse.agent_labels, e.table, task.target,
@@ -130,7 +133,8 @@ def run_dataset(spark: SparkSession, dataset: Dataset, space: dict[str, dict], m
                 settings: FewShot = FewShot(), with_baseline: bool = True, with_judge: bool = True,
                 with_stepwise: bool = True, seed: int = SEED) -> RunResult:
     """From the CSV of a dataset to its scores; ``masked`` hides all names from the prompts."""
-    e = explain(load(spark, dataset), dataset.target, space, estimator, n_trials, seed=seed)
+    e = explain(load(spark, dataset), dataset.target, space, estimator, n_trials, seed=seed,
+                labels=list(dataset.labels))
     task = Task(dataset.name, dataset.target, dataset.labels)
     if masked:
         e, task = mask(e, dataset.target)

@@ -9,8 +9,9 @@ import json
 import os
 import time
 
+from pyspark.sql import SparkSession
+
 import catalog
-from tests.oracle import make_session
 
 HEADLINES = """r1_plain r3_judge r5_vote r6_first_int v1_evaluate a4_mcnemar a9_fold_stats p6_learned_wide p8_coerce
 p14_text p16_titanic p21_zscore x1_split x2_folds x4_trials j2_predictions j2_hot_keys j7_attach g3_reasoning
@@ -19,7 +20,12 @@ g5_few_shot g12_few_shot s2_row_key t1_stream m1_fit m3_shap m6_medoid a11_silho
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = make_session(int(os.environ.get("BENCH_CPUS", "8")))
+    cores = os.environ.get("BENCH_CPUS", "8")
+    spark = (SparkSession.builder.master(f"local[{cores}]").appName("bench")
+             .config("spark.sql.shuffle.partitions", cores).config("spark.driver.memory", "12g")
+             .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    spark.sparkContext.setLogLevel("ERROR")
     queries = catalog.queries()
     queries["a1_accuracy"](spark, sf_dir).collect()  # warm up the JVM
     seconds = {}

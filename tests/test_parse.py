@@ -1,8 +1,10 @@
 """Parsers on small files: valid answers, cut-off answers, missing marks, duplicates."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions.text import first_int, strip
 from tessera.operators import parse
@@ -157,3 +159,29 @@ def test_text_functions(spark):
     assert df.select(strip(df.t)).first()[0] == "a b"
     df = spark.createDataFrame([("-1",), ("0.5",), ("9" * 30,)], "t string")
     assert [r[0] for r in df.select(first_int(df.t)).collect()] == [1, 0, 2**63 - 1]
+
+
+def test_judge_json_is_as_strict_as_a_json_parser(spark):
+    """Mutated evaluations are kept exactly when Python's parser finds a metrics object."""
+    rng = random.Random(5)
+    base = '{"metrics": {"faithfulness": 4.5, "coherence": [1], "x": {"y": "z"}}, "n": null}'
+    texts = {base}
+    for _ in range(600):
+        t = list(base)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(t))
+            if rng.random() < 0.5:
+                t[at:at + 1] = rng.choice(["", "}", "{", '"', ",", "]", "[", " ", "1", ":", "a", "\\", "\n", "'", "0"])
+            else:
+                t.insert(at, rng.choice(["}", "{", '"', ",", "]", "[", " ", "1", ":", "x", "\\", "\t", "//", "0"]))
+        texts.add("".join(t))
+
+    def kept(text):
+        try:
+            return isinstance(json.loads(text)["metrics"], dict)
+        except Exception:
+            return False
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "t string")
+    got = {r["t"]: r["ok"] for r in df.select(
+        "t", parse.metrics_of(F.concat(F.lit(parse.EVALUATION_MARK), "t")).isNotNull().alias("ok")).collect()}
+    assert [t for t in texts if got[t] != kept(t)] == []

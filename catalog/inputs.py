@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events that stand for responses; parsing them is all work and little data."""
+    return spread(table(spark, sf, "events").select("event_id", "user_id", "event_type"))
+
+
 def candidate_line(key: Column, finish: Column, text: Column) -> Column:
     content = F.struct(F.array(F.struct(text.alias("text"))).alias("parts"))
     found = F.array(F.struct(finish.alias("finishReason"), content.alias("content")))
@@ -57,7 +64,7 @@ def vote_lines(spark: SparkSession, sf: str, label: str = "user_id") -> DataFram
     idx = F.floor(F.col("event_id") / 5).cast("string")
     agent = (F.col("event_id") % 5).cast("string")
     key = F.concat(F.lit("cot_batch-"), idx, F.lit("_agent-"), agent)
-    return table(spark, sf, "events").select(
+    return events(spark, sf).select(
         candidate_line(key, finish(), vote_text(label)).alias("line"), F.col("event_id").alias("seq"))
 
 
@@ -65,7 +72,7 @@ def single_lines(spark: SparkSession, sf: str, kind: str = "zero-shot", key: str
                  label: str = "user_id") -> DataFrame:
     """One answer per event: ``line, seq``."""
     name = F.concat(F.lit(f"baseline_{kind}_batch-"), F.col(key).cast("string"))
-    return table(spark, sf, "events").select(
+    return events(spark, sf).select(
         candidate_line(name, finish(), vote_text(label)).alias("line"), F.col("event_id").alias("seq"))
 
 
@@ -76,7 +83,7 @@ def reasoning_lines(spark: SparkSession, sf: str) -> DataFrame:
                    signup=F.lit("Has </think> but missing <REASONING>"),
                    purchase=F.lit("<REASONING>no end of thought</REASONING>"))
     key = F.concat(F.lit("reasoning_batch-"), F.col("event_id").cast("string"))
-    return table(spark, sf, "events").select(choice_line(key, text).alias("line"), F.col("event_id").alias("seq"))
+    return events(spark, sf).select(choice_line(key, text).alias("line"), F.col("event_id").alias("seq"))
 
 
 def judge_text() -> Column:
@@ -95,7 +102,7 @@ def judge_text() -> Column:
 def judge_lines(spark: SparkSession, sf: str) -> DataFrame:
     key = F.concat(F.lit("judge_batch-"), F.col("event_id").cast("string"))
     line = F.to_json(F.struct(key.alias("request_id"), judge_text().alias("evaluation")))
-    return table(spark, sf, "events").select(line.alias("line"), F.col("event_id").alias("seq"))
+    return events(spark, sf).select(line.alias("line"), F.col("event_id").alias("seq"))
 
 
 def result_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,7 +110,7 @@ def result_lines(spark: SparkSession, sf: str) -> DataFrame:
     kind = (F.when(F.col("event_type") == "error", F.lit("errored"))
             .when(F.col("event_type") == "signup", F.lit("expired")).otherwise(F.lit("succeeded")))
     key = F.concat(F.lit("judge_batch-"), F.col("event_id").cast("string"))
-    return table(spark, sf, "events").select(
+    return events(spark, sf).select(
         result_line(key, kind, judge_text()).alias("line"), F.col("event_id").alias("seq"))
 
 

@@ -11,7 +11,7 @@ from tessera.operators import attribution, clean, models, representatives
 from tessera.operators.split import exact_split
 from tessera.plans import run as runs
 from tessera.plans.explain import explain
-from tessera.session import cut_lineage, lookup
+from tessera.session import cut_lineage, lookup, spread
 
 PARAMS = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3}
 SMALL_SPACE = {
@@ -22,7 +22,7 @@ SMALL_SPACE = {
 
 
 def _split(spark, sf):
-    return exact_split(cut_lineage(order_features(spark, sf), "features"))
+    return exact_split(spread(cut_lineage(order_features(spark, sf), "features")))
 
 
 def _fitted(spark, sf, kind="GBTClassifier"):
@@ -66,7 +66,7 @@ def _line_points(spark, sf):
     """Scaled line values as points; a key per line."""
     rows = table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), "l_quantity", "l_discount", "l_tax")
-    return cut_lineage(representatives.as_points(rows, ["l_quantity", "l_discount", "l_tax"]), "points")
+    return spread(cut_lineage(representatives.as_points(rows, ["l_quantity", "l_discount", "l_tax"]), "points"))
 
 
 def m5_k(spark, sf):

@@ -15,7 +15,7 @@ from tessera.config import FOLDS, SEED
 from tessera.operators import scoring
 from tessera.operators.clean import col
 from tessera.operators.split import stratified_folds
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, spread
 
 # Sweep parameter -> estimator parameter. ``reg_lambda`` has no counterpart.
 COMMON = {"max_depth": "maxDepth", "min_child_weight": "minInstancesPerNode", "random_state": "seed"}
@@ -90,7 +90,8 @@ def tune(train: DataFrame, features: list[str], target: str, trials: DataFrame,
     Spark job of its own over the folded table, which is written once.
     """
     rows = stratified_folds(train, target, k=folds, seed=seed)
-    folded = cut_lineage(with_vector(rows, features, target).select("fold", "features", "label"), "folds")
+    vectors = with_vector(rows, features, target).select("fold", "features", "label")
+    folded = spread(cut_lineage(vectors, "folds"))
     wanted = [r.asDict() for r in trials.collect()]
 
     def run(params: dict) -> list[tuple]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.config import MAX_CLUSTERS, SEED
 from tessera.functions.vectors import literal_array, norm_distance
 from tessera.operators.clean import col, zscore
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, spread
 
 # Euclidean silhouettes measure every row against every other row. They serve tables of at most
 # this many rows; the squared form takes linear time and serves the rest whole.
@@ -131,7 +131,7 @@ def diverse_examples(attributions: DataFrame, max_clusters: int = MAX_CLUSTERS,
     if "idx" not in attributions.columns:
         raise KeyError("an attribution table must have an 'idx' column")
     names = [c for c in attributions.columns if c != "idx"]
-    points = cut_lineage(as_points(attributions, names), "points")
+    points = spread(cut_lineage(as_points(attributions, names), "points"))
     fits = fit_range(points, max_clusters, seed)
     k = best_k({n: f[2] for n, f in fits.items()})
     clustered, centres = fits[k][:2] if k in fits else fit_clusters(points, k, seed)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.config import FOLDS, SEED, TEST_FRACTION, TRIALS
 from tessera.operators import attribution, checks, models, scoring, split, trials
 from tessera.operators.clean import features_of
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, spread
 
 
 @dataclass
@@ -36,7 +36,7 @@ def explain(prepared: DataFrame, target: str, space: dict[str, dict],
     training rows. Given ``labels``, the table must meet the dataset contract."""
     spark = prepared.sparkSession
     features = features_of(prepared, target)
-    written = cut_lineage(prepared, "prepared")
+    written = spread(cut_lineage(prepared, "prepared"))
     if labels is not None:
         checks.require_dataset(written, target, labels)
     table = split.exact_split(written, fraction=fraction, seed=seed)

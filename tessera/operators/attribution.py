@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -150,19 +150,20 @@ def attributions(model: Model, df: DataFrame, features: list[str], key: str = "i
                  leaves: list[Leaf] | None = None) -> DataFrame:
     """``key`` and one attribution per feature for every row of ``df``."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(leaves_of(model, spark) if leaves is None else leaves)
+    found = leaves_of(model, spark) if leaves is None else leaves
+    shared = spark.sparkContext.broadcast([astuple(leaf) for leaf in found])
     width = len(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables: dict[int, np.ndarray] = {}
+        mine, tables = [Leaf(*parts) for parts in shared.value], {}
         for batch in batches:
             x = np.stack(batch["x"].to_numpy()).astype(float) if len(batch) else np.empty((0, width))
-            effects = row_effects(x, shared.value, tables)
+            effects = row_effects(x, mine, tables)
             yield pd.DataFrame({"k": batch["k"], "v": list(effects)})
     key_type = df.schema[key].dataType.simpleString()
     rows = df.select(col(key).alias("k"), F.array(*[col(c).cast("double") for c in features]).alias("x"))
-    found = rows.mapInPandas(run, f"k {key_type}, v array<double>")
-    return found.select(F.col("k").alias(key), *[F.col("v")[i].alias(c) for i, c in enumerate(features)])
+    parts = rows.mapInPandas(run, f"k {key_type}, v array<double>")
+    return parts.select(F.col("k").alias(key), *[F.col("v")[i].alias(c) for i, c in enumerate(features)])
 
 
 def margins(model: Model, df: DataFrame, features: list[str], key: str = "idx") -> DataFrame:

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, resharding, topk
-from tessera.session import cut_lineage
+from tessera.llm import language, mixing, quality, resharding, simhash, topk
+from tessera.llm.texts import fold
+from tessera.session import cut_lineage, spread
 
 OLD_SHARDS = 20
 NEW_SHARDS = 24
+ACCEPT = 0.3
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf, "labels"), fold("doc_id") != 0)
+    scored = spread(docs).withColumn("score", quality.scorer(model)("text"))
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score",
+                         (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+
+
 def op4_reshard(spark: SparkSession, sf: str) -> DataFrame:
     """From 20 shards by text hash, uneven where texts have many copies, to 24 of equal bytes."""
     old = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(OLD_SHARDS))
@@ -25,6 +35,14 @@ def op4_reshard(spark: SparkSession, sf: str) -> DataFrame:
                        "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs, fold("doc_id") != 0)
+    found = language.predicted(spread(docs.select("doc_id", "text")), model)
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("_lang_pred").alias("lang_pred"),
+                        F.col("_lang_score").alias("score"))
+
+
 def op6_mix(spark: SparkSession, sf: str) -> DataFrame:
     rows = mixing.mixed(table(spark, sf, "documents"))
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
@@ -32,12 +50,17 @@ def op6_mix(spark: SparkSession, sf: str) -> DataFrame:
                        F.col("_copies").alias("copies"))
 
 
+def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = topk.scaled(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, F.col("id") % 100 == 0, 10)
 
 
-QUERIES = {"op4_reshard": op4_reshard, "op6_mix": op6_mix, "op8_topk": op8_topk}
+QUERIES = {"op2_quality": op2_quality, "op4_reshard": op4_reshard, "op5_language": op5_language, "op6_mix": op6_mix,
+           "op7_simhash": op7_simhash, "op8_topk": op8_topk}
 
 SQL = {
     "op6_mix": """

@@ -2,9 +2,10 @@
 
 For every dimension a slice of the candidates is a sorted list. A query reads its lists in
 parallel from the better end. A candidate's upper bound takes the list's current value for each
-dimension not yet read, its lower bound the list's last value. When fewer than ``RESOLVE``
+dimension not yet read, its lower bound the list's last value. When at most ``RESOLVE``
 candidates have an upper bound that reaches the k-th best lower bound, no outsider can qualify;
-the final scores of those left are then resolved.
+the final scores of those left are then resolved. The queries of a block share the reading, and
+their bounds are matrix products.
 
 Queries and candidates meet in blocks of bounded size, one task each, and a slice gives at most k
 rows for a query. Scores are exact integers: components are scaled and rounded down first.
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 SLICE_ROWS = 8192
 BLOCK_QUERIES = 256
-ROUNDS = 16
 RESOLVE = 64
+# Shares of the lists after which bounds are compared.
+DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 13 / 16, 7 / 8, 15 / 16, 1)
 
 
 def scaled(vectors: DataFrame, key: str, vector: str, scale: float = 1024.0) -> DataFrame:
@@ -37,40 +39,46 @@ def scaled(vectors: DataFrame, key: str, vector: str, scale: float = 1024.0) ->
         F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
 
 
-def sorted_lists(matrix: np.ndarray) -> np.ndarray:
-    """Row numbers of each column in ascending order of its values."""
-    return np.argsort(matrix, axis=0, kind="stable")
-
-
-def search(query: np.ndarray, own: np.ndarray, matrix: np.ndarray, lists: np.ndarray, ids: np.ndarray,
-           k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and scores of the k best of a slice; ``own`` marks rows that are no candidates."""
-    used = np.flatnonzero(query)
-    rows = len(matrix)
-    alive = ~own
-    if used.size and alive.sum() > max(k, RESOLVE):
-        # Each list from its better end: downwards where the weight is positive, else upwards.
-        order = np.where(query[used] > 0, lists[::-1, used], lists[:, used])
-        gains = np.take_along_axis(matrix[:, used], order, axis=0) * query[used]
-        worst = gains[-1].astype(float)
-        unread = np.ones((rows, used.size))
-        total = np.zeros(rows)
-        step = max(1, math.ceil(rows / ROUNDS))
-        columns = np.broadcast_to(np.arange(used.size), (step, used.size))
-        for at in range(0, rows, step):
-            part, gain = order[at:at + step], gains[at:at + step]
-            total += np.bincount(part.ravel(), weights=gain.ravel(), minlength=rows)
-            unread[part, columns[:len(part)]] = 0.0
-            bounds = unread @ np.stack([gain[-1].astype(float), worst], axis=1)
-            upper, lower = total + bounds[:, 0], np.where(own, -np.inf, total + bounds[:, 1])
-            kth = np.partition(lower, rows - k)[rows - k]
-            alive &= upper >= kth
-            if alive.sum() <= max(k, RESOLVE):
-                break
-    left = np.flatnonzero(alive)
-    scores = matrix[left] @ query
-    best = np.lexsort((ids[left], -scores))[:k]
-    return left[best], scores[best]
+def search(names: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray,
+           k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows and scores of the k best of a slice, without rows of the query's name.
+
+    All lists are read to the same depth from both ends; a query uses the upper end of a list where
+    its weight is positive, else the lower end. A query leaves when its outcome is certain.
+    """
+    rows, length = matrix.shape
+    order = np.argsort(matrix, axis=0, kind="stable")
+    values = np.take_along_axis(matrix, order, axis=0).astype(float)
+    columns = np.arange(length)
+    high, low = np.zeros(matrix.shape), np.zeros(matrix.shape)  # values read from the upper and the lower end
+    high_open, low_open = np.ones(matrix.shape), np.ones(matrix.shape)
+    up, down = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
+    found: list = [None] * len(names)
+    left, before = np.arange(len(names)), 0
+    for share in DEPTHS:
+        depth = max(1, math.ceil(rows * share))
+        if not len(left) or depth <= before:
+            continue
+        for read, still_open, part in ((high, high_open, slice(rows - depth, rows - before)), (low, low_open, slice(before, depth))):
+            read[order[part], columns] = values[part]
+            still_open[order[part], columns] = 0.0
+        before = depth
+        plus, minus = up[left], down[left]
+        sure = plus @ high.T + minus @ low.T
+        upper = sure + (plus * values[rows - depth]) @ high_open.T + (minus * values[depth - 1]) @ low_open.T
+        lower = sure + (plus * values[0]) @ high_open.T + (minus * values[-1]) @ low_open.T
+        own = names[left, None] == ids
+        lower[own] = -np.inf
+        kth = np.partition(lower, rows - k, axis=1)[:, rows - k] if rows > k else np.full(len(left), -np.inf)
+        alive = (upper >= kth[:, None]) & ~own
+        certain = (alive.sum(axis=1) <= max(k, RESOLVE)) | (depth == rows)
+        for j in np.flatnonzero(certain):
+            rest = np.flatnonzero(alive[j])
+            scores = matrix[rest] @ queries[left[j]]
+            best = np.lexsort((ids[rest], -scores))[:k]
+            found[left[j]] = rest[best], scores[best]
+        left = left[~certain]
+    return found
 
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -87,10 +95,8 @@ def _slice_search(k: int):
         names, ids = queries.column("id").to_numpy(), slice_rows.column("id").to_numpy()
         if not len(names) or not len(ids):
             return schema.empty_table()
-        lists, found = sorted_lists(matrix), []
-        for name, query in zip(names, wanted):
-            rows, scores = search(query, ids == name, matrix, lists, ids, k)
-            found.append((np.full(len(rows), name), ids[rows], scores))
+        found = [(np.full(len(rows), name), ids[rows], scores)
+                 for name, (rows, scores) in zip(names, search(names, wanted, ids, matrix, k))]
         return pa.table([np.concatenate(c) for c in zip(*found)], schema=schema)
 
     return task

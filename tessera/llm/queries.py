@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, mixing, quality, resharding, simhash, topk
+from tessera.llm import ctw, language, mixing, quality, resharding, simhash, topk
 from tessera.llm.texts import fold
 from tessera.session import cut_lineage, spread
 
@@ -26,6 +26,12 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
                          (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def op3_ctw(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ctw.score(table(spark, sf, "documents"), fold("doc_id") != 1)
+    return rows.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                       "score", "n_bytes")
+
+
 def op4_reshard(spark: SparkSession, sf: str) -> DataFrame:
     """From 20 shards by text hash, uneven where texts have many copies, to 24 of equal bytes."""
     old = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(OLD_SHARDS))
@@ -59,7 +65,8 @@ def op8_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, F.col("id") % 100 == 0, 10)
 
 
-QUERIES = {"op2_quality": op2_quality, "op4_reshard": op4_reshard, "op5_language": op5_language, "op6_mix": op6_mix,
+QUERIES = {"op2_quality": op2_quality, "op3_ctw": op3_ctw, "op4_reshard": op4_reshard,
+           "op5_language": op5_language, "op6_mix": op6_mix,
            "op7_simhash": op7_simhash, "op8_topk": op8_topk}
 
 SQL = {

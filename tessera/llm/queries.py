@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ctw, language, mixing, quality, resharding, simhash, topk
+from tessera.llm import ctw, editprint, language, licenses, mixing, quality, resharding, segmentation, simhash, topk
 from tessera.llm.texts import fold
 from tessera.session import cut_lineage, spread
 
@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_sample_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    rows = segmentation.encoded(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
+    back = segmentation.decoded(rows, F.col("_ids"))
+    return back.select("doc_id", F.col("_ids").alias("ids"), F.size("_ids").alias("n_pieces"),
+                       F.col("_log_prob").alias("log_prob"), F.col("_decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf, "labels"), fold("doc_id") != 0)
@@ -65,11 +72,23 @@ def op8_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, F.col("id") % 100 == 0, 10)
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_ctw": op3_ctw, "op4_reshard": op4_reshard,
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scanned(spread(table(spark, sf, "documents").select("doc_id", "text")))
+    return found.select("doc_id", F.array_join("_licenses", ",").alias("licenses"),
+                        F.array_join("_sentences", ",").alias("sentence_ids"), F.col("_unknown").alias("unknown"))
+
+
+def op10_edit_prints(spark: SparkSession, sf: str) -> DataFrame:
+    return editprint.compared(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_sample_pieces": op1_sample_pieces, "op2_quality": op2_quality,
+           "op3_ctw": op3_ctw, "op4_reshard": op4_reshard,
            "op5_language": op5_language, "op6_mix": op6_mix,
-           "op7_simhash": op7_simhash, "op8_topk": op8_topk}
+           "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_licenses": op9_licenses, "op10_edit_prints": op10_edit_prints}
 
 SQL = {
+    "op9_licenses": licenses.sql(),
     "op6_mix": """
 WITH body AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 words AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM body),

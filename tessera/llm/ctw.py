@@ -41,7 +41,8 @@ from tessera.session import cut_lineage
 DEPTH = 5
 EDGE = 0xFF
 BITS = 8
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
+PIECE_BYTES = 2_000_000
 PREFIX_BITS = 8 * (DEPTH - 1)  # of a code's low bits, below the two nearest context bytes
 LOG2 = math.log(2.0)
 
@@ -268,7 +269,7 @@ def _asks(table: pa.Table) -> pa.Table:
     """Each n-gram and word of a block once, with its count in training texts, by parts."""
     learn = table.column("learn").combine_chunks().to_numpy(zero_copy_only=False).astype(np.uint64)
     keys, counts, tokens, seen = [], [], [], 0
-    for piece in pieces(table.column("text").combine_chunks()):
+    for piece in pieces(table.column("text").combine_chunks(), PIECE_BYTES):
         flags = learn[seen:seen + len(piece)]
         seen += len(piece)
         code, owner = codes(piece)
@@ -407,7 +408,7 @@ def _scores(n: int, v: int, ends: int, key_type: pa.DataType):
         known = pa.array([w for r in rows if r["kind"] == "w" for w in unpack_words(r["keys"], r["length"])], pa.large_string())
         counts = np.concatenate([np.zeros(0, np.uint64), *(unpack(r["found"], r["size"]) for r in rows if r["kind"] == "w")])
         parts = []
-        for piece in pieces(texts.column("text").combine_chunks()):
+        for piece in pieces(texts.column("text").combine_chunks(), PIECE_BYTES):
             code, owner = codes(piece)
             code = (code << np.uint64(16)) | owner.astype(np.uint64)
             code.sort()

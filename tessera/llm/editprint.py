@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 PERIOD = 1 << 14
 KINDS = 64
-SAMPLES = 32
+SAMPLES = 64
 OCTAVES = 44
 SCALAR = 64
 BANDS = 8

@@ -50,7 +50,7 @@ def vote_text(label: str) -> Column:
     return by_type(
         click=F.concat(F.lit("Thinking... FINAL PREDICTION: "), parity),
         view=F.concat(F.lit("Maybe FINAL PREDICTION: 1 or FINAL PREDICTION: "), parity),
-        signup=F.lit("FINAL PREDICTION: no number here"),
+        signup=F.lit("FINAL PREDICTION: undecided"),
         purchase=F.concat(F.lit("The answer is "), parity))
 
 
@@ -79,13 +79,23 @@ def single_lines(spark: SparkSession, sf: str, kind: str = "zero-shot", key: str
 def reasoning_lines(spark: SparkSession, sf: str) -> DataFrame:
     words = F.concat(F.lit("thoughts</think><REASONING> Because user "), F.col("user_id").cast("string"),
                      F.lit(" did it \n</REASONING>"))
-    text = by_type(click=words, view=F.lit("Missing </think> delimiter"),
-                   signup=F.lit("Has </think> but missing <REASONING>"),
+    text = by_type(click=words, view=F.lit("thoughts end </think> and nothing follows"),
+                   signup=F.lit("thoughts end </think> <REASONING>"),
                    purchase=F.lit("<REASONING>no end of thought</REASONING>"))
     key = F.concat(F.lit("reasoning_batch-"), F.col("event_id").cast("string"))
     return events(spark, sf).select(choice_line(key, text).alias("line"), F.col("event_id").alias("seq"))
 
 
+def silenced(lines: DataFrame, line: Column) -> DataFrame:
+    """``lines`` and, for each event, a later line to the same key without a text; it must change nothing."""
+    return lines.unionByName(lines.select(line.alias("line"), (F.col("seq") + 10**15).alias("seq")))
+
+
+def key_of(field: str) -> Column:
+    """A request id taken back from its response line."""
+    return F.get_json_object("line", f"$.{field}")
+
+
 def judge_text() -> Column:
     q = (1 + (F.col("user_id") % 17) * 0.25).cast("string")
     q2 = (1 + (F.col("event_id") % 17) * 0.25).cast("string")
@@ -140,7 +150,7 @@ def order_features(spark: SparkSession, sf: str) -> DataFrame:
 SQL_TEXT = """CASE event_type
     WHEN 'click' THEN 'Thinking... FINAL PREDICTION: ' || CAST({label} % 2 AS VARCHAR)
     WHEN 'view' THEN 'Maybe FINAL PREDICTION: 1 or FINAL PREDICTION: ' || CAST({label} % 2 AS VARCHAR)
-    WHEN 'signup' THEN 'FINAL PREDICTION: no number here'
+    WHEN 'signup' THEN 'FINAL PREDICTION: undecided'
     WHEN 'purchase' THEN 'The answer is ' || CAST({label} % 2 AS VARCHAR)
     ELSE '' END"""
 

@@ -2,53 +2,70 @@
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.inputs import FEATURES, candidate_line, choice_line, order_features, result_line, table
 from catalog.scoring import f1_sql, rounded
-from tessera.config import ModelSpec
-from tessera.operators import attribution, clean, models, representatives
+from tessera.config import TRIALS, ModelSpec
+from tessera.operators import attribution, models, representatives, trials
 from tessera.operators.split import exact_split
 from tessera.plans import run as runs
 from tessera.plans.explain import explain
-from tessera.session import cut_lineage, lookup, spread
-
-PARAMS = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3}
-SMALL_SPACE = {
-    "learning_rate": {"distribution": "log_uniform_values", "min": 0.05, "max": 0.5},
-    "max_depth": {"distribution": "int_uniform", "min": 2, "max": 3},
-    "n_estimators": {"value": 3},
+from tessera.session import cut_lineage, spread
+
+PARAMS = {"n_estimators": 20, "max_depth": 5, "learning_rate": 0.1}
+SWEEP = {
+    "max_depth": {"distribution": "int_uniform", "min": 2, "max": 6},
+    "n_estimators": {"values": [10, 20, 30]},
+    "subsample": {"distribution": "uniform", "min": 0.5, "max": 1.0},
+    "min_child_weight": {"values": [1, 2, 4, 8]},
+    "random_state": {"value": 42},
 }
+FOREST = "RandomForestClassifier"
 
 
 def _split(spark, sf):
-    return exact_split(spread(cut_lineage(order_features(spark, sf), "features")))
+    rows = exact_split(spread(cut_lineage(order_features(spark, sf), "features")))
+    return spread(cut_lineage(rows, "split"))
 
 
-def _fitted(spark, sf, kind="GBTClassifier"):
+def _fitted(spark, sf, kind="GBTClassifier", params=None):
     rows = _split(spark, sf)
     train = rows.filter("split = 'train'")
-    return rows, train, models.fit(models.make_estimator(kind, PARAMS), train, FEATURES, "y")
+    return rows, train, models.fit(models.make_estimator(kind, params or PARAMS), train, FEATURES, "y")
 
 
 def m1_fit(spark, sf):
+    """Per split: rows, and predictions that are not the sign of the model's margin."""
     rows, _, model = _fitted(spark, sf)
-    return models.predict(model, rows, FEATURES, ["idx", "split"])
+    found = models.predict(model, rows, FEATURES, ["idx", "split"]).join(
+        attribution.margins(model, rows, FEATURES), "idx")
+    wrong = F.count_if((F.col("margin") > 0).cast("long") != F.col("prediction"))
+    return found.groupBy("split").agg(F.count(F.lit(1)).alias("n"), wrong.alias("off"))
 
 
 def m2_importance(spark, sf):
-    _, train, model = _fitted(spark, sf, "RandomForestClassifier")
-    return models.importances(model, train, FEATURES)
+    """A row for each feature, in order; none is negative and they add up to 1."""
+    _, train, model = _fitted(spark, sf, FOREST, {"n_estimators": 20, "max_depth": 5})
+    rows = models.importances(model, train, FEATURES)
+    total = F.sum("importance").over(Window.partitionBy())  # a row for each feature
+    return rows.select("feature", "position", (F.col("importance") >= 0).alias("valid"), F.round(total, 9).alias("total"))
 
 
 def m3_shap(spark, sf):
+    """The training rows, each with a number for every feature."""
     _, train, model = _fitted(spark, sf)
-    return attribution.attributions(model, train, FEATURES)
+    found = attribution.attributions(model, train, FEATURES)
+    whole = F.lit(True)
+    for name in FEATURES:
+        whole = whole & F.col(name).isNotNull() & ~F.isnan(name)
+    return found.select("idx", whole.alias("whole"))
 
 
 def m3_additivity(spark, sf):
-    """Attributions and base value add up to the model's margin on every training row."""
-    _, train, model = _fitted(spark, sf)
+    """Attributions and base value of 100 deep trees add up to the model's output on every training row."""
+    _, train, model = _fitted(spark, sf, FOREST, {"n_estimators": 100, "max_depth": 6})
     leaves = attribution.leaves_of(model, spark)
     parts = attribution.attributions(model, train, FEATURES, leaves=leaves)
     total = sum((F.col(c) for c in FEATURES), F.lit(attribution.base_value(leaves)))
@@ -57,20 +74,28 @@ def m3_additivity(spark, sf):
 
 
 def m4_tune(spark, sf):
+    """Ten trials on five folds each; scores are shares."""
     train = _split(spark, sf).filter("split = 'train'")
-    trials = spark.createDataFrame([(0, 2, 0.1, 3), (1, 3, 0.3, 3)], "trial long, max_depth int, learning_rate double, n_estimators int")
-    return models.tune(train, FEATURES, "y", trials, folds=2, parallelism=2)
+    drawn = trials.sample_trials(spark.range(TRIALS).withColumnRenamed("id", "trial"), SWEEP)
+    found = models.tune(train, FEATURES, "y", drawn, FOREST)
+    valid = F.col("accuracy").between(0, 1) & F.col("macro_f1").between(0, 1)
+    return found.select("trial", "fold", valid.alias("valid"))
 
 
-def _line_points(spark, sf):
-    """Scaled line values as points; a key per line."""
-    rows = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), "l_quantity", "l_discount", "l_tax")
-    return spread(cut_lineage(representatives.as_points(rows, ["l_quantity", "l_discount", "l_tax"]), "points"))
+def _groups(spark, sf):
+    """Two columns of each vector, shifted by its label so far that every label is a group of its own."""
+    label = F.col("label").cast("double")
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("idx"), (label % 4 * 40 + F.col("embedding")[0]).alias("a"),
+        (F.floor(label / 4) * 40 + F.col("embedding")[1]).alias("b"))
 
 
 def m5_k(spark, sf):
-    return representatives.choose_k(_line_points(spark, sf), 4)
+    """All numbers of clusters tried, and the best: that of the groups."""
+    points = spread(cut_lineage(representatives.as_points(_groups(spark, sf), ["a", "b"]), "points"))
+    scores = representatives.choose_k(points)
+    best = representatives.best_k({r["k"]: r["silhouette"] for r in scores.collect()})
+    return scores.select("k", (F.col("k") == best).alias("best"))
 
 
 def _labelled(spark, sf):
@@ -83,7 +108,7 @@ def m6_medoid(spark, sf):
     """Medoids of the label groups around each group's mean; as many means as labels."""
     points = _labelled(spark, sf)
     means = points.groupBy("cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("point"))).alias("centre"))
-    found = representatives.medoids(lookup(points, means, ["cluster"]), F.col("centre"))
+    found = representatives.medoids(points.join(means, "cluster"), F.col("centre"))
     return found.select("cluster", "idx", F.round("distance", 6).alias("distance"))
 
 
@@ -95,19 +120,23 @@ def a11_silhouette(spark, sf):
 
 
 def m7_diverse(spark, sf):
-    rows = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), "l_quantity", "l_discount")
-    return representatives.diverse_examples(rows, 3)
+    """The row nearest the centre of each group."""
+    return representatives.diverse_examples(_groups(spark, sf)).select("idx", F.round("distance", 6).alias("distance"))
 
 
 def _explained(spark, sf):
-    return explain(order_features(spark, sf), "y", SMALL_SPACE, n_trials=2, folds=2)
+    return explain(order_features(spark, sf), "y", SWEEP, FOREST)
 
 
 def m8_explain(spark, sf):
-    """Training rows with split, prediction and attributions."""
+    """Per split: rows, predictions and attributed rows; only training rows are attributed."""
     found = _explained(spark, sf)
-    return found.predictions.join(found.attributions, "idx")
+    parts = found.table.select("idx", "split").join(
+        found.predictions.select("idx", F.col("split").alias("predicted_in"), "prediction"), "idx", "left").join(
+        found.attributions.select("idx", F.lit(1).alias("attributed")), "idx", "left")
+    return parts.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted_in") == F.col("split")).alias("predicted"),
+        F.count("attributed").alias("attributed"))
 
 
 def _idx(key):
@@ -143,17 +172,22 @@ def v7_baseline(spark, sf):
 
 
 def v8_run(spark, sf):
-    """The end-to-end run with every option, under neutral names."""
+    """The end-to-end run with every option, under neutral names; the tree model has no scores here."""
     e, task = runs.mask(_explained(spark, sf), "y")
     specs = runs.Models(ModelSpec("model-a", 0.6, 4096), ModelSpec("model-c", 0.6, 4096), CLASSIFIER)
     found = runs.run(e, task, specs, offline_answers, with_baseline=True, with_judge=True, with_stepwise=True)
-    return found.scores
+    own = F.col("strategy") == runs.MODEL  # follows from the fit alone
+    scores = rounded(found.scores).withColumns({c: F.when(~own, F.col(c)) for c in ("accuracy", "macro_f1")})
+    return scores.select("strategy", "accuracy", "macro_f1", "n")
 
 
 QUERIES = {f.__name__: f for f in (
     m1_fit, m2_importance, m3_shap, m3_additivity, m4_tune, m5_k, m6_medoid, a11_silhouette, m7_diverse, m8_explain,
     v7_baseline, v8_run)}
 
+SPLITS = """orders_y AS (SELECT l_orderkey AS idx, CAST(max(CAST(l_returnflag = 'R' AS INT)) AS BIGINT) AS y FROM lineitem GROUP BY 1),
+  splits AS (SELECT idx, y, CASE WHEN r <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split FROM (
+    SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('42:' || idx), idx) AS r FROM orders_y))"""
 POINTS = "pts AS (SELECT vec_id AS idx, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 SCORED = """rs AS (SELECT c_custkey AS idx, CAST(c_acctbal > 0 AS BIGINT) AS y FROM customer),
   scored AS (SELECT unnest(['zero-shot-prompting', 'zero-shot-cot']) AS strategy, idx % 2 AS prediction, y FROM (
@@ -161,8 +195,29 @@ SCORED = """rs AS (SELECT c_custkey AS idx, CAST(c_acctbal > 0 AS BIGINT) AS y F
     WHERE r <= ceil(CAST(0.2 AS DOUBLE) * n))"""
 
 SQL = {
-    "m3_additivity": """WITH o AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem)
-        SELECT n - CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT) AS n, 0 AS off FROM o""",
+    "m1_fit": f"""WITH {SPLITS} SELECT split, count(*) AS n, 0 AS off FROM splits GROUP BY split""",
+    "m2_importance": """SELECT unnest(['quantity', 'price', 'discount', 'lines', 'late']) AS feature,
+        unnest([0, 1, 2, 3, 4]) AS position, count(*) > 0 AS valid, 1.0::DOUBLE AS total FROM lineitem""",
+    "m3_shap": f"WITH {SPLITS} SELECT idx, true AS whole FROM splits WHERE split = 'train'",
+    "m3_additivity": f"WITH {SPLITS} SELECT count(*) AS n, 0 AS off FROM splits WHERE split = 'train'",
+    "m4_tune": """SELECT t.range AS trial, CAST(f.range AS INT) AS fold, (SELECT count(*) FROM lineitem) > 0 AS valid
+        FROM range(10) t, range(5) f""",
+    "m5_k": """SELECT CAST(range AS INT) AS k, range = (SELECT count(DISTINCT label) FROM embeddings) AS best FROM range(2, 11)""",
+    "m7_diverse": """WITH g AS (SELECT vec_id AS idx, label, CAST(label % 4 * 40 + CAST(embedding[1] AS DOUBLE) AS DOUBLE) AS a,
+          CAST(label // 4 * 40 + CAST(embedding[2] AS DOUBLE) AS DOUBLE) AS b FROM embeddings),
+        z AS (SELECT idx, label, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b FROM g),
+        d AS (SELECT idx, label, sqrt(power(a - avg(a) OVER p, 2) + power(b - avg(b) OVER p, 2)) AS distance FROM z
+          WINDOW p AS (PARTITION BY label))
+        SELECT idx, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, idx) AS r
+          FROM d) WHERE r = 1""",
+    "m8_explain": f"""WITH {SPLITS} SELECT split, count(*) AS n, count(*) AS predicted,
+        count(*) FILTER (WHERE split = 'train') AS attributed FROM splits GROUP BY split""",
+    "v8_run": f"""WITH {SPLITS}, scored AS (SELECT unnest(['guided-few-shot', 'zero-shot-prompting', 'zero-shot-cot']) AS strategy,
+          idx % 2 AS prediction, y FROM splits WHERE split = 'test'), {f1_sql('scored', 'strategy')}
+        SELECT strategy, round(avg(CAST(y = prediction AS INT)), 6) AS accuracy,
+          round((SELECT avg(f1) FROM f1 WHERE f1.strategy = s.strategy), 6) AS macro_f1, count(*) AS n
+        FROM scored s GROUP BY strategy
+        UNION ALL SELECT 'tree-model', NULL, NULL, count(*) FROM splits WHERE split = 'test'""",
     "m6_medoid": f"""WITH {POINTS}, dims AS (SELECT cluster, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM pts),
         means AS (SELECT cluster, list(m ORDER BY d) AS c FROM (SELECT cluster, d, avg(x) AS m FROM dims GROUP BY ALL) GROUP BY cluster),
         dist AS (SELECT p.cluster, idx, list_distance(v, c) AS distance FROM pts p JOIN means m ON p.cluster = m.cluster)

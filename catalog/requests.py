@@ -138,11 +138,16 @@ def g11_replay(spark, sf):
 
 
 def g11_infer(spark, sf):
-    """A client that answers with the number of characters of the request."""
+    """A client that answers with the number of characters of the request, and is too busy for odd numbers."""
+    def answer(line):
+        if len(line) % 2:
+            raise TimeoutError(f"busy with {len(line)}")
+        return str(len(line))
+
     asked = _lines(_short(spark, sf).select(
         requests.judge_id(F.col("idx")).alias("key"),
         requests.params_envelope(requests.judge_id(F.col("idx")), F.col("prompt"), MODEL).alias("request")))
-    return requests.infer(asked, lambda: lambda line: str(len(line)), 4)
+    return requests.infer(asked, lambda: answer, 4)
 
 
 def g12_zero_shot(spark, sf):
@@ -234,9 +239,11 @@ SQL = {
     "g11_replay": """SELECT 'baseline_zero-shot_batch-' || c_custkey AS key, CASE WHEN event_id IS NOT NULL
         THEN 'answer ' || user_id END AS response, CASE WHEN event_id IS NULL THEN 'missing' ELSE 'done' END AS status
         FROM customer LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') ON event_id = c_custkey""",
-    "g11_infer": f"""WITH {ROWS} SELECT 'judge_batch-' || idx AS key, CAST(length(CAST(json_object('custom_id', 'judge_batch-' || idx,
+    "g11_infer": f"""WITH {ROWS}, sent AS (SELECT 'judge_batch-' || idx AS key, length(CAST(json_object('custom_id', 'judge_batch-' || idx,
         'params', json_object('model', 'model-a', 'max_tokens', 4096, 'temperature', CAST(0.6 AS DOUBLE),
-        'messages', [json_object('role', 'user', 'content', {SAY})])) AS VARCHAR)) AS VARCHAR) AS line FROM rs""",
+        'messages', [json_object('role', 'user', 'content', {SAY})])) AS VARCHAR)) AS n FROM rs)
+        SELECT key, CASE WHEN n % 2 = 0 THEN CAST(n AS VARCHAR) END AS line, CASE WHEN n % 2 = 0 THEN 'done' ELSE 'failed' END AS status,
+          CASE WHEN n % 2 = 1 THEN 'TimeoutError: busy with ' || n END AS error FROM sent""",
     "g12_zero_shot": f"""WITH {ROWS}, {SPLIT}, {SEEN} SELECT 'baseline_zero-shot_batch-' || idx AS key,
         {contents_sql(chr(39) + 'baseline_zero-shot_batch-' + chr(39) + ' || idx', text_sql(prompts.ZERO_SHOT, LABELED | {"labels": "labels"}), 0)} AS line
         FROM tested, seen""",

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from catalog.inputs import (SQL_JUDGE, SQL_TEXT, judge_lines, reasoning_lines, result_lines,
-                            single_lines, sql_first_int, sql_votes, table, vote_lines)
+from catalog.inputs import (SQL_JUDGE, SQL_TEXT, candidate_line, choice_line, judge_lines, key_of, reasoning_lines,
+                            result_lines, silenced, single_lines, sql_first_int, sql_votes, table, vote_lines)
 from tessera.functions.text import first_int
 from tessera.operators import checks, parse, scoring
 from tessera.sources import responses as source
@@ -12,24 +12,38 @@ LAST_PIECE = "list_extract(string_split(text, 'FINAL PREDICTION:'), -1)"
 RAW = f"raw AS (SELECT event_id, user_id, event_type, {SQL_TEXT.format(label='user_id')} AS text FROM events)"
 
 
+def _silent_line():
+    return candidate_line(key_of("key"), F.lit("STOP"), F.lit(None).cast("string"))
+
+
 def r1_plain(spark, sf):
     return parse.plain_labels(source.candidates(single_lines(spark, sf)))
 
 
 def r2_reasoning(spark, sf):
-    return parse.reasoning(source.choices(reasoning_lines(spark, sf)))
+    """Refused answers, with null content, are left out."""
+    lines = silenced(reasoning_lines(spark, sf), choice_line(key_of("custom_id"), F.lit(None).cast("string")))
+    return parse.reasoning(source.choices(lines))
+
+
+def a12_guard(spark, sf):
+    """Parsed reasoning passes the guard, which raises on none."""
+    return parse.require_reasoning(parse.reasoning(source.choices(reasoning_lines(spark, sf))))
 
 
 def r3_judge(spark, sf):
-    return scoring.score_rows(parse.judge_scores(source.evaluations(judge_lines(spark, sf))), ["idx"])
+    lines = judge_lines(spark, sf)
+    lines = silenced(lines, F.to_json(F.struct(key_of("request_id").alias("request_id"))))
+    return scoring.score_rows(parse.judge_scores(source.evaluations(lines)), ["idx"])
 
 
 def r4_step(spark, sf):
-    return parse.stepwise_labels(source.candidates(single_lines(spark, sf, "zero-shot-cot")))
+    lines = single_lines(spark, sf, "zero-shot-cot")
+    return parse.stepwise_labels(source.candidates(silenced(lines, _silent_line())))
 
 
 def r5_vote(spark, sf):
-    return parse.agent_labels(source.candidates(vote_lines(spark, sf)))
+    return parse.agent_labels(source.candidates(silenced(vote_lines(spark, sf), _silent_line())))
 
 
 def r5_vote_once(spark, sf):
@@ -110,7 +124,7 @@ def g10_ids(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    r1_plain, r2_reasoning, r3_judge, r4_step, r5_vote, r5_vote_once, r6_first_int, r7_last_write,
+    r1_plain, r2_reasoning, a12_guard, r3_judge, r4_step, r5_vote, r5_vote_once, r6_first_int, r7_last_write,
     r8_quarantine, a5_mode, a7_interrupted, p12_stop_only, s8_parse, s9_parse, s10_parse, a8_triage,
     a8_succeeded, a6_judge_mean, d2_scores, g10_ids)}
 
@@ -132,6 +146,9 @@ SQL = {
     "r2_reasoning": """SELECT event_id AS idx, CASE event_type
         WHEN 'click' THEN 'Because user ' || CAST(user_id AS VARCHAR) || ' did it' ELSE '' END AS reasoning
         FROM events WHERE event_type IN ('click', 'signup')""",
+    "a12_guard": """SELECT event_id AS idx, CASE event_type
+        WHEN 'click' THEN 'Because user ' || CAST(user_id AS VARCHAR) || ' did it' ELSE '' END AS reasoning
+        FROM events WHERE event_type IN ('click', 'signup')""",
     "r3_judge": f"""WITH {SQL_JUDGE_TEXT},
         pieces AS (SELECT event_id, string_split(text, 'EVALUATION:')[2] AS js FROM judge_texts),
         ok AS (SELECT event_id, js FROM pieces WHERE js IS NOT NULL AND json_valid(js)),
@@ -161,8 +178,8 @@ SQL = {
         {SQL_TEXT.format(label='user_id')} AS text FROM events""",
     "s9_parse": """SELECT 'reasoning_batch-' || event_id AS key, CASE event_type
         WHEN 'click' THEN 'thoughts</think><REASONING> Because user ' || user_id || ' did it ' || chr(10) || '</REASONING>'
-        WHEN 'view' THEN 'Missing </think> delimiter'
-        WHEN 'signup' THEN 'Has </think> but missing <REASONING>'
+        WHEN 'view' THEN 'thoughts end </think> and nothing follows'
+        WHEN 'signup' THEN 'thoughts end </think> <REASONING>'
         WHEN 'purchase' THEN '<REASONING>no end of thought</REASONING>' ELSE '' END AS text FROM events""",
     "s10_parse": f"WITH {SQL_JUDGE_TEXT} SELECT event_id AS idx, CAST(length(text) AS BIGINT) AS size FROM judge_texts",
     "a8_triage": """SELECT CASE event_type WHEN 'error' THEN 'errored' WHEN 'signup' THEN 'expired'

@@ -49,7 +49,8 @@ def a3_contingency(spark, sf):
 
 def a4_mcnemar(spark, sf):
     found = scoring.mcnemar(_pairs(spark, sf))
-    return found.select("a", "b", "c", "d", F.round("statistic", 6).alias("statistic"), "significant")
+    return found.select("a", "b", "c", "d", F.round("statistic", 6).alias("statistic"),
+                        F.round("p_value", 8).alias("p_value"), "significant")
 
 
 def j3_truth(spark, sf):
@@ -132,7 +133,9 @@ SQL = {
     # 3.841459 is the 95% quantile of the chi-square distribution with one degree of freedom
     "a4_mcnemar": f"""WITH {PAIRS}, {COUNTS}, s AS (SELECT *, (abs(b - c) - 1) * (abs(b - c) - 1)
         / CAST(b + c AS DOUBLE) AS statistic FROM counts)
-        SELECT a, b, c, d, round(statistic, 6) AS statistic, statistic > 3.841458820694124 AS significant FROM s""",
+        SELECT a, b, c, d, round(statistic, 6) AS statistic, statistic > 3.841458820694124 AS significant,
+          round((SELECT 2 / sqrt(pi()) * 0.005 / 3 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+            * exp(-power(sqrt(statistic / 2) + i * 0.005, 2))) FROM range(0, 2001) AS steps(i)), 8) AS p_value FROM s""",
     "j3_truth": f"WITH {SCORED} SELECT idx, prediction, y FROM scored",
     "j4_common": f"WITH {PAIRS} SELECT idx, y, p1, p2 FROM pairs",
     "e1_intersect": "SELECT c_custkey AS idx FROM customer INTERSECT SELECT o_custkey FROM orders",

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from catalog.inputs import judge_lines, sql_votes, table, truth, vote_lines
+from catalog.responses import SQL_JUDGE_TEXT
 from catalog.scoring import SCORED, f1_sql, rounded
-from tessera.config import ModelSpec
+from tessera.config import Dataset, ModelSpec
 from tessera.operators import parse, requests
 from tessera.session import shared_path
 from tessera.sources import explain_log, jsonl, tables
@@ -54,7 +55,7 @@ def s6_explain_log(spark, sf):
     return explain_log.log_predictions(logs)
 
 
-def s5_log_tables(spark, sf):
+def _log_tables(spark, sf):
     rows = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("idx"),
         F.when(F.col("o_orderkey") % 5 == 0, F.lit("test")).otherwise(F.lit("train")).alias("split"),
@@ -62,8 +63,74 @@ def s5_log_tables(spark, sf):
     sizes = table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature")).agg(F.avg("p_size").alias("importance"))
     path = shared_path(spark, "log")
     explain_log.write_log(rows, sizes, path)
-    predictions, _ = explain_log.read_log(spark, path)
-    return predictions.filter("split = 'test'").select("idx", "split", "prediction")
+    return explain_log.read_log(spark, path)
+
+
+def s5_log_tables(spark, sf):
+    return _log_tables(spark, sf)[0].select("idx", "split", "prediction")
+
+
+def s5_log_importances(spark, sf):
+    return _log_tables(spark, sf)[1].select("feature", F.round("importance", 9).alias("importance"))
+
+
+def s6_importances(spark, sf):
+    """A log per event with two importances."""
+    values = F.create_map(F.lit("user"), F.col("user_id") / 4, F.lit("event"), F.col("event_id") / 2)
+    doc = F.to_json(F.struct(F.col("event_id").cast("string").alias("dataset_path"), values.alias("feature_importances")))
+    path = shared_path(spark, "logs")
+    table(spark, sf, "events").select(doc.alias("value")).write.text(path)
+    logs = spark.read.text(path).select(F.from_json("value", explain_log.LOG_SCHEMA).alias("d")).select("d.*")
+    return explain_log.log_importances(logs)
+
+
+def _renamed(spark, folder, name):
+    """The only data file in ``folder`` under another name."""
+    files = spark.read.format("binaryFile").load(folder).select("path")
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    (old,) = [r["path"] for r in files.collect()]
+    target = made(f"{folder}/{name}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(made(old), target)
+
+
+def s12_newest(spark, sf):
+    """The orders' keys, from the later of a run's two files; another run's name begins alike."""
+    orders, path = table(spark, sf, "orders"), shared_path(spark, "outputs")
+    for folder, column in (("alpha_100", "o_custkey"), ("alpha_200", "o_orderkey"), ("alpha_two_300", "o_custkey")):
+        orders.select(F.col(column).cast("string").alias("value")).coalesce(1).write.text(f"{path}/{folder}")
+        _renamed(spark, f"{path}/{folder}", f"{folder}-predictions.jsonl")
+    newest = jsonl.newest_file(spark, path, "alpha")
+    return spark.read.text(newest).select(F.col("value").cast("bigint").alias("idx"))
+
+
+def s13_runs(spark, sf):
+    """A masked and an unmasked result document for each region, the masked ones without examples' scores."""
+    def scores(**values):
+        return F.create_map(*[x for k, v in values.items() for x in (
+            F.lit(k.replace("_", "-")), F.struct(v.alias("accuracy"), (v / 2).alias("macro_f1_score")))])
+    one = F.count(F.lit(1)) / 100
+    tree, other = F.col("tree"), F.col("tree") / 4
+    regions = table(spark, sf, "nation").groupBy("n_regionkey").agg(one.alias("tree")).collect()
+    path = shared_path(spark, "runs")
+    for region in regions:
+        row = table(spark, sf, "region").filter(F.col("r_regionkey") == region["n_regionkey"]).select(
+            F.lit(region["tree"]).alias("tree"))
+        for kind in ("masked", "unmasked"):
+            parts = [scores(tree_model=tree, zero_shot_prompting=other).alias("zero_shot_baseline")]
+            if kind == "unmasked":
+                parts.append(scores(tree_model=tree, guided_few_shot=other * 2).alias("cot"))
+            folder = f"{path}/{region['n_regionkey']}-{kind}"
+            row.select(F.to_json(F.struct(*parts)).alias("value")).coalesce(1).write.text(folder)
+            _renamed(spark, folder, f"region{region['n_regionkey']}_{kind}.json")
+    return jsonl.run_scores(jsonl.read_runs(spark, f"{path}/*"))
+
+
+def u1_load(spark, sf):
+    """A written CSV through a dataset's own recipe."""
+    def prepare(rows):
+        rows = rows.withColumns({"id": F.col("id").cast("bigint"), "who": F.col("who").cast("bigint")})
+        return rows.withColumn("noted", F.col("note").isNotNull().cast("int")).drop("note")
+    return tables.load(spark, Dataset("orders", "noted", {0: "no", 1: "yes"}, prepare, _orders_csv(spark, sf)))
 
 
 def s7_requests(spark, sf):
@@ -80,7 +147,8 @@ def s11_evaluations(spark, sf):
     path = shared_path(spark, "evaluations")
     got = source.evaluations(judge_lines(spark, sf))
     jsonl.write_evaluations(got.select(F.col("key").alias("request_id"), F.col("text").alias("evaluation")), path)
-    return parse.interrupted(source.evaluations(source.read_lines(spark, path)).withColumn("finish", F.lit("STOP")))
+    return source.evaluations(source.read_lines(spark, path)).select(
+        parse.second_id(F.col("key")).alias("idx"), F.col("text").alias("evaluation"))
 
 
 def s14_sweep(spark, sf):
@@ -112,7 +180,8 @@ def t1_stream_scores(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    s1_csv, s2_row_key, s3_attributions, s5_log_tables, s6_explain_log, s7_requests, s11_evaluations, s14_sweep,
+    s1_csv, s2_row_key, s3_attributions, s5_log_tables, s5_log_importances, s6_explain_log, s6_importances, s7_requests,
+    s11_evaluations, s12_newest, s13_runs, u1_load, s14_sweep,
     t1_stream, t1_stream_scores)}
 
 SQL = {
@@ -121,12 +190,24 @@ SQL = {
     "s2_row_key": """SELECT idx, id FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_orderkey AS id,
         o_orderstatus FROM orders) WHERE o_orderstatus <> 'P'""",
     "s3_attributions": "SELECT p_partkey AS idx, p_retailprice AS price, CAST(p_size AS DOUBLE) AS size FROM part",
-    "s5_log_tables": """SELECT o_orderkey AS idx, 'test' AS split, o_custkey % 2 AS prediction FROM orders
-        WHERE o_orderkey % 5 = 0""",
+    "s5_log_tables": """SELECT o_orderkey AS idx, CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+        o_custkey % 2 AS prediction FROM orders""",
+    "s5_log_importances": "SELECT p_brand AS feature, round(avg(p_size), 9) AS importance FROM part GROUP BY p_brand",
+    "s6_importances": """SELECT unnest([0, 1]) AS position, unnest(['user', 'event']) AS feature,
+        unnest([user_id / 4, event_id / 2]) AS importance FROM events""",
+    "s12_newest": "SELECT o_orderkey AS idx FROM orders",
+    "s13_runs": """WITH r AS (SELECT 'region' || n_regionkey AS dataset, count(*) / 100 AS tree FROM nation GROUP BY n_regionkey),
+        m AS (SELECT *, unnest([true, false]) AS masked FROM r),
+        s AS (SELECT dataset, masked, 'tree-model' AS strategy, tree AS accuracy FROM m
+          UNION ALL SELECT dataset, masked, 'zero-shot-prompting', tree / 4 FROM m
+          UNION ALL SELECT dataset, masked, 'guided-few-shot', tree / 2 FROM m WHERE NOT masked)
+        SELECT dataset, masked, strategy, accuracy, accuracy / 2 AS macro_f1 FROM s""",
+    "u1_load": """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_orderkey AS id, o_custkey AS who,
+        CAST(o_orderstatus <> 'P' AS INT) AS noted FROM orders""",
     "s6_explain_log": """SELECT event_id * 3 AS idx, 'train' AS split, user_id % 2 AS prediction FROM events
         UNION ALL SELECT event_id * 3 + 1, 'train', 1 FROM events UNION ALL SELECT event_id * 3 + 2, 'test', 0 FROM events""",
     "s7_requests": "SELECT 'judge_batch-' || doc_id AS key, text FROM documents",
-    "s11_evaluations": "SELECT 0 AS interrupted, count(*) AS responses FROM events",
+    "s11_evaluations": f"WITH {SQL_JUDGE_TEXT} SELECT event_id AS idx, text AS evaluation FROM judge_texts",
     "s14_sweep": """SELECT 'max_depth' AS parameter, 'int_uniform' AS distribution, CAST(1.0 AS DOUBLE) AS min, CAST(p_size AS DOUBLE) AS max,
         NULL::DOUBLE AS "last" FROM part UNION ALL SELECT 'weight', NULL, NULL, NULL, CAST(p_size AS DOUBLE) FROM part""",
     "t1_stream": f"WITH {sql_votes()} SELECT idx, prediction FROM voted_user_id",

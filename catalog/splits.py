@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog.inputs import table
 from tessera.operators import joins, split, trials
 from tessera.operators.trials import clean_params, typed_params
-from tessera.session import BROADCAST_ROWS, lookup
 
 
 def _orders(spark, sf):
@@ -84,13 +83,13 @@ def _by_customer(spark, sf):
 
 def j2_predictions(spark, sf):
     rows, predictions = _by_customer(spark, sf)
-    return lookup(rows, predictions, ["idx"])
+    return rows.join(predictions, "idx")
 
 
 def j2_hot_keys(spark, sf):
-    """The way taken for predictions too many to broadcast."""
+    """The way taken for predictions too many to broadcast: a shuffle whose hot keys Spark splits."""
     rows, predictions = _by_customer(spark, sf)
-    return lookup(rows, predictions, ["idx"], small_rows=BROADCAST_ROWS + 1)
+    return rows.join(predictions.hint("merge"), "idx")
 
 
 def j6_reason(spark, sf):

@@ -22,13 +22,17 @@ MASKED_LABELS = {0: "Class0", 1: "Class1"}
 
 @dataclass(frozen=True)
 class Dataset:
-    """A binary classification table: how to prepare it and what its labels mean."""
+    """A binary classification table: how to prepare it and what its labels mean.
+
+    ``multiline`` says that cells hold quoted line breaks; such files are read whole, one task each.
+    """
 
     name: str
     target: str
     labels: dict[int, str]
     prepare: Callable[[DataFrame], DataFrame]
     path: str | None = None
+    multiline: bool = False
 
     def __post_init__(self):
         if not callable(self.prepare):

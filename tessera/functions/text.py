@@ -34,11 +34,13 @@ def after_last(text: Column, marker: str) -> Column:
 def first_int(text: Column) -> Column:
     """The first run of ASCII digits as a bigint, -1 without one.
 
-    A run too long for a bigint becomes the largest bigint, so it stays a label of its own.
+    Runs too long for a bigint become numbers from 2^62 on by a hash of their digits, so that
+    different ones stay different labels. The run is searched once: it is an element of its own.
     """
-    digits = F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit(""))
-    value = F.coalesce(digits.try_cast("bigint"), F.lit(2**63 - 1))
-    return F.when(digits.isNull(), F.lit(-1).cast("bigint")).otherwise(value)
+    def value(digits: Column) -> Column:
+        long = F.pmod(F.xxhash64(F.ltrim(digits, F.lit("0"))), F.lit(2**62)) + F.lit(2**62)
+        return F.when(digits.isNull(), F.lit(-1).cast("bigint")).otherwise(F.coalesce(digits.try_cast("bigint"), long))
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(F.regexp_substr(text, F.lit("[0-9]+"))), value), F.lit(0)))
 
 
 def strict_object(text: Column, schema: str) -> Column:
@@ -62,14 +64,21 @@ def to_number(value: Column) -> Column:
 def plain_number(value: Column) -> Column:
     """A double as decimal text: no exponent, no trailing zeros, no negative zero.
 
-    Values whose own text has an exponent are written with 30 decimals and cut.
+    The digits are those of the shortest text that reads back as the same double, at every magnitude:
+    an exponent moves the point.
     """
-    size = F.abs(value)
-    spread = F.regexp_replace(F.format_string("%.30f", value), r"\.?0+$", "")
-    return (F.when((value == F.rint(value)) & (size < 1e15), value.cast("bigint").cast("string"))
-            .when((size >= 1e-3) & (size < 1e7), value.cast("string"))
-            .when(size < float("inf"), spread)
-            .otherwise(F.lit("null")))
+    text = F.abs(value).cast("string")
+    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    power = F.coalesce(power, F.lit(0))
+    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+    digits, point = F.concat(whole, part), F.length(whole) + power
+    placed = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+              .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+              .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."),
+                                  F.substring(digits, point + 1, F.length(digits)))))
+    trimmed = F.when(placed.contains("."), F.regexp_replace(placed, r"\.?0+$", "")).otherwise(placed)
+    sign = F.when((value < 0), F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.abs(value) < float("inf"), F.concat(sign, trimmed)).otherwise(F.lit("null"))
 
 
 def plain_string(value: Column) -> Column:

@@ -24,8 +24,11 @@ from tessera.operators.clean import col
 from tessera.operators.models import with_vector
 from tessera.session import shared_path
 
-MAX_NODES = 300_000
+# Paths of up to this many features are looked up in a table of all patterns of conditions.
 TABLE_FEATURES = 6
+# Leaves attributed together, and cells (rows x leaves x features) held at once.
+GROUP_LEAVES = 1024
+CELLS = 2_000_000
 
 
 @dataclass
@@ -52,9 +55,7 @@ def _node_rows(model: Model, spark) -> list[dict]:
     rows = nodes.select("treeID", "id", "prediction", "impurityStats", "rawCount", "leftChild",
                         "rightChild", F.col("split.featureIndex").alias("feature"),
                         F.col("split.leftCategoriesOrThreshold").alias("threshold"),
-                        F.col("split.numCategories").alias("categories")).limit(MAX_NODES + 1).collect()
-    if len(rows) > MAX_NODES:
-        raise ValueError(f"model has more than {MAX_NODES} nodes")
+                        F.col("split.numCategories").alias("categories")).collect()
     if any(r["categories"] > -1 for r in rows):
         raise ValueError("attributions need numeric splits")
     return [r.asDict() for r in rows]
@@ -94,26 +95,48 @@ def leaves_of(model: Model, spark) -> list[Leaf]:
     return leaves
 
 
-def leaf_effects(inside: np.ndarray, leaf: Leaf) -> np.ndarray:
-    """Shapley value of each path feature for each row of conditions met or not (rows x features).
+@dataclass
+class Stack:
+    """Leaves with equally many path features, as arrays (leaves x path features)."""
+
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+
+def stacked(leaves: list[Leaf], most: int = GROUP_LEAVES) -> list[Stack]:
+    """Leaves by number of path features, in groups of at most ``most``; constant leaves have no effect."""
+    found = []
+    for d in sorted({len(leaf.features) for leaf in leaves} - {0}):
+        same = [leaf for leaf in leaves if len(leaf.features) == d]
+        for i in range(0, len(same), most):
+            part = same[i:i + most]
+            found.append(Stack(*(np.stack([getattr(leaf, n) for leaf in part]) for n in ("features", "low", "high", "share")),
+                               np.array([leaf.value for leaf in part])))
+    return found
+
+
+def leaf_effects(met: np.ndarray, share: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Shapley value of each path feature, for conditions met or not (rows x leaves x features).
 
     The polynomial's coefficient s sums the payments of all coalitions of s other features.
     """
-    rows, d = inside.shape
-    met = inside.astype(float)
-    weights = np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d)
-                        for s in range(d)])
-    out = np.empty((rows, d))
+    met = met.astype(float)
+    d = met.shape[-1]
+    weights = np.array([math.factorial(s) * math.factorial(d - s - 1) / math.factorial(d) for s in range(d)])
+    out = np.empty(np.broadcast_shapes(met.shape, share.shape))
     for j in range(d):
-        poly = np.zeros((rows, d))
-        poly[:, 0] = 1.0
+        poly = np.zeros(out.shape)
+        poly[..., 0] = 1.0
         for i in range(d):
             if i != j:
-                higher = poly[:, :-1] * met[:, i:i + 1]
-                poly = poly * leaf.share[i]
-                poly[:, 1:] += higher
-        out[:, j] = (met[:, j] - leaf.share[j]) * (poly @ weights)
-    return leaf.value * out
+                higher = poly[..., :-1] * met[..., i:i + 1]
+                poly *= share[:, i:i + 1]
+                poly[..., 1:] += higher
+        out[..., j] = (met[..., j] - share[:, j]) * (poly @ weights)
+    return out * value[:, None]
 
 
 def _patterns(d: int) -> np.ndarray:
@@ -121,23 +144,22 @@ def _patterns(d: int) -> np.ndarray:
     return (np.arange(2 ** d)[:, None] >> np.arange(d)) & 1
 
 
-def row_effects(x: np.ndarray, leaves: list[Leaf], tables: dict[int, np.ndarray]) -> np.ndarray:
-    """Attributions of each row (rows x features); ``tables`` keeps short leaves' effects."""
+def row_effects(x: np.ndarray, stacks: list[Stack]) -> np.ndarray:
+    """Attributions of each row (rows x features), a group of leaves at a time."""
     out = np.zeros_like(x)
-    for n, leaf in enumerate(leaves):
-        d = len(leaf.features)
-        if d == 0:
-            continue
-        values = x[:, leaf.features]
-        inside = (values > leaf.low) & (values <= leaf.high)
-        code = inside @ (1 << np.arange(d))
-        if d <= TABLE_FEATURES:
-            if n not in tables:
-                tables[n] = leaf_effects(_patterns(d), leaf)
-            out[:, leaf.features] += tables[n][code]
-        else:
-            _, first, place = np.unique(code, return_index=True, return_inverse=True)
-            out[:, leaf.features] += leaf_effects(inside[first], leaf)[place]
+    for stack in stacks:
+        leaves, d = stack.features.shape
+        target = np.zeros((leaves * d, x.shape[1]))
+        target[np.arange(leaves * d), stack.features.ravel()] = 1.0
+        short = d <= TABLE_FEATURES
+        table = leaf_effects(_patterns(d)[:, None, :], stack.share, stack.value) if short else None
+        rows = max(1, CELLS // (leaves * d))
+        for i in range(0, len(x), rows):
+            values = x[i:i + rows][:, stack.features]
+            met = (values > stack.low) & (values <= stack.high)
+            effects = (table[met @ (1 << np.arange(d)), np.arange(leaves)] if short
+                       else leaf_effects(met, stack.share, stack.value))
+            out[i:i + rows] += effects.reshape(len(effects), -1) @ target
     return out
 
 
@@ -151,14 +173,14 @@ def attributions(model: Model, df: DataFrame, features: list[str], key: str = "i
     """``key`` and one attribution per feature for every row of ``df``."""
     spark = df.sparkSession
     found = leaves_of(model, spark) if leaves is None else leaves
-    shared = spark.sparkContext.broadcast([astuple(leaf) for leaf in found])
+    shared = spark.sparkContext.broadcast([astuple(stack) for stack in stacked(found)])  # one model's leaves
     width = len(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine, tables = [Leaf(*parts) for parts in shared.value], {}
+        mine = [Stack(*parts) for parts in shared.value]
         for batch in batches:
             x = np.stack(batch["x"].to_numpy()).astype(float) if len(batch) else np.empty((0, width))
-            effects = row_effects(x, mine, tables)
+            effects = row_effects(x, mine)
             yield pd.DataFrame({"k": batch["k"], "v": list(effects)})
     key_type = df.schema[key].dataType.simpleString()
     rows = df.select(col(key).alias("k"), F.array(*[col(c).cast("double") for c in features]).alias("x"))

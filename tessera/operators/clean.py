@@ -10,9 +10,8 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import to_number
 from tessera.operators.ranking import value_rank
-from tessera.session import cut_lineage, lookup
+from tessera.session import cut_lineage
 
-MAX_CATEGORIES = 1000
 INLINE_CODES = 64
 
 
@@ -103,7 +102,8 @@ def learn_codes(df: DataFrame, names: list[str]) -> DataFrame:
 def apply_codes(df: DataFrame, codes: DataFrame, names: list[str]) -> DataFrame:
     """Replace the named columns by their learned codes; null stays null.
 
-    Short dictionaries become constant maps, so those columns cost no join at all.
+    Short dictionaries become constant maps, so those columns cost no join at all; each of the others
+    is one join of the table, which is read once however many there are.
     """
     _require(df, names)
     sizes = {r["column"]: r["count"] for r in codes.groupBy("column").count().collect()}
@@ -116,9 +116,8 @@ def apply_codes(df: DataFrame, codes: DataFrame, names: list[str]) -> DataFrame:
         if name in short:
             continue
         mine = codes.filter(F.col("column") == name).select(
-            F.col("value").alias("_value"), F.col("code").alias(f"_code{i}"))
-        out = lookup(out.withColumn("_value", col(name).cast("string")), mine, ["_value"], "left",
-                     small_rows=sizes[name]).drop("_value")
+            F.col("value").alias(f"_value{i}"), F.col("code").alias(f"_code{i}"))
+        out = out.join(mine, col(name).cast("string") == F.col(f"_value{i}"), "left")
 
     def coded(name: str) -> Column:
         if name not in short:
@@ -134,19 +133,20 @@ def encode_learned(df: DataFrame, names: list[str]) -> DataFrame:
     return apply_codes(df, cut_lineage(learn_codes(df, names), "codes"), names)
 
 
-def categories(df: DataFrame, names: list[str], limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per column; more than ``limit`` of one column raise."""
-    found = {}
-    for name in names:
-        values = (df.select(col(name).alias("v")).filter(F.col("v").isNotNull()).distinct()
-                  .limit(limit + 1).collect())
-        if len(values) > limit:
+def categories(df: DataFrame, names: list[str], limit: int | None = None) -> dict[str, list]:
+    """Sorted distinct non-null values per column, found in one pass.
+
+    They become columns, so they come to the driver; given ``limit``, more values of one column raise.
+    """
+    seen = df.agg(*[F.sort_array(F.collect_set(col(c))).alias(f"v{i}") for i, c in enumerate(names)]).first()
+    found = {c: list(seen[f"v{i}"]) for i, c in enumerate(names)}
+    for name, values in found.items():
+        if limit is not None and len(values) > limit:
             raise ValueError(f"column {name!r} has more than {limit} categories")
-        found[name] = sorted(r["v"] for r in values)
     return found
 
 
-def one_hot(df: DataFrame, names: list[str], limit: int = MAX_CATEGORIES) -> DataFrame:
+def one_hot(df: DataFrame, names: list[str], limit: int | None = None) -> DataFrame:
     """0/1 columns ``<column>_<value>`` at the end, without each column's first value."""
     _require(df, names)
     found = categories(df, names, limit)
@@ -156,6 +156,25 @@ def one_hot(df: DataFrame, names: list[str], limit: int = MAX_CATEGORIES) -> Dat
     return df.select(*kept, *added)
 
 
+def one_hot_vector(df: DataFrame, names: list[str], out: str = "one_hot") -> DataFrame:
+    """The same as one sparse vector column, for columns of very many categories.
+
+    A column's places follow its learned codes, its first value has none; no value becomes a column.
+    """
+    codes = cut_lineage(learn_codes(df, names), "codes")
+    sizes = {r["column"]: r["count"] for r in codes.groupBy("column").count().collect()}
+    places, start = [], 0
+    coded = apply_codes(df, codes, names)
+    for name in names:
+        places.append(F.when(col(name) > 0, col(name) - 1 + start))
+        start += max(0, sizes.get(name, 0) - 1)
+    held = F.array_compact(F.array(*places))
+    entries = F.map_from_arrays(held, F.transform(held, lambda _: F.lit(1.0)))
+    others = [col(c) for c in df.columns if c not in names]
+    return coded.select(*others, F.struct(F.lit(start).cast("bigint").alias("size"), F.map_keys(entries).alias("indices"),
+                                          F.map_values(entries).alias("values")).alias(out))
+
+
 def coerce_numeric(df: DataFrame, keep: tuple[str, ...] = ("idx",)) -> DataFrame:
     """Turn every string column into doubles, unreadable values into null."""
     return df.select(*[to_number(col(c)).alias(c) if _is_string(df, c) and c not in keep else col(c)

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import is_small
-
-FEW_BLOCKS = 1000
-
 
 def select_rows(df: DataFrame, keys: DataFrame, key: str = "idx") -> DataFrame:
     """Rows whose key occurs in ``keys``, however often."""
@@ -60,8 +56,7 @@ def per_agent(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """Every row once per agent, with the columns of that agent's block.
 
     ``blocks`` has one row per ``agent`` 0..n-1. Each row lists the agents and joins on the agent
-    number: against a broadcast when the blocks are counted as at most ``FEW_BLOCKS``, else by a
-    shuffle, in which every agent then has less than 1 / ``FEW_BLOCKS`` of the rows.
+    number; the agents have equal numbers of rows.
     """
     last = blocks.agg(F.max("agent").alias("last")).first()["last"]
     if last is None:
@@ -69,4 +64,4 @@ def per_agent(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     else:
         listed = F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))
     fanned = rows.withColumn("agent", F.explode(listed))
-    return fanned.join(F.broadcast(blocks) if is_small(blocks, FEW_BLOCKS) else blocks, "agent")
+    return fanned.join(blocks, "agent")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Estimator, Model
@@ -17,7 +18,7 @@ from tessera.operators.clean import col
 from tessera.operators.split import stratified_folds
 from tessera.session import cut_lineage, spread
 
-# Sweep parameter -> estimator parameter. ``reg_lambda`` has no counterpart.
+# Sweep parameter -> estimator parameter.
 COMMON = {"max_depth": "maxDepth", "min_child_weight": "minInstancesPerNode", "random_state": "seed"}
 PARAMS = {
     "DecisionTreeClassifier": COMMON,
@@ -29,12 +30,19 @@ ESTIMATORS = {"DecisionTreeClassifier": DecisionTreeClassifier,
               "RandomForestClassifier": RandomForestClassifier, "GBTClassifier": GBTClassifier}
 
 
-def make_estimator(estimator: Estimator | str = "GBTClassifier", params: dict | None = None) -> Estimator:
-    """A copy of a tree classifier with sweep parameters set; unknown parameters are ignored."""
+def make_estimator(estimator: Estimator | str = "GBTClassifier", params: dict | None = None,
+                   ignore: Collection[str] = ()) -> Estimator:
+    """A copy of a tree classifier with sweep parameters set.
+
+    A parameter without a counterpart (such as ``reg_lambda``) raises unless the caller names it in ``ignore``.
+    """
     base = ESTIMATORS[estimator](seed=SEED) if isinstance(estimator, str) else estimator.copy()
     kind = type(base).__name__
     if kind not in PARAMS:
         raise ValueError(f"unsupported estimator {kind}; must be one of {sorted(PARAMS)}")
+    unknown = sorted(set(params or {}) - set(PARAMS[kind]) - set(ignore))
+    if unknown:
+        raise ValueError(f"{kind} has no parameter for {unknown}; name them in ignore to leave them out")
     for name, value in (params or {}).items():
         if name in PARAMS[kind] and value is not None:
             target = PARAMS[kind][name]
@@ -83,7 +91,7 @@ def fold_scores(folded: DataFrame, estimator: Estimator, folds: int) -> list[tup
 
 def tune(train: DataFrame, features: list[str], target: str, trials: DataFrame,
          estimator: Estimator | str = "GBTClassifier", folds: int = FOLDS, seed: int = SEED,
-         parallelism: int = 4) -> DataFrame:
+         parallelism: int = 4, ignore: Collection[str] = ()) -> DataFrame:
     """``trial, fold, accuracy, macro_f1`` of every trial's parameters on stratified folds.
 
     Trials are few, so their parameters and scores pass through the driver; each fit is a
@@ -95,7 +103,7 @@ def tune(train: DataFrame, features: list[str], target: str, trials: DataFrame,
     wanted = [r.asDict() for r in trials.collect()]
 
     def run(params: dict) -> list[tuple]:
-        made = make_estimator(estimator, params)
+        made = make_estimator(estimator, {k: v for k, v in params.items() if k != "trial"}, ignore)
         return [(params["trial"], *score) for score in fold_scores(folded, made, folds)]
     with ThreadPoolExecutor(parallelism) as pool:
         found = [row for part in pool.map(run, wanted) for row in part]

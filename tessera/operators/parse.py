@@ -60,22 +60,23 @@ def stepwise_label_of(text: Column) -> Column:
 
 
 def plain_labels(responses: DataFrame) -> DataFrame:
-    """``idx, prediction`` from plain answers."""
+    """``idx, prediction`` from plain answers; a finished answer without text is an error."""
+    text = F.coalesce(F.col("text"), F.raise_error(F.concat(F.lit("no text in the answer to "), "key")))
     rows = finished(responses).select(trailing_id(F.col("key")).alias("idx"),
-                                      label_of(F.col("text")).alias("prediction"), "seq")
+                                      label_of(text).alias("prediction"), "seq")
     return last_per_key(rows, "idx", "prediction")
 
 
 def stepwise_labels(responses: DataFrame) -> DataFrame:
-    """``idx, prediction`` from step-by-step answers."""
-    rows = finished(responses).select(trailing_id(F.col("key")).alias("idx"),
+    """``idx, prediction`` from step-by-step answers; those without text are left out."""
+    rows = finished(responses).filter(F.col("text").isNotNull()).select(trailing_id(F.col("key")).alias("idx"),
                                       stepwise_label_of(F.col("text")).alias("prediction"), "seq")
     return last_per_key(rows, "idx", "prediction")
 
 
 def votes(responses: DataFrame) -> DataFrame:
-    """``idx, agent, prediction, seq``: one row per finished answer of an agent."""
-    return finished(responses).select(
+    """``idx, agent, prediction, seq``: one row per finished answer of an agent that has a text."""
+    return finished(responses).filter(F.col("text").isNotNull()).select(
         second_id(F.col("key")).alias("idx"), trailing_id(F.col("key")).alias("agent"),
         stepwise_label_of(F.col("text")).alias("prediction"), "seq")
 
@@ -98,9 +99,13 @@ def count_votes(ballots: DataFrame) -> DataFrame:
 
 
 def agent_labels(responses: DataFrame, dedupe_agents: bool = False) -> DataFrame:
-    """``idx, prediction``: majority over all agents of a row."""
+    """``idx, prediction``: majority over all agents of a row, the smallest label of equals.
+
+    Each task counts a row's labels before the one shuffle, by row id.
+    """
     ballots = votes(responses)
-    return majority(count_votes(first_votes(ballots) if dedupe_agents else ballots))
+    ballots = first_votes(ballots) if dedupe_agents else ballots
+    return ballots.groupBy("idx").agg(F.mode("prediction", True).alias("prediction"))
 
 
 def reasoning_of(text: Column) -> Column:
@@ -142,6 +147,7 @@ def triage(results: DataFrame) -> DataFrame:
 
 
 def succeeded(results: DataFrame) -> DataFrame:
-    """``request_id, evaluation`` of the results that succeeded."""
+    """``request_id, evaluation`` (and ``seq``, where there is one) of the results that succeeded."""
+    order = [c for c in ("seq",) if c in results.columns]
     return (results.filter(F.col("type") == "succeeded")
-            .select(F.col("key").alias("request_id"), F.col("text").alias("evaluation")))
+            .select(F.col("key").alias("request_id"), F.col("text").alias("evaluation"), *order))

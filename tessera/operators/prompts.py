@@ -112,10 +112,10 @@ FINAL PREDICTION: [label]"""
 
 EXAMPLE = """\
 Example {number}:
-Feature values: {features}
-SHAP values: {attributions}
-Model prediction: {prediction}
-Model reasoning: {reasoning}
+- the row: {features}
+- what each feature added: {attributions}
+- answered by the model: {prediction}
+- and why: {reasoning}
 """
 
 

@@ -13,17 +13,16 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import seeded_md5
-from tessera.session import cut_lineage, is_small
+from tessera.session import cut_lineage
 
 ROWS_PER_BUCKET = 250_000
-MAX_DIGITS = 5
 
 
 def bucket_digits(rows: int) -> int:
     """Hex digits that keep a bucket near ``ROWS_PER_BUCKET`` rows; one digit at least."""
     if rows <= ROWS_PER_BUCKET:
         return 1
-    return min(MAX_DIGITS, math.ceil(math.log(rows / ROWS_PER_BUCKET, 16)) + 1)
+    return math.ceil(math.log(rows / ROWS_PER_BUCKET, 16)) + 1
 
 
 def bucketed_rank(df: DataFrame, by: list[str], bucket: Column, order: list[Column],
@@ -42,7 +41,7 @@ def bucketed_rank(df: DataFrame, by: list[str], bucket: Column, order: list[Colu
         match = match & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
     ranked = (placed.withColumn("_pos", F.row_number().over(inside))
-              .join(F.broadcast(starts) if is_small(starts) else starts, match))
+              .join(starts, match))
     return ranked.select(*[F.col(f"`{c}`") for c in df.columns],
                          (F.col("_start") + F.col("_pos") - 1).cast("bigint").alias(out))
 

@@ -17,10 +17,19 @@ def flat_scores(docs: DataFrame) -> DataFrame:
     return docs.select(name.alias("dataset"), approach.alias("approach"), F.col("macro_f1").alias("value"))
 
 
-def approach_table(scores: DataFrame, datasets: list[str], approaches: list[str] = APPROACHES) -> DataFrame:
-    """One row per dataset, one column per approach."""
-    return (scores.filter(F.col("dataset").isin(datasets))
-            .groupBy("dataset").pivot("approach", approaches).agg(F.first("value", ignorenulls=True)))
+def approach_table(scores: DataFrame, datasets: list[str], approaches: list[str] | None = APPROACHES) -> DataFrame:
+    """One row per dataset, one column per approach.
+
+    An approach outside the list raises when the table is read; without a list the columns are the approaches
+    found, in order of their names.
+    """
+    mine = scores.filter(F.col("dataset").isin(datasets))
+    if approaches is None:
+        approaches = sorted(r[0] for r in mine.select("approach").distinct().collect())
+    known = F.when(F.col("approach").isin(approaches), F.col("approach")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown approach: "), F.coalesce("approach", F.lit("null")))))
+    return (mine.withColumn("approach", known).groupBy("dataset").pivot("approach", approaches)
+            .agg(F.first("value", ignorenulls=True)))
 
 
 def title(text: Column) -> Column:

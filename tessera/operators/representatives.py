@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -15,16 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import MAX_CLUSTERS, SEED
-from tessera.functions.vectors import literal_array, norm_distance
+from tessera.functions.vectors import norm_distance
 from tessera.operators.clean import col, zscore
 from tessera.session import cut_lineage, spread
 
-# Euclidean silhouettes measure every row against every other row. They serve tables of at most
-# this many rows; the squared form takes linear time and serves the rest whole.
-EXACT_ROWS = 10_000
-ROWS_AT_ONCE = 256
 PARALLEL_FITS = 4
-MAX_CENTRES = 1000
 
 
 def as_points(df: DataFrame, names: list[str], key: str = "idx") -> DataFrame:
@@ -39,59 +32,32 @@ def silhouette(clustered: DataFrame) -> float:
     return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(vectors)
 
 
-def _widths(x: np.ndarray, own: np.ndarray, points: np.ndarray, member: np.ndarray) -> np.ndarray:
-    """Silhouette widths of some rows ``x`` of cluster position ``own``; ``member`` is the 0/1
-    matrix of points x clusters."""
-    gaps = np.maximum((x ** 2).sum(1)[:, None] + (points ** 2).sum(1) - 2 * x @ points.T, 0)
-    sums, sizes, at = np.sqrt(gaps) @ member, member.sum(0), np.arange(len(x))
-    inner = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-    means = sums / sizes
-    means[at, own] = np.inf
-    outer = means.min(1)
-    width = (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300)
-    return np.where(sizes[own] > 1, width, 0.0)
-
-
-def silhouette_exact(clustered: DataFrame, max_rows: int = EXACT_ROWS) -> float:
-    """Mean silhouette under Euclidean distance; raises above ``max_rows`` rows."""
-    rows = clustered.select("point", "cluster").limit(max_rows + 1).toPandas()
-    if len(rows) > max_rows:
-        raise ValueError("too many rows for the exact silhouette; use silhouette()")
-    names, place = np.unique(rows["cluster"].to_numpy(), return_inverse=True)
-    member = np.eye(len(names))[place]
-    shared = clustered.sparkSession.sparkContext.broadcast((np.stack(rows["point"].to_numpy()), names, member))
-
-    def widths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, found, members = shared.value
-        for batch in batches:
-            x = np.stack(batch["point"].to_numpy())
-            own = np.searchsorted(found, batch["cluster"].to_numpy())
-            for i in range(0, len(x), ROWS_AT_ONCE):
-                part = slice(i, i + ROWS_AT_ONCE)
-                yield pd.DataFrame({"s": _widths(x[part], own[part], points, members)})
-    return clustered.select("point", "cluster").mapInPandas(widths, "s double").agg(F.avg("s")).first()[0]
-
-
-def fit_clusters(points: DataFrame, k: int, seed: int = SEED) -> tuple[DataFrame, list[np.ndarray]]:
-    """K-means of ``idx, point``: rows with ``cluster``, and the centres."""
+def fit_clusters(points: DataFrame, k: int, seed: int = SEED) -> tuple[DataFrame, list[np.ndarray], int]:
+    """K-means of ``idx, point``: rows with ``cluster``, the centres, and how many clusters have rows."""
     vectors = points.withColumn("features", array_to_vector("point"))
     model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).drop("features"), model.clusterCenters()
+    filled = sum(size > 0 for size in model.summary.clusterSizes)
+    return model.transform(vectors).drop("features"), model.clusterCenters(), filled
 
 
 def fit_range(points: DataFrame, max_clusters: int = MAX_CLUSTERS,
               seed: int = SEED) -> dict[int, tuple[DataFrame, list[np.ndarray], float | None]]:
-    """Clustered rows, centres and silhouette for each k = 2 .. min(max_clusters, floor(sqrt(rows)))."""
-    rows = points.count()
-    score = silhouette_exact if rows <= EXACT_ROWS else silhouette
+    """Clustered rows, centres and silhouette for each k = 2 .. min(max_clusters, floor(sqrt(rows))).
+
+    The measure is the silhouette under squared Euclidean distance, at every size. The points are
+    kept in memory and on disk while all k are fitted.
+    """
+    points = points.persist()
 
     def run(k: int) -> tuple[DataFrame, list[np.ndarray], float | None]:
-        clustered, centres = fit_clusters(points, k, seed)
-        apart = clustered.agg(F.max("cluster") > F.min("cluster")).first()[0]
-        return clustered, centres, float(score(clustered)) if apart else None
-    tried = range(2, min(max_clusters, math.isqrt(rows)) + 1)
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return dict(zip(tried, pool.map(run, tried)))
+        clustered, centres, filled = fit_clusters(points, k, seed)
+        return clustered, centres, float(silhouette(clustered)) if filled > 1 else None
+    try:
+        tried = range(2, min(max_clusters, math.isqrt(points.count())) + 1)
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            return dict(zip(tried, pool.map(run, tried)))
+    finally:
+        points.unpersist()
 
 
 def choose_k(points: DataFrame, max_clusters: int = MAX_CLUSTERS, seed: int = SEED) -> DataFrame:
@@ -119,10 +85,9 @@ def medoids(points: DataFrame, centre: Column) -> DataFrame:
 
 def medoids_of(clustered: DataFrame, centres: list[np.ndarray]) -> DataFrame:
     """Medoids for the centres of a fit, in cluster order."""
-    if len(centres) > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} centres")
-    table = F.array(*[literal_array(c) for c in centres])
-    return medoids(clustered, F.get(table, F.col("cluster"))).orderBy("cluster")
+    table = clustered.sparkSession.createDataFrame(
+        [(i, [float(v) for v in c]) for i, c in enumerate(centres)], "cluster int, _centre array<double>")
+    return medoids(clustered.join(table, "cluster"), F.col("_centre")).orderBy("cluster")
 
 
 def diverse_examples(attributions: DataFrame, max_clusters: int = MAX_CLUSTERS,
@@ -134,5 +99,5 @@ def diverse_examples(attributions: DataFrame, max_clusters: int = MAX_CLUSTERS,
     points = spread(cut_lineage(as_points(attributions, names), "points"))
     fits = fit_range(points, max_clusters, seed)
     k = best_k({n: f[2] for n, f in fits.items()})
-    clustered, centres = fits[k][:2] if k in fits else fit_clusters(points, k, seed)
+    clustered, centres = (fits[k] if k in fits else fit_clusters(points, k, seed))[:2]
     return medoids_of(clustered, centres)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import ModelSpec
+from tessera.session import cut_lineage
 
 
 def baseline_id(kind: str, idx: Column) -> Column:
@@ -78,15 +79,41 @@ def replay(requests: DataFrame, recorded: DataFrame, key: str = "key", order: st
 
 
 def infer(requests: DataFrame, make_client: Callable[[], Callable[[str], str]],
-          concurrency: int) -> DataFrame:
-    """Send each ``key, line`` to a client and return ``key, line`` of the answers.
+          concurrency: int, answered: DataFrame | None = None) -> DataFrame:
+    """Send each ``key, line`` to a client and return ``key, line, status, error``.
 
-    Each of ``concurrency`` partitions makes one client of its own. Batches of rows stream
-    through it, so memory does not grow with the partition.
+    Each of ``concurrency`` partitions makes one client of its own and streams small batches through
+    it. A call that raises gives a row with status 'failed' and the error; the others go on. Keys with
+    a 'done' row in ``answered`` (the result of an earlier round) are not sent again.
     """
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "line": [client(line) for line in batch["line"]]})
-    return (requests.select("key", "line").repartition(concurrency, "key")
-            .mapInPandas(run, "key string, line string"))
+            rows = []
+            for key, line in zip(batch["key"], batch["line"]):
+                try:
+                    rows.append((key, client(line), "done", None))
+                except Exception as e:  # whatever a service's client raises belongs to this request
+                    rows.append((key, None, "failed", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["key", "line", "status", "error"])
+    sent = requests.select("key", "line")
+    if answered is not None:
+        sent = sent.join(answered.filter(F.col("status") == "done").select("key"), "key", "left_anti")
+    return sent.repartition(concurrency, "key").mapInPandas(run, "key string, line string, status string, error string")
+
+
+def infer_rounds(requests: DataFrame, make_client: Callable[[], Callable[[str], str]], concurrency: int,
+                 rounds: int = 3) -> DataFrame:
+    """``infer`` for all requests, and again for those that failed: ``key, line, status, error, attempt``.
+
+    Every round's rows are written before the next, so a lost executor or a later failure never sends
+    an answered request again.
+    """
+    found = None
+    for attempt in range(rounds):
+        got = infer(requests, make_client, concurrency, found).withColumn("attempt", F.lit(attempt))
+        got = cut_lineage(got, "answers")
+        found = got if found is None else found.unionByName(got)
+        if got.filter(F.col("status") == "failed").isEmpty():
+            break
+    return found

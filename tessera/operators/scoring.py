@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.config import ALPHA, JUDGE_METRICS
 
@@ -79,16 +77,27 @@ def mcnemar_statistic(table: DataFrame) -> DataFrame:
     return table.withColumn("statistic", F.when(b + c > 0, (gap * gap).cast("double") / (b + c)))
 
 
-@F.pandas_udf(T.DoubleType())
-def _chi2_tail(stat: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution with one degree of freedom."""
-    return stat.map(lambda s: math.erfc(math.sqrt(s / 2)), na_action="ignore")
+def chi2_tail(stat: Column) -> Column:
+    """Upper tail of the chi-square distribution with one degree of freedom: ``erfc(sqrt(stat / 2))``.
+
+    Below 4 the power series of the error function, above its tail's continued fraction, both to double
+    precision.
+    """
+    x = F.sqrt(stat / 2)
+    # The terms of the series are (2 x^2)^n / (1 * 3 * ... * (2 n + 1)).
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+                         lambda s, n: F.struct((s["term"] * stat / (2 * n + 1)).alias("term"),
+                                               (s["total"] + s["term"] * stat / (2 * n + 1)).alias("total")))["total"]
+    body = 1 - 2 / math.sqrt(math.pi) * x * F.exp(-stat / 2) * series
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), F.lit(0.0), lambda f, n: (n / 2.0) / (x + f))
+    tail = F.exp(-stat / 2) / math.sqrt(math.pi) / (x + fraction)
+    return F.when(stat < 4, body).otherwise(tail)
 
 
 def mcnemar(pairs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """One row: ``a, b, c, d, statistic, p_value, significant``."""
     tested = mcnemar_statistic(contingency(pairs))
-    tested = tested.withColumn("p_value", _chi2_tail("statistic"))
+    tested = tested.withColumn("p_value", chi2_tail(F.col("statistic")))
     return tested.withColumn("significant", F.col("p_value") < alpha)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.ml import Estimator
@@ -31,21 +32,22 @@ class Explanation:
 def explain(prepared: DataFrame, target: str, space: dict[str, dict],
             estimator: Estimator | str = "GBTClassifier", n_trials: int = TRIALS,
             folds: int = FOLDS, seed: int = SEED, fraction: float = TEST_FRACTION,
-            labels: list[int] | None = None) -> Explanation:
+            labels: list[int] | None = None, ignore: Collection[str] = ()) -> Explanation:
     """Tune on the training rows, fit the best trial, predict all rows and attribute the
-    training rows. Given ``labels``, the table must meet the dataset contract."""
+    training rows. Given ``labels``, the table must meet the dataset contract. ``ignore`` names sweep
+    parameters without a counterpart."""
     spark = prepared.sparkSession
     features = features_of(prepared, target)
     written = spread(cut_lineage(prepared, "prepared"))
     if labels is not None:
         checks.require_dataset(written, target, labels)
-    table = split.exact_split(written, fraction=fraction, seed=seed)
+    table = spread(cut_lineage(split.exact_split(written, fraction=fraction, seed=seed), "split"))
     train = table.filter(F.col("split") == "train")
     drawn = trials.sample_trials(spark.range(n_trials).withColumnRenamed("id", "trial"), space, seed=seed)
-    scores = models.tune(train, features, target, drawn, estimator, folds, seed)
+    scores = models.tune(train, features, target, drawn, estimator, folds, seed, ignore=ignore)
     best = scoring.best_trial(scoring.fold_summary(scores)).first()["trial"]
-    params = drawn.filter(F.col("trial") == best).first().asDict()
-    model = models.fit(models.make_estimator(estimator, params), train, features, target)
+    params = drawn.filter(F.col("trial") == best).drop("trial").first().asDict()
+    model = models.fit(models.make_estimator(estimator, params, ignore), train, features, target)
     return Explanation(
         table=table,
         predictions=cut_lineage(models.predict(model, table, features, ["idx", "split"]), "predictions"),

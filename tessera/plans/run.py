@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Estimator
@@ -54,10 +54,16 @@ class RunResult:
 
 def answers(requests: DataFrame, infer: Infer, label: str) -> DataFrame:
     """Send requests and keep the answers as ``line, seq`` in a written table, so that a lost
-    executor never sends a request again."""
-    lines = requests.select("key", F.to_json("request").alias("line"))
-    replies = infer(lines).select("line", F.col("key").alias("seq"))
-    return cut_lineage(replies, label)
+    executor never sends a request again.
+
+    ``seq`` orders the answers to one key: their attempt, then their place as written. Rows that
+    ``infer`` marks as failed carry no answer.
+    """
+    replies = infer(requests.select("key", F.to_json("request").alias("line")))
+    attempt = F.col("attempt") if "attempt" in replies.columns else F.lit(0)
+    kept = replies.filter(F.col("line").isNotNull()).select("line", attempt.cast("int").alias("attempt"))
+    written = cut_lineage(kept.withColumn("place", F.monotonically_increasing_id()), label)
+    return written.select("line", F.struct("attempt", "place").alias("seq"))
 
 
 def score_model(e: Explanation, target: str, name: str = MODEL) -> DataFrame:
@@ -124,17 +130,19 @@ def run(e: Explanation, task: Task, models: Models, infer: Infer, settings: FewS
 
 def as_evaluations(rows: DataFrame) -> DataFrame:
     """Succeeded results in the shape the judge parser reads."""
-    return rows.select(F.col("request_id").alias("key"), F.col("evaluation").alias("text"),
-                       F.col("request_id").alias("seq"))
+    return rows.select(F.col("request_id").alias("key"), F.col("evaluation").alias("text"), "seq")
 
 
 def run_dataset(spark: SparkSession, dataset: Dataset, space: dict[str, dict], models: Models, infer: Infer,
                 estimator: Estimator | str = "GBTClassifier", masked: bool = False, n_trials: int = TRIALS,
                 settings: FewShot = FewShot(), with_baseline: bool = True, with_judge: bool = True,
-                with_stepwise: bool = True, seed: int = SEED) -> RunResult:
-    """From the CSV of a dataset to its scores; ``masked`` hides all names from the prompts."""
+                with_stepwise: bool = True, seed: int = SEED, ignore: Collection[str] = ()) -> RunResult:
+    """From the CSV of a dataset to its scores; ``masked`` hides all names from the prompts.
+
+    ``ignore`` names sweep parameters without a counterpart.
+    """
     e = explain(load(spark, dataset), dataset.target, space, estimator, n_trials, seed=seed,
-                labels=list(dataset.labels))
+                labels=list(dataset.labels), ignore=ignore)
     task = Task(dataset.name, dataset.target, dataset.labels)
     if masked:
         e, task = mask(e, dataset.target)

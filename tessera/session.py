@@ -1,4 +1,8 @@
-"""Session helpers: shared folder and size checks before a broadcast."""
+"""Session helpers: the shared folder, written intermediates and small scans.
+
+Joins are left to Spark: a side whose measured bytes are below the broadcast threshold is broadcast,
+and adaptive execution splits the partitions of hot keys in the others.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when it is counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
-HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,37 +50,3 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner",
-           small_rows: int | None = None) -> DataFrame:
-    """Join (inner or left) a large table, whose keys may be hot, to a table of unique keys.
-
-    A counted small side (``small_rows``, or counted here) is broadcast. Otherwise the hot keys,
-    those with more than 1 / ``HOT_KEYS`` of the rows and so fewer than ``HOT_KEYS`` in number,
-    are joined by broadcasting just their entries; the other keys are joined by a shuffle in
-    which no key is large. Rows without a key match nothing and stay out of the shuffle.
-    """
-    fits = is_small(small) if small_rows is None else small_rows <= BROADCAST_ROWS
-    if fits:
-        return big.join(F.broadcast(small), keys, how)
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    share = F.lit(big.count() / HOT_KEYS)
-    hot_rows = (big.filter(~no_key).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                .filter(F.col("_n") > share).drop("_n"))
-    found = hot_rows.collect()
-    if not found:
-        return big.join(small, keys, how)
-    hot = F.broadcast(big.sparkSession.createDataFrame(found, hot_rows.schema))
-    marked = big.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-    apart = F.coalesce("_hot", no_key)
-    entries = F.broadcast(small.join(hot, keys, "left_semi"))
-    first = marked.filter(apart).drop("_hot").join(entries, keys, how)
-    return first.unionByName(marked.filter(~apart).drop("_hot").join(small, keys, how))

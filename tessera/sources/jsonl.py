@@ -52,15 +52,18 @@ def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def run_scores(runs: DataFrame, model: str = "tree-model") -> DataFrame:
     """``dataset, masked, strategy, accuracy, macro_f1``: one row per strategy of a run.
 
-    The tree model, named ``model``, is in every part of a document and counts once.
+    The tree model, named ``model``, can be in every part of a document and counts once, from the
+    first part that has it.
     """
-    parts = [("cot", None), ("zero_shot_cot_ablation", model), ("zero_shot_baseline", model)]
-    rows = None
-    for name, repeated in parts:
-        part = runs.select("dataset", "masked", F.explode(name).alias("strategy", "m"))
-        if repeated:
-            part = part.filter(F.col("strategy") != repeated)
-        rows = part if rows is None else rows.unionByName(part)
+    empty = F.create_map().cast("map<string, struct<accuracy: double, macro_f1_score: double>>")
+    parts = [F.coalesce(F.col(c), empty) for c in ("cot", "zero_shot_cot_ablation", "zero_shot_baseline")]
+    own = [F.map_filter(p, lambda k, _: k != model) for p in parts]
+    tree = F.coalesce(*[F.try_element_at(p, F.lit(model)) for p in parts])
+    entry = F.when(tree.isNotNull(), F.array(F.struct(F.lit(model).alias("key"), tree.alias("value")))).otherwise(
+        F.array().cast("array<struct<key: string, value: struct<accuracy: double, macro_f1_score: double>>>"))
+    every = F.concat(entry, *[F.map_entries(p) for p in own])
+    rows = runs.select("dataset", "masked", F.explode(every).alias("e")).select(
+        "dataset", "masked", F.col("e.key").alias("strategy"), F.col("e.value").alias("m"))
     return rows.select("dataset", "masked", "strategy", F.col("m.accuracy").alias("accuracy"),
                        F.col("m.macro_f1_score").alias("macro_f1"))
 

@@ -54,28 +54,25 @@ def _checked(lines: DataFrame, schema: str, fields: dict[str, str], valid: Colum
 
 
 def candidates(lines: DataFrame, mode: str = "strict") -> DataFrame:
-    """``key, finish, text`` of the candidate envelope."""
+    """``key, finish, text`` of the candidate envelope; refused or cut answers have a null text."""
     first = F.get(F.col("r.response.candidates"), F.lit(0))
-    text = F.get(first["content"]["parts"], F.lit(0))["text"]
-    valid = (F.col("r.key").isNotNull() & first["finishReason"].isNotNull()
-             & ((first["finishReason"] != "STOP") | text.isNotNull()))
+    valid = F.col("r.key").isNotNull() & first["finishReason"].isNotNull()
     fields = {"key": "r.key", "finish": "get(r.response.candidates, 0).finishReason",
               "text": "get(get(r.response.candidates, 0).content.parts, 0).text"}
     return _checked(lines, CANDIDATES, fields, valid, mode)
 
 
 def choices(lines: DataFrame, mode: str = "strict") -> DataFrame:
-    """``key, text`` of the choices envelope."""
-    text = F.get(F.col("r.response.body.choices"), F.lit(0))["message"]["content"]
+    """``key, text`` of the choices envelope; a refused answer has a null text."""
+    first = F.get(F.col("r.response.body.choices"), F.lit(0))
     fields = {"key": "r.custom_id", "text": "get(r.response.body.choices, 0).message.content"}
-    return _checked(lines, CHOICES, fields, F.col("r.custom_id").isNotNull() & text.isNotNull(), mode)
+    return _checked(lines, CHOICES, fields, F.col("r.custom_id").isNotNull() & first["message"].isNotNull(), mode)
 
 
 def evaluations(lines: DataFrame, mode: str = "strict") -> DataFrame:
-    """``key, text`` of the judge envelope."""
-    valid = F.col("r.request_id").isNotNull() & F.col("r.evaluation").isNotNull()
+    """``key, text`` of the judge envelope; an evaluation can be null."""
     fields = {"key": "r.request_id", "text": "r.evaluation"}
-    return _checked(lines, EVALUATIONS, fields, valid, mode)
+    return _checked(lines, EVALUATIONS, fields, F.col("r.request_id").isNotNull(), mode)
 
 
 def results(lines: DataFrame, mode: str = "strict") -> DataFrame:

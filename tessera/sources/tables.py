@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.config import Dataset
-from tessera.session import cut_lineage, lookup
+from tessera.session import cut_lineage
 
 # Cell texts that mean "no value" in a CSV.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -20,12 +20,11 @@ def nulled(value: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
-             multiline: bool = True) -> DataFrame:
+             multiline: bool = False) -> DataFrame:
     """Every column as a string, null tokens as null, with ``idx`` = 0-based record position.
 
-    Without ``columns`` the header of the first file names them. Quoted line breaks need
-    ``multiline``, which reads each file in one task; without them pass False, and large
-    files are split.
+    Without ``columns`` the header of the first file names them. Large files are split. Quoted line
+    breaks need ``multiline``, which reads each file in one task.
     """
     if not path.endswith(".csv"):
         raise ValueError("dataset path must end with '.csv'")
@@ -42,7 +41,7 @@ def load(spark: SparkSession, dataset: Dataset) -> DataFrame:
     """Read a dataset's CSV and apply its recipe; ``idx`` stays the position in the file."""
     if dataset.path is None:
         raise ValueError(f"dataset {dataset.name!r} has no path")
-    return read_csv(spark, dataset.path).transform(dataset.prepare)
+    return read_csv(spark, dataset.path, multiline=dataset.multiline).transform(dataset.prepare)
 
 
 def number_records(raw: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,7 +58,7 @@ def number_records(raw: DataFrame, columns: list[str]) -> DataFrame:
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("_file", "_block", "_first",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = lookup(placed, cut_lineage(starts, "blocks"), ["_file", "_block"])
+    numbered = placed.join(cut_lineage(starts, "blocks"), ["_file", "_block"])
     return numbered.select(
         (F.col("_start") + F.col("_id") - F.col("_first")).alias("idx"),
         *[F.col(f"`{c}`") for c in columns])

@@ -58,7 +58,33 @@ def test_replay_and_infer(spark):
            requests.replay(asked, spark.createDataFrame([("a", "x")], "key string, line string")).collect()}
     assert got == {"a": ("x", "done"), "b": (None, "missing")}
     sent = requests.infer(asked, lambda: lambda line: line + "!", 2)
-    assert {tuple(r) for r in sent.collect()} == {("a", "1!"), ("b", "2!")}
+    assert {tuple(r) for r in sent.collect()} == {("a", "1!", "done", None), ("b", "2!", "done", None)}
+
+
+def test_failed_requests_are_sent_again_alone(spark, tmp_path):
+    asked = spark.range(30).select(F.col("id").cast("string").alias("key"), F.lit("q").alias("line"))
+    log = str(tmp_path)
+
+    def make():
+        def send(line):
+            import uuid
+            open(f"{log}/{uuid.uuid4().hex}", "w").close()
+            if uuid.uuid4().int % 2:
+                raise OSError("busy")
+            return line + "!"
+        return send
+    got = requests.infer_rounds(asked, make, 3, rounds=40).collect()
+    done = [r["key"] for r in got if r["status"] == "done"]
+    assert sorted(done) == sorted(str(i) for i in range(30))
+    assert len(got) == len(list(tmp_path.iterdir())) > 30  # one call for each row, none for answered keys
+    assert all(r["error"] == "OSError: busy" and r["line"] is None for r in got if r["status"] == "failed")
+
+
+def test_later_attempts_win(spark):
+    asked = spark.createDataFrame([("a", "1")], "key string, prompt string").select("key", F.struct("key").alias("request"))
+    replies = spark.createDataFrame([("a", "second", 1), ("a", "first", 0), ("a", None, 2)], "key string, line string, attempt int")
+    got = runs.answers(asked, lambda lines: replies, "test").orderBy("seq").collect()
+    assert [r["line"] for r in got] == ["first", "second"]
 
 
 @pytest.fixture(scope="module")
@@ -124,6 +150,28 @@ def _labels(df):
     return {r["idx"]: r["prediction"] for r in df.collect()}
 
 
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_stream_compaction(spark, tmp_path, dedupe, monkeypatch):
+    monkeypatch.setattr(stream, "COMPACT_EVERY", 2)
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    folder.mkdir()
+    for i in range(5):
+        _write(folder, f"{i}.jsonl", [(i % 3, i % 2, i % 2), (7, i, 1), (7, 0, 0)])
+    stream.ingest(spark, str(folder), store, dedupe, files_per_batch=1).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "store" / "sums").iterdir()) == ["upto=1", "upto=3"]
+    assert stream._counted(spark, store).count() < 15
+    batch = parse.agent_labels(source.candidates(source.read_lines(spark, str(folder))), dedupe)
+    assert _labels(stream.running_labels(spark, store)) == _labels(batch)
+    with pytest.raises(ValueError, match="dedupe"):
+        stream.running_labels(spark, store, not dedupe)
+
+
+def test_stream_before_the_first_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream.ingest(spark, str(tmp_path / "in"), str(tmp_path / "store")).awaitTermination()
+    assert stream.running_labels(spark, str(tmp_path / "store")).collect() == []
+
+
 @pytest.mark.parametrize("dedupe", [False, True])
 def test_stream_equals_batch(spark, tmp_path, dedupe):
     folder, store = tmp_path / "in", str(tmp_path / "store")

@@ -25,7 +25,6 @@ def test_leaf_effects_match_all_coalitions():
     rng = np.random.default_rng(0)
     d, value = 4, 3.0
     share, met = rng.random(d), rng.integers(0, 2, d).astype(bool)
-    leaf = attribution.Leaf(np.arange(d), np.zeros(d), np.ones(d), share, value)
 
     def pay(coalition):
         return value * np.prod([float(met[i]) if i in coalition else share[i] for i in range(d)])
@@ -35,7 +34,8 @@ def test_leaf_effects_match_all_coalitions():
             for s in itertools.combinations(rest, size):
                 weight = math.factorial(size) * math.factorial(d - size - 1) / math.factorial(d)
                 total += weight * (pay({*s, j}) - pay(set(s)))
-        assert attribution.leaf_effects(met[None, :], leaf)[0, j] == pytest.approx(total, abs=1e-12)
+        got = attribution.leaf_effects(met[None, None, :], share[None, :], np.array([value]))
+        assert got[0, 0, j] == pytest.approx(total, abs=1e-12)
 
 
 @pytest.mark.parametrize("kind, settings", [
@@ -52,22 +52,24 @@ def test_attributions_add_up(spark, table, kind, settings):
     assert got.columns == ["idx", *FEATURES]
 
 
-def test_long_paths_without_tables(table, spark):
+def test_ways_of_attribution_agree(table, spark, monkeypatch):
     model = models.fit(models.make_estimator(GBTClassifier(maxIter=2, maxDepth=5, seed=1)), table, FEATURES, "y")
     leaves = attribution.leaves_of(model, spark)
     x = np.random.default_rng(1).random((50, 3))
-    short = attribution.row_effects(x, leaves, {})
-    attribution.TABLE_FEATURES, kept = 0, attribution.TABLE_FEATURES
-    try:
-        assert np.allclose(short, attribution.row_effects(x, leaves, {}))
-    finally:
-        attribution.TABLE_FEATURES = kept
+    whole = attribution.row_effects(x, attribution.stacked(leaves))
+    assert np.allclose(whole, attribution.row_effects(x, attribution.stacked(leaves, 3)))
+    monkeypatch.setattr(attribution, "TABLE_FEATURES", 0)
+    monkeypatch.setattr(attribution, "CELLS", 10)
+    assert np.allclose(whole, attribution.row_effects(x, attribution.stacked(leaves)))
 
 
 def test_estimators(spark):
     made = models.make_estimator("GBTClassifier", {"n_estimators": 7, "max_depth": 4.0, "learning_rate": 0.2,
-                                                   "subsample": 1, "reg_lambda": 3.0, "trial": 1, "random_state": 5})
+                                                   "subsample": 1, "reg_lambda": 3.0, "random_state": 5},
+                                 ignore=["reg_lambda"])
     assert (made.getMaxIter(), made.getMaxDepth(), made.getStepSize(), made.getSeed()) == (7, 4, 0.2, 5)
+    with pytest.raises(ValueError, match="reg_lambda"):
+        models.make_estimator("GBTClassifier", {"reg_lambda": 3.0})
     with pytest.raises(ValueError, match="unsupported"):
         models.make_estimator(LogisticRegression())
 
@@ -104,14 +106,20 @@ def brute_silhouette(rows, distance):
     return total / len(rows)
 
 
-def test_silhouettes(blobs):
+def test_silhouette(blobs):
     rows = [(r["idx"], np.array(r["point"]), r["cluster"]) for r in blobs.collect()]
-    assert representatives.silhouette_exact(blobs) == pytest.approx(
-        brute_silhouette(rows, lambda a, b: float(np.linalg.norm(a - b))), abs=1e-9)
     assert representatives.silhouette(blobs) == pytest.approx(
         brute_silhouette(rows, lambda a, b: float(((a - b) ** 2).sum())), abs=1e-9)
-    with pytest.raises(ValueError, match="too many rows"):
-        representatives.silhouette_exact(blobs, max_rows=10)
+
+
+@pytest.mark.parametrize("rows", [9_999, 10_001])
+def test_one_measure_at_every_size(spark, rows, monkeypatch):
+    points = spark.range(rows).select(F.col("id").alias("idx"), F.array(
+        (F.col("id") % 3 * 10).cast("double") + F.col("id") / rows).alias("point"))
+    seen, measure = [], representatives.silhouette
+    monkeypatch.setattr(representatives, "silhouette", lambda df: seen.append(measure(df)) or seen[-1])
+    scores = {r["k"]: r["silhouette"] for r in representatives.choose_k(points, 4).collect()}
+    assert sorted(seen) == sorted(scores.values()) and representatives.best_k(scores) == 3
 
 
 def test_diverse_examples(spark, blobs):

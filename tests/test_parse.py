@@ -38,7 +38,7 @@ def test_plain_labels(lines):
         candidate("baseline_zero-shot_batch-0", "0"),
         candidate("baseline_zero-shot_batch-1", "The answer is 1"),
         candidate("baseline_zero-shot_batch-2", "1", "MAX_TOKENS"),
-        candidate("baseline_zero-shot_batch-3", "I cannot determine"),
+        candidate("baseline_zero-shot_batch-3", "no answer comes to mind"),
         candidate("baseline_zero-shot_batch-4", "")])))
     assert as_dict(got) == {0: 0, 1: 1, 3: -1, 4: -1}
 
@@ -47,8 +47,8 @@ def test_stepwise_labels(lines):
     got = parse.stepwise_labels(source.candidates(lines([
         candidate("baseline_zero-shot-cot_batch-0", "Thinking 7...\nFINAL PREDICTION: 0"),
         candidate("baseline_zero-shot-cot_batch-1", "FINAL PREDICTION: 1", "MAX_TOKENS"),
-        candidate("baseline_zero-shot-cot_batch-2", "Missing FINAL PREDICTION: delimiter"),
-        candidate("baseline_zero-shot-cot_batch-3", "FINAL PREDICTION: no number here"),
+        candidate("baseline_zero-shot-cot_batch-2", "My FINAL PREDICTION: is open"),
+        candidate("baseline_zero-shot-cot_batch-3", "FINAL PREDICTION: undecided"),
         candidate("baseline_zero-shot-cot_batch-4", "no mark but 5")])))
     assert as_dict(got) == {0: 0, 2: -1, 3: -1, 4: 5}
 
@@ -61,7 +61,7 @@ def test_agent_labels(lines):
         candidate("cot_batch-1_agent-0", "FINAL PREDICTION: 1"),
         candidate("cot_batch-2_agent-0", "FINAL PREDICTION: 0"),
         candidate("cot_batch-2_agent-1", "FINAL PREDICTION: 0", "MAX_TOKENS"),
-        candidate("cot_batch-2_agent-2", "Missing FINAL PREDICTION:"),
+        candidate("cot_batch-2_agent-2", "All done, FINAL PREDICTION:"),
         candidate("cot_batch-2_agent-3", "FINAL PREDICTION: no number"),
         candidate("cot_batch-3_agent-0", "FINAL PREDICTION: 1", "MAX_TOKENS"),
         candidate("cot_batch-4_agent-0", "FINAL PREDICTION: 1"),
@@ -89,12 +89,12 @@ def test_votes_do_not_depend_on_partitions(lines):
 
 def test_reasoning(lines):
     got = parse.reasoning(source.choices(lines([
-        choice("reasoning_batch-0", "Some text</think><REASONING>This is the reasoning</REASONING>"),
-        choice("reasoning_batch-1", "Missing </think> delimiter"),
-        choice("reasoning_batch-2", "Has </think> but missing <REASONING>"),
+        choice("reasoning_batch-0", "the thoughts</think><REASONING>The fare decided it</REASONING>"),
+        choice("reasoning_batch-1", "thoughts end </think> and nothing follows"),
+        choice("reasoning_batch-2", "thoughts end </think> <REASONING>"),
         choice("reasoning_batch-3", ""),
         choice("reasoning_batch-4", "a</think> <REASONING>\n x </REASONING> </think><REASONING>later")])))
-    assert as_dict(got, "reasoning") == {0: "This is the reasoning", 2: "", 4: "x"}
+    assert as_dict(got, "reasoning") == {0: "The fare decided it", 2: "", 4: "x"}
 
 
 def test_reasoning_guard(spark, lines):
@@ -158,7 +158,10 @@ def test_text_functions(spark):
     df = spark.createDataFrame([(" \t\x1c a b  \n",)], "t string")
     assert df.select(strip(df.t)).first()[0] == "a b"
     df = spark.createDataFrame([("-1",), ("0.5",), ("9" * 30,)], "t string")
-    assert [r[0] for r in df.select(first_int(df.t)).collect()] == [1, 0, 2**63 - 1]
+    assert [r[0] for r in df.limit(2).select(first_int(df.t)).collect()] == [1, 0]
+    df = spark.createDataFrame([("9" * 30,), ("0" * 30 + "7",), ("8" * 30,), ("9" * 30 + "x",), (None,)], "t string")
+    long, seven, other, same, none = [r[0] for r in df.select(first_int(df.t)).collect()]
+    assert long == same >= 2**62 and other >= 2**62 and other != long and seven == 7 and none is None
 
 
 def test_judge_json_is_as_strict_as_a_json_parser(spark):

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, inside the innermost ``scratch`` if there is one."""
+    return "/".join([shared_dir(spark), *_scopes.get()[-1:], f"{label}-{uuid.uuid4().hex}"])
+
+
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A scope whose intermediates are deleted when it ends.
+
+    Everything that is written below the shared folder inside the scope goes; results must be written
+    elsewhere or collected before. Without a scope intermediates stay, as results may read them late.
+    """
+    name = f"scratch-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}"
+    token = _scopes.set((*_scopes.get(), name))
+    try:
+        yield folder
+    finally:
+        _scopes.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:

@@ -124,3 +124,15 @@ def test_score_contract(spark):
          (3, {"faithfulness": 4.1, "consistency": 4.0, "coherence": 1.0})], "idx long, metrics map<string,double>")
     assert checks.score_contract(df).first().asDict() == {
         "rows": 3, "incomplete": 1, "out_of_range": 1, "off_step": 1}
+
+
+def test_one_hot_vector(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", None), (4, None, "x"), (5, "c", "y")],
+                               "idx int, c string, d string")
+    wide = clean.one_hot(df, ["c", "d"])
+    got = {r["idx"]: r["one_hot"] for r in clean.one_hot_vector(df, ["c", "d"]).collect()}
+    for row in wide.collect():
+        values = list(row)[1:]
+        found = got[row["idx"]]
+        assert found["size"] == len(values) == 3
+        assert dict(zip(found["indices"], found["values"])) == {i: 1.0 for i, v in enumerate(values) if v}

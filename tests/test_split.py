@@ -93,3 +93,14 @@ def test_clean_params(spark):
         "random_state": "42", "other": "7", "nested": '{"a": 1}'}
     typed = trials.typed_params(trials.clean_params(df), {"max_depth": "int", "learning_rate": "double"}).first()
     assert (typed["max_depth"], typed["learning_rate"]) == (5, 0.1)
+
+
+def test_scratch_removes_its_intermediates(spark):
+    import os
+
+    from tessera.session import cut_lineage, scratch
+    kept = cut_lineage(spark.range(3))
+    with scratch(spark) as folder:
+        inner = cut_lineage(spark.range(5), "inner")
+        assert inner.count() == 5 and len(os.listdir(folder.removeprefix("file:"))) == 1
+    assert not os.path.exists(folder.removeprefix("file:")) and kept.count() == 3

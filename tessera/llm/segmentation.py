@@ -22,21 +22,23 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import layout, pieces
+from tessera.llm.texts import layout, pieces, spans
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 ZIPF_SHIFT = 10.0
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 3_000_000
+PIECE_IDS = 500_000
 TABLE_BITS = 19
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -308,26 +310,39 @@ def decode(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
 
 def encoded(docs: DataFrame, key: str, text: str, path: str = MODEL_PATH, smoothing: float = 1.0,
             seed: int = 0) -> DataFrame:
-    """``docs`` with ``_ids`` and ``_log_prob`` of a sampled segmentation."""
+    """``docs`` with ``_ids`` and ``_log_prob`` of a sampled segmentation. Rows leave a task a piece at a time."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, smoothing))  # one vocabulary
+    rows = docs.withColumn("_seed", F.xxhash64(F.col(key), F.lit(seed)))
+    names = docs.columns
 
-    @F.arrow_udf("struct<ids: array<int>, log_prob: double>")
-    def sample(texts: pa.Array, seeds: pa.Array) -> pa.Array:
-        ids, chance = encode(shared.value, texts, seeds.to_numpy(zero_copy_only=False))
-        return pa.StructArray.from_arrays([ids, pa.array(chance)], ["ids", "log_prob"])
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in spans(batch.column(text), PIECE_BYTES):
+                part = batch.slice(at, to - at)
+                ids, chance = encode(shared.value, part.column(text), part.column("_seed").to_numpy(zero_copy_only=False))
+                empty = part.column(text).is_null()
+                ids = pa.ListArray.from_arrays(ids.offsets, ids.values, mask=empty)
+                chance = pa.array(chance, mask=empty.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids, chance], [*names, "_ids", "_log_prob"])
 
-    given = F.col(text).isNotNull()
-    rows = docs.withColumn("_sample", sample(text, F.xxhash64(F.col(key), F.lit(seed))))
-    return rows.withColumn("_ids", F.when(given, F.col("_sample.ids"))).withColumn(
-        "_log_prob", F.when(given, F.col("_sample.log_prob"))).drop("_sample")
+    schema = docs.withColumn("_ids", F.lit(None).cast("array<int>")).withColumn("_log_prob", F.lit(None).cast("double")).schema
+    return rows.mapInArrow(task, schema)
 
 
-def decoded(rows: DataFrame, ids: Column, path: str = MODEL_PATH) -> DataFrame:
+def decoded(rows: DataFrame, ids: str, path: str = MODEL_PATH) -> DataFrame:
     """``rows`` with ``_decoded``, the text of the ids."""
     shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
-
-    @F.arrow_udf("string")
-    def text(values: pa.Array) -> pa.Array:
-        return decode(shared.value, values)
-
-    return rows.withColumn("_decoded", text(ids))
+    names = rows.columns
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(batch):
+                before = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + PIECE_IDS, "right")))
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, decode(shared.value, part.column(ids))], [*names, "_decoded"])
+                at = to
+
+    return rows.mapInArrow(task, rows.withColumn("_decoded", F.lit(None).cast("string")).schema)

@@ -16,19 +16,25 @@ def fold(key: str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def pieces(texts: pa.Array, most: int = 4_000_000, rows: int = 1 << 16) -> Iterator[pa.Array]:
-    """Runs of at most ``rows`` texts (null: empty) and ``most`` bytes; a longer text is a run of its own."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
+def spans(texts: pa.Array, most: int = 4_000_000, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of at most ``rows`` texts and ``most`` bytes; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes.astype(np.int64)), 0
     while at < len(texts):
         before = ends[at - 1] if at else 0
         to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
-        # A copy that starts at its own buffers' beginning: the split kernel misreads slices.
-        yield texts.take(pa.array(np.arange(at, to)))
+        yield at, to
         at = to
 
 
+def pieces(texts: pa.Array, most: int = 4_000_000, rows: int = 1 << 16) -> Iterator[pa.Array]:
+    """The texts (null: empty) in runs of bounded size."""
+    for at, to in spans(texts, most, rows):
+        # A copy that starts at its own buffers' beginning: the split kernel misreads slices.
+        piece = texts.slice(at, to - at).cast(pa.large_string())
+        yield pc.fill_null(piece, "").take(pa.array(np.arange(to - at)))
+
+
 def layout(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of one of the ``pieces`` in an array, and the offsets of the texts in it."""
     if not len(texts):

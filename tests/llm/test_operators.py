@@ -49,7 +49,7 @@ def test_fold(spark):
 
 def test_encode_edges(spark, docs):
     def ids(frame):
-        found = segmentation.decoded(segmentation.encoded(frame, "doc_id", "text"), F.col("_ids"))
+        found = segmentation.decoded(segmentation.encoded(frame, "doc_id", "text"), "_ids")
         return found.select("doc_id", "text", "_ids", "_decoded").collect()
 
     got = ids(docs)

@@ -35,7 +35,7 @@ OCTAVES = 44
 SCALAR = 64
 BANDS = 8
 BAND_SYMBOLS = 8
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 6_000_000
 FINER = 8  # candidates for each bucket boundary, of which every eighth is taken
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 

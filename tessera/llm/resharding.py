@@ -27,6 +27,8 @@ from tessera.session import cut_lineage, spread
 # Rows for one salt value, and copies of one text from which on they are salted by row key.
 ROWS_PER_SALT = 100_000
 HEAVY = 20_000
+# Rows of a shard that one task writes when shards are rewritten.
+ROWS_PER_FILE = 100_000
 BLOCK = ["old_shard", "size_class", "salt", "sub"]
 
 
@@ -171,5 +173,6 @@ def rewrite(docs: DataFrame, plan: DataFrame, key: str, text: str, path: str) ->
     met = [here[c].eqNullSafe(there[c]) for c in match]
     rows = here.join(there, met[0] & met[1] & met[2]).select(
         *[here[c] for c in docs.columns], there["shard"].alias("_shard"), there["slot"].alias("_slot"))
-    rows.repartition("_shard").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    stretch = F.floor(F.col("_slot") / ROWS_PER_FILE)
+    rows.repartition("_shard", stretch).sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
     return touched

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from catalog.inputs import FEATURES, candidate_line, choice_line, order_features, result_line, table
 from catalog.scoring import f1_sql, rounded
 from tessera.config import TRIALS, ModelSpec
-from tessera.operators import attribution, models, representatives, trials
+from tessera.operators import attribution, models, representatives, requests, trials
 from tessera.operators.split import exact_split
 from tessera.plans import run as runs
 from tessera.plans.explain import explain
@@ -160,14 +160,21 @@ CLASSIFIER = ModelSpec("model-b", 0.0, 4096)
 
 
 def v7_baseline(spark, sf):
-    """Both strategies without examples, on the customers' test rows."""
+    """Both strategies without examples, on the customers' test rows, from recorded answers of all customers."""
     rows = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("idx"), "c_nationkey", F.floor("c_acctbal").alias("balance"),
         (F.col("c_acctbal") > 0).cast("int").alias("y"))
     split = cut_lineage(exact_split(rows), "split")
     e = runs.Explanation(split, None, None, None)
     task = runs.Task("customers", "y", {0: "No", 1: "Yes"})
-    parts = [runs.baseline(e, task, CLASSIFIER, offline_answers, stepwise) for stepwise in (False, True)]
+    kinds = F.explode(F.array(F.lit("zero-shot"), F.lit("zero-shot-cot"))).alias("kind")
+    asked = table(spark, sf, "customer").select("c_custkey", kinds)
+    key = F.concat(F.lit("baseline_"), "kind", F.lit("_batch-"), F.col("c_custkey").cast("string"))
+    recorded = cut_lineage(offline_answers(asked.select(key.alias("key"))), "recorded")
+
+    def replayed(lines):
+        return requests.replay(lines, recorded).select("key", F.col("response").alias("line"))
+    parts = [runs.baseline(e, task, CLASSIFIER, replayed, stepwise) for stepwise in (False, True)]
     return rounded(parts[0].unionByName(parts[1]))
 
 

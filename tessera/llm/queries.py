@@ -19,9 +19,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def op1_sample_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    rows = segmentation.encoded(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
-    back = segmentation.decoded(rows, "_ids")
-    return back.select("doc_id", F.col("_ids").alias("ids"), F.size("_ids").alias("n_pieces"),
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    rows = segmentation.encoded(docs, "doc_id", "text", decoded=True)
+    return rows.select("doc_id", F.col("_ids").alias("ids"), F.size("_ids").alias("n_pieces"),
                        F.col("_log_prob").alias("log_prob"), F.col("_decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 

@@ -37,7 +37,7 @@ from tessera.llm.texts import layout, pieces, spans
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 ZIPF_SHIFT = 10.0
-PIECE_BYTES = 3_000_000
+PIECE_BYTES = 2_000_000
 PIECE_IDS = 500_000
 TABLE_BITS = 19
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -309,11 +309,14 @@ def decode(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
 
 
 def encoded(docs: DataFrame, key: str, text: str, path: str = MODEL_PATH, smoothing: float = 1.0,
-            seed: int = 0) -> DataFrame:
-    """``docs`` with ``_ids`` and ``_log_prob`` of a sampled segmentation. Rows leave a task a piece at a time."""
+            seed: int = 0, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``_ids`` and ``_log_prob`` of a sampled segmentation. Rows leave a task a piece at a time.
+
+    ``decoded`` adds ``_decoded``, the text that the ids give back, in the same pass.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, smoothing))  # one vocabulary
     rows = docs.withColumn("_seed", F.xxhash64(F.col(key), F.lit(seed)))
-    names = docs.columns
+    names = [*docs.columns, "_ids", "_log_prob", *["_decoded"] * decoded]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,9 +326,12 @@ def encoded(docs: DataFrame, key: str, text: str, path: str = MODEL_PATH, smooth
                 empty = part.column(text).is_null()
                 ids = pa.ListArray.from_arrays(ids.offsets, ids.values, mask=empty)
                 chance = pa.array(chance, mask=empty.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids, chance], [*names, "_ids", "_log_prob"])
+                made = [ids, chance, *[decode(shared.value, ids)] * decoded]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names)
 
-    schema = docs.withColumn("_ids", F.lit(None).cast("array<int>")).withColumn("_log_prob", F.lit(None).cast("double")).schema
+    empty = F.lit(None)
+    schema = docs.select("*", empty.cast("array<int>").alias("_ids"), empty.cast("double").alias("_log_prob"),
+                         *[empty.cast("string").alias("_decoded")] * decoded).schema
     return rows.mapInArrow(task, schema)
 
 

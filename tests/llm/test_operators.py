@@ -48,14 +48,16 @@ def test_fold(spark):
 # 1 ----------------------------------------------------------------------------------------------
 
 def test_encode_edges(spark, docs):
-    def ids(frame):
-        found = segmentation.decoded(segmentation.encoded(frame, "doc_id", "text"), "_ids")
+    def ids(frame, apart=False):
+        found = segmentation.encoded(frame, "doc_id", "text", decoded=not apart)
+        found = segmentation.decoded(found, "_ids") if apart else found
         return found.select("doc_id", "text", "_ids", "_decoded").collect()
 
     got = ids(docs)
     assert len(got) == len(rows()) and all(r["text"] == r["_decoded"] for r in got)
     assert all((r["_ids"] is None) == (r["text"] is None) for r in got)
     assert sorted(map(repr, got)) == sorted(map(repr, ids(docs.repartition(7))))
+    assert sorted(map(repr, got)) == sorted(map(repr, ids(docs, apart=True)))
     assert ids(nothing(spark)) == []
 
 

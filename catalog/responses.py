@@ -105,7 +105,7 @@ def a8_triage(spark, sf):
 
 
 def a8_succeeded(spark, sf):
-    return parse.succeeded(source.results(result_lines(spark, sf)))
+    return parse.succeeded(source.results(result_lines(spark, sf))).select("request_id", "evaluation")
 
 
 def a6_judge_mean(spark, sf):

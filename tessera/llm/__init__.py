@@ -1,5 +1,5 @@
 """Operators of a training-data pipeline: one module each, their queries in ``queries``.
 
-Columns whose names begin with an underscore are the operators' own; ``corpus_pipeline`` packs rows into one
-column, so that documents may have further columns of any name.
+Operators that add columns to rows of any shape (``fresh``) take names that the rows do not have; those that
+return ``_``-names add just these.
 """

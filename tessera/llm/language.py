@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.texts import layout, pieces
@@ -178,19 +178,24 @@ def train(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
     return Model(languages, landmarks, solve(own, rows[order], labels[order], len(languages)))
 
 
-def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``_lang_pred`` and ``_lang_score``."""
+def guess(spark: SparkSession, model: Model | None, text: str) -> Column:
+    """``lang, score`` of a text column. Only texts go to the Python workers."""
+    unknown = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
     if model is None:
-        return docs.withColumn("_lang_pred", F.lit(UNKNOWN)).withColumn("_lang_score", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANDMARKS * LANDMARK_BYTES n-grams
+        return unknown
+    shared = spark.sparkContext.broadcast(model)  # bounded by LANDMARKS * LANDMARK_BYTES n-grams
 
     @F.arrow_udf("struct<lang: string, score: double>")
-    def guess(texts: pa.Array) -> pa.Array:
-        best, score = shared.value.predict(texts)
-        names = pa.array(shared.value.languages, pa.string()).take(pa.array(best))
+    def best(texts: pa.Array) -> pa.Array:
+        found, score = shared.value.predict(texts)
+        names = pa.array(shared.value.languages, pa.string()).take(pa.array(found))
         return pa.StructArray.from_arrays([names, pa.array(score)], ["lang", "score"])
 
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.withColumn("_guess", guess(text))
-    return rows.withColumn("_lang_pred", F.when(letters, F.col("_guess.lang")).otherwise(F.lit(UNKNOWN))).withColumn(
-        "_lang_score", F.when(letters, F.col("_guess.score")).otherwise(F.lit(0.0))).drop("_guess")
+    return F.when(F.col(text).rlike(r"\p{L}"), best(text)).otherwise(unknown)
+
+
+def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs`` with ``_lang_pred`` and ``_lang_score``."""
+    found = docs.withColumn("_guess", guess(docs.sparkSession, model, text))
+    return found.withColumn("_lang_pred", F.col("_guess.lang")).withColumn(
+        "_lang_score", F.col("_guess.score")).drop("_guess")

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.texts import fresh
 from tessera.session import cut_lineage, spread
 
 SEED = 42
@@ -58,17 +59,13 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(majority, bitorder="little").view(np.int64)[0])
 
 
-def fingerprinted(rows: DataFrame, text: str, width: int) -> DataFrame:
-    """``rows`` with the signed 64-bit ``fp`` in place of the text."""
-    kept = [c for c in rows.columns if c != text]
+def fingerprints(width: int):
+    """A column function from texts to signed 64-bit fingerprints. Only texts go to the Python workers."""
+    @F.arrow_udf("long")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t.as_py(), width) for t in texts], pa.int64())
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([fingerprint(t.as_py(), width) for t in batch.column(text)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "fp"])
-
-    schema = rows.select(*kept).withColumn("fp", F.lit(0).cast("long")).schema
-    return spread(rows).mapInArrow(task, schema)
+    return found
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -270,7 +267,8 @@ def classes(rows: DataFrame, key: str, distance: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4,
                     distance: int = 4) -> DataFrame:
     """Per row ``key``, ``fingerprint`` in hex and ``component_id``. Texts are read once."""
-    rows = cut_lineage(fingerprinted(docs.select(F.col(key), F.col(text)), text, width), "simhash")
+    rows = spread(docs.select(F.col(key), F.col(text))).select(key, fingerprints(width)(text).alias("fp"))
+    rows = cut_lineage(rows, "simhash")
     found = rows.join(classes(rows, key, distance), "fp")
     return found.select(key, hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -282,10 +280,11 @@ def hexed(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4,
                 distance: int = 4) -> DataFrame:
     """The rows of ``docs`` with one row of each class: the one of the smallest key, first in the written order."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"))
-    rows = cut_lineage(fingerprinted(packed, "_text", width).withColumn("_n", F.monotonically_increasing_id()),
-                       "simhash-rows")
-    slim = rows.select("_id", "_n", "fp")
-    met = slim.join(classes(slim, "_id", distance), "fp")
-    first = met.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "_n")).alias("kept"))
-    return rows.join(first.select(F.col("kept._n").alias("_n")), "_n", "left_semi").select("_row.*")
+    fp, place = fresh(docs, "_fp"), fresh(docs, "_place")
+    rows = spread(docs).withColumn(fp, fingerprints(width)(text)).withColumn(place, F.monotonically_increasing_id())
+    rows = cut_lineage(rows, "simhash-rows")
+    slim = rows.select(F.col(key).alias("id"), F.col(place).alias("place"), F.col(fp).alias("fp"))
+    met = slim.join(classes(slim, "id", distance), "fp")
+    first = met.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "place")).alias("kept"))
+    kept = first.select(F.col("kept.place").alias(place))
+    return rows.join(kept, place, "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,14 @@ def fold(key: str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` do not have, in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spans(texts: pa.Array, most: int = 4_000_000, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Bounds of runs of at most ``rows`` texts and ``most`` bytes; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, score double, _row string, "
+SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, score double, _score string, "
           "shard int")
 LONG = "Once upon a time there was a very long text that went on. " * 4000
 UNBROKEN = "xyz" * 20000

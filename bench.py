@@ -1,6 +1,7 @@
 """Time the headline queries and print one JSON line.
 
-BENCH_SF_DIR names the table folder, BENCH_CPUS the number of local cores.
+BENCH_SF_DIR names the table folder, BENCH_CPUS the number of local cores. The queries of fifty fits (m4_tune,
+m8_explain, v8_run) are not among them; their time at this size is not measured yet.
 """
 
 from __future__ import annotations
@@ -15,8 +16,7 @@ import catalog
 
 HEADLINES = """r1_plain r3_judge r5_vote r6_first_int v1_evaluate a4_mcnemar a9_fold_stats p6_learned_wide p8_coerce
 p14_text p16_titanic p21_zscore x1_split x2_folds x4_trials j2_predictions j2_hot_keys j7_attach g3_reasoning
-g5_few_shot g12_few_shot s2_row_key t1_stream m1_fit m3_shap m3_additivity m6_medoid a11_silhouette m7_diverse
-m4_tune m8_explain v8_run""".split()
+g5_few_shot g12_few_shot s2_row_key t1_stream m1_fit m3_shap m3_additivity m6_medoid a11_silhouette m7_diverse""".split()
 
 
 def main() -> None:

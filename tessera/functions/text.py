@@ -67,18 +67,24 @@ def plain_number(value: Column) -> Column:
     The digits are those of the shortest text that reads back as the same double, at every magnitude:
     an exponent moves the point.
     """
-    text = F.abs(value).cast("string")
-    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    power = F.coalesce(power, F.lit(0))
-    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
-    digits, point = F.concat(whole, part), F.length(whole) + power
-    placed = (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-              .when(point >= F.length(digits), F.rpad(digits, point, "0"))
-              .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."),
-                                  F.substring(digits, point + 1, F.length(digits)))))
-    trimmed = F.when(placed.contains("."), F.regexp_replace(placed, r"\.?0+$", "")).otherwise(placed)
-    sign = F.when((value < 0), F.lit("-")).otherwise(F.lit(""))
-    return F.when(F.abs(value) < float("inf"), F.concat(sign, trimmed)).otherwise(F.lit("null"))
+    size = F.abs(value)
+
+    def placed(text: Column) -> Column:
+        mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+        whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+        digits, point = F.concat(whole, part), F.length(whole) + power
+        return (F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+                .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+                .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."),
+                                    F.substring(digits, point + 1, F.length(digits)))))
+
+    # Only the rare texts with an exponent are taken apart, each once as an element of its own.
+    moved = F.get(F.transform(F.array(size.cast("string")), placed), F.lit(0))
+    moved = F.when(moved.contains("."), F.regexp_replace(moved, r"\.?0+$", "")).otherwise(moved)
+    return (F.when((value == F.rint(value)) & (size < 1e15), value.cast("bigint").cast("string"))
+            .when((size >= 1e-3) & (size < 1e7), value.cast("string"))
+            .when(size < float("inf"), F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), moved))
+            .otherwise(F.lit("null")))
 
 
 def plain_string(value: Column) -> Column:

@@ -32,6 +32,8 @@ LANDMARKS = 160
 LANDMARK_BYTES = 20_000
 TRAIN_ROWS = 4_000
 RIDGE = 1e-3
+CUT_ROWS = 4_000
+SLACK = 0.7  # of the evidence that held-out texts of a language show, what a text must show
 UNKNOWN = "und"
 PIECE_ROWS = 128  # presence is a dense matrix of this many rows; row numbers also share 32 bits with a code
 
@@ -101,17 +103,21 @@ class Landmarks:
         matrix[place, np.concatenate(owners)] = np.concatenate(weights)
         return cls(known, matrix)
 
+    def found(self, piece: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Kernel of a piece's texts with every landmark; owner, order, place and presence of the texts' n-grams."""
+        owner, code, order = grams(piece)
+        weight = _weights(owner, order, len(piece))
+        place = np.searchsorted(self.codes, code).clip(max=len(self.codes) - 1)
+        held = self.codes[place] == code
+        presence = np.zeros((len(piece), len(self.codes)), dtype=np.float32)
+        presence[owner[held], place[held]] = weight[held]
+        return (presence @ self.weights).astype(float), owner, order, place, held
+
     def kernel(self, texts: pa.Array) -> np.ndarray:
         """Kernel of every text with every landmark."""
         parts = [np.zeros((0, self.weights.shape[1]))]
         for piece in pieces(texts, rows=PIECE_ROWS):
-            owner, code, order = grams(piece)
-            weight = _weights(owner, order, len(piece))
-            place = np.searchsorted(self.codes, code).clip(max=len(self.codes) - 1)
-            held = self.codes[place] == code
-            presence = np.zeros((len(piece), len(self.codes)), dtype=np.float32)
-            presence[owner[held], place[held]] = weight[held]
-            parts.append((presence @ self.weights).astype(float))
+            parts.append(self.found(piece)[0])
         return np.concatenate(parts)
 
 
@@ -120,6 +126,21 @@ class Model:
     languages: list[str]
     landmarks: Landmarks
     coefficients: np.ndarray
+    held: np.ndarray  # language x n-gram code: whether a landmark of the language holds it
+
+    def judged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``predict``, with the number of each text's longest n-grams and the share of them that its language holds."""
+        parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))]
+        for piece in pieces(texts, rows=PIECE_ROWS):
+            kernel, owner, order, place, known = self.landmarks.found(piece)
+            votes = kernel @ self.coefficients
+            best, longest = votes.argmax(axis=1), order == max(ORDERS)
+            own = known & longest
+            own[own] = self.held[best[owner[own]], place[own]]
+            many = np.bincount(owner[longest], minlength=len(piece))
+            share = np.bincount(owner[own], minlength=len(piece)) / many.clip(1)
+            parts.append((best, ((votes[np.arange(len(votes)), best] + 1) / 2).clip(0, 1), many, share))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of the best language of each text and its score from 0 to 1."""
@@ -175,7 +196,9 @@ def train(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
     labels = np.array([languages.index(x) for x in table.column("_lang").to_pylist()], dtype=int)
     order = np.lexsort(rows.T[::-1])
     own = landmarks.kernel(pa.array([t for _, t in marks], pa.string()))
-    return Model(languages, landmarks, solve(own, rows[order], labels[order], len(languages)))
+    of = np.array([languages.index(x) for x, _ in marks])
+    held = np.stack([(landmarks.weights[:, of == i] > 0).any(axis=1) for i in range(len(languages))])
+    return Model(languages, landmarks, solve(own, rows[order], labels[order], len(languages)), held)
 
 
 def guess(spark: SparkSession, model: Model | None, text: str) -> Column:
@@ -194,6 +217,65 @@ def guess(spark: SparkSession, model: Model | None, text: str) -> Column:
     return F.when(F.col(text).rlike(r"\p{L}"), best(text)).otherwise(unknown)
 
 
+def cuts(docs: DataFrame, model: Model | None, held_out: Column, key: str = "doc_id", text: str = "text",
+         lang: str = "lang") -> dict[str, tuple[float, float]]:
+    """For each language the least score and the least share of known n-grams of a text that belongs to it.
+
+    They are ``SLACK`` of what all but a hundredth of the held-out rows of the language reach, which rows may not be
+    learned from. At most ``CUT_ROWS`` rows, chosen by a hash of the key, are judged. A language without such rows
+    takes the lowest cuts of the others; without any rows there is no evidence and the cuts are 0.
+    """
+    if model is None:
+        return {}
+    rows = docs.filter(held_out & F.col(key).isNotNull() & F.col(lang).isin(model.languages) & F.col(text).rlike(r"\p{L}"))
+    counts = dict(rows.groupBy(lang).count().collect())
+    if not counts:
+        return {x: (0.0, 0.0) for x in model.languages}
+    table = docs.sparkSession.createDataFrame(list(counts.items()), "_lang string, _n long")
+    hashed = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    some = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), hashed.alias("_u")).join(
+        F.broadcast(table), "_lang").filter(F.col("_u") * F.col("_n") < max(20, 0.9 * (CUT_ROWS // len(counts))))
+    found = spread(some.select("_lang", "_text")).select("_lang", judge(docs.sparkSession, model, "_text").alias("j"))
+    low = found.filter(F.col("_lang") == F.col("j.lang")).groupBy("_lang").agg(
+        F.percentile("j.score", F.lit(0.01)).alias("score"), F.percentile("j.share", F.lit(0.01)).alias("share")).collect()
+    seen = {r["_lang"]: (min(0.5, SLACK * r["score"]), SLACK * r["share"]) for r in low}
+    least = tuple(map(min, zip(*seen.values()))) if seen else (0.0, 0.0)
+    return {x: seen.get(x, least) for x in model.languages}
+
+
+def judge(spark: SparkSession, model: Model, text: str) -> Column:
+    """``lang, score, many, share`` of a text column: see ``Model.judged``. Only texts go to the Python workers."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang: string, score: double, many: long, share: double>")
+    def judged(texts: pa.Array) -> pa.Array:
+        found, *rest = shared.value.judged(texts)
+        names = pa.array(shared.value.languages, pa.string()).take(pa.array(found))
+        return pa.StructArray.from_arrays([names, *map(pa.array, rest)], ["lang", "score", "many", "share"])
+
+    return judged(text)
+
+
+def belongs(spark: SparkSession, model: Model | None, least: dict[str, tuple[float, float]], text: str) -> Column:
+    """Whether a text column has letters and belongs to the language that is found for it, by the cuts ``least``.
+
+    A text of few n-grams may stay below them by two standard errors.
+    """
+    if model is None:
+        return F.lit(False)
+    shared, names = spark.sparkContext.broadcast(model), {x: i for i, x in enumerate(model.languages)}
+    low = np.array([least[x] for x in names]).reshape(-1, 2)
+
+    @F.arrow_udf("boolean")
+    def fits(texts: pa.Array) -> pa.Array:
+        found, score, many, share = shared.value.judged(texts)
+        cut = low[found]
+        error = 2 * np.sqrt(cut * (1 - cut) / many.clip(1)[:, None])
+        return pa.array((np.column_stack([score, share]) >= cut - error).all(axis=1))
+
+    return F.when(F.col(text).rlike(r"\p{L}"), fits(text)).otherwise(F.lit(False))
+
+
 def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` with ``_lang_pred`` and ``_lang_score``."""
     found = docs.withColumn("_guess", guess(docs.sparkSession, model, text))

@@ -7,9 +7,11 @@ labelled texts serves as Nystroem landmarks; kernel ridge regression, one langua
 rest, is solved on the landmarks' feature space from a second bounded sample. A batch is scored by
 matrix products: presence of the landmarks' n-grams times landmarks, times coefficients.
 
-At most ``LANDMARKS`` landmarks, of at most ``LANDMARK_BYTES`` bytes each, and ``TRAIN_ROWS``
-training rows are used, shared evenly by the languages and chosen by a hash of the key; every text
-is scored whole. A null text, or one without a letter, is ``und`` with score 0, and so is every
+At most ``LANDMARKS`` landmarks and ``TRAIN_ROWS`` training rows are used, shared evenly by the
+languages and chosen by a hash of the key; every language has a landmark, the ``LANGUAGES`` most
+frequent ones are learned. Landmarks are texts of at most ``LANDMARK_BYTES`` bytes and, for languages
+with too few of them, beginnings of longer ones; over ``LANDMARKS`` languages, beginnings as much
+shorter. Training rows are texts of any length, and every text is scored whole. A null text, or one without a letter, is ``und`` with score 0, and so is every
 text when nothing could be learned. Rows with null language or key teach nothing. Equal scores go to
 the language first in code point order. An empty table gives an empty result.
 """
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.texts import layout, pieces
@@ -30,6 +32,7 @@ from tessera.session import spread
 ORDERS = (1, 2, 3)
 LANDMARKS = 160
 LANDMARK_BYTES = 20_000
+LANGUAGES = 500
 TRAIN_ROWS = 4_000
 RIDGE = 1e-3
 CUT_ROWS = 4_000
@@ -168,21 +171,28 @@ def train(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
     """Learn from a bounded sample of the rows for which ``learnable`` holds; None if there are none."""
     known = docs.filter(learnable & F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    short = known.filter(F.octet_length("_text").between(1, LANDMARK_BYTES))
-    counts = short.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(LANDMARKS)
-    counts = {r["_lang"]: r["n"] for r in counts.collect()}
+    known = known.filter(F.octet_length("_text") > 0).withColumn("_long", F.octet_length("_text") > LANDMARK_BYTES)
+    counts = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_long").alias("_n_long")).orderBy(
+        F.desc("_n"), "_lang").limit(LANGUAGES).collect()
     if not counts:
         return None
-    languages = sorted(counts)
-
-    def chosen(share: int, seed: int) -> DataFrame:
-        # A hash range that holds about 0.9 of the share; the limit is the bound itself.
-        table = docs.sparkSession.createDataFrame(list(counts.items()), "_lang string, _n long")
-        hashed = F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        rows = short.join(F.broadcast(table), "_lang").filter(hashed * F.col("_n") < max(1, 0.9 * (share // len(counts))))
-        return spread(rows.drop("_n")).limit(share)
-
-    marks = sorted((r["_lang"], r["_text"]) for r in chosen(LANDMARKS, 1).collect())
+    languages = sorted(r["_lang"] for r in counts)
+    table = docs.sparkSession.createDataFrame(counts, "_lang string, _n long, _n_long long")
+
+    def hashed(seed: int) -> Column:
+        return F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+    # Short texts of a hash range that holds enough of them, and long ones where there are too few; then the exact share.
+    share = max(1, LANDMARKS // len(counts))
+    short = F.col("_n") - F.col("_n_long")
+    few = F.when(F.col("_long"), (short < share) & (F.col("_u") * F.col("_n_long") < 4 * share + 8)).otherwise(
+        F.col("_u") * short < 4 * share + 8)
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_long", "_u", "_text"))
+    drawn = known.withColumn("_u", hashed(1)).join(F.broadcast(table), "_lang").filter(few).select(
+        "_lang", "_long", "_u", F.substring("_text", 1, LANDMARK_BYTES).alias("_text"))
+    drawn = drawn.withColumn("_place", place).filter(F.col("_place") <= share).select("_lang", "_text").collect()
+    most = LANDMARK_BYTES * LANDMARKS // max(LANDMARKS, len(counts))
+    marks = sorted((r["_lang"], r["_text"].encode()[:most].decode(errors="ignore")) for r in drawn)
     landmarks = Landmarks.of([t for _, t in marks])
 
     @F.arrow_udf("array<double>")
@@ -191,7 +201,10 @@ def train(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
         return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]),
                                         pa.array(rows.ravel()))
 
-    table = chosen(TRAIN_ROWS, 2).select("_lang", kernel("_text").alias("k")).toArrow()
+    # A hash range that holds about 0.9 of the share; the limit is the bound itself.
+    some = known.withColumn("_u", hashed(2)).join(F.broadcast(table), "_lang").filter(
+        F.col("_u") * F.col("_n") < max(1, 0.9 * (TRAIN_ROWS // len(counts)))).select("_lang", "_text")
+    table = spread(some).select("_lang", kernel("_text").alias("k")).limit(TRAIN_ROWS).toArrow()
     rows = table.column("k").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(marks))
     labels = np.array([languages.index(x) for x in table.column("_lang").to_pylist()], dtype=int)
     order = np.lexsort(rows.T[::-1])

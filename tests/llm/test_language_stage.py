@@ -1,6 +1,9 @@
 """The language stage on texts of languages and scripts that the corpus does not teach."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from tessera.llm import language
 
 SMALL = "/root/testdata/sf0.01"
 FOREIGN = [
@@ -22,3 +25,22 @@ def test_unlearned_languages_go_and_clean_documents_stay(spark):
     assert not any(i >= 10 ** 6 for i in got)
     lettered = {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
     assert got == lettered
+
+
+def test_languages_of_long_documents_are_learned(spark):
+    english, finnish = "Plain words make a plain text of the day. ", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina. "
+    made = [(i, english + f"Number {'x' * i}.", "en") for i in range(6)] + [(10 + i, (finnish + "y" * i + " ") * 1500, "fi") for i in range(6)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True))
+    assert model.languages == ["en", "fi"]
+    assert all(r["_lang_pred"] == r["lang"] for r in language.predicted(docs, model).collect())
+    books = docs.filter("lang = 'fi'")
+    assert {r["_lang_pred"] for r in language.predicted(books, language.train(books, F.lit(True))).collect()} == {"fi"}
+
+
+def test_more_languages_than_landmarks(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANDMARKS", 4)
+    docs = spark.createDataFrame([(i, chr(0x561 + i % 9) * 40, f"l{i % 9}") for i in range(90)], "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True))
+    assert len(model.languages) == 9
+    assert all(r["_lang_pred"] == r["lang"] for r in language.predicted(docs, model).collect())

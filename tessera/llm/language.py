@@ -195,9 +195,11 @@ def train(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
     marks = sorted((r["_lang"], r["_text"].encode()[:most].decode(errors="ignore")) for r in drawn)
     landmarks = Landmarks.of([t for _, t in marks])
 
+    shared = docs.sparkSession.sparkContext.broadcast(landmarks)
+
     @F.arrow_udf("array<double>")
     def kernel(texts: pa.Array) -> pa.Array:
-        rows = landmarks.kernel(texts)
+        rows = shared.value.kernel(texts)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]),
                                         pa.array(rows.ravel()))
 
@@ -205,6 +207,7 @@ def train(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
     some = known.withColumn("_u", hashed(2)).join(F.broadcast(table), "_lang").filter(
         F.col("_u") * F.col("_n") < max(1, 0.9 * (TRAIN_ROWS // len(counts)))).select("_lang", "_text")
     table = spread(some).select("_lang", kernel("_text").alias("k")).limit(TRAIN_ROWS).toArrow()
+    shared.unpersist()
     rows = table.column("k").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(marks))
     labels = np.array([languages.index(x) for x in table.column("_lang").to_pylist()], dtype=int)
     order = np.lexsort(rows.T[::-1])

@@ -1,8 +1,9 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, which are normalised: lower case, one spelling of "license", signs
-other than letters, digits, dots, plus and slash become a blank. Sentences with a licence word are mapped
-to the identifiers of known licence sentences. The identifiers of a text, in order, are then matched
+other than letters, digits, dots, plus and slash become a blank. Comment marks at the start and end of lines are
+taken out before, so a commented header reads as the plain one. Sentences with a licence word or a fixed part of a
+known licence sentence are mapped to the identifiers of known licence sentences. The identifiers of a text, in order, are then matched
 against rules, sequences of identifiers, the longest statements first; what a rule has matched is
 taken out, so a licence's full text does not count again as a mere mention.
 
@@ -13,6 +14,9 @@ mentions count once in ``licenses``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from re import _constants as parts, _parser as patterns
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,18 +110,43 @@ RULES = (
     ("Unlicense", ("Unlicense",)), ("public-domain", ("PublicDomain",)), ("all-rights-reserved", ("AllRights",)),
 )
 
+# Marks that open a line of a comment, and marks that close one; "rem", "dnl" and ".\\"" are those of scripts and manuals.
+OPENS = r'(?m)^[ \t]*(?:/\*+!?|\*+/?|//+!?|#+!?|--+|;+|%+|<!--+|\.?\\"|@?rem(?=[ \t\r]|$)|dnl(?=[ \t\r]|$))[ \t]*'
+CLOSES = r"(?m)[ \t]*(?:\*+/|--+>)[ \t\r]*$"
+
+
+def _fixed(pattern) -> list[str]:
+    """Texts of which whatever the pattern matches holds at least one, as long as the pattern allows."""
+    choices, run = [[""]], ""
+    for kind, value in [*pattern, (None, None)]:
+        if kind is parts.LITERAL:
+            run += chr(value)
+            continue
+        choices.append([run])
+        run = ""
+        if kind is parts.SUBPATTERN:
+            choices.append(_fixed(value[-1]))
+        elif kind is parts.BRANCH:
+            choices.append([x for one in value[1] for x in _fixed(one)])
+    return max(choices, key=lambda c: min(map(len, c)))
+
+
+FIXED = tuple(sorted({x for _, p in SENTENCES for x in _fixed(patterns.parse(p))}))
+# The longest word of each, for whole texts, where a line break or sign may stand between words.
+LONGEST = tuple(sorted({max(re.findall(r"[a-z0-9]+", x), key=len) for x in FIXED}))
 
 
-def _has_word(text: Column) -> Column:
+def _has_word(text: Column, more: tuple[str, ...] = ()) -> Column:
     found = F.lit(False)
-    for word in WORDS:
+    for word in (*WORDS, *more):
         found = found | F.contains(text, F.lit(word))
     return found
 
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text in lower case."""
-    one = F.regexp_replace(text, r"\n[ \t\r]*\n", "\u0001")
+    one = F.regexp_replace(F.regexp_replace(text, CLOSES, ""), OPENS, "")
+    one = F.regexp_replace(one, r"\n[ \t\r]*\n", "\u0001")
     one = F.regexp_replace(one, r"[ \t\r\n]+", " ")
     one = F.regexp_replace(one, r"([.!?]) ", "$1\u0001")
     one = F.replace(one, F.lit("licence"), F.lit("license"))
@@ -134,11 +163,12 @@ def identifiers(sentence: Column) -> Column:
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_licenses`` and ``_sentences`` (arrays) and ``_unknown``, licence sentences not known."""
     rows = docs.withColumn("_lower", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    spoken = F.filter(sentences(F.col("_lower")), _has_word)
-    rows = rows.withColumn("_each", F.when(_has_word(F.col("_lower")), F.transform(spoken, identifiers)).otherwise(
-        F.array().cast("array<array<string>>"))).drop("_lower")
-    rows = rows.withColumn("_sentences", F.flatten("_each")).withColumn(
-        "_unknown", F.size(F.filter("_each", lambda x: F.size(x) == 0))).drop("_each")
+    spoken = F.filter(sentences(F.col("_lower")), lambda s: _has_word(s, FIXED))
+    each = F.transform(spoken, lambda s: F.struct(identifiers(s).alias("ids"), _has_word(s).alias("word")))
+    rows = rows.withColumn("_each", F.when(_has_word(F.replace(F.col("_lower"), F.lit("licence"), F.lit("license")), LONGEST),
+                                           each).otherwise(F.array().cast("array<struct<ids: array<string>, word: boolean>>")))
+    rows = rows.drop("_lower").withColumn("_sentences", F.flatten("_each.ids")).withColumn(
+        "_unknown", F.size(F.filter("_each", lambda x: x["word"] & (F.size(x["ids"]) == 0)))).drop("_each")
     rules = F.array(*[F.struct(F.lit("".join(f"<{s}>" for s in sequence)).alias("sequence"), F.lit(name).alias("license"))
                       for name, sequence in RULES])
     start = F.struct(F.concat(F.lit(""), F.array_join(F.transform("_sentences", lambda s: F.concat(

@@ -38,6 +38,8 @@ from tessera.session import cut_lineage, spread
 
 WIDTH = 3
 PERCENT = 90
+# Ratio of a band's ends: wider ones have fewer sets near their lower end, which go to two levels, and more segments.
+BAND = 1.4
 HOT = 64
 PART = 1_000_000
 # Sets checked against one set in one task.
@@ -66,7 +68,8 @@ class Bands:
     def of(self, size: int) -> tuple[int, list[int]]:
         """The band of a size, and the levels (bands of the smaller partner) at which such sets meet others."""
         while self.top[-1] < size:
-            self.top.append((self.top[-1] + 1) * 100 // self.percent)
+            least = self.top[-1] + 1
+            self.top.append(max(least * 100 // self.percent, int(least * BAND)))
         band = int(np.searchsorted(self.top, size))
         below = band > 1 and size * self.percent <= 100 * self.top[band - 1]
         return band, [band - 1, band] if below else [band]
@@ -98,22 +101,42 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
 
 
-def _sets_of(width: int, percent: int):
-    """``node, name, size, levels, keys`` (a list a level) and ``shingles`` for each ``node, text``."""
+def _keys_of(width: int, percent: int):
+    """Name and size of the set of each text, its keys at the level of its own band and, if there, of the one below."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
+        for batch in batches:
+            texts = batch.column("text")
+            for at, to in spans(texts, PIECE_BYTES):
+                names, sizes, high, low = [], [], [], []
+                for held in shingle_sets(texts.slice(at, to - at), width):
+                    names.append(xxhash.xxh3_128_digest(held.tobytes()))
+                    sizes.append(len(held))
+                    levels = bands.of(len(held))[1] if len(held) else []
+                    keys = [segment_keys(held, x, bands.segments(x)) for x in levels]
+                    high.append(keys[-1] if keys else held)
+                    low.append(keys[0] if len(keys) > 1 else held[:0])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(at, to - at) for c in ("key", "hash", "node")), pa.array(names, pa.binary()),
+                     pa.array(sizes, pa.int32()), _lists(high), _lists(low)],
+                    ["key", "hash", "node", "name", "size", "high", "low"])
+                pa.default_memory_pool().release_unused()
+
+    return task
+
+
+def _sets_of(width: int):
+    """``node, size, shingles`` of ``node, name, text``, for the texts whose set has that name."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             for at, to in spans(texts, PIECE_BYTES):
                 sets = list(shingle_sets(texts.slice(at, to - at), width))
-                names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                levels = [bands.of(len(s))[1] if len(s) else [] for s in sets]
-                high = [segment_keys(s, x[-1], bands.segments(x[-1])) if x else s for s, x in zip(sets, levels)]
-                low = [segment_keys(s, x[0], bands.segments(x[0])) if len(x) > 1 else s[:0] for s, x in zip(sets, levels)]
+                nodes, names = (batch.column(c).slice(at, to - at) for c in ("node", "name"))
+                same = [i for i, (held, name) in enumerate(zip(sets, names.to_pylist())) if xxhash.xxh3_128_digest(held.tobytes()) == name]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(at, to - at), batch.column("node").slice(at, to - at), pa.array(names, pa.binary()),
-                     pa.array(list(map(len, sets)), pa.int32()), _lists(high), _lists(low), _lists(sets)],
-                    ["key", "node", "name", "size", "high", "low", "shingles"])
+                    [nodes.take(pa.array(same, pa.int64())), pa.array([len(sets[i]) for i in same], pa.int32()),
+                     _lists([sets[i] for i in same])], ["node", "size", "shingles"])
                 pa.default_memory_pool().release_unused()
 
     return task
@@ -276,9 +299,8 @@ def _allocated(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dear = F.col("held") > HOT
     cost = rest.groupBy("node", "lower").agg(F.count_if(dear).alias("dear"), F.sum(F.when(dear, F.col("held"))).alias("cost"),
                                              F.first("class").alias("class")).filter("dear > 0")
-    segments = F.when(F.col("lower"), F.size("low")).otherwise(F.size("high"))
-    slim = sets.select("node", "size", "low", "high")
-    left = cost.join(slim, "node").filter((2 * F.col("dear") <= segments) & (F.col("cost") > F.col("size")))
+    left = cost.join(sets.select("node", "size", "in_low", "in_high"), "node").filter(
+        (2 * F.col("dear") <= F.when(F.col("lower"), F.col("in_low")).otherwise(F.col("in_high"))) & (F.col("cost") > F.col("size")))
     left = cut_lineage(left.select("node", "lower", "class", F.lit(True).alias("leaves")), "jaccard-left")
     marked = rest.join(left.select("node", "lower", "leaves"), ["node", "lower"], "left")
     kept = marked.select("key", "node", "class", (~dear | F.col("leaves").isNull()).alias("active"))
@@ -297,21 +319,29 @@ def _classes(links: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row ``key, n_shingles, component_id``: the size of its set and the smallest key that links reach."""
-    slim = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    kind = slim.schema["key"].dataType.simpleString()
-    rows = slim.withColumn("node", F.monotonically_increasing_id()).mapInArrow(
-        _sets_of(width, percent), f"key {kind}, node long, name binary, size int, high array<long>, low array<long>, shingles array<long>")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    kind = texts.schema["key"].dataType.simpleString()
+    rows = spread(texts).withColumn("node", F.monotonically_increasing_id()).mapInArrow(
+        _keys_of(width, percent), f"key {kind}, hash long, node long, name binary, size int, high array<long>, low array<long>")
     rows = cut_lineage(rows, "jaccard-rows")
     named = rows.select("key", "node", "name", "size")
-    first = cut_lineage(named.filter("size > 0").groupBy("name", "size").agg(F.min("node").alias("node"), F.min("key").alias("key")),
-                        "jaccard-sets")
-    sets = rows.drop("key", "name", "size").join(first.select("node", "size"), "node")
+    # A set stands for all rows that have it; the first of them, found again by key and hash, gives its text.
+    first = cut_lineage(rows.filter("size > 0").groupBy("name", "size").agg(
+        F.min("node").alias("node"), F.min("key").alias("key"), F.min_by(F.struct("key", "hash"), "node").alias("row")), "jaccard-first")
 
     def level(name: str) -> Column:
         return F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(name == "low").alias("lower")))
-    routed = sets.select("node", F.explode(F.concat(level("high"), level("low"))).alias("to")).select("node", "to.*")
+    routed = rows.select("node", "high", "low").join(first.select("node"), "node").select(
+        "node", F.explode(F.concat(level("high"), level("low"))).alias("to")).select("node", "to.*")
     hubs = routed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
     met = cut_lineage(routed.join(hubs.drop("last"), "key").filter("node <> hub"), "jaccard-met")
+    wanted = met.select("node").union(met.select("hub")).distinct()
+    wanted = first.join(wanted, "node").select("node", "name", F.col("row.key").alias("own"), F.col("row.hash").alias("hash"))
+    same = F.col("key").eqNullSafe(F.col("own")) & (texts["hash"] == wanted["hash"])
+    found = texts.join(wanted, same).select("node", "name", "text").distinct()
+    parts = rows.select("node", F.size("high").alias("in_high"), F.size("low").alias("in_low"))
+    sets = cut_lineage(found.select("node", "name", "text").mapInArrow(
+        _sets_of(width), "node long, size int, shingles array<long>").join(parts, "node"), "jaccard-sets")
     to_hubs = cut_lineage(_near_hubs(met.select("node", "hub").distinct(), sets, percent), "jaccard-links")
     known = cut_lineage(_classes(to_hubs), "jaccard-classes")
     rest = met.join(known, "node", "left").select("key", "node", "lower", F.coalesce("class", "node").alias("class"))

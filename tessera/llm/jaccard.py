@@ -10,7 +10,7 @@ and two linked sets agree in all of some segment: they share the key of that seg
    may leave out its dear keys, at most half of its segments, if looking them up costs more than its one-deletion
    neighbourhoods, which it then gives for its other segments. Two sets that both leave out equal segments differ by at
    most one shingle in another one, or else by more than H in all; a set that leaves out no key meets all others.
-   A key's sets meet in the unit of its smallest set, so that sets that share many keys meet once. Units of more than
+   The sets of keys with a common hub (the smallest set, or that of a key near by) meet in one unit, not once a key. Units of more than
    ``PART`` shingles are cut into parts, each pair of parts a task, and pairs of one class are not checked.
 
 Checks are on whole sets of 64-bit hashes of shingles. Nothing is left out: the method finds every linked pair.
@@ -40,8 +40,12 @@ WIDTH = 3
 PERCENT = 90
 # Ratio of a band's ends: wider ones have fewer sets near their lower end, which go to two levels, and more segments.
 BAND = 1.4
-HOT = 64
-PART = 1_000_000
+# A key of more sets is dear; a set may leave its dear keys out if their sets are more than so many times its one-deletion keys,
+# which cost a shuffled row each where a look-up costs a check in memory.
+HOT = 1024
+DELETION_COST = 16
+PART = 500_000
+SET_WEIGHT = 64
 # Sets checked against one set in one task.
 SALT_SETS = 2000
 PIECE_BYTES = 1_000_000
@@ -81,7 +85,7 @@ class Bands:
 
 def segment_keys(shingles: np.ndarray, level: int, segments: int, deletions: bool = False):
     """A key for each segment's subset of sorted ``shingles``; with ``deletions`` also those of its one-deletion
-    neighbourhoods, (keys, neighbours)."""
+    neighbourhoods and their segments, (keys, neighbours, segments)."""
     place = ((shingles >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
     cuts = np.searchsorted(place, np.arange(segments + 1, dtype=np.uint64))
     value = mixed(shingles)
@@ -92,7 +96,7 @@ def segment_keys(shingles: np.ndarray, level: int, segments: int, deletions: boo
     if not deletions:
         return keys
     place = place.astype(np.int64)
-    return keys, mixed((sums[place] - value) * _BASE + names[place])
+    return keys, mixed((sums[place] - value) * _BASE + names[place]), place
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -143,19 +147,24 @@ def _sets_of(width: int):
 
 
 def _neighbours(percent: int):
-    """``key, node, active`` of ``node, lower, shingles``: segment keys, and passive ones of one-deletion neighbours."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("active", pa.bool_())])
+    """``key, node, active`` of ``node, lower, out, shingles``: the keys of the segments that are not left ``out``, and
+    passive keys of their one-deletion neighbours."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("class", pa.int64()), ("active", pa.bool_())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            nodes, lower = batch.column("node").to_numpy(), batch.column("lower").to_numpy(zero_copy_only=False)
-            for node, low, shingles in zip(nodes, lower, batch.column("shingles")):
+            nodes, classes = batch.column("node").to_numpy(), batch.column("class").to_numpy()
+            lower = batch.column("lower").to_numpy(zero_copy_only=False)
+            for node, label, low, out, shingles in zip(nodes, classes, lower, batch.column("out"), batch.column("shingles")):
                 held = shingles.values.to_numpy().view(np.uint64)
                 level = bands.of(len(held))[1][0 if low else -1]
-                keys, fewer = segment_keys(held, level, bands.segments(level), deletions=True)
+                keys, fewer, place = segment_keys(held, level, bands.segments(level), deletions=True)
+                stays = ~np.isin(keys.view(np.int64), out.values.to_numpy())
+                keys, fewer = keys[stays], fewer[stays[place]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.r_[keys, fewer].view(np.int64)), pa.array(np.full(len(keys) + len(fewer), node)),
+                     pa.array(np.full(len(keys) + len(fewer), label)),
                      pa.array(np.arange(len(keys) + len(fewer)) < len(keys))], schema=schema)
 
     return task
@@ -216,28 +225,34 @@ def _check_hubs(percent: int):
     return task
 
 
-def check_unit(nodes: np.ndarray, label: np.ndarray, keys: np.ndarray, owner: np.ndarray, active: np.ndarray,
-               sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different classes that share a key for which one of them is active."""
-    label, links, tried = label.copy(), [], set()
-    order = np.lexsort((owner, ~active, keys))
-    keys, owner, active = keys[order], owner[order], active[order]
-    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        group = owner[a:b]
-        if (label[group] == label[group[0]]).all() or tuple(group.tolist()) in tried:
+def check_unit(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the classes of linked sets; if there are two sides, of sets on different ones.
+
+    For each set, its shingles are marked among all of the unit's, and the marks of the sets of fitting sizes counted.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(sizes, kind="stable")
+    label, side, sizes = label[order].copy(), side[order], sizes[order]
+    known, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts, mark, links = ends - sizes, np.zeros(len(known), np.int8), []
+    two = len(np.unique(side)) > 1
+    for i in range(len(order) - 1):
+        to = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
+        some = i + 1 + np.flatnonzero((label[i + 1:to] != label[i]) & (not two or side[i + 1:to] != side[i]))
+        if not len(some):
             continue
-        tried.add(tuple(group.tolist()))
-        for i in range(int(active[a:b].sum())):
-            rest = group[i + 1:]
-            rest = rest[label[rest] != label[group[i]]]
-            if not len(rest):
-                continue
-            near = rest[linked_to(sets[group[i]], [sets[x] for x in rest], percent)]
-            links += [(nodes[x], nodes[group[i]]) for x in near]
-            met = np.unique(np.append(label[near], label[group[i]]))
-            if len(met) > 1:
-                label[np.isin(label, met)] = met[0]
+        own = flat[starts[i]:ends[i]]
+        mark[own] = 1
+        first = some[0]
+        held = mark[flat[starts[first]:ends[to - 1]]]
+        both = np.add.reduceat(held, starts[first:to] - starts[first], dtype=np.int64)[some - first]
+        mark[own] = 0
+        near = some[100 * both >= percent * (sizes[some] + sizes[i] - both)]
+        if len(near):
+            links += [(order[x], order[i]) for x in near]
+            met = np.unique(np.append(label[near], label[i]))
+            label[np.isin(label, met)] = met[0]
     return links
 
 
@@ -245,14 +260,10 @@ def _check_units(percent: int):
     """Links within tasks of ``hub, part, other``, whose rows lie together."""
     def checked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        nodes, classes = rows.column("node").to_numpy(), rows.column("class").to_numpy()
-        shared = rows.column("shared")
-        owner = np.repeat(np.arange(len(nodes)), pa.compute.list_value_length(shared).to_numpy())
-        flat = shared.flatten()
-        links = check_unit(nodes, np.unique(classes, return_inverse=True)[1], flat.field("key").to_numpy(), owner,
-                           flat.field("active").to_numpy(zero_copy_only=False), _held(rows), percent)
+        nodes, classes, own = (rows.column(c).to_numpy() for c in ("node", "class", "own"))
+        links = check_unit(np.unique(classes, return_inverse=True)[1], own, _held(rows), percent)
         one, other = np.array(links, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(other)], schema=_LINK)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[one]), pa.array(nodes[other])], schema=_LINK)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -281,16 +292,21 @@ def _near_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _near_units(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b`` links among what ``key, node, class, active`` rows bring together."""
     several = (F.count(F.lit(1)) > 1) & F.max("active") & (F.min("class") < F.max("class"))
-    hubs = met.groupBy("key").agg(F.min(F.when(F.col("active"), F.col("node"))).alias("hub"), several.alias("several"))
-    rows = met.join(hubs.filter("several").drop("several"), "key")
-    units = rows.groupBy("hub", "node").agg(F.first("class").alias("class"), F.collect_list(F.struct("key", "active")).alias("shared"))
-    units = cut_lineage(units.join(sets.select("node", "size"), "node"), "jaccard-units")
-    parts = units.groupBy("hub").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
-    dealt = units.join(parts, "hub").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    lead = F.min(F.when(F.col("active"), F.col("lead"))).alias("hub")
+    rows = met.withColumn("lead", F.col("node"))
+    open_keys = rows.groupBy("key").agg(lead, several.alias("several")).filter("several").drop("several")
+    rows = cut_lineage(met.join(open_keys, "key"), "jaccard-open")
+    # Keys of one family get one hub: the smallest hub that a set of the key has with any key.
+    rows = rows.drop("hub").join(rows.groupBy("node").agg(F.min("hub").alias("lead")), "node")
+    rows = rows.drop("lead").join(rows.groupBy("key").agg(lead), "key")
+    units = cut_lineage(rows.select("hub", "node", "class").distinct().join(sets.select("node", "size"), "node"), "jaccard-units")
+    weight = F.sum(F.col("size") + SET_WEIGHT)
+    parts = units.groupBy("hub").agg(F.ceil(weight / PART).cast("int").alias("parts"), (F.min("class") < F.max("class")).alias("several"))
+    dealt = units.join(parts.filter("several"), "hub").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     rows = dealt.join(sets.select("node", "shingles"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["hub", "part", "other"]
-    rows = rows.select("hub", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"), "node", "class",
-                       "shared", "shingles")
+    rows = rows.select("hub", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"), "own", "node", "class",
+                       "shingles")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_check_units(percent), "a long, b long")
 
 
@@ -298,16 +314,15 @@ def _allocated(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``key, node, class, active``: ``key, node, class, lower, held`` with dear keys left out where that is cheaper."""
     dear = F.col("held") > HOT
     cost = rest.groupBy("node", "lower").agg(F.count_if(dear).alias("dear"), F.sum(F.when(dear, F.col("held"))).alias("cost"),
+                                             F.collect_list(F.when(dear, F.col("key"))).alias("out"),
                                              F.first("class").alias("class")).filter("dear > 0")
     left = cost.join(sets.select("node", "size", "in_low", "in_high"), "node").filter(
-        (2 * F.col("dear") <= F.when(F.col("lower"), F.col("in_low")).otherwise(F.col("in_high"))) & (F.col("cost") > F.col("size")))
-    left = cut_lineage(left.select("node", "lower", "class", F.lit(True).alias("leaves")), "jaccard-left")
+        (2 * F.col("dear") <= F.when(F.col("lower"), F.col("in_low")).otherwise(F.col("in_high"))) & (F.col("cost") > DELETION_COST * F.col("size")))
+    left = cut_lineage(left.select("node", "lower", "class", "out", F.lit(True).alias("leaves")), "jaccard-left")
     marked = rest.join(left.select("node", "lower", "leaves"), ["node", "lower"], "left")
     kept = marked.select("key", "node", "class", (~dear | F.col("leaves").isNull()).alias("active"))
-    more = left.join(sets.select("node", "shingles"), "node").select("node", "lower", "shingles").mapInArrow(
-        _neighbours(percent), "key long, node long, active boolean")
-    more = more.join(left.select("node", "class").distinct(), "node").join(
-        rest.filter(dear).select("key").distinct(), "key", "left_anti").select("key", "node", "class", "active")
+    more = left.join(sets.select("node", "shingles"), "node").select("node", "lower", "class", "out", "shingles").mapInArrow(
+        _neighbours(percent), "key long, node long, class long, active boolean")
     return kept.unionByName(more).groupBy("key", "node").agg(F.first("class").alias("class"), F.max("active").alias("active"))
 
 

@@ -66,6 +66,7 @@ def corpus(seed):
 @pytest.mark.parametrize("hot, part, salt", [(64, 1_000_000, 2000), (2, 1500, 3), (0, 10 ** 6, 2000)])
 def test_equals_all_pairs(spark, monkeypatch, hot, part, salt):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "DELETION_COST", 1)
     monkeypatch.setattr(jaccard, "PART", part)
     monkeypatch.setattr(jaccard, "SALT_SETS", salt)
     rows = corpus(11)
@@ -75,6 +76,7 @@ def test_equals_all_pairs(spark, monkeypatch, hot, part, salt):
 def test_dear_keys_are_left_out_and_made_up_for(spark, monkeypatch):
     """Texts of one template whose own words differ: most share the template's segments and are not near."""
     monkeypatch.setattr(jaccard, "HOT", 1)
+    monkeypatch.setattr(jaccard, "DELETION_COST", 0)
     rng, rows = random.Random(2), []
     template = [f"c{i}" for i in range(60)]
     for i in range(120):
@@ -104,7 +106,7 @@ def test_segments_agree():
             met = set(bands.of(len(whole))[1]) & set(bands.of(len(less))[1])
             assert any(set(jaccard.segment_keys(whole, k, bands.segments(k)).tolist())
                        & set(jaccard.segment_keys(less, k, bands.segments(k)).tolist()) for k in met)
-    keys, fewer = jaccard.segment_keys(whole, 3, 5, deletions=True)
+    keys, fewer, _ = jaccard.segment_keys(whole, 3, 5, deletions=True)
     for i in (0, 7, len(whole) - 1):
         rest = jaccard.segment_keys(np.delete(whole, i), 3, 5)
         assert fewer[i] in rest and (rest != keys).sum() == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ctw, editprint, jaccard, language, licenses, mixing, quality, resharding, segmentation, simhash, spelling, topk
+from tessera.llm import alignment, ctw, editprint, jaccard, language, licenses, mixing, quality, resharding, segmentation, simhash, spelling, topk
 from tessera.llm.texts import fold
 from tessera.session import cut_lineage, spread
 
@@ -86,6 +86,10 @@ def op11_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.joined(table(spark, sf, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.variants(table(spark, sf, "documents"))
 
@@ -94,7 +98,7 @@ QUERIES = {"op1_sample_pieces": op1_sample_pieces, "op2_quality": op2_quality,
            "op3_ctw": op3_ctw, "op4_reshard": op4_reshard,
            "op5_language": op5_language, "op6_mix": op6_mix,
            "op7_simhash": op7_simhash, "op8_topk": op8_topk, "op9_licenses": op9_licenses, "op10_edit_prints": op10_edit_prints,
-           "op11_jaccard": op11_jaccard, "op13_spelling": op13_spelling}
+           "op11_jaccard": op11_jaccard, "op12_alignment": op12_alignment, "op13_spelling": op13_spelling}
 
 SQL = {
     "op11_jaccard": jaccard.sql(),

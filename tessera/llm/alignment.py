@@ -16,9 +16,11 @@ table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PIECE_BYTES = 1_000_000
 BLOCK_BYTES = 1 << 24
+# Fixed value: how a byte-level vocabulary splits a text before its merges.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # A pair of ids is one int: A's id in the upper, B's in the lower 16 bits, less 2^31.
 SHIFT, LEAST = 16, -(1 << 31)
 
@@ -53,53 +57,99 @@ def piece_bytes(piece: str) -> bytes:
 
 
 class Pair:
-    """Both tokenizers, and the bytes of their tokens."""
+    """Both tokenizers, and the bytes of their tokens. A's merges go by the order of its ids."""
 
     def __init__(self, a: bytes, b: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
-        self.a = Tokenizer.from_str(a.decode())
-        self.a.encode_special_tokens = True
+        whole = Tokenizer.from_str(a.decode())
         self.b = SentencePieceProcessor(model_proto=b)
-        letters, vocabulary = byte_letters(), self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        letters, vocabulary = byte_letters(), whole.get_vocab(with_added_tokens=False)
+        special = whole.get_added_tokens_decoder()
+        self.a_bytes = [b""] * (max([*vocabulary.values(), *special]) + 1)
         for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            if i not in special:
+                self.a_bytes[i] = bytes(letters[c] for c in token)
+        ranks = {token: i for i, token in enumerate(self.a_bytes) if token}
+        self.a = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
-        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
-
-    def encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and B for each text; none if the tokens do not give back its bytes."""
-        one = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        other = self.b.encode(texts, num_threads=1)
-        for text, a, b in zip(texts, one, other):
-            whole = (" " + text).encode()
-            same = text and b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
-            yield (a, b) if same else ([], [])
-
-
-def aligned(a: list[int], b: list[int], a_size: np.ndarray, b_size: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
-    """Groups as slices (from and to in A, from and to in B), and the links as packed pairs of ids."""
-    if not a:
-        return [], np.zeros(0, np.int64)
-    one, other = np.array(a), np.array(b)
-    a_ends, b_ends = np.cumsum(a_size[one]), np.cumsum(b_size[other])
-    a_index = dict(zip(a_ends.tolist(), range(1, len(a) + 1)))
-    b_index = dict(zip(b_ends.tolist(), range(1, len(b) + 1)))
-    common = sorted(a_index.keys() & b_index.keys())
-    a_cuts, b_cuts = [0, *map(a_index.__getitem__, common)], [0, *map(b_index.__getitem__, common)]
-    groups = list(zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:]))
-    runs = np.union1d(a_ends, b_ends)
-    links = (one[np.searchsorted(a_ends, runs)].astype(np.int64) << SHIFT) + other[np.searchsorted(b_ends, runs)] + LEAST
-    return groups, links
+        self.a_table, self.b_table = Table(self.a_bytes), Table(self.b_bytes)
+
+    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and of B for each text; none if the tokens do not give back its bytes."""
+        one, other = [self.a.encode_ordinary(" " + t) if t else [] for t in texts], self.b.encode(texts, num_threads=1)
+        whole = [(" " + t).encode() if t else b"" for t in texts]
+        for i in np.flatnonzero(~(self.a_table.spells(one, whole) & self.b_table.spells(other, whole))):
+            one[i] = other[i] = []
+        return one, other
+
+
+class Table:
+    """Tokens' sizes, and their ids as text before each mark of the written form."""
+
+    MARKS = [",", "|", ";", ""]
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.tokens = pa.array(tokens, pa.large_binary())
+        self.texts = pa.array([f"{i}{mark}" for mark in self.MARKS for i in range(len(tokens))], pa.large_string())
+
+    def spells(self, ids: list[list[int]], texts: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each list, joined, are its text."""
+        flat = flattened(ids)
+        cuts = np.r_[0, np.cumsum(self.size[flat])][np.r_[0, np.cumsum([len(one) for one in ids])]]
+        joined = run_of(self.tokens.take(pa.array(flat)))
+        return np.array([joined[a:b] == text for a, b, text in zip(cuts.tolist(), cuts[1:].tolist(), texts)], bool)
 
 
-def written(a: list[int], b: list[int], groups: list[tuple[int, int, int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    one, other = list(map(str, a)), list(map(str, b))
-    return ";".join([f"{one[i]}|{other[k]}" if j - i == 1 == m - k else f"{','.join(one[i:j])}|{','.join(other[k:m])}"
-                     for i, j, k, m in groups])
+def flattened(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+
+
+def run_of(values: pa.Array) -> bytes:
+    """All bytes of texts that a kernel has just made, one after the other."""
+    return values.buffers()[2].to_pybytes() if len(values) else b""
+
+
+def aligned(a: list[list[int]], b: list[list[int]], a_table: Table, b_table: Table) -> list[tuple[int, bytes, np.ndarray]]:
+    """For each text its number of groups, ``a1,a2|b1;a3|b2,b3`` (the ids of each group), and its links as packed pairs.
+
+    The texts are taken as one run of bytes, as the end of each is an end of both of its lists.
+    """
+    one, other = flattened(a), flattened(b)
+    if not len(one):
+        return [(0, b"", one)] * len(a)
+    a_ends, b_ends = np.cumsum(a_table.size[one]), np.cumsum(b_table.size[other])
+    a_index = dict(zip(a_ends.tolist(), range(1, len(one) + 1)))
+    b_index = dict(zip(b_ends.tolist(), range(1, len(other) + 1)))
+    common = sorted(a_index.keys() & b_index.keys())
+    a_cuts = np.array([0, *map(a_index.__getitem__, common)])
+    b_cuts = np.array([0, *map(b_index.__getitem__, common)])
+    a_counts, b_counts = np.diff(a_cuts), np.diff(b_cuts)
+    # The slices one after the other: A's ids, then B's, each with the mark that follows it.
+    a_tos, b_tos = (np.cumsum([len(ids) for ids in lists]) for lists in (a, b))
+    a_marks, b_marks = np.zeros(len(one), np.int64), np.zeros(len(other), np.int64)
+    a_marks[a_cuts[1:] - 1], b_marks[b_cuts[1:] - 1] = 1, 2
+    b_marks[b_tos[b_tos > 0] - 1] = 3
+    marked = [None] * 2
+    for k, (ids, marks, table) in enumerate(((one, a_marks, a_table), (other, b_marks, b_table))):
+        marked[k] = table.texts.take(pa.array(marks * len(table.size) + ids))
+    place = np.empty(len(one) + len(other), np.int64)
+    place[np.arange(len(one)) + np.repeat(b_cuts[:-1], a_counts)] = np.arange(len(one))
+    place[np.arange(len(other)) + np.repeat(a_cuts[1:], b_counts)] = len(one) + np.arange(len(other))
+    slices = pa.concat_arrays(marked).take(pa.array(place))
+    sizes = pa.compute.binary_length(slices).to_numpy(zero_copy_only=False)
+    joined, tos = run_of(slices), np.r_[0, np.cumsum(sizes)][np.r_[0, a_tos + b_tos]]
+    # A slice's runs between neighbouring ends lie in one token of A and one of B each.
+    seen = np.zeros(int(a_ends[-1]) + 1, bool)
+    seen[a_ends] = seen[b_ends] = True
+    runs = np.flatnonzero(seen)
+    links = (one[np.searchsorted(a_ends, runs)] << SHIFT) + other[np.searchsorted(b_ends, runs)] + LEAST
+    bytes_to = np.r_[0, a_ends][np.r_[0, a_tos]]
+    groups, cuts = np.searchsorted(np.array(common), bytes_to, "right"), np.searchsorted(runs, bytes_to, "right")
+    return [(int(groups[i + 1] - groups[i]), joined[tos[i]:tos[i + 1]], links[cuts[i]:cuts[i + 1]]) for i in range(len(a))]
 
 
 ROW = ("block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>")
@@ -112,17 +162,18 @@ def _aligned_rows(files, key_type: pa.DataType):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, done = Pair(*files.value), 0
+        gc.freeze()  # the vocabularies stay
         for batch in batches:
             texts = batch.column("text")
             for at, to in spans(texts, PIECE_BYTES):
                 some = texts.slice(at, to - at)
                 parts = batch.column("place").slice(at, to - at).to_numpy() >> 33
                 rows, pairs, times, blocks = [], [], [], []
-                for (a, b), size in zip(pair.encoded([t or "" for t in some.to_pylist()]), pa.compute.binary_length(some).to_pylist()):
-                    groups, links = aligned(a, b, pair.a_size, pair.b_size)
+                one, other = pair.encoded([t or "" for t in some.to_pylist()])
+                found = aligned(one, other, pair.a_table, pair.b_table)
+                for a, b, (groups, text, links), size in zip(one, other, found, pa.compute.binary_length(some).to_pylist()):
                     held, n = np.unique(links, return_counts=True)
-                    rows.append((len(a), len(b), len(groups), len(links),
-                                 sha256(written(a, b, groups).encode()).hexdigest() if a else ""))
+                    rows.append((len(a), len(b), groups, len(links), sha256(text).hexdigest() if a else ""))
                     pairs.append(held)
                     times.append(n)
                     blocks.append(done // BLOCK_BYTES)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from tests.llm.edges import documents, nothing
-from tests.llm.test_operators import classes_of
+from tests.llm.test_shingles import kept_by_all_pairs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,8 +36,8 @@ def test_stages(spark, tmp_path):
     wrong = sum((labels[i] == 1) != (i in kept) for i in labels)
     assert wrong <= 0.05 * len(labels) and 0 < len(kept) < len(rows[0])
     assert {r["doc_id"] for r in rows[2]} == {r["doc_id"] for r in rows[1] if any(c.isalpha() for c in r["text"])}
-    found = classes_of([(r["doc_id"], r["text"]) for r in rows[2]])
-    assert Counter(r["doc_id"] for r in rows[3]) == Counter({c for _, _, c in found})
+    given = sorted((r["doc_id"], r["text"]) for r in rows[2])
+    assert Counter(r["doc_id"] for r in rows[3]) == Counter(given[i][0] for i in kept_by_all_pairs([t for _, t in given]))
     copies = Counter(r["doc_id"] for r in rows[4])
     assert set(copies) <= {r["doc_id"] for r in rows[3]} and max(copies.values()) <= 3
     words = sum(len(r["text"].encode().split()) for r in rows[3])

@@ -45,6 +45,33 @@ def m1_fit(spark, sf):
     return found.groupBy("split").agg(F.count(F.lit(1)).alias("n"), wrong.alias("off"))
 
 
+NEWTON = {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.3, "reg_lambda": 2.0, "min_child_weight": 1, "subsample": 0.8}
+
+
+def m1_newton(spark, sf):
+    """Second-order boosting: prediction and log-odds of every row, from the training rows."""
+    rows = _split(spark, sf)
+    model = models.make_estimator("NewtonBoost", NEWTON).fit(
+        models.with_vector(rows.filter("split = 'train'"), FEATURES, "y"), key="idx")
+    found = model.transform(models.with_vector(rows, FEATURES))
+    return found.select("idx", "split", "y", F.col("prediction").cast("bigint").alias("prediction"), F.round("margin", 6).alias("margin"))
+
+
+def m1_newton_stump(spark, sf):
+    """One cut by the number of lines, with and without regularisation: the cut's sides, their rows and payments."""
+    rows = order_features(spark, sf).select("idx", "lines", "y")
+    rows = models.with_vector(spread(cut_lineage(rows, "features")), ["lines"], "y")
+    parts = None
+    for reg_lambda in (0.0, 50.0):
+        model = models.make_estimator("NewtonBoost", {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0,
+                                                      "reg_lambda": reg_lambda}).fit(rows, key="idx")
+        part = model.transform(rows).groupBy(F.round("margin", 6).alias("margin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("lines").alias("least"), F.max("lines").alias("most"))
+        part = part.withColumn("reg_lambda", F.lit(reg_lambda))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 def m2_importance(spark, sf):
     """A row for each feature, in order; none is negative and they add up to 1."""
     _, train, model = _fitted(spark, sf, FOREST, {"n_estimators": 20, "max_depth": 5})
@@ -189,7 +216,7 @@ def v8_run(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    m1_fit, m2_importance, m3_shap, m3_additivity, m4_tune, m5_k, m6_medoid, a11_silhouette, m7_diverse, m8_explain,
+    m1_fit, m1_newton, m1_newton_stump, m2_importance, m3_shap, m3_additivity, m4_tune, m5_k, m6_medoid, a11_silhouette, m7_diverse, m8_explain,
     v7_baseline, v8_run)}
 
 SPLITS = """orders_y AS (SELECT l_orderkey AS idx, CAST(max(CAST(l_returnflag = 'R' AS INT)) AS BIGINT) AS y FROM lineitem GROUP BY 1),
@@ -203,6 +230,16 @@ SCORED = """rs AS (SELECT c_custkey AS idx, CAST(c_acctbal > 0 AS BIGINT) AS y F
 
 SQL = {
     "m1_fit": f"""WITH {SPLITS} SELECT split, count(*) AS n, 0 AS off FROM splits GROUP BY split""",
+    "m1_newton_stump": """WITH rs AS (SELECT CAST(count(*) AS DOUBLE) AS lines, max(CAST(l_returnflag = 'R' AS INT)) AS y
+          FROM lineitem GROUP BY l_orderkey),
+        sides AS (SELECT reg_lambda, c.lines AS cut, sum(CASE WHEN r.lines <= c.lines THEN 0.5 - y ELSE 0 END) AS gl,
+            sum(CASE WHEN r.lines <= c.lines THEN 0.25 ELSE 0 END) AS hl, sum(0.5 - y) AS g, count(*) * 0.25 AS h
+          FROM rs r, (SELECT DISTINCT lines FROM rs) c, (SELECT unnest([0.0, 50.0])::DOUBLE AS reg_lambda) GROUP BY ALL),
+        gains AS (SELECT *, round(gl * gl / (hl + reg_lambda) + (g - gl) * (g - gl) / (h - hl + reg_lambda)
+            - g * g / (h + reg_lambda), 9) AS gain FROM sides WHERE hl >= 1 AND h - hl >= 1),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reg_lambda ORDER BY gain DESC, cut) AS k FROM gains) WHERE k = 1)
+        SELECT round(CASE WHEN lines <= cut THEN -gl / (hl + reg_lambda) ELSE -(g - gl) / (h - hl + reg_lambda) END, 6)::DOUBLE AS margin,
+          count(*) AS n, min(lines) AS least, max(lines) AS most, reg_lambda FROM rs, best GROUP BY ALL""",
     "m2_importance": """SELECT unnest(['quantity', 'price', 'discount', 'lines', 'late']) AS feature,
         unnest([0, 1, 2, 3, 4]) AS position, count(*) > 0 AS valid, 1.0::DOUBLE AS total FROM lineitem""",
     "m3_shap": f"WITH {SPLITS} SELECT idx, true AS whole FROM splits WHERE split = 'train'",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.config import FOLDS, SEED
 from tessera.operators import scoring
 from tessera.operators.clean import col
+from tessera.operators.newton import NewtonBoost
 from tessera.operators.split import stratified_folds
 from tessera.session import cut_lineage, spread
 
@@ -28,18 +29,27 @@ PARAMS = {
 }
 ESTIMATORS = {"DecisionTreeClassifier": DecisionTreeClassifier,
               "RandomForestClassifier": RandomForestClassifier, "GBTClassifier": GBTClassifier}
+# Sweep parameters of second-order boosting, and those that are named otherwise there.
+NEWTON = {"n_estimators", "num_boost_round", "max_depth", "learning_rate", "reg_lambda", "min_child_weight", "subsample", "random_state"}
+NEWTON_NAMES = {"num_boost_round": "n_estimators"}
 
 
-def make_estimator(estimator: Estimator | str = "GBTClassifier", params: dict | None = None,
-                   ignore: Collection[str] = ()) -> Estimator:
-    """A copy of a tree classifier with sweep parameters set.
+def make_estimator(estimator: Estimator | NewtonBoost | str = "GBTClassifier", params: dict | None = None,
+                   ignore: Collection[str] = ()) -> Estimator | NewtonBoost:
+    """A copy of a tree classifier with sweep parameters set; ``NewtonBoost`` knows ``reg_lambda`` too.
 
-    A parameter without a counterpart (such as ``reg_lambda``) raises unless the caller names it in ``ignore``.
+    A parameter without a counterpart raises unless the caller names it in ``ignore``.
     """
+    if estimator == "NewtonBoost" or isinstance(estimator, NewtonBoost):
+        base = NewtonBoost() if isinstance(estimator, str) else estimator
+        unknown = sorted(set(params or {}) - NEWTON - set(ignore))
+        if unknown:
+            raise ValueError(f"NewtonBoost has no parameter for {unknown}; name them in ignore to leave them out")
+        return base.with_params({NEWTON_NAMES.get(k, k): v for k, v in (params or {}).items() if k in NEWTON})
     base = ESTIMATORS[estimator](seed=SEED) if isinstance(estimator, str) else estimator.copy()
     kind = type(base).__name__
     if kind not in PARAMS:
-        raise ValueError(f"unsupported estimator {kind}; must be one of {sorted(PARAMS)}")
+        raise ValueError(f"unsupported estimator {kind}; must be one of {sorted([*PARAMS, 'NewtonBoost'])}")
     unknown = sorted(set(params or {}) - set(PARAMS[kind]) - set(ignore))
     if unknown:
         raise ValueError(f"{kind} has no parameter for {unknown}; name them in ignore to leave them out")

@@ -57,7 +57,7 @@ def margins(model, frame):
 
 
 @pytest.mark.parametrize("params", [
-    {"n_estimators": 2, "max_depth": 3, "learning_rate": 0.3, "reg_lambda": 1.0},
+    {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.3, "reg_lambda": 1.0},
     {"n_estimators": 2, "max_depth": 2, "learning_rate": 1.0, "reg_lambda": 25.0, "min_child_weight": 8}])
 def test_equals_plain(spark, params):
     frame, x, y = table(spark)
@@ -73,7 +73,7 @@ def test_settings_change_the_model(spark):
     rows = models.with_vector(frame, FEATURES, "y")
 
     def fitted(**params):
-        return margins(models.make_estimator("NewtonBoost", {"n_estimators": 1, "max_depth": 2} | params).fit(rows, key="idx"), frame)
+        return margins(models.make_estimator("NewtonBoost", {"n_estimators": 3, "max_depth": 3} | params).fit(rows, key="idx"), frame)
     base = fitted()
     assert not np.allclose(base, fitted(reg_lambda=30)) and np.abs(fitted(reg_lambda=1e9)).max() < 1e-5
     assert not np.allclose(base, fitted(subsample=0.5)) and not np.allclose(base, fitted(min_child_weight=20))
@@ -84,14 +84,14 @@ def test_same_on_any_partitioning(spark):
     made = []
     for parts in (1, 7):
         frame, _, _ = table(spark, parts=parts)
-        boost = models.make_estimator("NewtonBoost", {"n_estimators": 2, "max_depth": 2, "subsample": 0.6, "num_boost_round": None})
+        boost = models.make_estimator("NewtonBoost", {"n_estimators": 3, "max_depth": 3, "subsample": 0.6, "num_boost_round": None})
         made.append(margins(boost.fit(models.with_vector(frame, FEATURES, "y"), key="idx"), frame))
     assert np.allclose(*made, atol=1e-9)
 
 
 def test_attributions_and_importances(spark):
     frame, _, _ = table(spark)
-    model = models.fit(models.make_estimator("NewtonBoost", {"n_estimators": 2, "max_depth": 3}), frame, FEATURES, "y")
+    model = models.fit(models.make_estimator("NewtonBoost", {"n_estimators": 3, "max_depth": 3}), frame, FEATURES, "y")
     leaves = attribution.leaves_of(model, spark)
     parts = {r["idx"]: sum(r[c] for c in FEATURES) for r in attribution.attributions(model, frame, FEATURES).collect()}
     base = attribution.base_value(leaves)
@@ -103,7 +103,7 @@ def test_attributions_and_importances(spark):
 
 def test_tuning_takes_it(spark):
     frame, _, _ = table(spark, n=150)
-    trials = spark.createDataFrame([(0, 1, 1, 1.0), (1, 1, 1, 1e9)], "trial bigint, n_estimators int, max_depth int, reg_lambda double")
+    trials = spark.createDataFrame([(0, 2, 1.0), (1, 2, 1e9)], "trial bigint, n_estimators int, reg_lambda double")
     found = models.tune(frame, FEATURES, "y", trials, "NewtonBoost", folds=2).collect()
     mean = {t: np.mean([r["accuracy"] for r in found if r["trial"] == t]) for t in (0, 1)}
     assert len(found) == 4 and mean[0] > 0.6
@@ -112,7 +112,7 @@ def test_tuning_takes_it(spark):
 def test_missing_and_single_values(spark):
     rows = [(i, float("nan") if i % 3 == 0 else 1.0, float(i % 2), 5.0, i % 2) for i in range(60)]
     frame = spark.createDataFrame(rows, "idx long, a double, b double, c double, y int")
-    model = NewtonBoost(n_estimators=1, max_depth=2).fit(models.with_vector(frame, FEATURES, "y"))
+    model = NewtonBoost(n_estimators=2, max_depth=2).fit(models.with_vector(frame, FEATURES, "y"))
     assert all((m >= 0) == bool(i % 2) for i, m in enumerate(margins(model, frame)))
     assert NewtonBoost(n_estimators=2).fit(models.with_vector(frame.limit(0), FEATURES, "y")).trees == []
 

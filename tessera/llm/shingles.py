@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.texts import fresh, pieces, words
+from tessera.llm.texts import fresh, pieces, release, spans, words
 from tessera.session import cut_lineage, spread
 
 WIDTH = 5
@@ -34,6 +34,7 @@ BAND_ROWS = 6
 PART = 1_000_000
 ROWS_AT_ONCE = 512
 PIECE_BYTES = 500_000
+SET_BYTES = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,17 +103,11 @@ def _sketches():
             names.append(xxhash.xxh3_128_digest(one.tobytes()))
             sizes.append(len(one))
             keys.append(band_keys(one))
-        pa.default_memory_pool().release_unused()
-        return pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), _lists(keys)],
+        made = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), _lists(keys)],
                                           ["name", "size", "bands"])
-
-    return found
-
-
-def _sets():
-    @F.arrow_udf("array<long>")
-    def found(texts: pa.Array) -> pa.Array:
-        return _lists(list(shingle_sets(texts)))
+        del names, sizes, keys
+        release()
+        return made
 
     return found
 
@@ -144,6 +139,16 @@ def near_classes(bands: list[np.ndarray], sets: list[np.ndarray], least: float =
     return label
 
 
+def _make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with shingle sets in place of the texts, the last column; a set leaves once its piece is done."""
+    for batch in batches:
+        for at, to in spans(batch.column(batch.num_columns - 1), SET_BYTES):
+            part = batch.slice(at, to - at)
+            sets = _lists(list(shingle_sets(part.columns[-1])))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], sets], [*batch.schema.names[:-1], "shingles"])
+        release()
+
+
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the tasks of a partition, whose rows lie together."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -168,22 +173,30 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             yield linked(now.slice(a, b - a))
         kept = now.slice(int(cuts[-1]))
+        del now, batch, columns
+        release()
     if kept is not None and len(kept):
         yield linked(kept)
 
 
-def _links(rows: DataFrame, distinct: DataFrame, place: str, text: str) -> DataFrame:
-    """``a, b`` links between nodes of ``distinct`` that connect its near classes."""
+def _links(rows: DataFrame, distinct: DataFrame, place: str, sketch: str, text: str) -> DataFrame:
+    """``a, b`` links between nodes of ``distinct`` that connect its near classes.
+
+    The table of candidates holds numbers only: while it is small Spark broadcasts it and no text moves but those of
+    candidates, and beyond that a text moves once.
+    """
     routed = distinct.select("node", F.explode("bands").alias("band"))
     hubs = routed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
     met = routed.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = components(met.distinct()).select("node", F.col("root").alias("group"))
     groups = groups.unionByName(groups.select(F.col("group").alias("node"), "group").distinct())
-    groups = cut_lineage(distinct.select("node", "size", "bands").join(groups, "node"), "near-groups")
-    parts = groups.groupBy("group").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts"))
-    dealt = groups.join(parts.filter("parts > 1"), "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    sets = rows.select(F.col(place).alias("node"), F.col(text).alias("text")).join(dealt, "node").withColumn(
-        "shingles", _sets()("text"))
+    parts = distinct.select("node", "size").join(groups, "node").groupBy("group").agg(
+        F.ceil(F.sum("size") / PART).cast("int").alias("parts")).filter("parts > 1")
+    dealt = cut_lineage(groups.join(parts, "group", "left").select("node", "group", F.coalesce(
+        "parts", F.lit(1)).alias("parts")), "near-groups")
+    held = rows.select(F.col(place).alias("node"), F.col(f"{sketch}.bands").alias("bands"), F.col(text).alias("text"))
+    held = held.join(dealt, "node").select("node", "bands", "group", "parts", "text")
+    sets = held.mapInArrow(_make_sets, "node long, bands array<long>, group long, parts int, shingles array<long>")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["group", "low", "high"]
@@ -201,7 +214,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                        F.col(place).alias("node"), f"{sketch}.*")
     distinct = cut_lineage(slim.groupBy("name", "size").agg(F.min("row").alias("row"), F.min("node").alias("node"),
                                                             F.first("bands").alias("bands")), "shingle-sets")
-    roots = components(_links(rows, distinct, place, text)).withColumnRenamed("root", "_root")
+    roots = components(_links(rows, distinct, place, sketch, text)).withColumnRenamed("root", "_root")
     rooted = distinct.join(roots, "node", "left").select("row", F.coalesce("_root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("row").alias("kept")).select(F.col("kept.place").alias(place))
     return rows.join(kept, place, "left_semi").select(*docs.columns)

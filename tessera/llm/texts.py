@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,14 @@ def fresh(rows: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system; a reused Python worker keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def spans(texts: pa.Array, most: int = 4_000_000, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Bounds of runs of at most ``rows`` texts and ``most`` bytes; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

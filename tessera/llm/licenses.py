@@ -189,9 +189,14 @@ def sql() -> str:
     def quoted(value: str) -> str:
         return "'" + value.replace("'", "''") + "'"
 
-    def has_word(column: str) -> str:
-        return "(" + " OR ".join(f"contains({column}, {quoted(w)})" for w in WORDS) + ")"
-
+    def has_word(column: str, more: tuple[str, ...] = ()) -> str:
+        return "(" + " OR ".join(f"contains({column}, {quoted(w)})" for w in (*WORDS, *more)) + ")"
+
+    # DuckDB's patterns know neither a look ahead nor the line ends other than "\n": both are taken in and put back.
+    ends = r"[\r\x{85}\x{2028}\x{2029}]"
+    opens = OPENS.replace("(?m)^", f"(?m)(^|{ends})").replace("(?=", "(?:")
+    closes = CLOSES.removesuffix(r"[ \t\r]*$") + rf"(?:[ \t\r]*$|[ \t]*({ends}))"
+    bare = f"regexp_replace(regexp_replace(t, {quoted(closes)}, '\\1', 'g'), {quoted(opens)}, '\\1', 'g')"
     known = ", ".join(f"CASE WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)} END" for n, p in SENTENCES)
     steps, last = [], "seen"
     for i, (name, sequence) in enumerate(RULES):
@@ -202,13 +207,15 @@ def sql() -> str:
         last = f"rule{i}"
     return f"""
 WITH lowered AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-cut AS (SELECT doc_id, CASE WHEN {has_word('t')} THEN string_split(regexp_replace(replace(regexp_replace(regexp_replace(
-  regexp_replace(t, '\\n[ \\t\\r]*\\n', chr(1), 'g'), '[ \\t\\r\\n]+', ' ', 'g'), '([.!?]) ', '\\1' || chr(1), 'g'),
+cut AS (SELECT doc_id, CASE WHEN {has_word("replace(t, 'licence', 'license')", LONGEST)} THEN
+  string_split(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace({bare}, '\\n[ \\t\\r]*\\n', chr(1), 'g'), '[ \\t\\r\\n]+', ' ', 'g'), '([.!?]) ', '\\1' || chr(1), 'g'),
   'licence', 'license'), '[^a-z0-9.+/' || chr(1) || ']+', ' ', 'g'), chr(1)) ELSE [] END AS parts FROM lowered),
-spoken AS (SELECT doc_id, [s for s in [regexp_replace(p, '^[. ]+|[. ]+$', '', 'g') for p in parts] if {has_word('s')}]
+spoken AS (SELECT doc_id, [s for s in [regexp_replace(p, '^[. ]+|[. ]+$', '', 'g') for p in parts] if {has_word('s', FIXED)}]
   AS parts FROM cut),
-named AS (SELECT doc_id, [[x for x in [{known}] if x IS NOT NULL] for s in parts] AS each FROM spoken),
-seen AS (SELECT doc_id, flatten(each) AS ids, len([e for e in each if len(e) = 0]) AS unknown,
+named AS (SELECT doc_id, [[x for x in [{known}] if x IS NOT NULL] for s in parts] AS each,
+  [{has_word('s')} for s in parts] AS word FROM spoken),
+seen AS (SELECT doc_id, flatten(each) AS ids,
+  len([i for i in range(1, len(each) + 1) if word[i] AND len(each[i]) = 0]) AS unknown,
   array_to_string(['<' || x || '>' for x in flatten(each)], '') AS rest, CAST([] AS VARCHAR[]) AS found FROM named),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(found, ',') AS licenses, array_to_string(ids, ',') AS sentence_ids,

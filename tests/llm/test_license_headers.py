@@ -1,8 +1,10 @@
 """Licence headers in comments of several languages against known answers."""
 
+import duckdb
 import pytest
 
-from tessera.llm import licenses
+from tessera.llm import licenses, queries
+from tests.llm.edges import rows as edge_rows
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files, to deal in the Software
@@ -41,3 +43,20 @@ def test_headers(spark, style):
 def test_spdx_in_a_closed_comment(spark):
     rows = licenses.scanned(spark.createDataFrame([(1, "/* SPDX-License-Identifier: GPL-2.0 */")], "doc_id long, text string"))
     assert rows.first()["_sentences"] == ["SpdxGPL2"]
+
+
+def test_query_equals_sql(spark, tmp_path):
+    headers = [before + "\n".join(mark + line for line in text.split("\n")) + after
+               for text, *_ in KNOWN for before, mark, after in STYLES.values()]
+    odd = [headers[1].replace("\n", "\r\n"), headers[1].replace("\n", "\r"), headers[3].replace("\n", "\u2028"),
+           "rem Licensed under the MIT license.\r\nrem\r\nremarks on a licence", "dnl\tBSD 3-Clause License\ndnlx copyright",
+           "<!-- SPDX-License-Identifier: Apache-2.0 -->\n<p>", ".\\\" in the public domain\n\n* All rights reserved */\r x",
+           "// Apache\n// License, Version\n// 2.0", "A licence of our own. Copyright nobody!", "the gnu general public licence v2 "]
+    texts = [*headers, *odd, *(r[1] for r in edge_rows())]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op9_licenses(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(licenses.sql()).fetchall()
+    assert sorted(map(tuple, got.select("doc_id", "licenses", "sentence_ids", "unknown").collect())) == sorted(want)
+    assert sum(bool(r[1]) for r in want) > len(headers)

@@ -8,12 +8,16 @@ does, so the sum ends within half a row of the budget).
 
 No window runs over a source: rows fall into ranges of the key, so many that each holds about
 ``RANGE_ROWS`` rows, and sums of the ranges tell in which one the budget ends. Only that range is
-sorted, to find the last row taken; every row then compares itself with its source's cut. Targets
-come from water-filling over the source table (one row a source).
+sorted, to find the last row taken; every row then compares itself with its source's cut. Rows alike
+in key and text share a place in the order: they are counted as one before any shuffle, and when the
+budget ends among them, the first of them by number are taken, found from counts of the written
+table's parts and the order of one part. Targets come from water-filling over the source table (one
+row a source).
 
 Null texts count as empty and have the least quality; a null source is a source, the last one;
-null keys are told apart by their texts, and rows alike in both share their place in the order.
-An empty table gives an empty result.
+null keys are told apart by their texts. Of rows alike in both, any may be the ones taken.
+An empty table gives an empty result. Texts are read once: the measures are written, and so are the
+rows themselves where the mix returns them.
 """
 
 from __future__ import annotations
@@ -50,7 +54,10 @@ def uniform(key: Column, text: Column, seed: str) -> Column:
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
              carry: list[str] | None = None, seed: str = "mix") -> DataFrame:
-    """Per row: key, ``carry`` columns, ``_source``, ``_size``, ``_quality`` and sampling key ``_key``."""
+    """Per row: key, ``carry`` columns, ``_source``, ``_size``, ``_quality``, sampling key ``_key`` and a number ``_at``.
+
+    Numbers hold in a written table only.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     kept = [F.col(c) for c in (carry or [key])]
     rows = spread(docs).select(
@@ -58,7 +65,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("_words"))
     rows = rows.withColumn("_quality", quality_weight(F.col("_body"), F.col("_words")))
     return rows.select(*(carry or [key]), "_source", F.size("_words").cast("long").alias("_size"), "_quality",
-                       (-F.log("_u") / F.col("_quality")).alias("_key"))
+                       (-F.log("_u") / F.col("_quality")).alias("_key"), F.monotonically_increasing_id().alias("_at"))
 
 
 def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -86,7 +93,8 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def cutoffs(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per source ``_name, _source_size, _target, _epochs`` and ``_cut``, the last place that is taken once more.
+    """Per source ``_name, _source_size, _target, _epochs``, ``_cut``, the last place taken once more, and ``_number``, to which
+    its rows are taken.
 
     ``rows`` are ``measured`` rows; they are read several times, so they should be a written table.
     Only the range of each source in which the budget ends is sorted.
@@ -96,25 +104,53 @@ def cutoffs(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     sources = cut_lineage(targets(sizes).withColumn("_epochs", whole).withColumn(
         "_budget", F.col("_target") - F.col("_epochs") * F.col("_source_size")).withColumnRenamed("_source", "_name"),
         "mixing-targets")
+    places = rows.groupBy("_source", "_key", key, "_size").agg(F.count(F.lit(1)).alias("_alike"))
     at = F.floor(F.ceil(F.col("_rows") / RANGE_ROWS) * (1 - F.exp(-0.8 * F.col("_key")))).cast("long")
     same = F.col("_source").eqNullSafe(F.col("_name"))
-    dealt = rows.join(small(sources), same).withColumn("_range", at)
+    dealt = places.join(small(sources), same).withColumn("_range", at).withColumn("_words", F.col("_size") * F.col("_alike"))
     before = (Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("_name", "_range", "_budget").agg(F.sum("_size").alias("_words_in")).withColumn(
+    sums = dealt.groupBy("_name", "_range", "_budget").agg(F.sum("_words").alias("_words_in")).withColumn(
         "_start", F.coalesce(F.sum("_words_in").over(
             Window.partitionBy("_name").orderBy("_range").rowsBetween(*before)), F.lit(0)))
     last = sums.filter((F.col("_start") < F.col("_budget")) & (F.col("_start") + F.col("_words_in") >= F.col("_budget")))
     last = last.select(F.col("_name").alias("_of"), F.col("_range").alias("_last"), "_start")
     ends = dealt.join(last, F.col("_name").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_last")))
     inside = Window.partitionBy("_name", "_range").orderBy("_key", key, "_size").rowsBetween(*before)
-    start = F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    taken = ends.withColumn("_taken", 2 * start + F.col("_size") <= 2 * F.col("_budget"))
+    start = F.col("_start") + F.coalesce(F.sum("_words").over(inside), F.lit(0))
+    # The n-th of the rows of a place is taken if 2 * (start + (n - 1) * size) + size <= 2 * budget.
+    reach = F.floor((2 * (F.col("_budget") - start) + F.col("_size")) / (2 * F.greatest("_size", F.lit(1))))
+    taken = ends.withColumn("_many", F.greatest(F.lit(0), F.least(reach, "_alike")))
     # Where no row of the last range is taken, the cut lies at the end of the range before it.
     cut = taken.groupBy("_of").agg(
-        F.max(F.when(F.col("_taken"), _place(key))).alias("_inside"), F.min(_place(key)).alias("_first"))
-    return sources.join(cut, F.col("_name").eqNullSafe(F.col("_of")), "left").select(
-        "_name", "_source_size", "_target", "_epochs", F.coalesce("_inside", "_first").alias("_cut"),
-        F.col("_inside").isNotNull().alias("_with_cut"))
+        F.max(F.when(F.col("_many") > 0, F.struct(_place(key).alias("place"), "_many", "_alike"))).alias("_inside"),
+        F.min(_place(key)).alias("_first"))
+    cuts = sources.join(cut, F.col("_name").eqNullSafe(F.col("_of")), "left").select(
+        "_name", "_source_size", "_target", "_epochs", F.coalesce("_inside.place", "_first").alias("_cut"),
+        F.coalesce("_inside._many", F.lit(0)).alias("_many"), F.coalesce("_inside._alike", F.lit(0)).alias("_alike"))
+    cuts = cut_lineage(cuts, "mixing-places")
+    numbers = _last_numbers(rows, cuts.filter("_many > 0 and _many < _alike"), key)
+    every = F.when(F.col("_many") > 0, F.lit(2 ** 63 - 1)).otherwise(F.lit(-1))
+    return cuts.join(numbers, F.col("_name").eqNullSafe(F.col("_of")), "left").select(
+        "_name", "_source_size", "_target", "_epochs", "_cut", F.coalesce("_number", every).alias("_number"))
+
+
+def _last_numbers(rows: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
+    """``_of, _number``: the ``_many``-th smallest number of a source's rows at the cut.
+
+    A number's high bits tell the task that wrote it. Counts of these tasks say in which one the row lies, and only
+    its rows are ordered.
+    """
+    split = cuts.select("_name", F.col("_cut").alias("_end"), F.col("_many").alias("_wanted"))
+    alike = rows.join(small(split), F.col("_source").eqNullSafe(F.col("_name")) & (_place(key) == F.col("_end"))).select(
+        "_name", "_wanted", "_at", F.shiftright("_at", 33).alias("_part"))
+    before = Window.partitionBy("_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = alike.groupBy("_name", "_wanted", "_part").agg(F.count(F.lit(1)).alias("_held")).withColumn(
+        "_passed", F.coalesce(F.sum("_held").over(before), F.lit(0)))
+    parts = parts.filter("_passed < _wanted and _passed + _held >= _wanted").select(
+        F.col("_name").alias("_of"), F.col("_part").alias("_in"), "_passed")
+    inside = alike.join(parts, F.col("_name").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in"))).withColumn(
+        "_nth", F.col("_passed") + F.row_number().over(Window.partitionBy("_name").orderBy("_at")))
+    return inside.filter("_nth = _wanted").select("_of", F.col("_at").alias("_number"))
 
 
 def _place(key: str) -> Column:
@@ -130,9 +166,9 @@ def decide(rows: DataFrame, cuts: DataFrame, key: str = "doc_id") -> DataFrame:
     """``measured`` rows with ``_source_size``, ``_target`` and ``_copies``, how often the mix takes the row."""
     met = rows.join(small(cuts), F.col("_source").eqNullSafe(F.col("_name")), "left")
     place = _place(key)
-    extra = (place < F.col("_cut")) | (F.col("_with_cut") & (place <= F.col("_cut")))
+    extra = (place < F.col("_cut")) | ((place == F.col("_cut")) & (F.col("_at") <= F.col("_number")))
     copies = F.col("_epochs") + F.coalesce(extra & (F.col("_size") > 0), F.lit(False)).cast("long")
-    return met.withColumn("_copies", copies.cast("long")).drop("_name", "_cut", "_with_cut", "_epochs")
+    return met.withColumn("_copies", copies.cast("long")).drop("_name", "_cut", "_number", "_epochs", "_at")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
@@ -144,14 +180,10 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
             seed: str = "mix") -> DataFrame:
-    """The rows of the mix themselves, each as often as it is taken, with the columns of ``docs``.
-
-    Texts stay where they are: a second read compares each row with its source's cut.
-    """
-    rows = cut_lineage(measured(docs, key, text, source, None, seed), "mixing")
-    cuts = cut_lineage(cutoffs(rows, key), "mixing-cuts")
+    """The rows of the mix themselves, each as often as it is taken, with the columns of ``docs``."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_text"),
                          F.col(source).alias("_origin"))
-    taken = decide(measured(packed, "_id", "_text", "_origin", ["_id", "_row"], seed), cuts, "_id")
-    return taken.filter(F.col("_copies") > 0).select(
+    rows = cut_lineage(measured(packed, "_id", "_text", "_origin", ["_id", "_row"], seed), "mixing")
+    cuts = cut_lineage(cutoffs(rows, "_id"), "mixing-cuts")
+    return decide(rows, cuts, "_id").filter(F.col("_copies") > 0).select(
         "_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

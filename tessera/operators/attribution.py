@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.clean import col
 from tessera.operators.models import with_vector
-from tessera.operators.newton import NewtonModel
+from tessera.operators.trees import TreeModel
 from tessera.session import shared_path
 
 # Paths of up to this many features are looked up in a table of all patterns of conditions.
@@ -72,7 +72,7 @@ def _leaf_value(model: Model, node: dict, tree: int) -> float:
 
 def leaves_of(model: Model, spark) -> list[Leaf]:
     """Every leaf of every tree with the conditions of its path, repeated features merged."""
-    if isinstance(model, NewtonModel):
+    if isinstance(model, TreeModel):
         return [Leaf(*path) for path in model.paths()]
     trees: dict[int, dict[int, dict]] = {}
     for node in _node_rows(model, spark):
@@ -194,7 +194,7 @@ def attributions(model: Model, df: DataFrame, features: list[str], key: str = "i
 def margins(model: Model, df: DataFrame, features: list[str], key: str = "idx") -> DataFrame:
     """``key, margin``: the model output that the attributions explain."""
     rows = model.transform(with_vector(df, features))
-    if isinstance(model, NewtonModel):
+    if isinstance(model, TreeModel):
         return rows.select(key, "margin")
     if type(model).__name__.startswith("GBT"):
         margin = 2 * vector_to_array("rawPrediction")[1]

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.config import FOLDS, SEED
 from tessera.operators import scoring
+from tessera.operators.adaboost import AdaBoost
 from tessera.operators.clean import col
+from tessera.operators.extratrees import ExtraTrees
 from tessera.operators.newton import NewtonBoost
 from tessera.operators.split import stratified_folds
 from tessera.session import cut_lineage, spread
@@ -29,27 +31,35 @@ PARAMS = {
 }
 ESTIMATORS = {"DecisionTreeClassifier": DecisionTreeClassifier,
               "RandomForestClassifier": RandomForestClassifier, "GBTClassifier": GBTClassifier}
-# Sweep parameters of second-order boosting, and those that are named otherwise there.
-NEWTON = {"n_estimators", "num_boost_round", "max_depth", "learning_rate", "reg_lambda", "min_child_weight", "subsample", "random_state"}
-NEWTON_NAMES = {"num_boost_round": "n_estimators"}
+# Sweep parameters of the library's own classifiers, and those that are named otherwise there.
+OWN = {"NewtonBoost": NewtonBoost, "AdaBoost": AdaBoost, "ExtraTrees": ExtraTrees}
+OWN_PARAMS = {
+    "NewtonBoost": {"n_estimators", "max_depth", "learning_rate", "reg_lambda", "min_child_weight", "subsample", "random_state"},
+    "AdaBoost": {"n_estimators", "max_depth", "learning_rate"},
+    "ExtraTrees": {"n_estimators", "max_depth", "max_features", "min_child_weight", "random_state"},
+}
+OWN_NAMES = {"num_boost_round": "n_estimators"}
+OwnEstimator = NewtonBoost | AdaBoost | ExtraTrees
 
 
-def make_estimator(estimator: Estimator | NewtonBoost | str = "GBTClassifier", params: dict | None = None,
-                   ignore: Collection[str] = ()) -> Estimator | NewtonBoost:
+def make_estimator(estimator: Estimator | OwnEstimator | str = "GBTClassifier", params: dict | None = None,
+                   ignore: Collection[str] = ()) -> Estimator | OwnEstimator:
     """A copy of a tree classifier with sweep parameters set; ``NewtonBoost`` knows ``reg_lambda`` too.
 
     A parameter without a counterpart raises unless the caller names it in ``ignore``.
     """
-    if estimator == "NewtonBoost" or isinstance(estimator, NewtonBoost):
-        base = NewtonBoost() if isinstance(estimator, str) else estimator
-        unknown = sorted(set(params or {}) - NEWTON - set(ignore))
+    kind = estimator if isinstance(estimator, str) else type(estimator).__name__
+    if kind in OWN:
+        base = OWN[kind]() if isinstance(estimator, str) else estimator
+        named = {OWN_NAMES.get(k, k): v for k, v in (params or {}).items() if k not in ignore or OWN_NAMES.get(k, k) in OWN_PARAMS[kind]}
+        unknown = sorted(set(named) - OWN_PARAMS[kind])
         if unknown:
-            raise ValueError(f"NewtonBoost has no parameter for {unknown}; name them in ignore to leave them out")
-        return base.with_params({NEWTON_NAMES.get(k, k): v for k, v in (params or {}).items() if k in NEWTON})
+            raise ValueError(f"{kind} has no parameter for {unknown}; name them in ignore to leave them out")
+        return base.with_params(named)
     base = ESTIMATORS[estimator](seed=SEED) if isinstance(estimator, str) else estimator.copy()
     kind = type(base).__name__
     if kind not in PARAMS:
-        raise ValueError(f"unsupported estimator {kind}; must be one of {sorted([*PARAMS, 'NewtonBoost'])}")
+        raise ValueError(f"unsupported estimator {kind}; must be one of {sorted([*PARAMS, *OWN])}")
     unknown = sorted(set(params or {}) - set(PARAMS[kind]) - set(ignore))
     if unknown:
         raise ValueError(f"{kind} has no parameter for {unknown}; name them in ignore to leave them out")

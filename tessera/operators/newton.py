@@ -13,54 +13,18 @@ lie. Missing values go left at every split. A table without rows gives a model o
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import SEED
 from tessera.functions.hashing import uniform
+from tessera.operators.trees import DIGITS, Tree, TreeModel, bin_cuts, bin_number, lookup, node_of, paths_of, without_nan
 from tessera.session import cut_lineage
 
-# Gains are compared after rounding to so many digits, as sums differ in their last ones; then the first feature and bin win.
-DIGITS = 9
-
-
-@dataclass
-class Tree:
-    """Nodes in heap order (children of n: 2n+1, 2n+2): feature (-1: leaf), bin and value of the cut, payment and rows."""
-
-    feature: list[int]
-    cut_bin: list[int]
-    cut: list[float]
-    pays: list[float]
-    rows: list[float]
-
-    @classmethod
-    def empty(cls, depth: int) -> Tree:
-        n = 2 ** (depth + 1) - 1
-        return cls([-1] * n, [0] * n, [0.0] * n, [0.0] * n, [0.0] * n)
-
-
-def _lookup(values: list, at: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
-
-
-def node_of(x: Column, tree: Tree, depth: int, cuts: list) -> Column:
-    """The node a row reaches; ``x`` holds its bins or values, ``cuts`` the bound of each node in the same units."""
-    def down(node: Column, _: Column) -> Column:
-        feature = _lookup(tree.feature, node)
-        value = F.element_at(x, F.greatest(feature, F.lit(0)) + 1)
-        right = F.coalesce(value > _lookup(cuts, node), F.lit(False)).cast("int")
-        return F.when(feature < 0, node).otherwise(2 * node + 1 + right)
-    if depth == 0:
-        return F.lit(0)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down)
-
-
 def best_split(g: np.ndarray, h: np.ndarray, reg_lambda: float, least: float) -> tuple[float, int, int]:
     """(gain, feature, bin) of the best cut of a node's histograms (features x bins); gain 0: none."""
     left_g, left_h = np.cumsum(g, axis=1)[:, :-1], np.cumsum(h, axis=1)[:, :-1]
@@ -78,18 +42,14 @@ def best_split(g: np.ndarray, h: np.ndarray, reg_lambda: float, least: float) ->
 
 
 @dataclass
-class NewtonModel:
-    """Trees of a fit; ``margin`` is the log-odds of class 1."""
-
-    trees: list[Tree]
-    depth: int
-    gains: list[float] = field(default_factory=list)
+class NewtonModel(TreeModel):
+    """``margin`` is the log-odds of class 1."""
 
     def margin(self, x: Column) -> Column:
         """Log-odds for a row's values, an ``array<double>``."""
-        total, x = F.lit(0.0), F.transform(x, lambda v: F.when(~F.isnan(v), v))
+        total, x = F.lit(0.0), without_nan(x)
         for tree in self.trees:
-            total = total + _lookup(tree.pays, node_of(x, tree, self.depth, tree.cut))
+            total = total + lookup(tree.pays, node_of(x, tree, self.depth, tree.cut))
         return total
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -97,29 +57,9 @@ class NewtonModel:
         return df.withColumn("margin", self.margin(vector_to_array("features"))).withColumn(
             "prediction", (F.col("margin") >= 0).cast("double"))
 
-    @property
-    def featureImportances(self) -> DenseVector:  # noqa: N802 - the name that tree models of MLlib use
-        """Each feature's share of all gains."""
-        total = sum(self.gains)
-        return Vectors.dense([g / total if total else 0.0 for g in self.gains])
-
-    def paths(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
+    def paths(self) -> list[tuple]:
         """For each leaf the features of its path, their intervals (low, high], the shares of rows kept, and the payment."""
-        out = []
-        for tree in self.trees:
-            pending = [(0, {})]
-            while pending:
-                at, path = pending.pop()
-                if tree.feature[at] < 0:
-                    names = sorted(path)
-                    low, high, share = (np.array([path[f][i] for f in names], dtype=float) for i in range(3))
-                    out.append((np.array(names, dtype=int), low, high, share, tree.pays[at]))
-                    continue
-                f, cut = tree.feature[at], tree.cut[at]
-                low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-                for child, edge in ((2 * at + 1, (low, min(high, cut))), (2 * at + 2, (max(low, cut), high))):
-                    pending.append((child, path | {f: (*edge, share * tree.rows[child] / tree.rows[at])}))
-        return out
+        return paths_of(self.trees, lambda number, node: self.trees[number].pays[node])
 
 
 @dataclass(frozen=True)
@@ -142,10 +82,7 @@ class NewtonBoost:
 
     def cuts(self, x: DataFrame, width: int) -> list[list[float]]:
         """Rising bounds of each feature's bins, from its approximate quantiles."""
-        shares = [i / self.max_bins for i in range(1, self.max_bins)]
-        found = x.agg(*[F.percentile_approx(F.nanvl(F.get("x", F.lit(i)), F.lit(None)), shares, 10_000).alias(f"c{i}")
-                        for i in range(width)]).first()
-        return [sorted(set(c)) if c else [] for c in found]
+        return bin_cuts(x, width, self.max_bins)
 
     def fit(self, df: DataFrame, key: str | None = None) -> NewtonModel:
         """A model of ``label`` (0 or 1) by ``features``; ``key`` names rows for drawing."""
@@ -158,25 +95,17 @@ class NewtonBoost:
         if not width:
             return NewtonModel([], self.max_depth)
         cuts = self.cuts(rows, width)
-        binned = F.array(*[self._bin(F.get("x", F.lit(i)), cuts[i]) for i in range(width)])
+        binned = F.array(*[bin_number(F.get("x", F.lit(i)), cuts[i]) for i in range(width)])
         rows = cut_lineage(rows.select("draw", "y", binned.alias("bins"), F.lit(0.0).alias("margin")), "newton-round")
         model = NewtonModel([], self.max_depth, [0.0] * width)
         for i in range(self.n_estimators):
             tree = self._grow(rows, i, cuts, model.gains)
             model.trees.append(tree)
-            paid = _lookup(tree.pays, node_of(F.col("bins"), tree, self.max_depth, tree.cut_bin))
+            paid = lookup(tree.pays, node_of(F.col("bins"), tree, self.max_depth, tree.cut_bin))
             if i + 1 < self.n_estimators:
                 rows = cut_lineage(rows.withColumn("margin", F.col("margin") + paid), "newton-round")
         return model
 
-    @staticmethod
-    def _bin(value: Column, cuts: list[float]) -> Column:
-        """Number of bounds below a value; a missing value lies below all."""
-        if not cuts:
-            return F.lit(0)
-        below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < value))
-        return F.when(value.isNull() | F.isnan(value), 0).otherwise(below)
-
     def _grow(self, rows: DataFrame, number: int, cuts: list[list[float]], gains: list[float]) -> Tree:
         tree, width = Tree.empty(self.max_depth), len(cuts)
         most = max(map(len, cuts)) + 1

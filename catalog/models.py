@@ -1,5 +1,7 @@
 """Model, attribution and selection queries, and whole jobs."""
 
+from dataclasses import replace
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window
@@ -72,6 +74,43 @@ def m1_newton_stump(spark, sf):
     return parts
 
 
+def _classified(spark, sf, kind, params):
+    """Prediction and margin of every row, from the training rows."""
+    rows = _split(spark, sf)
+    model = models.make_estimator(kind, params).fit(models.with_vector(rows.filter("split = 'train'"), FEATURES, "y"))
+    found = model.transform(models.with_vector(rows, FEATURES))
+    return found.select("idx", "split", "y", F.col("prediction").cast("bigint").alias("prediction"), F.round("margin", 6).alias("margin"))
+
+
+def m1_adaboost(spark, sf):
+    """Boosting by reweighted rows: prediction and difference of the votes of every row."""
+    return _classified(spark, sf, "AdaBoost", {"n_estimators": 10})
+
+
+def m1_extra_trees(spark, sf):
+    """Extremely randomised trees: prediction and mean share of class 1 of every row."""
+    return _classified(spark, sf, "ExtraTrees", {"n_estimators": 10, "max_depth": 5})
+
+
+ADA_ROUNDS = 3
+
+
+def m1_ada_rounds(spark, sf):
+    """Rounds of stumps by the number of lines: cut, error, vote, and the rows that a round's stump and the votes so far call 1."""
+    rows = order_features(spark, sf).select("idx", "lines", "y")
+    rows = models.with_vector(spread(cut_lineage(rows, "features")), ["lines"], "y")
+    model = models.make_estimator("AdaBoost", {"n_estimators": ADA_ROUNDS}).fit(rows)
+    parts = None
+    for i, (tree, vote, error) in enumerate(zip(model.trees, model.votes, model.errors)):
+        alone, so_far = (replace(model, trees=model.trees[j:i + 1], votes=model.votes[j:i + 1]) for j in (i, 0))
+        both = alone.transform(rows).select("features", F.col("prediction").alias("own"))
+        part = so_far.transform(both).agg(F.count_if(F.col("own") == 1).alias("own"), F.count_if(F.col("prediction") == 1).alias("voted"))
+        part = part.select(F.lit(i + 1).alias("round"), F.lit(tree.cut[0]).alias("cut"), F.round(F.lit(error), 6).alias("error"),
+                           F.round(F.lit(vote), 6).alias("vote"), "own", "voted")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 def m2_importance(spark, sf):
     """A row for each feature, in order; none is negative and they add up to 1."""
     _, train, model = _fitted(spark, sf, FOREST, {"n_estimators": 20, "max_depth": 5})
@@ -100,6 +139,20 @@ def m3_additivity(spark, sf):
     return gaps.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") > 1e-9).alias("off"))
 
 
+def m3_categories(spark, sf):
+    """Attributions of a forest that splits two features by sets of categories add up, and how many of its leaves hold a set."""
+    kinds = {"lines": 12, "late": 7}  # the last number of lines stands for more too, lateness by its place in the week
+    train = _split(spark, sf).filter("split = 'train'").withColumns({
+        "lines": F.least("lines", F.lit(11)), "late": F.pmod(F.col("late").cast("bigint"), F.lit(7))})
+    model = models.fit(models.make_estimator(FOREST, {"n_estimators": 10, "max_depth": 5}), train, FEATURES, "y", kinds)
+    leaves = attribution.leaves_of(model, spark)
+    parts = attribution.attributions(model, train, FEATURES, leaves=leaves)
+    total = sum((F.col(c) for c in FEATURES), F.lit(attribution.base_value(leaves)))
+    gaps = parts.join(attribution.margins(model, train, FEATURES), "idx").select(F.abs(total - F.col("margin")).alias("gap"))
+    sets = any(leaf.sets for leaf in leaves)
+    return gaps.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") > 1e-9).alias("off")).withColumn("sets", F.lit(sets))
+
+
 def m4_tune(spark, sf):
     """Ten trials on five folds each; scores are shares."""
     train = _split(spark, sf).filter("split = 'train'")
@@ -216,8 +269,8 @@ def v8_run(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    m1_fit, m1_newton, m1_newton_stump, m2_importance, m3_shap, m3_additivity, m4_tune, m5_k, m6_medoid, a11_silhouette, m7_diverse, m8_explain,
-    v7_baseline, v8_run)}
+    m1_fit, m1_newton, m1_newton_stump, m1_adaboost, m1_ada_rounds, m1_extra_trees, m2_importance, m3_shap, m3_additivity, m3_categories,
+    m4_tune, m5_k, m6_medoid, a11_silhouette, m7_diverse, m8_explain, v7_baseline, v8_run)}
 
 SPLITS = """orders_y AS (SELECT l_orderkey AS idx, CAST(max(CAST(l_returnflag = 'R' AS INT)) AS BIGINT) AS y FROM lineitem GROUP BY 1),
   splits AS (SELECT idx, y, CASE WHEN r <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split FROM (
@@ -228,7 +281,33 @@ SCORED = """rs AS (SELECT c_custkey AS idx, CAST(c_acctbal > 0 AS BIGINT) AS y F
     SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY md5('42:' || idx), idx) AS r FROM rs)
     WHERE r <= ceil(CAST(0.2 AS DOUBLE) * n))"""
 
+
+
+def _ada_round(i):
+    """SQL of a round over cells of equal lines and label (k rows of weight w each, votes so far for class 1 less those for 0)."""
+    return f"""s{i} AS (SELECT c.lines AS cut, r.lines <= c.lines AS l, y, sum(k * w) AS w
+          FROM c{i} r, (SELECT DISTINCT lines FROM c{i}) c GROUP BY ALL),
+        p{i} AS (SELECT cut, sum(p) AS p FROM (SELECT cut, l, sum(w * w) / sum(w) AS p FROM s{i} GROUP BY ALL)
+          GROUP BY cut HAVING count(*) = 2),
+        b{i} AS (SELECT cut FROM p{i}, (SELECT sum(w * w) / sum(w) AS t FROM (SELECT y, sum(k * w) AS w FROM c{i} GROUP BY y))
+          ORDER BY round(p - t, 9) DESC, cut LIMIT 1),
+        o{i} AS (SELECT l, y AS said FROM (SELECT l, y, row_number() OVER (PARTITION BY l ORDER BY round(w, 9) DESC, y) AS n
+          FROM s{i} JOIN b{i} USING (cut)) WHERE n = 1),
+        d{i} AS (SELECT r.lines, r.y, k, w, votes, o.said, b.cut FROM c{i} r, b{i} b, o{i} o WHERE o.l = (r.lines <= b.cut)),
+        e{i} AS (SELECT sum(k * w) FILTER (WHERE said <> y) AS e FROM d{i}),
+        c{i + 1} AS (SELECT lines, y, k, w * CASE WHEN said <> y THEN (1 - e) / e ELSE 1 END / (2 * (1 - e)) AS w,
+          votes + CASE WHEN said = 1 THEN 1 ELSE -1 END * ln((1 - e) / e) AS votes, said, cut, e FROM d{i}, e{i})"""
+
+
 SQL = {
+    "m1_ada_rounds": f"""WITH rs AS (SELECT CAST(count(*) AS DOUBLE) AS lines, max(CAST(l_returnflag = 'R' AS INT)) AS y
+          FROM lineitem GROUP BY l_orderkey),
+        c1 AS (SELECT lines, y, count(*) AS k, 1.0::DOUBLE / (SELECT count(*) FROM rs) AS w, 0.0::DOUBLE AS votes FROM rs GROUP BY ALL),
+        {", ".join(_ada_round(i) for i in range(1, ADA_ROUNDS + 1))},
+        ends AS ({" UNION ALL ".join(f"SELECT {i} AS round, * FROM c{i + 1}" for i in range(1, ADA_ROUNDS + 1))})
+        SELECT round, cut, round(e, 6) AS error, round(ln((1 - e) / e), 6) AS vote,
+          CAST(coalesce(sum(k) FILTER (WHERE said = 1), 0) AS BIGINT) AS own,
+          CAST(coalesce(sum(k) FILTER (WHERE votes > 1e-12), 0) AS BIGINT) AS voted FROM ends GROUP BY round, cut, e""",
     "m1_fit": f"""WITH {SPLITS} SELECT split, count(*) AS n, 0 AS off FROM splits GROUP BY split""",
     "m1_newton_stump": """WITH rs AS (SELECT CAST(count(*) AS DOUBLE) AS lines, max(CAST(l_returnflag = 'R' AS INT)) AS y
           FROM lineitem GROUP BY l_orderkey),
@@ -244,6 +323,7 @@ SQL = {
         unnest([0, 1, 2, 3, 4]) AS position, count(*) > 0 AS valid, 1.0::DOUBLE AS total FROM lineitem""",
     "m3_shap": f"WITH {SPLITS} SELECT idx, true AS whole FROM splits WHERE split = 'train'",
     "m3_additivity": f"WITH {SPLITS} SELECT count(*) AS n, 0 AS off FROM splits WHERE split = 'train'",
+    "m3_categories": f"WITH {SPLITS} SELECT count(*) AS n, 0 AS off, true AS sets FROM splits WHERE split = 'train'",
     "m4_tune": """SELECT t.range AS trial, CAST(f.range AS INT) AS fold, (SELECT count(*) FROM lineitem) > 0 AS valid
         FROM range(10) t, range(5) f""",
     "m5_k": """SELECT CAST(range AS INT) AS k, range = (SELECT count(DISTINCT label) FROM embeddings) AS best FROM range(2, 11)""",

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import astuple, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -35,13 +35,17 @@ CELLS = 2_000_000
 @dataclass
 class Leaf:
     """One leaf: the distinct features of its path, their intervals (low, high], the share of
-    rows that each feature's edges keep, and the value paid."""
+    rows that each feature's edges keep, and the value paid.
+
+    ``sets`` has, for features split by categories, whether each category meets the condition, and last whether an unknown one does.
+    """
 
     features: np.ndarray
     low: np.ndarray
     high: np.ndarray
     share: np.ndarray
     value: float
+    sets: dict[int, np.ndarray] = field(default_factory=dict)
 
 
 def _node_rows(model: Model, spark) -> list[dict]:
@@ -57,8 +61,6 @@ def _node_rows(model: Model, spark) -> list[dict]:
                         "rightChild", F.col("split.featureIndex").alias("feature"),
                         F.col("split.leftCategoriesOrThreshold").alias("threshold"),
                         F.col("split.numCategories").alias("categories")).collect()
-    if any(r["categories"] > -1 for r in rows):
-        raise ValueError("attributions need numeric splits")
     return [r.asDict() for r in rows]
 
 
@@ -86,27 +88,67 @@ def leaves_of(model: Model, spark) -> list[Leaf]:
             if node["leftChild"] < 0:
                 names = sorted(path)
                 low, high, share = (np.array([path[f][i] for f in names], dtype=float) for i in range(3))
+                sets = {f: path[f][3] for f in names if path[f][3] is not None}
                 leaves.append(Leaf(np.array(names, dtype=int), low, high, share,
-                                   _leaf_value(model, node, tree)))
+                                   _leaf_value(model, node, tree), sets))
                 continue
-            f, cut = node["feature"], node["threshold"][0]
-            low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-            for child, edge in ((node["leftChild"], (low, min(high, cut))),
-                                (node["rightChild"], (max(low, cut), high))):
+            f = node["feature"]
+            low, high, share, met = path.get(f, (-np.inf, np.inf, 1.0, None))
+            if node["categories"] > -1:
+                left = np.zeros(node["categories"] + 1, dtype=bool)
+                left[np.array(node["threshold"], dtype=int)] = True
+                left[-1] = len(node["threshold"]) > node["categories"] // 2  # the model sends unknown ones to the larger side
+                edges = [(low, high, left if met is None else met & left), (low, high, ~left if met is None else met & ~left)]
+            else:
+                cut = node["threshold"][0]
+                edges = [(low, min(high, cut), met), (max(low, cut), high, met)]
+            for child, (low, high, met) in zip((node["leftChild"], node["rightChild"]), edges):
                 kept = share * nodes[child]["rawCount"] / node["rawCount"]
-                pending.append((child, path | {f: (*edge, kept)}))
+                pending.append((child, path | {f: (low, high, kept, met)}))
     return leaves
 
 
 @dataclass
 class Stack:
-    """Leaves with equally many path features, as arrays (leaves x path features)."""
+    """Leaves with equally many path features, as arrays (leaves x path features); ``sets`` (x categories) if one has a set."""
 
     features: np.ndarray
     low: np.ndarray
     high: np.ndarray
     share: np.ndarray
     value: np.ndarray
+    sets: np.ndarray | None = None
+
+    def met(self, x: np.ndarray) -> np.ndarray:
+        """Whether rows meet the conditions (rows x leaves x path features)."""
+        values = x[:, self.features]
+        met = (values > self.low) & (values <= self.high)
+        if self.sets is None:
+            return met
+        unknown = self.sets.shape[2] - 1
+        known = (values >= 0) & (values < unknown) & (values == np.floor(values))
+        category = np.where(known, values, unknown).astype(int)
+        leaves, d = self.features.shape
+        inside = self.sets[np.arange(leaves)[:, None], np.arange(d), category]
+        return np.where(self.by_set(), inside, met)
+
+    def by_set(self) -> np.ndarray:
+        """Conditions that are sets: they have no bounds."""
+        return np.isneginf(self.low) & np.isposinf(self.high)
+
+
+def _sets(part: list[Leaf], d: int) -> np.ndarray | None:
+    """Sets of leaves, filled up to equal length by what holds for unknown categories."""
+    most = max((len(s) for leaf in part for s in leaf.sets.values()), default=0)
+    if not most:
+        return None
+    out = np.ones((len(part), d, most), dtype=bool)
+    for i, leaf in enumerate(part):
+        for j, f in enumerate(leaf.features):
+            if f in leaf.sets:
+                met = leaf.sets[f]
+                out[i, j] = np.concatenate([met, np.repeat(met[-1:], most - len(met))])
+    return out
 
 
 def stacked(leaves: list[Leaf], most: int = GROUP_LEAVES) -> list[Stack]:
@@ -117,7 +159,7 @@ def stacked(leaves: list[Leaf], most: int = GROUP_LEAVES) -> list[Stack]:
         for i in range(0, len(same), most):
             part = same[i:i + most]
             found.append(Stack(*(np.stack([getattr(leaf, n) for leaf in part]) for n in ("features", "low", "high", "share")),
-                               np.array([leaf.value for leaf in part])))
+                               np.array([leaf.value for leaf in part]), _sets(part, d)))
     return found
 
 
@@ -158,8 +200,7 @@ def row_effects(x: np.ndarray, stacks: list[Stack]) -> np.ndarray:
         table = leaf_effects(_patterns(d)[:, None, :], stack.share, stack.value) if short else None
         rows = max(1, CELLS // (leaves * d))
         for i in range(0, len(x), rows):
-            values = x[i:i + rows][:, stack.features]
-            met = (values > stack.low) & (values <= stack.high)
+            met = stack.met(x[i:i + rows])
             effects = (table[met @ (1 << np.arange(d)), np.arange(leaves)] if short
                        else leaf_effects(met, stack.share, stack.value))
             out[i:i + rows] += effects.reshape(len(effects), -1) @ target

@@ -71,16 +71,25 @@ def make_estimator(estimator: Estimator | OwnEstimator | str = "GBTClassifier",
     return base.setFeaturesCol("features").setLabelCol("label")
 
 
-def with_vector(df: DataFrame, features: list[str], target: str | None = None) -> DataFrame:
-    """Add ``features`` (vector) and, given a target, ``label``."""
+def with_vector(df: DataFrame, features: list[str], target: str | None = None, categories: dict[str, int] | None = None) -> DataFrame:
+    """Add ``features`` (vector) and, given a target, ``label``.
+
+    Features named in ``categories`` hold numbers of categories, from 0 to below the given count; MLlib's trees split them by sets.
+    """
     vector = array_to_vector(F.array(*[col(c).cast("double") for c in features]))
+    if categories:
+        nominal = [{"idx": i, "name": c, "vals": [str(v) for v in range(categories[c])]} for i, c in enumerate(features) if c in categories]
+        numeric = [{"idx": i, "name": c} for i, c in enumerate(features) if c not in categories]
+        attributes = {"attrs": {"nominal": nominal, "numeric": numeric}, "num_attrs": len(features)}
+        vector = vector.alias("features", metadata={"ml_attr": attributes})
     out = df.withColumn("features", vector)
     return out if target is None else out.withColumn("label", col(target).cast("double"))
 
 
-def fit(estimator: Estimator, train: DataFrame, features: list[str], target: str) -> Model:
+def fit(estimator: Estimator | OwnEstimator, train: DataFrame, features: list[str], target: str,
+        categories: dict[str, int] | None = None) -> Model:
     """Fit on the named columns only."""
-    return estimator.fit(with_vector(train, features, target).select("features", "label"))
+    return estimator.fit(with_vector(train, features, target, categories).select("features", "label"))
 
 
 def predict(model: Model, df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:

@@ -40,6 +40,10 @@ def newest_file(spark: SparkSession, path: str, run: str, glob: str = "*predicti
     return found
 
 
+# The parts of a result document that hold scores.
+PARTS = ("cot", "zero_shot_cot_ablation", "zero_shot_baseline")
+
+
 def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Result documents named ``<dataset>_<masked|unmasked>.json`` with ``dataset`` and ``masked``."""
     docs = spark.read.schema(RUN_SCHEMA).option("multiLine", True).json(path).select("*", "_metadata.file_name")
@@ -56,7 +60,7 @@ def run_scores(runs: DataFrame, model: str = "tree-model") -> DataFrame:
     first part that has it.
     """
     empty = F.create_map().cast("map<string, struct<accuracy: double, macro_f1_score: double>>")
-    parts = [F.coalesce(F.col(c), empty) for c in ("cot", "zero_shot_cot_ablation", "zero_shot_baseline")]
+    parts = [F.coalesce(F.col(c), empty) for c in PARTS]
     own = [F.map_filter(p, lambda k, _: k != model) for p in parts]
     tree = F.coalesce(*[F.try_element_at(p, F.lit(model)) for p in parts])
     entry = F.when(tree.isNotNull(), F.array(F.struct(F.lit(model).alias("key"), tree.alias("value")))).otherwise(
@@ -79,6 +83,28 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.json(path)
 
 
+def write_run(spark: SparkSession, folder: str, dataset: str, masked: bool, **parts: DataFrame) -> str:
+    """Write the result document of a run, which ``read_runs`` reads, and return its path.
+
+    ``parts`` are score tables (``strategy, accuracy, macro_f1``, a row a strategy) under the names of the document's parts. A document
+    of the same name is replaced. Judgements, a row for each judged answer, stay in tables and files of their own.
+    """
+    unknown = sorted(set(parts) - set(PARTS))
+    if unknown:
+        raise ValueError(f"a result document has no part {unknown}")
+    doc = {name: {r["strategy"]: {"accuracy": r["accuracy"], "macro_f1_score": r["macro_f1"]}
+                  for r in scores.select("strategy", "accuracy", "macro_f1").orderBy("strategy").collect()}
+           for name, scores in parts.items()}
+    path = f"{folder.rstrip('/')}/{dataset}_{'masked' if masked else 'unmasked'}.json"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(json.dumps(doc, indent=1), "utf-8"))
+    finally:
+        out.close()
+    return path
+
+
 def read_sweep(spark: SparkSession, path: str) -> tuple[dict[str, dict], dict]:
     """Sweep space (parameter -> distribution) and its settings from one small JSON document."""
     doc = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))

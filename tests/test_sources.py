@@ -120,3 +120,19 @@ def test_shared_folder(spark):
     assert shared_dir(spark) == shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = spark.range(5)
     assert cut_lineage(df).inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(shared_dir(spark).lstrip("/"))
+
+
+def test_written_runs_can_be_read(spark, tmp_path):
+    columns = "strategy string, accuracy double, macro_f1 double"
+    cot = spark.createDataFrame([("tree-model", 0.9, 0.8), ("guided", 0.75, None)], columns)
+    plain = spark.createDataFrame([("tree-model", 0.9, 0.8), ("zéro \"shot\"", 1 / 3, 0.25)], columns)
+    folder = str(tmp_path / "runs")
+    jsonl.write_run(spark, folder, "loan_a", False, cot=cot.limit(0))
+    assert jsonl.write_run(spark, folder, "loan_a", False, cot=cot, zero_shot_baseline=plain).endswith("/loan_a_unmasked.json")
+    jsonl.write_run(spark, folder + "/", "loan_a", True, zero_shot_baseline=plain)
+    found = jsonl.run_scores(jsonl.read_runs(spark, f"{folder}/*.json")).collect()
+    same = [("tree-model", 0.9, 0.8), ("zéro \"shot\"", 1 / 3, 0.25)]
+    want = [("loan_a", False, "guided", 0.75, None), *[("loan_a", m, *r) for m in (True, False) for r in same]]
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError, match="judge"):
+        jsonl.write_run(spark, folder, "loan_a", True, judge=plain)

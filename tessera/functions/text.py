@@ -31,14 +31,15 @@ def after_last(text: Column, marker: str) -> Column:
     return F.substring_index(text, marker, -1)
 
 
-def first_int(text: Column) -> Column:
+def first_int(text: Column, too_long: Column | None = None) -> Column:
     """The first run of ASCII digits as a bigint, -1 without one.
 
-    Runs too long for a bigint become numbers from 2^62 on by a hash of their digits, so that
-    different ones stay different labels. The run is searched once: it is an element of its own.
+    Runs too long for a bigint become ``too_long`` or, without it, numbers from 2^62 on by a hash of their
+    digits, so that different ones stay different labels. The run is searched once: it is an element of its own.
     """
     def value(digits: Column) -> Column:
-        long = F.pmod(F.xxhash64(F.ltrim(digits, F.lit("0"))), F.lit(2**62)) + F.lit(2**62)
+        hashed = F.pmod(F.xxhash64(F.ltrim(digits, F.lit("0"))), F.lit(2**62)) + F.lit(2**62)
+        long = hashed if too_long is None else too_long
         return F.when(digits.isNull(), F.lit(-1).cast("bigint")).otherwise(F.coalesce(digits.try_cast("bigint"), long))
     return F.when(text.isNotNull(), F.get(F.transform(F.array(F.regexp_substr(text, F.lit("[0-9]+"))), value), F.lit(0)))
 

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 import catalog
@@ -24,3 +25,12 @@ def test_sql_names_are_queries():
 def test_query_equals_sql(spark, con, name):
     _, gap = compare(spark, con, catalog.queries()[name], SQL[name], SF_DIR)
     assert gap == ""
+
+
+def test_first_int_of_long_runs_equals_sql(spark, tmp_path):
+    texts = ["9" * 30, "a " + "8" * 19 + " 7", str(2**63 - 1), str(2**63), "0" * 30 + "7", "none", "", None, "\u0663 4"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare(spark, con, catalog.queries()["r6_first_int"], SQL["r6_first_int"], str(tmp_path)) == (len(texts), "")

@@ -3,7 +3,8 @@
 A level of several trees takes two hash aggregates and no bins. The first has each node's least and greatest value of every
 feature and its rows by class; a seeded hash of tree, node and feature orders the features, and a cut lies that far between
 both values. The second counts the classes left of each cut. Both are sums, minima and maxima of rows, so a fit does not
-depend on how rows lie, and their size depends on the settings alone. Every tree learns from all rows.
+depend on how rows lie, and their size depends on the settings alone. Every tree learns from all rows; rows alike in features and
+label are counted once before the fit and stand as one row with their number.
 
 Missing values go left and take no part in minima and maxima. A node is a leaf if it is pure, as deep as ``max_depth`` (trees are kept as
 arrays of 2^(depth + 1) nodes), holds fewer rows than two sides need, or has no feature of two values. Rows without a label teach nothing;
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import SEED
-from tessera.operators.trees import DIGITS, ClassModel, Tree, constants, extent, labelled, lookup, node_of, paths_of
+from tessera.operators.trees import DIGITS, ClassModel, Tree, extent, labelled, lookup, node_of, paid, paths_of
 from tessera.session import cut_lineage
 
 # Trees that grow in the same jobs; a row is counted once for each of them.
@@ -55,15 +56,9 @@ class ExtraModel(ClassModel):
     shares: list[list[list[float]]] = field(default_factory=list)
 
     def scores(self, x: Column) -> Column:
-        zeros = [F.lit(0.0)] * self.classes
         if not self.trees:
-            return F.array(F.lit(1.0), *zeros[1:])
-        parts = []
-        for tree, shares in zip(self.trees, self.shares):
-            node = node_of(x, tree, self.depth, tree.cut)
-            parts.append(F.slice(constants([v for node_shares in shares for v in node_shares]), node * self.classes + 1, self.classes))
-        total = F.aggregate(F.array(*parts), F.array(*zeros), lambda a, b: F.zip_with(a, b, lambda u, v: u + v))
-        return F.transform(total, lambda v: v / len(self.trees))
+            return F.array(F.lit(1.0), *[F.lit(0.0)] * (self.classes - 1))
+        return F.transform(paid(x, self.trees, np.array(self.shares), self.depth), lambda v: v / len(self.trees))
 
     def paths(self) -> list[tuple]:
         """For each leaf the features of its path, their intervals (low, high], the shares of rows kept, and its part of class 1."""
@@ -88,7 +83,7 @@ class ExtraTrees:
 
     def fit(self, df: DataFrame, key: str | None = None) -> ExtraModel:
         """A model of ``label`` (0, 1, ...) by ``features``; no rows are drawn, so ``key`` has no effect."""
-        rows = cut_lineage(labelled(df), "extra-rows")
+        rows = cut_lineage(labelled(df).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "extra-rows")
         n, width, classes = extent(rows)
         model = ExtraModel([], self.max_depth, [0.0] * width, classes)
         if not n or not width:
@@ -107,11 +102,11 @@ class ExtraTrees:
     def _grow(self, rows: DataFrame, numbers: range, width: int, model: ExtraModel) -> None:
         trees, classes = [Tree.empty(self.max_depth) for _ in numbers], model.classes
         counts: list[dict[int, np.ndarray]] = [{} for _ in numbers]
-        by_class = [F.count_if(F.col("y") == c).alias(f"n{c}") for c in range(classes)]
+        by_class = [F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(classes)]
         span = [fn(F.get("x", F.lit(f))).alias(f"{name}{f}") for f in range(width) for name, fn in (("low", F.min), ("high", F.max))]
         for level in range(max(self.max_depth, 1)):
             nodes = F.array(*[node_of(F.col("x"), t, level, t.cut) for t in trees])
-            here = rows.select("x", "y", F.posexplode(nodes).alias("tree", "node")).filter(F.col("node") >= 2 ** level - 1)
+            here = rows.select("x", "y", "n", F.posexplode(nodes).alias("tree", "node")).filter(F.col("node") >= 2 ** level - 1)
             found = here.groupBy("tree", "node").agg(*by_class, *span).collect()  # at most trees x 2^level rows
             tried: dict[tuple[int, int], list[tuple[int, float]]] = {}
             for r in found:
@@ -147,9 +142,10 @@ class ExtraTrees:
         for j in range(most):
             value = F.get("x", lookup(features[j], F.col("place")))
             sides.append((~F.coalesce(value > lookup(cuts[j], F.col("place")), F.lit(False))).alias(f"left{j}"))
-        open_nodes = here.select("tree", "node", "y", "x", place.alias("place")).filter(lookup(features[0], F.col("place")) >= 0)
-        left = open_nodes.select("tree", "node", "y", *sides).groupBy("tree", "node").agg(
-            *[F.count_if(F.col(f"left{j}") & (F.col("y") == c)).alias(f"l{j}_{c}") for j in range(most) for c in range(classes)])
+        open_nodes = here.select("tree", "node", "y", "n", "x", place.alias("place")).filter(lookup(features[0], F.col("place")) >= 0)
+        left = open_nodes.select("tree", "node", "y", "n", *sides).groupBy("tree", "node").agg(
+            *[F.sum(F.when(F.col(f"left{j}") & (F.col("y") == c), F.col("n")).otherwise(0)).alias(f"l{j}_{c}")
+              for j in range(most) for c in range(classes)])
         out = {}
         for r in left.collect():
             at, best = (r["tree"], r["node"]), (0.0, -1, 0.0, None)

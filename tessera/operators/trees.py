@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,51 @@ def node_of(x: Column, tree: Tree, depth: int, cuts: list) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down)
 
 
+def matrix(x: pa.Array) -> np.ndarray:
+    """Rows x values of an array of lists of equal length; a missing value is NaN."""
+    flat = x.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(x), -1) if len(flat) else np.empty((len(x), 0))
+
+
+def walk(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, steps: int) -> np.ndarray:
+    """The node each row (rows x values) reaches in one tree after so many steps."""
+    node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    for _ in range(steps):
+        f = feature[node]
+        right = x[rows, np.maximum(f, 0)] > cut[node]  # a missing value is not greater
+        node = np.where(f < 0, node, 2 * node + 1 + right)
+    return node
+
+
+def paid(x: Column, trees: list[Tree], values: np.ndarray, depth: int, by_bin: bool = False) -> Column:
+    """Sums over the trees of ``values`` (trees x nodes x numbers) at the nodes that a row's array ``x`` reaches, an
+    ``array<double>``; ``x`` holds bins if ``by_bin``."""
+    feature = np.array([t.feature for t in trees], dtype=np.int64)
+    cut = np.array([t.cut_bin if by_bin else t.cut for t in trees], dtype=float)
+
+    @F.arrow_udf("array<double>")
+    def total(rows: pa.Array) -> pa.Array:
+        found, out = matrix(rows), np.zeros((len(rows), values.shape[2]))
+        for f, c, v in zip(feature, cut, values):
+            out += v[walk(found, f, c, depth)]
+        ends = np.arange(len(out) + 1, dtype=np.int32) * values.shape[2]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+    return total(x)
+
+
+def binned(x: Column, cuts: list[list[float]]) -> Column:
+    """The number of bounds below each value of the array ``x``, an ``array<int>``; a missing value lies below all."""
+    @F.arrow_udf("array<int>")
+    def bins(rows: pa.Array) -> pa.Array:
+        found = matrix(rows)
+        out = np.zeros((len(found), len(cuts)), dtype=np.int32)
+        for i, bounds in enumerate(cuts):
+            out[:, i] = np.where(np.isnan(found[:, i]), 0, np.searchsorted(bounds, found[:, i]))
+        ends = np.arange(len(out) + 1, dtype=np.int32) * len(cuts)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+    return bins(x)
+
+
 def without_nan(x: Column) -> Column:
     return F.transform(x, lambda v: F.when(~F.isnan(v), v))
 
@@ -144,10 +190,10 @@ class ClassModel(TreeModel):
         return F.get(scores, F.lit(1))
 
 
-def labelled(df: DataFrame) -> DataFrame:
-    """``x, y`` of the rows with a label, for a fit by classes."""
+def labelled(df: DataFrame, *keep: str) -> DataFrame:
+    """``x, y`` of the rows with a label, for a fit by classes, and the columns to ``keep``."""
     y = F.col("label").cast("int").alias("y")
-    return df.filter(F.col("label").isNotNull()).select(without_nan(vector_to_array("features")).alias("x"), y)
+    return df.filter(F.col("label").isNotNull()).select(*keep, without_nan(vector_to_array("features")).alias("x"), y)
 
 
 def extent(rows: DataFrame) -> tuple[int, int, int]:

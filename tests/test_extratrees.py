@@ -96,3 +96,14 @@ def test_edges(spark):
     assert {tuple(r["scores"]) for r in root.transform(frame).collect()} == {(30 / 59, 29 / 59)}
     half = ExtraTrees(n_estimators=1, max_depth=0).fit(frame.withColumn("label", F.when(F.col("idx") < 30, F.col("label"))))
     assert half.trees[0].rows[0] == 30
+
+
+def test_rows_alike_are_one(spark, monkeypatch):
+    """A table repeated nine times gives the same model, from no more rows than the table has."""
+    held = []
+    monkeypatch.setattr(extratrees, "cut_lineage", lambda df, label: held.append(df.localCheckpoint()) or held[-1])
+    frame, x, y = table(spark)
+    often = frame.crossJoin(spark.range(9).select("id")).drop("id")
+    made = [models.fit(ExtraTrees(n_estimators=1, max_depth=2), f, FEATURES, "y") for f in (frame, often)]
+    assert made[0].shares == made[1].shares and made[0].trees[0].cut == made[1].trees[0].cut
+    assert held[1].count() == held[0].count() == len({(*r, v) for r, v in zip(x.tolist(), y.tolist())})

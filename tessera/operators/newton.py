@@ -1,10 +1,11 @@
 """Second-order boosted trees: each split and leaf from sums of gradients and hessians (Chen and Guestrin, "XGBoost: a
 scalable tree boosting system").
 
-Features are binned once at approximate quantiles and written. A level of a tree is one hash aggregate, of gradient, hessian
+Features are binned once at approximate quantiles and written. Rows alike in bins and label have the same gradient, so a round
+counts the rows it draws in such cells, and a level of a tree is one hash aggregate over the cells, of gradient, hessian
 and rows by node, feature and bin, summed in each task before the shuffle; its size depends on the settings alone, so the best
 splits are chosen on the driver. A leaf pays ``-G / (H + reg_lambda)`` times the learning rate, a split needs a hessian of
-``min_child_weight`` on both sides and a positive gain. Each round's margins are written, which cuts the lineage.
+``min_child_weight`` on both sides and a positive gain. Each round's margins of the cells are written, which cuts the lineage.
 
 Rows of a round are drawn by a hash of their key, or of their values if there is none, so a fit does not depend on how rows
 lie. Missing values go left at every split. A table without rows gives a model of margin 0.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import SEED
 from tessera.functions.hashing import uniform
-from tessera.operators.trees import DIGITS, Tree, TreeModel, bin_cuts, bin_number, lookup, node_of, paths_of, without_nan
+from tessera.operators.trees import DIGITS, Tree, TreeModel, bin_cuts, binned, node_of, paid, paths_of
 from tessera.session import cut_lineage
 
 def best_split(g: np.ndarray, h: np.ndarray, reg_lambda: float, least: float) -> tuple[float, int, int]:
@@ -47,10 +48,9 @@ class NewtonModel(TreeModel):
 
     def margin(self, x: Column) -> Column:
         """Log-odds for a row's values, an ``array<double>``."""
-        total, x = F.lit(0.0), without_nan(x)
-        for tree in self.trees:
-            total = total + lookup(tree.pays, node_of(x, tree, self.depth, tree.cut))
-        return total
+        if not self.trees:
+            return F.lit(0.0)
+        return paid(x, self.trees, np.array([t.pays for t in self.trees])[:, :, None], self.depth)[0]
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``margin`` and ``prediction`` (1.0 from margin 0 on) for its column ``features``."""
@@ -95,34 +95,41 @@ class NewtonBoost:
         if not width:
             return NewtonModel([], self.max_depth)
         cuts = self.cuts(rows, width)
-        binned = F.array(*[bin_number(F.get("x", F.lit(i)), cuts[i]) for i in range(width)])
-        rows = cut_lineage(rows.select("draw", "y", binned.alias("bins"), F.lit(0.0).alias("margin")), "newton-round")
+        rows = cut_lineage(rows.select("draw", "y", binned(F.col("x"), cuts).alias("bins")), "newton-rows")
+        cells = rows.groupBy("bins", "y").agg(F.count(F.lit(1)).alias("n"))
+        cells = cut_lineage(cells.withColumn("margin", F.lit(0.0)), "newton-round")
         model = NewtonModel([], self.max_depth, [0.0] * width)
         for i in range(self.n_estimators):
-            tree = self._grow(rows, i, cuts, model.gains)
+            tree = self._grow(self._drawn(rows, cells, i), cuts, model.gains)
             model.trees.append(tree)
-            paid = lookup(tree.pays, node_of(F.col("bins"), tree, self.max_depth, tree.cut_bin))
             if i + 1 < self.n_estimators:
-                rows = cut_lineage(rows.withColumn("margin", F.col("margin") + paid), "newton-round")
+                more = paid(F.col("bins"), [tree], np.array([tree.pays])[:, :, None], self.max_depth, by_bin=True)[0]
+                cells = cut_lineage(cells.withColumn("margin", F.col("margin") + more), "newton-round")
         return model
 
-    def _grow(self, rows: DataFrame, number: int, cuts: list[list[float]], gains: list[float]) -> Tree:
+    def _drawn(self, rows: DataFrame, cells: DataFrame, number: int) -> DataFrame:
+        """The cells with the number of their rows that a round draws."""
+        if self.subsample >= 1:
+            return cells
+        drawn = rows.filter(uniform(self.random_state, F.lit(number), F.col("draw")) < self.subsample)
+        counts = drawn.groupBy("bins", "y").agg(F.count(F.lit(1)).alias("n"))
+        return cut_lineage(cells.drop("n").join(counts, ["bins", "y"]), "newton-drawn")
+
+    def _grow(self, cells: DataFrame, cuts: list[list[float]], gains: list[float]) -> Tree:
         tree, width = Tree.empty(self.max_depth), len(cuts)
         most = max(map(len, cuts)) + 1
-        if self.subsample < 1:
-            rows = rows.filter(uniform(self.random_state, F.lit(number), F.col("draw")) < self.subsample)
         chance = 1 / (1 + F.exp(-F.col("margin")))
-        sums = rows.select("bins", (chance - F.col("y")).alias("g"), (chance * (1 - chance)).alias("h"))
+        sums = cells.select("bins", "n", (F.col("n") * (chance - F.col("y"))).alias("g"), (F.col("n") * chance * (1 - chance)).alias("h"))
         for level in range(self.max_depth + 1):
             node = node_of(F.col("bins"), tree, level, tree.cut_bin)
-            here = sums.select(node.alias("node"), "bins", "g", "h").filter(F.col("node") >= 2 ** level - 1)
+            here = sums.select(node.alias("node"), "bins", "g", "h", "n").filter(F.col("node") >= 2 ** level - 1)
             if level == self.max_depth:  # leaves need no histograms
                 found = here.groupBy("node", F.lit(0).alias("feature"), F.lit(0).alias("bin"))
             else:
-                found = here.select("node", "g", "h", F.posexplode("bins").alias("feature", "bin")).groupBy("node", "feature", "bin")
-            cells = found.agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n")).collect()
+                found = here.select("node", "g", "h", "n", F.posexplode("bins").alias("feature", "bin")).groupBy("node", "feature", "bin")
+            summed = found.agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).collect()
             held: dict[int, np.ndarray] = {}
-            for r in cells:  # at most 2^level x features x bins
+            for r in summed:  # at most 2^level x features x bins
                 held.setdefault(r["node"], np.zeros((3, width, most)))[:, r["feature"], r["bin"]] = r["g"], r["h"], r["n"]
             for node, (g, h, n) in sorted(held.items()):
                 total_g, total_h, tree.rows[node] = math.fsum(g[0]), math.fsum(h[0]), float(n[0].sum())

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import attribution, models
+from tessera.operators import attribution, models, newton
 from tessera.operators.newton import NewtonBoost
 
 FEATURES = ["a", "b", "c"]
@@ -121,3 +121,18 @@ def test_unknown_parameter():
     with pytest.raises(ValueError, match="gamma"):
         models.make_estimator("NewtonBoost", {"gamma": 1})
     assert models.make_estimator("NewtonBoost", {"gamma": 1, "max_depth": 2.0}, ignore=["gamma"]).max_depth == 2
+
+
+def test_rounds_read_cells(spark, monkeypatch):
+    """A round's table has a row for each cell of bins and label, however often rows are repeated."""
+    held = []
+
+    def kept(df, label):
+        held.append((label, df.localCheckpoint()))
+        return held[-1][1]
+    monkeypatch.setattr(newton, "cut_lineage", kept)
+    frame, _, _ = table(spark)
+    often = frame.crossJoin(spark.range(9).select("id")).withColumn("idx", F.col("idx") * 9 + F.col("id")).drop("id")
+    NewtonBoost(n_estimators=1, max_depth=1, subsample=0.9).fit(models.with_vector(often, FEATURES, "y"), key="idx")
+    sizes = {label: df.count() for label, df in held}
+    assert sizes["newton-rows"] == 3600 and sizes["newton-round"] <= 400 and sizes["newton-drawn"] <= 400

@@ -25,6 +25,7 @@ SWEEP = {
     "random_state": {"value": 42},
 }
 FOREST = "RandomForestClassifier"
+CELL_FOREST = "RandomForest"
 
 
 def _split(spark, sf):
@@ -157,7 +158,7 @@ def m4_tune(spark, sf):
     """Ten trials on five folds each; scores are shares."""
     train = _split(spark, sf).filter("split = 'train'")
     drawn = trials.sample_trials(spark.range(TRIALS).withColumnRenamed("id", "trial"), SWEEP)
-    found = models.tune(train, FEATURES, "y", drawn, FOREST)
+    found = models.tune(train, FEATURES, "y", drawn, CELL_FOREST)
     valid = F.col("accuracy").between(0, 1) & F.col("macro_f1").between(0, 1)
     return found.select("trial", "fold", valid.alias("valid"))
 

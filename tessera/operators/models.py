@@ -17,8 +17,10 @@ from tessera.operators import scoring
 from tessera.operators.adaboost import AdaBoost
 from tessera.operators.clean import col
 from tessera.operators.extratrees import ExtraTrees
+from tessera.operators.forest import RandomForest, cells_of
 from tessera.operators.newton import NewtonBoost
 from tessera.operators.split import stratified_folds
+from tessera.operators.trees import bin_cuts, extent, labelled
 from tessera.session import cut_lineage, spread
 
 # Sweep parameter -> estimator parameter.
@@ -32,14 +34,15 @@ PARAMS = {
 ESTIMATORS = {"DecisionTreeClassifier": DecisionTreeClassifier,
               "RandomForestClassifier": RandomForestClassifier, "GBTClassifier": GBTClassifier}
 # Sweep parameters of the library's own classifiers, and those that are named otherwise there.
-OWN = {"NewtonBoost": NewtonBoost, "AdaBoost": AdaBoost, "ExtraTrees": ExtraTrees}
+OWN = {"NewtonBoost": NewtonBoost, "AdaBoost": AdaBoost, "ExtraTrees": ExtraTrees, "RandomForest": RandomForest}
 OWN_PARAMS = {
     "NewtonBoost": {"n_estimators", "max_depth", "learning_rate", "reg_lambda", "min_child_weight", "subsample", "random_state"},
     "AdaBoost": {"n_estimators", "max_depth", "learning_rate"},
+    "RandomForest": {"n_estimators", "max_depth", "max_features", "subsample", "min_child_weight", "random_state"},
     "ExtraTrees": {"n_estimators", "max_depth", "max_features", "min_child_weight", "random_state"},
 }
 OWN_NAMES = {"num_boost_round": "n_estimators"}
-OwnEstimator = NewtonBoost | AdaBoost | ExtraTrees
+OwnEstimator = NewtonBoost | AdaBoost | ExtraTrees | RandomForest
 
 
 def make_estimator(estimator: Estimator | OwnEstimator | str = "GBTClassifier", params: dict | None = None,
@@ -118,23 +121,48 @@ def fold_scores(folded: DataFrame, estimator: Estimator, folds: int) -> list[tup
     return [(r["fold"], r["accuracy"], r["macro_f1"]) for r in rows]
 
 
+def cell_scores(cells: DataFrame, cuts: list[list[float]], classes: int, forest: RandomForest,
+                folds: int) -> list[tuple[int, float, float]]:
+    """``fold_scores`` of a forest from cells ``fold, bins, y, n``."""
+    parts = None
+    for f in range(folds):
+        taught = cells.filter(F.col("fold") != f).groupBy("bins", "y").agg(F.sum("n").alias("n"))
+        part = forest.grow(taught, cuts, classes).predict_bins(cells.filter(F.col("fold") == f))
+        part = part.select("fold", F.col("y").cast("bigint").alias("y"), "prediction", "n")
+        parts = part if parts is None else parts.unionByName(part)
+    rows = scoring.evaluate_cells(parts.groupBy("fold", "y", "prediction").agg(F.sum("n").alias("n")), ["fold"]).collect()
+    return [(r["fold"], r["accuracy"], r["macro_f1"]) for r in rows]
+
+
 def tune(train: DataFrame, features: list[str], target: str, trials: DataFrame,
          estimator: Estimator | str = "GBTClassifier", folds: int = FOLDS, seed: int = SEED,
          parallelism: int = 4, ignore: Collection[str] = ()) -> DataFrame:
     """``trial, fold, accuracy, macro_f1`` of every trial's parameters on stratified folds.
 
     Trials are few, so their parameters and scores pass through the driver; each fit is a
-    Spark job of its own over the folded table, which is written once.
+    Spark job of its own over the folded table, which is written once. For a ``RandomForest`` that table
+    holds cells of rows alike in fold, bins and label; the bounds of the bins come from all rows.
     """
     rows = stratified_folds(train, target, k=folds, seed=seed)
     vectors = with_vector(rows, features, target).select("fold", "features", "label")
     folded = spread(cut_lineage(vectors, "folds"))
     wanted = [r.asDict() for r in trials.collect()]
-
-    def run(params: dict) -> list[tuple]:
-        made = make_estimator(estimator, {k: v for k, v in params.items() if k != "trial"}, ignore)
-        return [(params["trial"], *score) for score in fold_scores(folded, made, folds)]
+    made = [make_estimator(estimator, {k: v for k, v in p.items() if k != "trial"}, ignore) for p in wanted]
+    if made and isinstance(made[0], RandomForest):
+        found = labelled(folded, "fold")
+        n, width, classes = extent(found)
+        cuts = bin_cuts(found, width, made[0].max_bins) if n else []
+        cells = cells_of(found, cuts, ["fold"])
+
+        def scores(forest: RandomForest) -> list[tuple]:
+            return cell_scores(cells, cuts, classes, forest, folds) if n else []
+    else:
+        def scores(one: Estimator) -> list[tuple]:
+            return fold_scores(folded, one, folds)
+
+    def run(one: tuple) -> list[tuple]:
+        return [(one[0]["trial"], *score) for score in scores(one[1])]
     with ThreadPoolExecutor(parallelism) as pool:
-        found = [row for part in pool.map(run, wanted) for row in part]
+        found = [row for part in pool.map(run, zip(wanted, made)) for row in part]
     return train.sparkSession.createDataFrame(
         found, "trial bigint, fold int, accuracy double, macro_f1 double")

@@ -15,6 +15,7 @@ from dataclasses import astuple, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.clean import col
 from tessera.operators.models import with_vector
-from tessera.operators.trees import TreeModel
-from tessera.session import shared_path
+from tessera.operators.trees import TreeModel, matrix
+from tessera.session import cut_lineage, shared_path
 
 # Paths of up to this many features are looked up in a table of all patterns of conditions.
 TABLE_FEATURES = 6
@@ -57,13 +58,18 @@ def _node_rows(model: Model, spark) -> list[dict]:
         nodes = nodes.select("treeID", "nodeData.*")
     else:
         nodes = nodes.withColumn("treeID", F.lit(0))
-    rows = nodes.select("treeID", "id", "prediction", "impurityStats", "rawCount", "leftChild",
-                        "rightChild", F.col("split.featureIndex").alias("feature"),
+    rows = nodes.select("treeID", "id", "prediction", "impurityStats", "leftChild", "rightChild",
+                        F.col("split.featureIndex").alias("feature"),
                         F.col("split.leftCategoriesOrThreshold").alias("threshold"),
                         F.col("split.numCategories").alias("categories")).collect()
     return [r.asDict() for r in rows]
 
 
+def _weight(model: Model, node: dict) -> float:
+    """The training rows of a node, by weight: of boosted trees the first statistic, else the sum over the classes."""
+    return node["impurityStats"][0] if type(model).__name__.startswith("GBT") else sum(node["impurityStats"])
+
+
 def _leaf_value(model: Model, node: dict, tree: int) -> float:
     """What a leaf adds: log-odds for boosted trees, the share of class 1 otherwise."""
     if type(model).__name__.startswith("GBT"):
@@ -103,7 +109,7 @@ def leaves_of(model: Model, spark) -> list[Leaf]:
                 cut = node["threshold"][0]
                 edges = [(low, min(high, cut), met), (max(low, cut), high, met)]
             for child, (low, high, met) in zip((node["leftChild"], node["rightChild"]), edges):
-                kept = share * nodes[child]["rawCount"] / node["rawCount"]
+                kept = share * _weight(model, nodes[child]) / _weight(model, node)
                 pending.append((child, path | {f: (low, high, kept, met)}))
     return leaves
 
@@ -212,9 +218,42 @@ def base_value(leaves: list[Leaf]) -> float:
     return float(sum(leaf.value * np.prod(leaf.share) for leaf in leaves))
 
 
+def row_kinds(leaves: list[Leaf], width: int):
+    """A column function from rows' values to a name of what decides the conditions of all leaves: for each feature the
+    number of its bounds below the value, its category or that it is missing."""
+    bounds = [set() for _ in range(width)]
+    known = [0] * width
+    for leaf in leaves:
+        for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+            bounds[f] |= {float(b) for b in (low, high) if np.isfinite(b)}
+        for f, met in leaf.sets.items():
+            known[f] = max(known[f], len(met) - 1)
+    bounds = [np.array(sorted(b)) for b in bounds]
+
+    @F.arrow_udf("binary")
+    def named(rows: pa.Array) -> pa.Array:
+        x = matrix(rows)
+        out = np.zeros((len(x), width, 2), dtype="<i4")
+        for f in range(width if len(x) else 0):
+            v = x[:, f]
+            out[:, f, 0] = np.where(np.isnan(v), -1, np.searchsorted(bounds[f], v))
+            # No interval holds minus infinity, nor a bounded one infinity: they are not as the values beside them.
+            out[:, f, 1] = np.where(np.isinf(v), -2, -1)
+            if known[f]:
+                inside = (v >= 0) & (v < known[f]) & (v == np.floor(v))
+                out[inside, f, 1] = v[inside]
+        return pa.array([row.tobytes() for row in out], pa.binary())
+
+    return named
+
+
 def attributions(model: Model, df: DataFrame, features: list[str], key: str = "idx",
                  leaves: list[Leaf] | None = None) -> DataFrame:
-    """``key`` and one attribution per feature for every row of ``df``."""
+    """``key`` and one attribution per feature for every row of ``df``.
+
+    Rows that meet the same conditions have the same attributions: these are found once for each kind of row and joined
+    to the rows.
+    """
     spark = df.sparkSession
     found = leaves_of(model, spark) if leaves is None else leaves
     shared = spark.sparkContext.broadcast([astuple(stack) for stack in stacked(found)])  # one model's leaves
@@ -225,10 +264,12 @@ def attributions(model: Model, df: DataFrame, features: list[str], key: str = "i
         for batch in batches:
             x = np.stack(batch["x"].to_numpy()).astype(float) if len(batch) else np.empty((0, width))
             effects = row_effects(x, mine)
-            yield pd.DataFrame({"k": batch["k"], "v": list(effects)})
-    key_type = df.schema[key].dataType.simpleString()
+            yield pd.DataFrame({"kind": batch["kind"], "v": list(effects)})
     rows = df.select(col(key).alias("k"), F.array(*[col(c).cast("double") for c in features]).alias("x"))
-    parts = rows.mapInPandas(run, f"k {key_type}, v array<double>")
+    rows = rows.withColumn("kind", row_kinds(found, width)("x"))
+    kinds = rows.groupBy("kind").agg(F.first("x").alias("x")).repartition(spark.sparkContext.defaultParallelism, "kind")
+    values = cut_lineage(kinds.mapInPandas(run, "kind binary, v array<double>"), "attributed-kinds")
+    parts = rows.select("k", "kind").join(values, "kind")
     return parts.select(F.col("k").alias(key), *[F.col("v")[i].alias(c) for i, c in enumerate(features)])
 
 

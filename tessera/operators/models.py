@@ -89,9 +89,27 @@ def with_vector(df: DataFrame, features: list[str], target: str | None = None, c
     return out if target is None else out.withColumn("label", col(target).cast("double"))
 
 
+def weighable(estimator: Estimator | OwnEstimator) -> bool:
+    """Whether weighted rows stand for repeated ones: a boosted or single tree that neither draws rows nor counts them."""
+    if not isinstance(estimator, GBTClassifier | DecisionTreeClassifier) or estimator.isSet("weightCol") or estimator.getMinInstancesPerNode() != 1:
+        return False
+    return isinstance(estimator, DecisionTreeClassifier) or (estimator.getSubsamplingRate() == 1.0 and not estimator.isSet("validationIndicatorCol"))
+
+
 def fit(estimator: Estimator | OwnEstimator, train: DataFrame, features: list[str], target: str,
         categories: dict[str, int] | None = None) -> Model:
-    """Fit on the named columns only."""
+    """Fit on the named columns only.
+
+    MLlib's trees that draw no rows read rows alike once, weighted by their number. With a least number of
+    rows in a node they read all rows, as MLlib counts that number without weights.
+    """
+    if weighable(estimator):
+        names = [f"f{i}" for i in range(len(features))]
+        kinds = None if categories is None else {n: categories[c] for n, c in zip(names, features) if c in categories}
+        rows = train.select(*[col(c).cast("double").alias(n) for n, c in zip(names, features)], col(target).cast("double").alias("y"))
+        counted = rows.groupBy(*names, "y").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        written = spread(cut_lineage(counted, "weighted"))
+        return estimator.copy().setWeightCol("weight").fit(with_vector(written, names, "y", kinds).select("features", "label", "weight"))
     return estimator.fit(with_vector(train, features, target, categories).select("features", "label"))
 
 

@@ -141,3 +141,23 @@ def test_medoid_ties_go_to_the_smallest_key(spark):
                                    "idx long, point array<double>, cluster int")
     got = representatives.medoids_of(points, [np.array([0.0]), np.array([5.0])]).collect()
     assert [(r["cluster"], r["idx"], r["distance"]) for r in got] == [(0, 1, 1.0), (1, 3, 0.0)]
+
+
+def test_rows_alike_are_attributed_and_learned_once(table, spark, monkeypatch):
+    """A table repeated five times gives the same boosted model and numbers; each kind of row is worked on once."""
+    many = table.crossJoin(spark.range(5).select(F.col("id").alias("copy"))).withColumn("idx", F.col("idx") * 5 + F.col("copy")).drop("copy")
+    written = {}
+    plain = attribution.cut_lineage
+    monkeypatch.setattr(attribution, "cut_lineage", lambda df, label: written.setdefault(label, plain(df, label)))
+    monkeypatch.setattr(models, "cut_lineage", lambda df, label: written.setdefault(label, plain(df, label)))
+    model = models.fit(models.make_estimator("GBTClassifier", {"n_estimators": 2, "max_depth": 2}), many, FEATURES, "y")
+    leaves = attribution.leaves_of(model, spark)
+    got = attribution.attributions(model, many, FEATURES, leaves=leaves).orderBy("idx").collect()
+    assert written["weighted"].agg(F.sum("weight"), F.count("weight")).first()[0] == 2000
+    assert written["weighted"].count() <= 400 and written["attributed-kinds"].count() < 400
+    rows = many.orderBy("idx").select(*[F.col(c).cast("double") for c in FEATURES]).collect()
+    assert np.allclose([r[1:] for r in got], attribution.row_effects(np.array(rows), attribution.stacked(leaves)), atol=1e-12)
+    every = models.make_estimator("GBTClassifier", {"n_estimators": 2, "max_depth": 2}).fit(
+        models.with_vector(many, FEATURES, "y").select("features", "label"))
+    gaps = attribution.margins(model, many, FEATURES).join(attribution.margins(every, many, FEATURES).withColumnRenamed("margin", "m"), "idx")
+    assert gaps.agg(F.max(F.abs(F.col("margin") - F.col("m")))).first()[0] < 1e-9

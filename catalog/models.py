@@ -132,7 +132,7 @@ def m3_shap(spark, sf):
 
 def m3_additivity(spark, sf):
     """Attributions and base value of 100 deep trees add up to the model's output on every training row."""
-    _, train, model = _fitted(spark, sf, FOREST, {"n_estimators": 100, "max_depth": 6})
+    _, train, model = _fitted(spark, sf, CELL_FOREST, {"n_estimators": 100, "max_depth": 6})
     leaves = attribution.leaves_of(model, spark)
     parts = attribution.attributions(model, train, FEATURES, leaves=leaves)
     total = sum((F.col(c) for c in FEATURES), F.lit(attribution.base_value(leaves)))

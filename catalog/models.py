@@ -206,7 +206,7 @@ def m7_diverse(spark, sf):
 
 
 def _explained(spark, sf):
-    return explain(order_features(spark, sf), "y", SWEEP, FOREST)
+    return explain(order_features(spark, sf), "y", SWEEP, CELL_FOREST)
 
 
 def m8_explain(spark, sf):

@@ -28,13 +28,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets
 from tessera.llm.texts import spans
-from tessera.session import cut_lineage, spread
+from tessera.session import cut_lineage, marked, spread
 
 WIDTH = 3
 PERCENT = 90
@@ -121,26 +121,30 @@ def _keys_of(width: int, percent: int):
                     high.append(keys[-1] if keys else held)
                     low.append(keys[0] if len(keys) > 1 else held[:0])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(at, to - at) for c in ("key", "hash", "node")), pa.array(names, pa.binary()),
+                    [*(batch.column(c).slice(at, to - at) for c in ("key", "hash", "crc", "node")), pa.array(names, pa.binary()),
                      pa.array(sizes, pa.int32()), _lists(high), _lists(low)],
-                    ["key", "hash", "node", "name", "size", "high", "low"])
+                    ["key", "hash", "crc", "node", "name", "size", "high", "low"])
                 pa.default_memory_pool().release_unused()
 
     return task
 
 
-def _sets_of(width: int):
-    """``node, size, shingles`` of ``node, name, text``, for the texts whose set has that name."""
+def _sets_of(width: int, percent: int):
+    """``node, size, in_low, in_high, shingles`` of ``node, name, text``, for the texts whose set has that name: the set, and
+    its numbers of keys at the level of the band below, if there, and of its own."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
         for batch in batches:
             texts = batch.column("text")
             for at, to in spans(texts, PIECE_BYTES):
                 sets = list(shingle_sets(texts.slice(at, to - at), width))
                 nodes, names = (batch.column(c).slice(at, to - at) for c in ("node", "name"))
                 same = [i for i, (held, name) in enumerate(zip(sets, names.to_pylist())) if xxhash.xxh3_128_digest(held.tobytes()) == name]
+                levels = [[bands.segments(x) for x in bands.of(len(sets[i]))[1]] for i in same]
                 yield pa.RecordBatch.from_arrays(
                     [nodes.take(pa.array(same, pa.int64())), pa.array([len(sets[i]) for i in same], pa.int32()),
-                     _lists([sets[i] for i in same])], ["node", "size", "shingles"])
+                     pa.array([x[0] if len(x) > 1 else 0 for x in levels], pa.int32()), pa.array([x[-1] for x in levels], pa.int32()),
+                     _lists([sets[i] for i in same])], ["node", "size", "in_low", "in_high", "shingles"])
                 pa.default_memory_pool().release_unused()
 
     return task
@@ -334,29 +338,38 @@ def _classes(links: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row ``key, n_shingles, component_id``: the size of its set and the smallest key that links reach."""
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(key, text).alias("hash"),
+                        F.crc32(F.col(text).cast("binary")).alias("crc"))
     kind = texts.schema["key"].dataType.simpleString()
     rows = spread(texts).withColumn("node", F.monotonically_increasing_id()).mapInArrow(
-        _keys_of(width, percent), f"key {kind}, hash long, node long, name binary, size int, high array<long>, low array<long>")
+        _keys_of(width, percent),
+        f"key {kind}, hash long, crc long, node long, name binary, size int, high array<long>, low array<long>")
     rows = cut_lineage(rows, "jaccard-rows")
     named = rows.select("key", "node", "name", "size")
-    # A set stands for all rows that have it; the first of them, found again by key and hash, gives its text.
+    # A set stands for all rows that have it; the first of them, found again by the hashes of key and text, gives its text.
     first = cut_lineage(rows.filter("size > 0").groupBy("name", "size").agg(
-        F.min("node").alias("node"), F.min("key").alias("key"), F.min_by(F.struct("key", "hash"), "node").alias("row")), "jaccard-first")
+        F.min("node").alias("node"), F.min("key").alias("key"), F.min_by(F.struct("hash", "crc"), "node").alias("row"),
+        (F.count(F.lit(1)) > 1).alias("copied")), "jaccard-first")
 
     def level(name: str) -> Column:
         return F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(name == "low").alias("lower")))
-    routed = rows.select("node", "high", "low").join(first.select("node"), "node").select(
+    # Only the keys of sets that may be repeated move to find the first of each.
+    keyed = rows.filter("size > 0").select("node", "high", "low", F.xxhash64("name").alias("hash"))
+    keyed = marked(keyed, "hash", first.filter("copied").select(F.xxhash64("name")), "copied")
+    single, copied = (keyed.filter(x).select("node", "high", "low") for x in ("not copied", "copied"))
+    routed = single.unionByName(copied.join(first.select("node"), "node")).select(
         "node", F.explode(F.concat(level("high"), level("low"))).alias("to")).select("node", "to.*")
-    hubs = routed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-    met = cut_lineage(routed.join(hubs.drop("last"), "key").filter("node <> hub"), "jaccard-met")
+    # A key moves once, with numbers only.
+    same = Window.partitionBy("key")
+    met = routed.select("*", F.min("node").over(same).alias("hub")).filter("node <> hub")
+    met = cut_lineage(met, "jaccard-met")
     wanted = met.select("node").union(met.select("hub")).distinct()
-    wanted = first.join(wanted, "node").select("node", "name", F.col("row.key").alias("own"), F.col("row.hash").alias("hash"))
-    same = F.col("key").eqNullSafe(F.col("own")) & (texts["hash"] == wanted["hash"])
-    found = texts.join(wanted, same).select("node", "name", "text").distinct()
-    parts = rows.select("node", F.size("high").alias("in_high"), F.size("low").alias("in_low"))
-    sets = cut_lineage(found.select("node", "name", "text").mapInArrow(
-        _sets_of(width), "node long, size int, shingles array<long>").join(parts, "node"), "jaccard-sets")
+    wanted = cut_lineage(first.join(wanted, "node").select("node", "name", "row.*"), "jaccard-wanted")
+    # Texts that no candidate has stay where they are.
+    held = marked(texts, "hash", wanted.select("hash"), "held").filter("held").select("hash", "crc", "text")
+    found = held.dropDuplicates(["hash", "crc"]).join(wanted, ["hash", "crc"]).select("node", "name", "text")
+    sets = cut_lineage(found.mapInArrow(
+        _sets_of(width, percent), "node long, size int, in_low int, in_high int, shingles array<long>"), "jaccard-sets")
     to_hubs = cut_lineage(_near_hubs(met.select("node", "hub").distinct(), sets, percent), "jaccard-links")
     known = cut_lineage(_classes(to_hubs), "jaccard-classes")
     rest = met.join(known, "node", "left").select("key", "node", "lower", F.coalesce("class", "node").alias("class"))

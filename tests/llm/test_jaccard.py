@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, queries
+from tessera.session import marked
 from tests.llm.edges import documents, nothing, words
 from tests.oracle import compare, connect
 
@@ -128,3 +130,22 @@ def test_hot_rows(spark):
 
 def test_sql(spark):
     assert compare(spark, connect(SMALL), queries.op11_jaccard, queries.SQL["op11_jaccard"], SMALL)[1] == ""
+
+
+def test_marks_miss_nothing(spark):
+    rows = spark.range(-3000, 3000).select("id", F.xxhash64("id").alias("h"))
+    some = rows.filter("id % 30 = 0").select("h")
+    got = {r["id"]: r["held"] for r in marked(rows, "h", some, "held").collect()}
+    assert len(got) == 6000 and all(got[i] for i in got if i % 30 == 0) and sum(got.values()) < 220
+    assert not marked(rows, "h", some.limit(0), "held").filter("held").count()
+
+
+def test_texts_without_candidates_do_not_move(spark, monkeypatch):
+    """Only copied sets' keys and candidates' texts are let through to a shuffle."""
+    rng, moved = random.Random(4), {}
+    real = jaccard.marked
+    monkeypatch.setattr(jaccard, "marked", lambda rows, hashed, some, flag: moved.setdefault(flag, real(rows, hashed, some, flag)))
+    rows = [(i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60))) for i in range(400)]
+    rows += [(400, rows[0][1] + " more"), (401, rows[1][1]), (402, "  ")]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == plain(rows)
+    assert {flag: frame.filter(flag).count() for flag, frame in moved.items()} == {"copied": 2, "held": 2}

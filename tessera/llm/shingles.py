@@ -1,11 +1,14 @@
-"""Near copies by the Jaccard likeness of word-shingle sets.
+"""Near copies by SimHash, checked by the Jaccard likeness of word-shingle sets.
 
 Two texts are linked when their sets of ``WIDTH``-word shingles have a likeness of at least ``LEAST``; classes are
 the components of the links. Texts of equal sets are one class at once.
 
-Candidates come from MinHash: ``BANDS`` keys of ``BAND_ROWS`` minima each. Texts of likeness ``s`` share a key with
-chance 1 - (1 - s^6)^30: 0.9999 at 0.8, 0.02 at 0.3. Texts that share keys, directly or in chains, form a group.
-A group's shingle sets meet in tasks, and each pair that shares a key is checked on the whole sets unless it is in
+Candidates are the classes of SimHash: fingerprints of a set's shingles, linked by the index of ``simhash`` within
+``DISTANCE`` bits. Few pairs near the least likeness are as close as that (a pair at 0.8 differs in about ten bits), and at
+the distance that holds them the index would bring most texts together. For these pairs there are keys besides: ``BANDS``
+MinHash keys of ``BAND_ROWS`` minima each, of which texts of likeness ``s`` share one with chance 1 - (1 - s^6)^30: 0.9999
+at 0.8, 0.02 at 0.3. Texts that share a class or a key, directly or in chains, form a group.
+A group's shingle sets meet in tasks, and each pair that shares a class or a key is checked on the whole sets unless it is in
 one class already; so near copies cost a check for each text and not for each pair. Groups of more than
 ``PART`` shingles are cut into parts, each pair of parts a task.
 
@@ -24,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.llm.simhash import classes, majority
 from tessera.llm.texts import fresh, pieces, release, spans, words
-from tessera.session import cut_lineage, spread
+from tessera.session import cut_lineage, marked, spread
 
 WIDTH = 5
 LEAST = 0.8
+DISTANCE = 4
 BANDS = 30
 BAND_ROWS = 6
 PART = 1_000_000
@@ -95,17 +100,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sketches():
-    """A column function from texts to a name of the shingle set, its size and its band keys."""
-    @F.arrow_udf("struct<name: binary, size: int, bands: array<long>>")
+    """A column function from texts to a name of the shingle set, its size, its fingerprint and its band keys."""
+    @F.arrow_udf("struct<name: binary, size: int, fp: long, bands: array<long>>")
     def found(texts: pa.Array) -> pa.Array:
-        names, sizes, keys = [], [], []
+        names, sizes, prints, keys = [], [], [], []
         for one in shingle_sets(texts):
             names.append(xxhash.xxh3_128_digest(one.tobytes()))
             sizes.append(len(one))
+            prints.append(majority(one))
             keys.append(band_keys(one))
-        made = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), _lists(keys)],
-                                          ["name", "size", "bands"])
-        del names, sizes, keys
+        made = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()),
+                                           _lists(keys)], ["name", "size", "fp", "bands"])
+        del names, sizes, prints, keys
         release()
         return made
 
@@ -179,23 +185,33 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield linked(kept)
 
 
+def _near_prints(distinct: DataFrame) -> DataFrame:
+    """``node, band`` of the sets whose fingerprints are linked with another's: a key for each class of SimHash."""
+    sets = distinct.filter("size > 0").select("node", "fp")
+    found = sets.join(classes(sets, "node", DISTANCE), "fp")
+    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    return cut_lineage(found.join(several, "component_id").select("node", F.xxhash64("component_id").alias("band")), "near-prints")
+
+
 def _links(rows: DataFrame, distinct: DataFrame, place: str, sketch: str, text: str) -> DataFrame:
     """``a, b`` links between nodes of ``distinct`` that connect its near classes.
 
-    The table of candidates holds numbers only: while it is small Spark broadcasts it and no text moves but those of
-    candidates, and beyond that a text moves once.
+    The table of candidates holds numbers only, and a broadcast filter holds back texts that are none.
     """
-    routed = distinct.select("node", F.explode("bands").alias("band"))
+    prints = _near_prints(distinct)
+    routed = prints.unionByName(distinct.select("node", F.explode("bands").alias("band")))
     hubs = routed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
     met = routed.join(hubs, "band").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = components(met.distinct()).select("node", F.col("root").alias("group"))
     groups = groups.unionByName(groups.select(F.col("group").alias("node"), "group").distinct())
     parts = distinct.select("node", "size").join(groups, "node").groupBy("group").agg(
         F.ceil(F.sum("size") / PART).cast("int").alias("parts")).filter("parts > 1")
-    dealt = cut_lineage(groups.join(parts, "group", "left").select("node", "group", F.coalesce(
-        "parts", F.lit(1)).alias("parts")), "near-groups")
+    dealt = groups.join(parts, "group", "left").join(prints, "node", "left").select(
+        "node", "group", F.coalesce("parts", F.lit(1)).alias("parts"), F.array_compact(F.array("band")).alias("more"))
+    dealt = cut_lineage(dealt, "near-groups")
     held = rows.select(F.col(place).alias("node"), F.col(f"{sketch}.bands").alias("bands"), F.col(text).alias("text"))
-    held = held.join(dealt, "node").select("node", "bands", "group", "parts", "text")
+    held = marked(held.withColumn("hash", F.xxhash64("node")), "hash", dealt.select(F.xxhash64("node")), "held").filter("held")
+    held = held.join(dealt, "node").select("node", F.concat("bands", "more").alias("bands"), "group", "parts", "text")
     sets = held.mapInArrow(_make_sets, "node long, bands array<long>, group long, parts int, shingles array<long>")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -213,8 +229,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     slim = rows.select(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("id"), F.col(place).alias("place")).alias("row"),
                        F.col(place).alias("node"), f"{sketch}.*")
     distinct = cut_lineage(slim.groupBy("name", "size").agg(F.min("row").alias("row"), F.min("node").alias("node"),
-                                                            F.first("bands").alias("bands")), "shingle-sets")
+                                                            F.first("fp").alias("fp"), F.first("bands").alias("bands")), "shingle-sets")
     roots = components(_links(rows, distinct, place, sketch, text)).withColumnRenamed("root", "_root")
     rooted = distinct.join(roots, "node", "left").select("row", F.coalesce("_root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("row").alias("kept")).select(F.col("kept.place").alias(place))
-    return rows.join(kept, place, "left_semi").select(*docs.columns)
+    kept = cut_lineage(rooted.groupBy("root").agg(F.min("row").alias("kept")).select(F.col("kept.place").alias(place)), "near-kept")
+    # Rows that surely stay do not move.
+    hashed, flag = fresh(docs, "_hash"), fresh(docs, "_unsure")
+    gone = rows.select(place).join(kept, place, "left_anti").select(F.xxhash64(place))
+    rows = marked(rows.withColumn(hashed, F.xxhash64(place)), hashed, gone, flag)
+    unsure = rows.filter(F.col(flag)).join(kept, place, "left_semi")
+    return rows.filter(~F.col(flag)).unionByName(unsure.select(*rows.columns)).select(*docs.columns)

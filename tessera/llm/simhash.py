@@ -42,6 +42,13 @@ BUCKET = 2048
 PAIRS_AT_ONCE = 1 << 18
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A fingerprint: the bits that more than half of the hashes have; zero without hashes."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    most = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
+    return int(np.packbits(most, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None, width: int) -> int:
     """Majority bits of the hashes of a text's shingles of ``width`` lower-cased words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -54,9 +61,7 @@ def fingerprint(text: str | None, width: int) -> int:
     one = xxhash.xxh64_intdigest
     spans = zip(starts[:shingles].tolist(), ends[min(width, len(words)) - 1:].tolist())
     hashes = np.fromiter((one(joined[a:b], SEED) for a, b in spans), np.uint64, shingles)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = 2 * bits.sum(axis=0, dtype=np.int64) > shingles
-    return int(np.packbits(majority, bitorder="little").view(np.int64)[0])
+    return majority(hashes)
 
 
 def fingerprints(width: int):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -62,3 +63,29 @@ def test_band_recall():
             one, two = (shingles.band_keys(s) for s in shingles.shingle_sets(shingles.pa.array([" ".join(text), " ".join(near)])))
             pairs, found = pairs + 1, found + bool(set(one.tolist()) & set(two.tolist()))
     assert pairs > 100 and found >= 0.995 * pairs
+
+
+def test_simhash_gives_candidates(spark, monkeypatch):
+    """Without the other keys, near sets are found if and only if their fingerprints are linked."""
+    monkeypatch.setattr(shingles, "band_keys", lambda held: np.zeros(0, np.int64))
+    rng, texts = random.Random(8), []
+    for _ in range(24):
+        text = [f"w{rng.randrange(10 ** 6)}" for _ in range(400)]
+        texts += [" ".join(text), " ".join([*text[:399], "other"])]
+    prints = [shingles.majority(held) for held in shingles.shingle_sets(shingles.pa.array(texts))]
+    near = [((a ^ b) & (2 ** 64 - 1)).bit_count() <= shingles.DISTANCE for a, b in zip(prints[::2], prints[1::2])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert sum(near) > 12 and got == {i for i in range(48) if i % 2 == 0 or not near[i // 2]}
+
+
+def test_rows_that_surely_stay_do_not_move(spark, monkeypatch):
+    moved, real = {}, shingles.marked
+    monkeypatch.setattr(shingles, "marked", lambda rows, hashed, some, flag: moved.setdefault(flag, real(rows, hashed, some, flag)))
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60)) for _ in range(300)]
+    texts += [texts[0], texts[1] + " more", "", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert {r["doc_id"] for r in got.collect()} == kept_by_all_pairs(texts)
+    assert {flag: frame.filter(flag).count() for flag, frame in moved.items()} == {"held": 2, "_unsure": 3}

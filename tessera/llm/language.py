@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import layout, pieces
+from tessera.llm.texts import layout, pieces, release
 from tessera.session import spread
 
 ORDERS = (1, 2, 3)
@@ -38,6 +38,7 @@ RIDGE = 1e-3
 CUT_ROWS = 4_000
 SLACK = 0.7  # of the evidence that held-out texts of a language show, what a text must show
 UNKNOWN = "und"
+PIECE_BYTES = 500_000
 PIECE_ROWS = 128  # presence is a dense matrix of this many rows; row numbers also share 32 bits with a code
 
 
@@ -95,7 +96,7 @@ class Landmarks:
     @classmethod
     def of(cls, texts: list[str]) -> Landmarks:
         owners, codes, weights, seen = [], [], [], 0
-        for piece in pieces(pa.array(texts, pa.string()), rows=PIECE_ROWS):
+        for piece in pieces(pa.array(texts, pa.string()), PIECE_BYTES, PIECE_ROWS):
             owner, code, order = grams(piece)
             owners.append(owner + seen)
             codes.append(code)
@@ -119,7 +120,7 @@ class Landmarks:
     def kernel(self, texts: pa.Array) -> np.ndarray:
         """Kernel of every text with every landmark."""
         parts = [np.zeros((0, self.weights.shape[1]))]
-        for piece in pieces(texts, rows=PIECE_ROWS):
+        for piece in pieces(texts, PIECE_BYTES, PIECE_ROWS):
             parts.append(self.found(piece)[0])
         return np.concatenate(parts)
 
@@ -134,7 +135,7 @@ class Model:
     def judged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """As ``predict``, with the number of each text's longest n-grams and the share of them that its language holds."""
         parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))]
-        for piece in pieces(texts, rows=PIECE_ROWS):
+        for piece in pieces(texts, PIECE_BYTES, PIECE_ROWS):
             kernel, owner, order, place, known = self.landmarks.found(piece)
             votes = kernel @ self.coefficients
             best, longest = votes.argmax(axis=1), order == max(ORDERS)
@@ -200,6 +201,7 @@ def train(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
     @F.arrow_udf("array<double>")
     def kernel(texts: pa.Array) -> pa.Array:
         rows = shared.value.kernel(texts)
+        release()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]),
                                         pa.array(rows.ravel()))
 
@@ -227,6 +229,7 @@ def guess(spark: SparkSession, model: Model | None, text: str) -> Column:
     @F.arrow_udf("struct<lang: string, score: double>")
     def best(texts: pa.Array) -> pa.Array:
         found, score = shared.value.predict(texts)
+        release()
         names = pa.array(shared.value.languages, pa.string()).take(pa.array(found))
         return pa.StructArray.from_arrays([names, pa.array(score)], ["lang", "score"])
 
@@ -266,6 +269,7 @@ def judge(spark: SparkSession, model: Model, text: str) -> Column:
     @F.arrow_udf("struct<lang: string, score: double, many: long, share: double>")
     def judged(texts: pa.Array) -> pa.Array:
         found, *rest = shared.value.judged(texts)
+        release()
         names = pa.array(shared.value.languages, pa.string()).take(pa.array(found))
         return pa.StructArray.from_arrays([names, *map(pa.array, rest)], ["lang", "score", "many", "share"])
 
@@ -285,6 +289,7 @@ def belongs(spark: SparkSession, model: Model | None, least: dict[str, tuple[flo
     @F.arrow_udf("boolean")
     def fits(texts: pa.Array) -> pa.Array:
         found, score, many, share = shared.value.judged(texts)
+        release()
         cut = low[found]
         error = 2 * np.sqrt(cut * (1 - cut) / many.clip(1)[:, None])
         return pa.array((np.column_stack([score, share]) >= cut - error).all(axis=1))

@@ -22,10 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import layout, pieces, words
+from tessera.llm.texts import layout, pieces, release, words
 from tessera.session import spread
 
 SAMPLE_ROWS = 20_000
+PIECE_BYTES = 500_000
 BINS = 32
 PAIR_BINS = 8
 ROUNDS = 150
@@ -95,7 +96,7 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def measure(texts: pa.Array) -> np.ndarray:
     """``features`` of a batch, taken in pieces of bounded size."""
-    parts = [features(p) for p in pieces(texts)]
+    parts = [features(p) for p in pieces(texts, PIECE_BYTES)]
     return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
 
 
@@ -208,6 +209,7 @@ def measured(rows: DataFrame, text: str) -> DataFrame:
     def values(texts: pa.Array) -> pa.Array:
         found = measure(texts)
         offsets = np.arange(len(found) + 1, dtype=np.int32) * len(NAMES)
+        release()
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
 
     kept = [c for c in rows.columns if c != text]
@@ -236,6 +238,8 @@ def scorer(model: Model):
     """A column function from texts to scores between 0 and 1."""
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.score(measure(texts)))
+        found = pa.array(model.score(measure(texts)))
+        release()
+        return found
 
     return score

@@ -32,12 +32,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import layout, pieces, spans
+from tessera.llm.texts import layout, pieces, release, spans
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 ZIPF_SHIFT = 10.0
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 PIECE_IDS = 500_000
 TABLE_BITS = 19
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -328,6 +328,8 @@ def encoded(docs: DataFrame, key: str, text: str, path: str = MODEL_PATH, smooth
                 chance = pa.array(chance, mask=empty.to_numpy(zero_copy_only=False))
                 made = [ids, chance, *[decode(shared.value, ids)] * decoded]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names)
+                del part, ids, chance, made
+                release()
 
     empty = F.lit(None)
     schema = docs.select("*", empty.cast("array<int>").alias("_ids"), empty.cast("double").alias("_log_prob"),

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.texts import layout, pieces, release
-from tessera.session import spread
+from tessera.session import bound_batches, local_table, spread
 
 ORDERS = (1, 2, 3)
 LANDMARKS = 160
@@ -170,6 +170,7 @@ def solve(kernel: np.ndarray, rows: np.ndarray, labels: np.ndarray, languages: i
 def train(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text",
           lang: str = "lang") -> Model | None:
     """Learn from a bounded sample of the rows for which ``learnable`` holds; None if there are none."""
+    bound_batches(docs.sparkSession)
     known = docs.filter(learnable & F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
     known = known.filter(F.octet_length("_text") > 0).withColumn("_long", F.octet_length("_text") > LANDMARK_BYTES)
@@ -178,7 +179,8 @@ def train(docs: DataFrame, learnable: Column, key: str = "doc_id", text: str = "
     if not counts:
         return None
     languages = sorted(r["_lang"] for r in counts)
-    table = docs.sparkSession.createDataFrame(counts, "_lang string, _n long, _n_long long")
+    table = local_table(docs.sparkSession, {"_lang": pa.array([r["_lang"] for r in counts], pa.string()), **{
+        c: pa.array([r[c] for r in counts], pa.int64()) for c in ("_n", "_n_long")}})
 
     def hashed(seed: int) -> Column:
         return F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -250,7 +252,7 @@ def cuts(docs: DataFrame, model: Model | None, held_out: Column, key: str = "doc
     counts = dict(rows.groupBy(lang).count().collect())
     if not counts:
         return {x: (0.0, 0.0) for x in model.languages}
-    table = docs.sparkSession.createDataFrame(list(counts.items()), "_lang string, _n long")
+    table = local_table(docs.sparkSession, {"_lang": pa.array(list(counts), pa.string()), "_n": pa.array(list(counts.values()), pa.int64())})
     hashed = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     some = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), hashed.alias("_u")).join(
         F.broadcast(table), "_lang").filter(F.col("_u") * F.col("_n") < max(20, 0.9 * (CUT_ROWS // len(counts))))

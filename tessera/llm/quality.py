@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.texts import layout, pieces, release, words
-from tessera.session import spread
+from tessera.session import bound_batches, spread
 
 SAMPLE_ROWS = 20_000
 PIECE_BYTES = 500_000
@@ -219,6 +219,7 @@ def measured(rows: DataFrame, text: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text",
           label: str = "quality") -> Model:
     """Fit on at most ``SAMPLE_ROWS`` labelled rows of ``docs`` for which ``learnable`` (on the key) holds."""
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & learnable).groupBy(key).agg(
         F.min(label).alias("_label"))
     many = known.count()

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.texts import layout, pieces, release, spans
+from tessera.session import bound_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -314,6 +315,7 @@ def encoded(docs: DataFrame, key: str, text: str, path: str = MODEL_PATH, smooth
 
     ``decoded`` adds ``_decoded``, the text that the ids give back, in the same pass.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, smoothing))  # one vocabulary
     rows = docs.withColumn("_seed", F.xxhash64(F.col(key), F.lit(seed)))
     names = [*docs.columns, "_ids", "_log_prob", *["_decoded"] * decoded]

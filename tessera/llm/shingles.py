@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.simhash import classes, majority
 from tessera.llm.texts import fresh, pieces, release, spans, words
-from tessera.session import cut_lineage, marked, spread
+from tessera.session import bound_batches, cut_lineage, marked, spread
 
 WIDTH = 5
 LEAST = 0.8
@@ -223,6 +223,7 @@ def _links(rows: DataFrame, distinct: DataFrame, place: str, sketch: str, text:
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row of each class: the one of the smallest key, first in the written order."""
+    bound_batches(docs.sparkSession)
     sketch, place = fresh(docs, "_sketch"), fresh(docs, "_place")
     rows = spread(docs).withColumn(sketch, _sketches()(text)).withColumn(place, F.monotonically_increasing_id())
     rows = cut_lineage(rows, "shingle-rows")

@@ -130,21 +130,23 @@ def _keys_of(width: int, percent: int):
 
 
 def _sets_of(width: int, percent: int):
-    """``node, size, in_low, in_high, shingles`` of ``node, name, text``, for the texts whose set has that name: the set, and
-    its numbers of keys at the level of the band below, if there, and of its own."""
+    """``node, size, in_low, in_high, shingles, to, salts`` of ``node, name, text, to, salts``, for the texts whose set has that
+    name: the set, and its numbers of keys at the level of the band below, if there, and of its own."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             texts = batch.column("text")
             for at, to in spans(texts, PIECE_BYTES):
                 sets = list(shingle_sets(texts.slice(at, to - at), width))
-                nodes, names = (batch.column(c).slice(at, to - at) for c in ("node", "name"))
+                nodes, names, *places = (batch.column(c).slice(at, to - at) for c in ("node", "name", "to", "salts"))
                 same = [i for i, (held, name) in enumerate(zip(sets, names.to_pylist())) if xxhash.xxh3_128_digest(held.tobytes()) == name]
                 levels = [[bands.segments(x) for x in bands.of(len(sets[i]))[1]] for i in same]
+                kept = pa.array(same, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [nodes.take(pa.array(same, pa.int64())), pa.array([len(sets[i]) for i in same], pa.int32()),
+                    [nodes.take(kept), pa.array([len(sets[i]) for i in same], pa.int32()),
                      pa.array([x[0] if len(x) > 1 else 0 for x in levels], pa.int32()), pa.array([x[-1] for x in levels], pa.int32()),
-                     _lists([sets[i] for i in same])], ["node", "size", "in_low", "in_high", "shingles"])
+                     _lists([sets[i] for i in same]), *(x.take(kept) for x in places)],
+                    ["node", "size", "in_low", "in_high", "shingles", "to", "salts"])
                 pa.default_memory_pool().release_unused()
 
     return task
@@ -282,12 +284,21 @@ def _check_units(percent: int):
     return task
 
 
-def _near_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` links among ``node, hub`` pairs; a hub of very many sets is checked in several tasks."""
+def _places(pairs: DataFrame) -> DataFrame:
+    """``node, to, salts`` of ``node, hub`` pairs: the hubs and tasks to which a set goes, and in how many tasks it is the hub;
+    a hub of very many sets is checked in several."""
     salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SALT_SETS).cast("int").alias("salts"))
-    members = pairs.join(salts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
-    hubs = salts.select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rows = members.unionByName(hubs).join(sets.select("node", "shingles"), "node")
+    salt = F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt")
+    members = pairs.join(salts, "hub").select("node", F.struct("hub", salt).alias("at"), F.lit(0).alias("salts"))
+    hubs = salts.select(F.col("hub").alias("node"), F.lit(None).cast(members.schema["at"].dataType).alias("at"), "salts")
+    return members.unionByName(hubs).groupBy("node").agg(F.collect_list("at").alias("to"), F.max("salts").alias("salts"))
+
+
+def _near_hubs(sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` links of ``node, shingles, to, salts`` with their hubs. A set carries its places and moves once to each."""
+    own = F.transform(F.sequence(F.lit(1), "salts"), lambda x: F.struct(F.col("node").alias("hub"), (x - 1).alias("salt")))
+    places = F.concat("to", F.when(F.col("salts") > 0, own).otherwise(F.array()))
+    rows = sets.select("node", "shingles", F.explode(places).alias("at")).select("at.*", "node", "shingles")
     rows = rows.withColumn("member", F.col("node") != F.col("hub")).repartition("hub", "salt")
     return rows.sortWithinPartitions("hub", "salt", "member").select("hub", "salt", "node", "shingles").mapInArrow(
         _check_hubs(percent), "a long, b long")
@@ -363,14 +374,14 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     same = Window.partitionBy("key")
     met = routed.select("*", F.min("node").over(same).alias("hub")).filter("node <> hub")
     met = cut_lineage(met, "jaccard-met")
-    wanted = met.select("node").union(met.select("hub")).distinct()
-    wanted = cut_lineage(first.join(wanted, "node").select("node", "name", "row.*"), "jaccard-wanted")
+    wanted = first.join(_places(met.select("node", "hub").distinct()), "node")
+    wanted = cut_lineage(wanted.select("node", "name", "row.*", "to", "salts"), "jaccard-wanted")
     # Texts that no candidate has stay where they are.
     held = marked(texts, "hash", wanted.select("hash"), "held").filter("held").select("hash", "crc", "text")
-    found = held.dropDuplicates(["hash", "crc"]).join(wanted, ["hash", "crc"]).select("node", "name", "text")
-    sets = cut_lineage(found.mapInArrow(
-        _sets_of(width, percent), "node long, size int, in_low int, in_high int, shingles array<long>"), "jaccard-sets")
-    to_hubs = cut_lineage(_near_hubs(met.select("node", "hub").distinct(), sets, percent), "jaccard-links")
+    found = held.dropDuplicates(["hash", "crc"]).join(wanted, ["hash", "crc"]).select("node", "name", "text", "to", "salts")
+    sets = cut_lineage(found.mapInArrow(_sets_of(width, percent), "node long, size int, in_low int, in_high int, "
+                                        "shingles array<long>, to array<struct<hub: long, salt: int>>, salts int"), "jaccard-sets")
+    to_hubs = cut_lineage(_near_hubs(sets, percent), "jaccard-links")
     known = cut_lineage(_classes(to_hubs), "jaccard-classes")
     rest = met.join(known, "node", "left").select("key", "node", "lower", F.coalesce("class", "node").alias("class"))
     counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("class").alias("low"), F.max("class").alias("high"))

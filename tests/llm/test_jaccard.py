@@ -149,3 +149,20 @@ def test_texts_without_candidates_do_not_move(spark, monkeypatch):
     rows += [(400, rows[0][1] + " more"), (401, rows[1][1]), (402, "  ")]
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == plain(rows)
     assert {flag: frame.filter(flag).count() for flag, frame in moved.items()} == {"copied": 2, "held": 2}
+
+
+def test_sets_move_once_to_each_hub(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALT_SETS", 2)
+    rng = random.Random(5)
+    base = sorted({rng.randrange(-2 ** 63, 2 ** 63) for _ in range(40)})
+    held = {0: base, 1: base[1:], 2: base[:-1], 3: base[2:], 4: base[20:], 5: base[21:], 6: base[1:-1]}
+    pairs = [(1, 0), (2, 0), (3, 0), (6, 0), (4, 0), (5, 4), (6, 3)]
+    places = jaccard._places(spark.createDataFrame(pairs, "node long, hub long"))
+    assert {r["node"]: r["salts"] for r in places.collect()} == {0: 3, 1: 0, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0}
+    sets = spark.createDataFrame([(n, [x - 2 ** 64 if x >= 2 ** 63 else x for x in sorted(y % 2 ** 64 for y in s)]) for n, s in held.items()],
+                                 "node long, shingles array<long>").join(places, "node").localCheckpoint()
+    links = jaccard._near_hubs(sets, 90)
+    assert {tuple(r) for r in links.collect()} == {(1, 0), (2, 0), (3, 0), (5, 4), (6, 0), (6, 3)}
+    # Places come with the sets, so no join moves the sets before they are dealt to their hubs.
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("Initial Plan")[-1].count("Exchange") == 1

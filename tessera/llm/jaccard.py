@@ -13,6 +13,11 @@ and two linked sets agree in all of some segment: they share the key of that seg
    The sets of keys with a common hub (the smallest set, or that of a key near by) meet in one unit, not once a key. Units of more than
    ``PART`` shingles are cut into parts, each pair of parts a task, and pairs of one class are not checked.
 
+Keys of few shingles are shared by many sets that are far apart, and by more of them the larger the table. So a set has a
+sketch, a bit or two for each shingle: bit i is the parity of the number of its shingles whose hash ends in i. Sets that differ in d
+shingles have sketches that differ in at most d bits. Candidates move their sketches first, and whole sets move only if
+their sketches differ in at most H bits. That leaves out no linked pair.
+
 Checks are on whole sets of 64-bit hashes of shingles. Nothing is left out: the method finds every linked pair.
 
 Words are parts between ASCII blanks with A-Z in lower case; a text of fewer words than a shingle is one shingle. Null
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets
 from tessera.llm.texts import spans
-from tessera.session import cut_lineage, marked, spread
+from tessera.session import cut_lineage, marked, possible, spread
 
 WIDTH = 3
 PERCENT = 90
@@ -46,6 +51,8 @@ HOT = 1024
 DELETION_COST = 16
 PART = 500_000
 SET_WEIGHT = 64
+# A sketch takes a 32nd of its set at most, so a task of sketches may have more of them.
+SKETCHES = 8
 # Sets checked against one set in one task.
 SALT_SETS = 2000
 PIECE_BYTES = 1_000_000
@@ -99,6 +106,47 @@ def segment_keys(shingles: np.ndarray, level: int, segments: int, deletions: boo
     return keys, mixed((sums[place] - value) * _BASE + names[place]), place
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles by the last bits of their hashes, a power of two of bits, at least as many as shingles."""
+    bits = 64
+    while bits < len(shingles):
+        bits *= 2
+    place = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, to: int) -> np.ndarray:
+    """A sketch as it is with ``to`` words, a power of two below its own number."""
+    while len(words) > to:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
+def near_partners(label: np.ndarray, side: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets may link with one of another class; if there are two sides, with one on the other side."""
+    order = np.argsort(sizes, kind="stable")
+    label, side, sizes = label[order], side[order], sizes[order].astype(np.int64)
+    words = np.array([len(sketches[i]) for i in order])
+    two, near = len(np.unique(side)) > 1, np.zeros(len(order), bool)
+    ends = np.searchsorted(sizes, sizes * 100 // percent, "right")
+    for width in np.unique(words):
+        rows = np.flatnonzero(words == width)
+        first = int(rows[0])
+        all_bits = np.stack([folded(sketches[i], width) for i in order[first:ends[rows[-1]]]])
+        for i in rows.tolist():
+            others = slice(i + 1, int(ends[i]))
+            apart = np.bitwise_count(all_bits[i + 1 - first:int(ends[i]) - first] ^ all_bits[i - first]).sum(axis=1, dtype=np.int64)
+            may = (apart <= most_apart(sizes[others], sizes[i], percent)) & (label[others] != label[i])
+            if two:
+                may &= side[others] != side[i]
+            near[others] |= may
+            near[i] |= may.any()
+    out = np.zeros(len(order), bool)
+    out[order] = near
+    return out
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)])
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -106,47 +154,45 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _keys_of(width: int, percent: int):
-    """Name and size of the set of each text, its keys at the level of its own band and, if there, of the one below."""
+    """Name, size and sketch of the set of each text, its keys at the level of its own band and, if there, of the one below,
+    and the numbers of both."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
             texts = batch.column("text")
             for at, to in spans(texts, PIECE_BYTES):
-                names, sizes, high, low = [], [], [], []
+                names, sizes, sketches, high, low = [], [], [], [], []
                 for held in shingle_sets(texts.slice(at, to - at), width):
                     names.append(xxhash.xxh3_128_digest(held.tobytes()))
                     sizes.append(len(held))
+                    sketches.append(sketch(held))
                     levels = bands.of(len(held))[1] if len(held) else []
                     keys = [segment_keys(held, x, bands.segments(x)) for x in levels]
                     high.append(keys[-1] if keys else held)
                     low.append(keys[0] if len(keys) > 1 else held[:0])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(at, to - at) for c in ("key", "hash", "crc", "node")), pa.array(names, pa.binary()),
-                     pa.array(sizes, pa.int32()), _lists(high), _lists(low)],
-                    ["key", "hash", "crc", "node", "name", "size", "high", "low"])
+                     pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(map(len, high), pa.int32()),
+                     pa.array(map(len, low), pa.int32()), _lists(high), _lists(low)],
+                    ["key", "hash", "crc", "node", "name", "size", "sketch", "in_high", "in_low", "high", "low"])
                 pa.default_memory_pool().release_unused()
 
     return task
 
 
-def _sets_of(width: int, percent: int):
-    """``node, size, in_low, in_high, shingles, to, salts`` of ``node, name, text, to, salts``, for the texts whose set has that
-    name: the set, and its numbers of keys at the level of the band below, if there, and of its own."""
+def _sets_of(width: int):
+    """Sets in place of ``name, text``, the last columns, for the texts whose set has that name."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in batches:
             texts = batch.column("text")
             for at, to in spans(texts, PIECE_BYTES):
+                part = batch.slice(at, to - at)
                 sets = list(shingle_sets(texts.slice(at, to - at), width))
-                nodes, names, *places = (batch.column(c).slice(at, to - at) for c in ("node", "name", "to", "salts"))
-                same = [i for i, (held, name) in enumerate(zip(sets, names.to_pylist())) if xxhash.xxh3_128_digest(held.tobytes()) == name]
-                levels = [[bands.segments(x) for x in bands.of(len(sets[i]))[1]] for i in same]
+                names = part.column("name").to_pylist()
+                same = [i for i, (held, name) in enumerate(zip(sets, names)) if xxhash.xxh3_128_digest(held.tobytes()) == name]
                 kept = pa.array(same, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [nodes.take(kept), pa.array([len(sets[i]) for i in same], pa.int32()),
-                     pa.array([x[0] if len(x) > 1 else 0 for x in levels], pa.int32()), pa.array([x[-1] for x in levels], pa.int32()),
-                     _lists([sets[i] for i in same]), *(x.take(kept) for x in places)],
-                    ["node", "size", "in_low", "in_high", "shingles", "to", "salts"])
+                yield pa.RecordBatch.from_arrays([*(x.take(kept) for x in part.columns[:-2]), _lists([sets[i] for i in same])],
+                                                 [*part.schema.names[:-2], "shingles"])
                 pa.default_memory_pool().release_unused()
 
     return task
@@ -262,28 +308,79 @@ def check_unit(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perc
     return links
 
 
-def _check_units(percent: int):
-    """Links within tasks of ``hub, part, other``, whose rows lie together."""
-    def checked(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        nodes, classes, own = (rows.column(c).to_numpy() for c in ("node", "class", "own"))
-        links = check_unit(np.unique(classes, return_inverse=True)[1], own, _held(rows), percent)
-        one, other = np.array(links, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(nodes[one]), pa.array(nodes[other])], schema=_LINK)
+def _by_unit(work):
+    """``work`` on each task of ``hub, part, other``, whose rows lie together."""
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return work(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         for rows, begins in _runs(batches, ["hub", "part", "other"]):
             if begins and kept:
-                yield checked(kept)
+                yield done(kept)
                 kept = []
             kept.append(rows)
         if kept:
-            yield checked(kept)
+            yield done(kept)
+
+    return task
+
+
+def _check_units(percent: int):
+    """Links within tasks."""
+    def checked(rows: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, classes, own = (rows.column(c).to_numpy() for c in ("node", "class", "own"))
+        links = check_unit(np.unique(classes, return_inverse=True)[1], own, _held(rows), percent)
+        one, other = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(nodes[one]), pa.array(nodes[other])], schema=_LINK)
+
+    return _by_unit(checked)
+
+
+def _sketched(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _check_sketches(percent: int):
+    """``hub, node`` of the sets that may link within tasks."""
+    def checked(rows: pa.RecordBatch) -> pa.RecordBatch:
+        classes, own, sizes = (rows.column(c).to_numpy() for c in ("class", "own", "size"))
+        near = pa.array(near_partners(classes, own, sizes, _sketched(rows.column("sketch")), percent))
+        return rows.select(["hub", "node"]).filter(near)
+
+    return _by_unit(checked)
+
+
+def _check_pairs(percent: int):
+    """``node, hub`` of the pairs that may link."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            sizes, hub_sizes = (rows.column(c).to_numpy().astype(np.int64) for c in ("size", "hub_size"))
+            apart = np.zeros(rows.num_rows, np.int64)
+            for i, (one, hub) in enumerate(zip(_sketched(rows.column("sketch")), _sketched(rows.column("hub_sketch")))):
+                words = min(len(one), len(hub))
+                apart[i] = np.bitwise_count(folded(one, words) ^ folded(hub, words)).sum(dtype=np.int64)
+            yield rows.select(["node", "hub"]).filter(pa.array(apart <= most_apart(sizes, hub_sizes, percent)))
 
     return task
 
 
+def _near_pairs(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
+    """The ``node, hub`` pairs whose sketches do not rule out a link."""
+    ends = candidates.select("node", "size", "sketch")
+    return pairs.join(ends.toDF("hub", "hub_size", "hub_sketch"), "hub").join(ends, "node").mapInArrow(
+        _check_pairs(percent), "node long, hub long")
+
+
+def _with_sets(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``wanted`` with ``shingles`` in place of ``hash, crc, name``. Texts that are not wanted stay where they are."""
+    held = marked(texts, "hash", wanted.select("hash"), "held").filter("held").select("hash", "crc", "text")
+    rows = wanted.join(held.dropDuplicates(["hash", "crc"]), ["hash", "crc"])
+    more = wanted.drop("hash", "crc", "name")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in more.schema)
+    return rows.select(*more.columns, "name", "text").mapInArrow(_sets_of(width), f"{kinds}, shingles array<long>")
+
+
 def _places(pairs: DataFrame) -> DataFrame:
     """``node, to, salts`` of ``node, hub`` pairs: the hubs and tasks to which a set goes, and in how many tasks it is the hub;
     a hub of very many sets is checked in several."""
@@ -304,7 +401,16 @@ def _near_hubs(sets: DataFrame, percent: int) -> DataFrame:
         _check_hubs(percent), "a long, b long")
 
 
-def _near_units(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _dealt(units: DataFrame, part: int) -> DataFrame:
+    """``units`` of several classes with the tasks ``part, other`` in which a set takes part, and its ``own`` side."""
+    parts = units.groupBy("hub").agg(F.ceil(F.sum(F.col("size") + SET_WEIGHT) / part).cast("int").alias("parts"),
+                                     (F.min("class") < F.max("class")).alias("several"))
+    dealt = units.join(parts.filter("several").drop("several"), "hub").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"part": F.least("own", "with"), "other": F.greatest("own", "with")}).drop("with", "parts")
+
+
+def _near_units(met: DataFrame, candidates: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """``a, b`` links among what ``key, node, class, active`` rows bring together."""
     several = (F.count(F.lit(1)) > 1) & F.max("active") & (F.min("class") < F.max("class"))
     lead = F.min(F.when(F.col("active"), F.col("lead"))).alias("hub")
@@ -314,31 +420,33 @@ def _near_units(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # Keys of one family get one hub: the smallest hub that a set of the key has with any key.
     rows = rows.drop("hub").join(rows.groupBy("node").agg(F.min("hub").alias("lead")), "node")
     rows = rows.drop("lead").join(rows.groupBy("key").agg(lead), "key")
-    units = cut_lineage(rows.select("hub", "node", "class").distinct().join(sets.select("node", "size"), "node"), "jaccard-units")
-    weight = F.sum(F.col("size") + SET_WEIGHT)
-    parts = units.groupBy("hub").agg(F.ceil(weight / PART).cast("int").alias("parts"), (F.min("class") < F.max("class")).alias("several"))
-    dealt = units.join(parts.filter("several"), "hub").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    rows = dealt.join(sets.select("node", "shingles"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = rows.select("hub", "node", "class").distinct().join(candidates.select("node", "size", "sketch"), "node")
+    units = cut_lineage(units, "jaccard-units")
     keys = ["hub", "part", "other"]
-    rows = rows.select("hub", F.least("own", "with").alias("part"), F.greatest("own", "with").alias("other"), "own", "node", "class",
-                       "shingles")
+    near = _dealt(units, SKETCHES * PART).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _check_sketches(percent), "hub long, node long").distinct()
+    near = cut_lineage(units.drop("sketch").join(near, ["hub", "node"], "left_semi"), "jaccard-near")
+    places = _dealt(near, PART).groupBy("node").agg(F.collect_list(F.struct(*keys, "own", "class")).alias("to"))
+    wanted = cut_lineage(candidates.select("node", "hash", "crc", "name").join(places, "node"), "jaccard-wanted")
+    rows = _with_sets(wanted, texts, width).select("node", "shingles", F.explode("to").alias("at")).select("at.*", "node", "shingles")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_check_units(percent), "a long, b long")
 
 
-def _allocated(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _allocated(rest: DataFrame, candidates: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """``key, node, class, active``: ``key, node, class, lower, held`` with dear keys left out where that is cheaper."""
     dear = F.col("held") > HOT
     cost = rest.groupBy("node", "lower").agg(F.count_if(dear).alias("dear"), F.sum(F.when(dear, F.col("held"))).alias("cost"),
                                              F.collect_list(F.when(dear, F.col("key"))).alias("out"),
                                              F.first("class").alias("class")).filter("dear > 0")
-    left = cost.join(sets.select("node", "size", "in_low", "in_high"), "node").filter(
+    left = cost.join(candidates.drop("sketch"), "node").filter(
         (2 * F.col("dear") <= F.when(F.col("lower"), F.col("in_low")).otherwise(F.col("in_high"))) & (F.col("cost") > DELETION_COST * F.col("size")))
-    left = cut_lineage(left.select("node", "lower", "class", "out", F.lit(True).alias("leaves")), "jaccard-left")
-    marked = rest.join(left.select("node", "lower", "leaves"), ["node", "lower"], "left")
-    kept = marked.select("key", "node", "class", (~dear | F.col("leaves").isNull()).alias("active"))
-    more = left.join(sets.select("node", "shingles"), "node").select("node", "lower", "class", "out", "shingles").mapInArrow(
-        _neighbours(percent), "key long, node long, class long, active boolean")
-    return kept.unionByName(more).groupBy("key", "node").agg(F.first("class").alias("class"), F.max("active").alias("active"))
+    left = cut_lineage(left.select("node", "lower", "class", "out", "hash", "crc", "name", F.lit(True).alias("leaves")), "jaccard-left")
+    rest = rest.join(left.select("node", "lower", "leaves"), ["node", "lower"], "left")
+    kept = rest.select("key", "node", "class", (~dear | F.col("leaves").isNull()).alias("active"))
+    if not left.isEmpty():
+        kept = kept.unionByName(_with_sets(left.drop("leaves"), texts, width).mapInArrow(
+            _neighbours(percent), "key long, node long, class long, active boolean"))
+    return kept.groupBy("key", "node").agg(F.first("class").alias("class"), F.max("active").alias("active"))
 
 
 def _classes(links: DataFrame) -> DataFrame:
@@ -354,13 +462,13 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     kind = texts.schema["key"].dataType.simpleString()
     rows = spread(texts).withColumn("node", F.monotonically_increasing_id()).mapInArrow(
         _keys_of(width, percent),
-        f"key {kind}, hash long, crc long, node long, name binary, size int, high array<long>, low array<long>")
+        f"key {kind}, hash long, crc long, node long, name binary, size int, sketch binary, in_high int, in_low int, high array<long>, "
+        "low array<long>")
     rows = cut_lineage(rows, "jaccard-rows")
     named = rows.select("key", "node", "name", "size")
-    # A set stands for all rows that have it; the first of them, found again by the hashes of key and text, gives its text.
+    # A set stands for all rows that have it.
     first = cut_lineage(rows.filter("size > 0").groupBy("name", "size").agg(
-        F.min("node").alias("node"), F.min("key").alias("key"), F.min_by(F.struct("hash", "crc"), "node").alias("row"),
-        (F.count(F.lit(1)) > 1).alias("copied")), "jaccard-first")
+        F.min("node").alias("node"), F.min("key").alias("key"), (F.count(F.lit(1)) > 1).alias("copied")), "jaccard-first")
 
     def level(name: str) -> Column:
         return F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(name == "low").alias("lower")))
@@ -374,19 +482,21 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     same = Window.partitionBy("key")
     met = routed.select("*", F.min("node").over(same).alias("hub")).filter("node <> hub")
     met = cut_lineage(met, "jaccard-met")
-    wanted = first.join(_places(met.select("node", "hub").distinct()), "node")
-    wanted = cut_lineage(wanted.select("node", "name", "row.*", "to", "salts"), "jaccard-wanted")
-    # Texts that no candidate has stay where they are.
-    held = marked(texts, "hash", wanted.select("hash"), "held").filter("held").select("hash", "crc", "text")
-    found = held.dropDuplicates(["hash", "crc"]).join(wanted, ["hash", "crc"]).select("node", "name", "text", "to", "salts")
-    sets = cut_lineage(found.mapInArrow(_sets_of(width, percent), "node long, size int, in_low int, in_high int, "
-                                        "shingles array<long>, to array<struct<hub: long, salt: int>>, salts int"), "jaccard-sets")
+    pairs = cut_lineage(met.select("node", "hub").distinct(), "jaccard-pairs")
+    nodes = pairs.select(F.explode(F.array("node", "hub")).alias("node")).distinct()
+    # The first row of a set, found again by the hashes of key and text, gives its text.
+    candidates = rows.select("node", "hash", "crc", "name", "size", "in_low", "in_high", "sketch")
+    candidates = possible(candidates, F.xxhash64("node"), nodes.select(F.xxhash64("node"))).join(nodes, "node")
+    candidates = cut_lineage(candidates, "jaccard-candidates")
+    near = cut_lineage(_near_pairs(pairs, candidates, percent), "jaccard-near")
+    wanted = cut_lineage(candidates.select("node", "hash", "crc", "name").join(_places(near), "node"), "jaccard-wanted")
+    sets = _with_sets(wanted, texts, width)
     to_hubs = cut_lineage(_near_hubs(sets, percent), "jaccard-links")
     known = cut_lineage(_classes(to_hubs), "jaccard-classes")
     rest = met.join(known, "node", "left").select("key", "node", "lower", F.coalesce("class", "node").alias("class"))
     counts = rest.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("class").alias("low"), F.max("class").alias("high"))
     rest = cut_lineage(rest.join(counts.filter("low < high").drop("low", "high"), "key"), "jaccard-rest")
-    more = cut_lineage(_near_units(_allocated(rest, sets, percent), sets, percent), "jaccard-links")
+    more = cut_lineage(_near_units(_allocated(rest, candidates, texts, width, percent), candidates, texts, width, percent), "jaccard-links")
     classes = _classes(to_hubs.unionByName(more))
     placed = first.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     least = placed.groupBy("class").agg(F.min("key").alias("component_id"))

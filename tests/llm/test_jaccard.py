@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm import jaccard, queries
 from tessera.session import marked
 from tests.llm.edges import documents, nothing, words
@@ -140,6 +141,15 @@ def test_marks_miss_nothing(spark):
     assert not marked(rows, "h", some.limit(0), "held").filter("held").count()
 
 
+def test_full_filters_lose_nothing(spark, monkeypatch):
+    """Filters whose bits are all set hold back nothing, and sets that they mark for others' sake stay in."""
+    monkeypatch.setattr(session, "MARKS", 64)
+    rng = random.Random(12)
+    rows = [" ".join(t) for _ in range(30) for t in family(rng, 4, 60, 3)]
+    rows = list(enumerate(rows + rows[:40]))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == plain(rows)
+
+
 def test_texts_without_candidates_do_not_move(spark, monkeypatch):
     """Only copied sets' keys and candidates' texts are let through to a shuffle."""
     rng, moved = random.Random(4), {}
@@ -151,6 +161,73 @@ def test_texts_without_candidates_do_not_move(spark, monkeypatch):
     assert {flag: frame.filter(flag).count() for flag, frame in moved.items()} == {"copied": 2, "held": 2}
 
 
+def random_set(rng, size):
+    return np.unique(rng.integers(0, 2 ** 64, size, dtype=np.uint64))
+
+
+def test_sketches_rule_out_no_link():
+    """Sketches differ in no more bits than their sets do in shingles, and in many if the sets are far apart."""
+    rng = np.random.default_rng(3)
+
+    def bits(a, b):
+        one, other = (np.frombuffer(jaccard.sketch(x), np.uint64) for x in (a, b))
+        words = min(len(one), len(other))
+        return int(np.bitwise_count(jaccard.folded(one, words) ^ jaccard.folded(other, words)).sum())
+
+    for size in [1, 2, 10, 63, 64, 65, 130, 700, 5000]:
+        whole = random_set(rng, size)
+        for gone, new in [(0, 0), (0, 1), (1, 0), (size // 20, size // 20), (0, size // 10), (size // 2, size // 3)]:
+            other = np.unique(np.r_[rng.permutation(whole)[gone:], random_set(rng, new)])
+            assert bits(whole, other) <= len(np.setxor1d(whole, other))
+        if size >= 10:
+            assert bits(whole, random_set(rng, size)) > jaccard.most_apart(size, size, 90)
+
+
+@pytest.mark.parametrize("percent", [90, 40])
+def test_near_partners_miss_no_link(percent):
+    rng, sets = np.random.default_rng(8), []
+    for size in [1, 3, 20, 60, 64, 66, 125, 130, 300]:
+        whole = random_set(rng, size)
+        sets += [whole, whole[:size - size // 30], np.unique(np.r_[whole, random_set(rng, 1 + size // 25)]), whole[size // 3:], random_set(rng, size)]
+    sizes, sketches = np.array([len(x) for x in sets]), [np.frombuffer(jaccard.sketch(x), np.uint64) for x in sets]
+    label, sides = rng.integers(0, 30, len(sets)), rng.integers(0, 2, len(sets))
+    for side in (np.zeros(len(sets), np.int64), sides):
+        near = jaccard.near_partners(label, side, sizes, sketches, percent)
+        two = len(np.unique(side)) > 1
+        linked = {x for i, a in enumerate(sets) for j, b in enumerate(sets)
+                  if label[i] != label[j] and (not two or side[i] != side[j])
+                  and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for x in (i, j)}
+        assert linked and linked <= set(np.flatnonzero(near).tolist())
+        assert near.sum() < len(sets)
+
+
+def test_sets_that_only_share_keys_do_not_move(spark, monkeypatch):
+    """Texts of one template share keys and are far apart: their sketches tell, and no text is let through to a shuffle."""
+    rng, moved, places = random.Random(6), [], []
+    real, placed = jaccard.marked, jaccard._places
+
+    def seen(rows, hashed, some, flag):
+        moved.append((flag, real(rows, hashed, some, flag)))
+        return moved[-1][1]
+
+    monkeypatch.setattr(jaccard, "marked", seen)
+    monkeypatch.setattr(jaccard, "_places", lambda pairs: places.append(pairs) or placed(pairs))
+    met, cut = [], jaccard.cut_lineage
+
+    def kept(frame, label="cut"):
+        out = cut(frame, label)
+        if label == "jaccard-met":
+            met.append(out)
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", kept)
+    template = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(template + [f"y{rng.randrange(10 ** 6)}" for _ in range(40)])) for i in range(150)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == plain(rows)
+    assert met[0].select("node").distinct().count() > 30 and places[0].count() == 0
+    assert sum(frame.filter("held").count() for flag, frame in moved if flag == "held") == 0
+
+
 def test_sets_move_once_to_each_hub(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SALT_SETS", 2)
     rng = random.Random(5)

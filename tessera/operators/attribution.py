@@ -267,7 +267,10 @@ def attributions(model: Model, df: DataFrame, features: list[str], key: str = "i
             yield pd.DataFrame({"kind": batch["kind"], "v": list(effects)})
     rows = df.select(col(key).alias("k"), F.array(*[col(c).cast("double") for c in features]).alias("x"))
     rows = rows.withColumn("kind", row_kinds(found, width)("x"))
-    kinds = rows.groupBy("kind").agg(F.first("x").alias("x")).repartition(spark.sparkContext.defaultParallelism, "kind")
+    # A value for each feature: aggregates of numbers are hashed, one of arrays would sort all rows.
+    kinds = rows.groupBy("kind").agg(*[F.first(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(width)])
+    kinds = kinds.select("kind", F.array(*[F.col(f"x{i}").cast("double") for i in range(width)]).alias("x")).repartition(
+        spark.sparkContext.defaultParallelism, "kind")
     values = cut_lineage(kinds.mapInPandas(run, "kind binary, v array<double>"), "attributed-kinds")
     parts = rows.select("k", "kind").join(values, "kind")
     return parts.select(F.col("k").alias(key), *[F.col("v")[i].alias(c) for i, c in enumerate(features)])

@@ -6,7 +6,8 @@ Poisson number of mean n times that, which has the same distribution. Numpy draw
 are made by a hash and ordered by it, so a fit does not depend on how rows lie.
 
 A level of all trees is one pass over the cells: each task sums histograms of node, feature, bin and class in arrays, and
-Spark adds them up. Their size depends on the settings alone. The best cut by Gini impurity is taken among the features
+Spark adds them up; the last level needs classes by node only. Fits that each leave out a fold of the cells grow in the same
+passes. The histograms' size depends on the settings alone. The best cut by Gini impurity is taken among the features
 that a seeded hash of tree, node and feature orders first. Missing values go left. Rows without a label teach nothing;
 without any row everything is class 0.
 """
@@ -27,9 +28,10 @@ from tessera.operators.extratrees import ExtraModel, draw
 from tessera.operators.trees import DIGITS, Tree, bin_cuts, binned, extent, labelled, matrix, paid, walk
 from tessera.session import cut_lineage
 
-# Blocks of cells that draw together, and trees that grow in the same jobs.
+# Blocks of cells that draw together, trees of a fit that grow in the same jobs, and bytes of histograms up to which fits do.
 BLOCKS = 64
 TOGETHER = 32
+HISTOGRAM_BYTES = 64_000_000
 
 
 def best_cut(n: np.ndarray, tried: list[int], least: int) -> tuple[float, int, int]:
@@ -90,59 +92,82 @@ class RandomForest:
 
     def grow(self, cells: DataFrame, cuts: list[list[float]], classes: int) -> ForestModel:
         """A model from cells ``bins, y, n``."""
-        model = ForestModel([], self.max_depth, [0.0] * len(cuts), classes)
+        return self._grown(cells, ["n"], cuts, classes)[0]
+
+    def grow_without(self, cells: DataFrame, cuts: list[list[float]], classes: int, folds: int) -> list[ForestModel]:
+        """For each fold a model from the cells ``fold, bins, y, n`` of the other ones."""
+        most, width = max(map(len, cuts)) + 1, len(cuts)
+        trees = min(TOGETHER, self.n_estimators)
+        step = max(1, HISTOGRAM_BYTES // (8 * trees * 2 ** self.max_depth * width * most * classes))
+        found = []
+        for first in range(0, folds, step):
+            names = {f"n{f}": F.sum(F.when(F.col("fold") != f, F.col("n")).otherwise(0)).alias(f"n{f}")
+                     for f in range(first, min(first + step, folds))}
+            found += self._grown(cells.groupBy("bins", "y").agg(*names.values()), list(names), cuts, classes)
+        return found
+
+    def _grown(self, cells: DataFrame, counts: list[str], cuts: list[list[float]], classes: int) -> list[ForestModel]:
+        """A model for each column of numbers of rows in cells ``bins, y, counts...``."""
+        models = [ForestModel([], self.max_depth, [0.0] * len(cuts), classes) for _ in counts]
         for first in range(0, self.n_estimators, TOGETHER):
             numbers = range(first, min(first + TOGETHER, self.n_estimators))
-            self._grow(cut_lineage(self._drawn(cells, numbers), "forest-drawn"), numbers, cuts, model)
-        return model
+            self._grow(cut_lineage(self._drawn(cells, counts, numbers), "forest-drawn"), numbers, cuts, models)
+        return models
 
-    def _drawn(self, cells: DataFrame, numbers: range) -> DataFrame:
-        """``bins, y, drawn``: how many rows of a cell each tree draws."""
+    def _drawn(self, cells: DataFrame, counts: list[str], numbers: range) -> DataFrame:
+        """``bins, y, drawn``: how many rows of a cell each tree draws, the trees of one count after those of another."""
         seed, mean, first, many = self.random_state, self.subsample, numbers[0], len(numbers)
 
         def draws(block: pa.Table) -> pa.Table:
             block = block.sort_by([("hash", "ascending"), ("y", "ascending")])
             numpy_seed = [seed % 2 ** 32, block.column("block")[0].as_py(), first]
-            n = block.column("n").to_numpy()
-            found = np.random.default_rng(numpy_seed).poisson(mean * n[:, None], (len(n), many))
-            ends = np.arange(len(n) + 1, dtype=np.int32) * many
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel().astype(np.int64)))
+            found = np.zeros((len(block), len(counts) * many), dtype=np.int64)
+            for i, name in enumerate(counts):
+                n = block.column(name).to_numpy()
+                some = n > 0
+                found[some, i * many:(i + 1) * many] = np.random.default_rng(numpy_seed).poisson(
+                    mean * n[some][:, None], (np.count_nonzero(some), many))
+            ends = np.arange(len(block) + 1, dtype=np.int32) * found.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
             return pa.table({"bins": block.column("bins"), "y": block.column("y"), "drawn": lists})
         named = cells.withColumn("hash", F.xxhash64("bins"))
         named = named.withColumn("block", F.pmod(F.xxhash64("hash", "y"), F.lit(BLOCKS)).cast("int"))
         return named.groupBy("block").applyInArrow(draws, "bins array<int>, y int, drawn array<long>")
 
-    def _grow(self, cells: DataFrame, numbers: range, cuts: list[list[float]], model: ForestModel) -> None:
-        trees, classes, width = [Tree.empty(self.max_depth) for _ in numbers], model.classes, len(cuts)
+    def _grow(self, cells: DataFrame, numbers: range, cuts: list[list[float]], models: list[ForestModel]) -> None:
+        many, classes, width = len(numbers), models[0].classes, len(cuts)
+        trees = [Tree.empty(self.max_depth) for _ in range(many * len(models))]
         shares = [[[0.0] * classes for _ in t.feature] for t in trees]
         most, tries = max(map(len, cuts)) + 1, self.max_features or math.ceil(math.sqrt(width))
         open_nodes = {(t, 0) for t in range(len(trees))}
         for level in range(self.max_depth + 1):
-            held = self._histograms(cells, trees, level, width, most, classes)
+            last = level == self.max_depth
+            held = self._histograms(cells, trees, level, 1 if last else width, 1 if last else most, classes)
             again = set()
             for t, at in sorted(open_nodes):
                 n = held[t, at - 2 ** level + 1]
                 total, tree = n[0].sum(axis=0), trees[t]
                 tree.rows[at] = float(total.sum())
                 shares[t][at] = [float(v) for v in (total / total.sum() if total.sum() else np.eye(classes)[0])]
-                if level == self.max_depth or np.count_nonzero(total) < 2:
+                if last or np.count_nonzero(total) < 2:
                     continue
                 varied = [f for f in range(width) if np.count_nonzero(n[f].sum(axis=1)) > 1]
-                varied.sort(key=lambda f: (draw(self.random_state, numbers[t], at, f, 0), f))
+                varied.sort(key=lambda f: (draw(self.random_state, numbers[t % many], at, f, 0), f))
                 gain, feature, place = best_cut(n, varied[:tries], self.min_child_weight)
                 if feature >= 0:
                     tree.feature[at], tree.cut_bin[at], tree.cut[at] = feature, place, float(cuts[feature][place])
-                    model.gains[feature] += gain
+                    models[t // many].gains[feature] += gain
                     again |= {(t, 2 * at + 1), (t, 2 * at + 2)}
             open_nodes = again
             if not open_nodes:
                 break
-        model.trees.extend(trees)
-        model.shares.extend(shares)
+        for i, model in enumerate(models):
+            model.trees.extend(trees[i * many:(i + 1) * many])
+            model.shares.extend(shares[i * many:(i + 1) * many])
 
     @staticmethod
     def _histograms(cells: DataFrame, trees: list[Tree], level: int, width: int, most: int, classes: int) -> np.ndarray:
-        """Drawn rows by tree, node of the level, feature, bin and class."""
+        """Drawn rows by tree, node of the level, feature, bin and class; ``most`` 1 counts all bins as one."""
         feature, cut = np.array([t.feature for t in trees]), np.array([t.cut_bin for t in trees], dtype=float)
         shape = (len(trees), 2 ** level, width, most, classes)
         first = 2 ** level - 1
@@ -150,14 +175,16 @@ class RandomForest:
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(trees), int(np.prod(shape[1:]))))
             for batch in batches:
-                bins = matrix(batch.column("bins"))
-                drawn, y = matrix(batch.column("drawn")), batch.column("y").to_numpy().astype(np.int64)
+                bins, y = matrix(batch.column("bins")), batch.column("y").to_numpy().astype(np.int64)
+                drawn = np.ascontiguousarray(matrix(batch.column("drawn")).T)
+                place = bins[:, :width].astype(np.int64) if most > 1 else np.zeros((len(bins), width), dtype=np.int64)
+                place = (np.arange(width) * most + place) * classes + y[:, None]
                 for t in range(len(trees)):
-                    node = walk(bins, feature[t], cut[t], level) - first
-                    here = np.flatnonzero(node >= 0)
-                    for f in range(width):
-                        at = ((node[here] * width + f) * most + bins[here, f].astype(np.int64)) * classes + y[here]
-                        total[t] += np.bincount(at, drawn[here, t], total.shape[1])
+                    some = np.flatnonzero(drawn[t])
+                    node = walk(bins[some], feature[t], cut[t], level) - first
+                    some, node = some[node >= 0], node[node >= 0]
+                    at = place[some] + node[:, None] * (width * most * classes)
+                    total[t] += np.bincount(at.ravel(), np.repeat(drawn[t, some], width), total.shape[1])
             flat = total.ravel()
             place = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(flat[place])], ["place", "n"])

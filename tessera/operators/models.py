@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
@@ -17,7 +18,7 @@ from tessera.operators import scoring
 from tessera.operators.adaboost import AdaBoost
 from tessera.operators.clean import col
 from tessera.operators.extratrees import ExtraTrees
-from tessera.operators.forest import RandomForest, cells_of
+from tessera.operators.forest import ForestModel, RandomForest, cells_of
 from tessera.operators.newton import NewtonBoost
 from tessera.operators.split import stratified_folds
 from tessera.operators.trees import bin_cuts, extent, labelled
@@ -96,13 +97,44 @@ def weighable(estimator: Estimator | OwnEstimator) -> bool:
     return isinstance(estimator, DecisionTreeClassifier) or (estimator.getSubsamplingRate() == 1.0 and not estimator.isSet("validationIndicatorCol"))
 
 
+@dataclass(frozen=True)
+class FoldedCells:
+    """What a ``RandomForest`` reads of training rows: cells ``fold, bins, y, n`` (None without rows), bounds of the bins, classes."""
+
+    cells: DataFrame | None
+    cuts: list[list[float]]
+    classes: int
+
+    def fit(self, forest: RandomForest) -> ForestModel:
+        """A model from the rows of all folds."""
+        if self.cells is None or not self.cuts:
+            return ForestModel([], forest.max_depth, [0.0] * len(self.cuts), self.classes)
+        return forest.grow(self.cells.groupBy("bins", "y").agg(F.sum("n").alias("n")), self.cuts, self.classes)
+
+
+def folded_cells(train: DataFrame, features: list[str], target: str, estimator: Estimator | OwnEstimator | str,
+                 folds: int = FOLDS, seed: int = SEED) -> FoldedCells | None:
+    """The cells of the training rows in stratified folds, with bounds from all rows; None for estimators that read rows."""
+    forest = make_estimator(estimator)
+    if not isinstance(forest, RandomForest):
+        return None
+    rows = labelled(with_vector(train, features, target), "idx", "label")
+    n, width, classes = extent(rows)
+    if not n:
+        return FoldedCells(None, [[] for _ in features], classes)
+    cuts = bin_cuts(rows, width, forest.max_bins)
+    return FoldedCells(cells_of(stratified_folds(rows, "label", k=folds, seed=seed), cuts, ["fold"]), cuts, classes)
+
+
 def fit(estimator: Estimator | OwnEstimator, train: DataFrame, features: list[str], target: str,
-        categories: dict[str, int] | None = None) -> Model:
-    """Fit on the named columns only.
+        categories: dict[str, int] | None = None, cells: FoldedCells | None = None) -> Model:
+    """Fit on the named columns only; a ``RandomForest`` reads the ``cells`` of the rows if they are given.
 
     MLlib's trees that draw no rows read rows alike once, weighted by their number. With a least number of
     rows in a node they read all rows, as MLlib counts that number without weights.
     """
+    if cells is not None:
+        return cells.fit(estimator)
     if weighable(estimator):
         names = [f"f{i}" for i in range(len(features))]
         kinds = None if categories is None else {n: categories[c] for n, c in zip(names, features) if c in categories}
@@ -143,9 +175,8 @@ def cell_scores(cells: DataFrame, cuts: list[list[float]], classes: int, forest:
                 folds: int) -> list[tuple[int, float, float]]:
     """``fold_scores`` of a forest from cells ``fold, bins, y, n``."""
     parts = None
-    for f in range(folds):
-        taught = cells.filter(F.col("fold") != f).groupBy("bins", "y").agg(F.sum("n").alias("n"))
-        part = forest.grow(taught, cuts, classes).predict_bins(cells.filter(F.col("fold") == f))
+    for f, model in enumerate(forest.grow_without(cells, cuts, classes, folds)):
+        part = model.predict_bins(cells.filter(F.col("fold") == f))
         part = part.select("fold", F.col("y").cast("bigint").alias("y"), "prediction", "n")
         parts = part if parts is None else parts.unionByName(part)
     rows = scoring.evaluate_cells(parts.groupBy("fold", "y", "prediction").agg(F.sum("n").alias("n")), ["fold"]).collect()
@@ -154,27 +185,25 @@ def cell_scores(cells: DataFrame, cuts: list[list[float]], classes: int, forest:
 
 def tune(train: DataFrame, features: list[str], target: str, trials: DataFrame,
          estimator: Estimator | str = "GBTClassifier", folds: int = FOLDS, seed: int = SEED,
-         parallelism: int = 4, ignore: Collection[str] = ()) -> DataFrame:
+         parallelism: int = 4, ignore: Collection[str] = (), cells: FoldedCells | None = None) -> DataFrame:
     """``trial, fold, accuracy, macro_f1`` of every trial's parameters on stratified folds.
 
     Trials are few, so their parameters and scores pass through the driver; each fit is a
     Spark job of its own over the folded table, which is written once. For a ``RandomForest`` that table
-    holds cells of rows alike in fold, bins and label; the bounds of the bins come from all rows.
+    holds cells of rows alike in fold, bins and label, ``folded_cells`` unless given; the bounds of the bins come from all rows.
     """
-    rows = stratified_folds(train, target, k=folds, seed=seed)
-    vectors = with_vector(rows, features, target).select("fold", "features", "label")
-    folded = spread(cut_lineage(vectors, "folds"))
     wanted = [r.asDict() for r in trials.collect()]
     made = [make_estimator(estimator, {k: v for k, v in p.items() if k != "trial"}, ignore) for p in wanted]
     if made and isinstance(made[0], RandomForest):
-        found = labelled(folded, "fold")
-        n, width, classes = extent(found)
-        cuts = bin_cuts(found, width, made[0].max_bins) if n else []
-        cells = cells_of(found, cuts, ["fold"])
+        given = cells or folded_cells(train, features, target, estimator, folds, seed)
 
         def scores(forest: RandomForest) -> list[tuple]:
-            return cell_scores(cells, cuts, classes, forest, folds) if n else []
+            return cell_scores(given.cells, given.cuts, given.classes, forest, folds) if given.cells else []
     else:
+        rows = stratified_folds(train, target, k=folds, seed=seed)
+        vectors = with_vector(rows, features, target).select("fold", "features", "label")
+        folded = spread(cut_lineage(vectors, "folds"))
+
         def scores(one: Estimator) -> list[tuple]:
             return fold_scores(folded, one, folds)
 

@@ -44,10 +44,11 @@ def explain(prepared: DataFrame, target: str, space: dict[str, dict],
     table = spread(cut_lineage(split.exact_split(written, fraction=fraction, seed=seed), "split"))
     train = table.filter(F.col("split") == "train")
     drawn = trials.sample_trials(spark.range(n_trials).withColumnRenamed("id", "trial"), space, seed=seed)
-    scores = models.tune(train, features, target, drawn, estimator, folds, seed, ignore=ignore)
+    cells = models.folded_cells(train, features, target, estimator, folds, seed)
+    scores = models.tune(train, features, target, drawn, estimator, folds, seed, ignore=ignore, cells=cells)
     best = scoring.best_trial(scoring.fold_summary(scores)).first()["trial"]
     params = drawn.filter(F.col("trial") == best).drop("trial").first().asDict()
-    model = models.fit(models.make_estimator(estimator, params, ignore), train, features, target)
+    model = models.fit(models.make_estimator(estimator, params, ignore), train, features, target, cells=cells)
     return Explanation(
         table=table,
         predictions=cut_lineage(models.predict(model, table, features, ["idx", "split"]), "predictions"),

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import attribution, models
+from tessera.operators import attribution, forest, models
 from tessera.operators.forest import RandomForest
+from tessera.plans.explain import explain
 from tests.test_adaboost import FEATURES, table
 
 
@@ -53,3 +54,40 @@ def test_tuning_reads_cells(spark, monkeypatch):
     assert {(r["trial"], r["fold"]) for r in got} == {(t, f) for t in (0, 1) for f in (0, 1)}
     assert all(0.5 < r["accuracy"] <= 1 for r in got) and sizes[0].count() <= 120
     assert sizes[0].agg(F.sum("n")).first()[0] == 1200
+
+
+def test_folds_grow_together(spark, monkeypatch):
+    """Without a fold as from the cells of the others; the fits of all folds draw at once unless their histograms are large."""
+    written = []
+    plain = forest.cut_lineage
+    monkeypatch.setattr(forest, "cut_lineage", lambda df, label: written.append(label) or plain(df, label))
+    frame, _, _ = table(spark)
+    found = models.folded_cells(frame, FEATURES, "y", "RandomForest", 3)
+    assert written == ["forest-cells"]
+    for one in (RandomForest(n_estimators=5, max_depth=3, subsample=0.7), RandomForest(n_estimators=34, max_depth=1)):
+        alone = [one.grow(found.cells.filter(F.col("fold") != f).groupBy("bins", "y").agg(F.sum("n").alias("n")), found.cuts, 2) for f in range(3)]
+        for size, writes in ((forest.HISTOGRAM_BYTES, 1), (1, 3)):
+            monkeypatch.setattr(forest, "HISTOGRAM_BYTES", size)
+            written.clear()
+            got = one.grow_without(found.cells, found.cuts, 2, 3)
+            assert len(written) == writes * -(-one.n_estimators // forest.TOGETHER)
+            assert [(m.trees, m.shares, m.gains) for m in got] == [(m.trees, m.shares, m.gains) for m in alone]
+        monkeypatch.undo()
+        monkeypatch.setattr(forest, "cut_lineage", lambda df, label: written.append(label) or plain(df, label))
+
+
+def test_explain_reads_cells_once(spark, monkeypatch):
+    """The fit of the best trial learns what it learns from the rows, and takes the cells that tuning has made."""
+    frame, _, _ = table(spark)
+    sizes = []
+    plain = models.cells_of
+    monkeypatch.setattr(models, "cells_of", lambda *a: sizes.append(plain(*a)) or sizes[-1])
+    monkeypatch.setattr(forest, "cells_of", lambda *a: sizes.append(plain(*a)) or sizes[-1])
+    explain(frame, "y", {"n_estimators": {"values": [2, 3]}, "max_depth": {"value": 2}}, "RandomForest", n_trials=2, folds=2)
+    assert len(sizes) == 1
+    one = RandomForest(n_estimators=3, max_depth=3)
+    given = models.fit(one, frame, FEATURES, "y", cells=models.folded_cells(frame, FEATURES, "y", one))
+    read = models.fit(one, frame, FEATURES, "y")
+    assert (given.trees, given.shares, given.gains) == (read.trees, read.shares, read.gains)
+    none = models.folded_cells(frame.filter("false"), FEATURES, "y", one)
+    assert models.fit(one, frame, FEATURES, "y", cells=none).trees == []

@@ -131,6 +131,27 @@ def test_diverse_examples(spark, blobs):
         representatives.diverse_examples(wide.withColumnRenamed("idx", "i"))
 
 
+def test_rows_alike_are_clustered_once(spark, monkeypatch):
+    """Points of weights are grouped and scored as so many rows; a point has its smallest key, a single row no silhouette."""
+    places = [(float(x + 30 * g), float(y)) for g in range(3) for x in range(2) for y in range(2)] + [(500.0, 0.0)]
+    rows = [(i * 100 + j, a, b) for i, (a, b) in enumerate(places) for j in range(1 if a == 500 else 3 + i)]
+    wide = spark.createDataFrame(rows, "idx long, f double, g double")
+    points = representatives.as_points(wide, ["f", "g"])
+    seen = []
+    plain = representatives.fit_clusters
+    monkeypatch.setattr(representatives, "fit_clusters", lambda p, *a: seen.append(p.count()) or plain(p, *a))
+    got = representatives.diverse_examples(wide).collect()
+    assert set(seen) == {len(places)} and len(seen) > 2 and all(r["idx"] % 100 == 0 for r in got)
+    once = representatives.alike_once(points)
+    assert sorted((r["idx"], r["weight"]) for r in once.collect()) == [(i * 100, 1.0 if i == 12 else 3.0 + i) for i in range(13)]
+    for k in (2, 4):
+        clustered = plain(once, k)[0]
+        labels = points.join(clustered.select("point", "cluster"), "point")
+        assert representatives.silhouette(clustered) == pytest.approx(representatives.silhouette(labels.select("point", "cluster")), abs=1e-9)
+    unlike = spark.range(9).select(F.col("id").alias("idx"), F.array((F.col("id") - F.col("id") % 2 * F.col("id") / 9).cast("double")).alias("point"))
+    assert representatives.alike_once(unlike).columns == ["idx", "point"]
+
+
 def test_few_rows_give_two_clusters(spark):
     rows = spark.createDataFrame([(0, 0.0), (1, 0.1), (2, 9.0)], "idx long, f double")
     assert len(representatives.diverse_examples(rows).collect()) == 2

@@ -22,6 +22,8 @@ from tessera.operators.trees import matrix
 from tessera.session import cut_lineage, spread
 
 PARALLEL_FITS = 4
+# Points unlike each other from which on weights are used: with fewer than k, MLlib's weighted fit fails.
+LEAST_POINTS = 100
 
 
 def as_points(df: DataFrame, names: list[str], key: str = "idx") -> DataFrame:
@@ -33,12 +35,12 @@ def as_points(df: DataFrame, names: list[str], key: str = "idx") -> DataFrame:
 def alike_once(points: DataFrame) -> DataFrame:
     """``idx, point, weight``: each point once, with the smallest of its keys and the number of its rows.
 
-    Points of which most are unlike each other stay as they are, without ``weight``.
+    Points of which most, or fewer than ``LEAST_POINTS``, are unlike each other stay as they are, without ``weight``.
     """
     least = F.when(F.count_if(F.col("idx").isNull()) == 0, F.min("idx"))  # a missing key is the smallest
     found = points.groupBy("point").agg(least.alias("idx"), F.count(F.lit(1)).cast("double").alias("weight"))
     written = cut_lineage(found.select("idx", "point", "weight"), "points-alike")
-    return spread(written) if 2 * written.count() <= points.count() else points
+    return spread(written) if LEAST_POINTS <= (n := written.count()) <= points.count() / 2 else points
 
 
 def weighted_silhouette(clustered: DataFrame) -> float:

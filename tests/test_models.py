@@ -137,6 +137,8 @@ def test_rows_alike_are_clustered_once(spark, monkeypatch):
     rows = [(i * 100 + j, a, b) for i, (a, b) in enumerate(places) for j in range(1 if a == 500 else 3 + i)]
     wide = spark.createDataFrame(rows, "idx long, f double, g double")
     points = representatives.as_points(wide, ["f", "g"])
+    assert representatives.alike_once(points).columns == ["idx", "point"]
+    monkeypatch.setattr(representatives, "LEAST_POINTS", 13)
     seen = []
     plain = representatives.fit_clusters
     monkeypatch.setattr(representatives, "fit_clusters", lambda p, *a: seen.append(p.count()) or plain(p, *a))
